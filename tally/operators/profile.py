@@ -50,6 +50,9 @@ def _as_text(field: T.StructField) -> Column:
     c = qcol(field.name)
     if column_kind(field.dataType) == "nested":
         return F.to_json(c)
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        # -0.0 and 0.0 are one value (as in grouping); NaN is null.
+        return F.when(F.isnan(c), F.lit(None)).otherwise(c + F.lit(0.0)).cast("string")
     return c.cast("string")
 
 
