@@ -36,3 +36,334 @@ check(
     GROUP BY c_mktsegment ORDER BY sum(o_totalprice) DESC, c_mktsegment LIMIT 5
     """,
 )(segment_revenue)
+
+
+# ---- helpers shared by the oracles -------------------------------------------
+
+def duck_label(x: str) -> str:
+    """DuckDB form of the C12 label (title case after any non-letter)."""
+    return (
+        "array_to_string(list_transform(regexp_extract_all(lower(replace(" + x + ", '_', ' ')), '(\\pL+|\\PL+)', 1), "
+        "lambda p: concat(upper(left(p, 1)), substr(p, 2))), '')"
+    )
+
+
+def duck_kpi_text(x: str, monetary: str = "false") -> str:
+    """DuckDB form of C11 (Python format rules; no grouping in the M/K forms)."""
+    v = f"CAST({x} AS DOUBLE)"
+    body = (
+        f"CASE WHEN abs({v}) >= 1000000 THEN format('{{:.1f}}', {v} / 1000000) || 'M' "
+        f"WHEN abs({v}) >= 1000 THEN format('{{:.1f}}', {v} / 1000) || 'K' "
+        f"WHEN {v} = floor({v}) THEN format('{{:,}}', CAST({v} AS BIGINT)) "
+        f"ELSE format('{{:,.2f}}', {v}) END"
+    )
+    return f"CASE WHEN {v} IS NULL THEN '—' ELSE (CASE WHEN {monetary} THEN '$' ELSE '' END) || {body} END"
+
+
+def _prof(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return profile(getattr(Tables(spark, sf_dir), name))
+
+
+# ---- C1-C3 ---------------------------------------------------------------------
+
+LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                    "l_discount", "l_tax"]
+
+
+def c01_metric_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric totals of lineitem from the profile aggregate (no extra scan)."""
+    m = ov.metric_columns(_prof(spark, sf_dir, "lineitem"))
+    return m.select(
+        "column_name", "label", F.round("total", 2).alias("total"), F.round("mean", 4).alias("mean"),
+        "semantic_type", F.col("metric_rank").cast("bigint").alias("metric_rank"), "kept",
+    )
+
+
+def _c01_oracle() -> str:
+    from .profile_checks import _semantic_case
+
+    parts = []
+    for i, c in enumerate(LINEITEM_NUMERIC):
+        st = _semantic_case(f"'{c}'", "'number'", "0", "1")
+        parts.append(
+            f"SELECT '{c}' AS column_name, {duck_label(repr(c))} AS label, round(sum({c}), 2) AS total, "
+            f"round(avg({c}), 4) AS mean, {st} AS semantic_type, CAST({i + 1} AS BIGINT) AS metric_rank, "
+            f"{i + 1} <= 4 AS kept FROM lineitem"
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
+check("c01_metric_totals", oracle=_c01_oracle())(c01_metric_totals)
+
+
+def c02_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dimension columns of orders and lineitem (non-numeric, distinct > 1)."""
+    outs = []
+    for name in ("orders", "lineitem"):
+        d = ov.dimension_columns(_prof(spark, sf_dir, name))
+        outs.append(d.select(
+            F.lit(name).alias("section"), "column_name", "label", "distinct",
+            F.col("dimension_rank").cast("bigint").alias("dimension_rank"), "kept", "ranked",
+        ))
+    return outs[0].unionByName(outs[1])
+
+
+def _c02_oracle() -> str:
+    dims = {"orders": ["o_orderstatus", "o_orderdate", "o_orderpriority"],
+            "lineitem": ["l_returnflag", "l_linestatus", "l_shipdate"]}
+    parts = []
+    for t, cols in dims.items():
+        for c in cols:
+            parts.append(f"SELECT '{t}' AS section, '{c}' AS column_name, count(DISTINCT {c}) AS d, "
+                         f"{cols.index(c)} AS pos FROM {t}")
+    body = "\nUNION ALL\n".join(parts)
+    return (
+        f"SELECT section, column_name, {duck_label('column_name')} AS label, d AS \"distinct\", "
+        "row_number() OVER (PARTITION BY section ORDER BY pos) AS dimension_rank, "
+        "row_number() OVER (PARTITION BY section ORDER BY pos) <= 3 AS kept, "
+        "row_number() OVER (PARTITION BY section ORDER BY pos) <= 2 AS ranked "
+        f"FROM ({body}) x WHERE d > 1"
+    )
+
+
+check("c02_dimensions", oracle=_c02_oracle())(c02_dimensions)
+
+BASE_TABLES = ["orders", "lineitem", "customer", "part", "events"]
+
+
+def c03_base_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First money metric, else first metric, per table."""
+    outs = []
+    for name in BASE_TABLES:
+        b = ov.base_metric(ov.metric_columns(_prof(spark, sf_dir, name)))
+        outs.append(b.select(F.lit(name).alias("table_name"), F.col("column_name").alias("base_metric")))
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return out
+
+
+def _c03_oracle() -> str:
+    from .profile_checks import SCHEMAS, _semantic_case
+
+    parts = []
+    for t in BASE_TABLES:
+        pos = 0
+        for c, kind in SCHEMAS[t]:
+            if kind == "number":
+                st = _semantic_case(f"'{c}'", "'number'", "0", "1")
+                parts.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, {pos} AS pos, {st} AS st")
+            pos += 1
+    body = "\nUNION ALL\n".join(parts)
+    return (
+        "SELECT table_name, arg_min(column_name, (st <> 'money_or_amount', pos)) AS base_metric "
+        f"FROM ({body}) m GROUP BY table_name"
+    )
+
+
+check("c03_base_metric", oracle=_c03_oracle())(c03_base_metric)
+
+
+# ---- C4-C6 rankings ------------------------------------------------------------
+
+def c04_rank_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4: top-5 sum of o_totalprice by o_orderpriority (TakeOrderedAndProject)."""
+    t = ov.top_k(Tables(spark, sf_dir).orders, "o_orderpriority", "o_totalprice", 5)
+    return t.select("label", F.round("value", 2).alias("value"))
+
+
+check(
+    "c04_rank_by_priority",
+    oracle="""
+    SELECT CAST(o_orderpriority AS VARCHAR) AS label, round(sum(o_totalprice), 2) AS value
+    FROM orders WHERE o_orderpriority IS NOT NULL
+    GROUP BY 1 ORDER BY sum(o_totalprice) DESC, label LIMIT 5
+    """,
+)(c04_rank_by_status)
+
+
+def c05_rank_count_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequency ranking of p_brand, top 5 (ties by label)."""
+    t = ov.top_k(Tables(spark, sf_dir).part, "p_brand", None, 5)
+    return t.select("label", "value")
+
+
+check(
+    "c05_rank_count_brand",
+    oracle="""
+    SELECT p_brand AS label, CAST(count(*) AS DOUBLE) AS value
+    FROM part WHERE p_brand IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 5
+    """,
+)(c05_rank_count_brand)
+
+
+def c06_rankings_two_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and priority rankings of o_totalprice in one pass."""
+    r = ov.rank_dimensions(Tables(spark, sf_dir).orders, ["o_orderstatus", "o_orderpriority"], "o_totalprice", 5)
+    return r.select("dimension", F.col("rank").cast("bigint").alias("rank"), "label", F.round("value", 2).alias("value"))
+
+
+check(
+    "c06_rankings_two_dims",
+    oracle="""
+    WITH g AS (
+      SELECT 'o_orderstatus' AS dimension, o_orderstatus AS label, sum(o_totalprice) AS v FROM orders GROUP BY 2
+      UNION ALL
+      SELECT 'o_orderpriority', o_orderpriority, sum(o_totalprice) FROM orders GROUP BY 2)
+    SELECT dimension, rank, label, value FROM (
+      SELECT dimension, label, round(v, 2) AS value,
+             row_number() OVER (PARTITION BY dimension ORDER BY v DESC, label) AS rank FROM g) r
+    WHERE rank <= 5
+    """,
+)(c06_rankings_two_dims)
+
+
+# ---- C7-C10 overview, KPIs, insights, charts -----------------------------------
+
+OVERVIEW_TABLES = ["orders", "lineitem", "customer", "part"]
+
+
+def fixture_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    sections = []
+    for name in OVERVIEW_TABLES:
+        df = getattr(t, name)
+        sections.append((name, df, profile(df)))
+    return ov.overview(sections)
+
+
+def c07_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per section (first 4), arrays flattened to text for the check."""
+    o = fixture_overview(spark, sf_dir)
+    return o.select(
+        "section", "rows",
+        F.array_join(F.transform("metrics", lambda m: m["column_name"]), ",").alias("metric_columns"),
+        F.array_join(F.transform("dimensions", lambda d: d["column_name"]), ",").alias("dimension_columns"),
+        F.array_join(F.transform("rankings", lambda r: r["dimension"]), ",").alias("ranked"),
+        F.array_join(F.transform("rankings", lambda r: r["metric"]), ",").alias("ranked_metric"),
+    )
+
+
+check(
+    "c07_overview",
+    oracle="""
+    SELECT * FROM (VALUES
+      ('orders', 'o_orderkey,o_custkey,o_totalprice', 'o_orderstatus,o_orderdate,o_orderpriority',
+       'O Orderstatus,O Orderdate', 'O Totalprice,O Totalprice'),
+      ('lineitem', 'l_orderkey,l_partkey,l_suppkey,l_linenumber', 'l_returnflag,l_linestatus,l_shipdate',
+       'L Returnflag,L Linestatus', 'L Orderkey,L Orderkey'),
+      ('customer', 'c_custkey,c_nationkey,c_acctbal', 'c_name,c_mktsegment', 'C Name,C Mktsegment', 'C Custkey,C Custkey'),
+      ('part', 'p_partkey,p_size,p_retailprice', 'p_name,p_brand,p_type', 'P Name,P Brand', 'P Partkey,P Partkey')
+    ) AS v(section, metric_columns, dimension_columns, ranked, ranked_metric)
+    JOIN (SELECT 'orders' AS s, count(*) AS rows FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem
+          UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'part', count(*) FROM part) c
+      ON c.s = v.section
+    """.replace("SELECT * FROM", "SELECT section, rows, metric_columns, dimension_columns, ranked, ranked_metric FROM"),
+)(c07_overview)
+
+
+def c08_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KPI cards from the first two sections."""
+    k = ov.kpis(fixture_overview(spark, sf_dir))
+    return k.select(F.col("kpi_rank").cast("bigint").alias("kpi_rank"), "label", "value", "context")
+
+
+check(
+    "c08_kpis",
+    oracle=f"""
+    SELECT 1::BIGINT AS kpi_rank, 'O Orderkey' AS label, {duck_kpi_text('(SELECT sum(o_orderkey) FROM orders)')} AS value, '' AS context
+    UNION ALL SELECT 2, 'O Custkey', {duck_kpi_text('(SELECT sum(o_custkey) FROM orders)')}, ''
+    UNION ALL SELECT 3, 'L Orderkey', {duck_kpi_text('(SELECT sum(l_orderkey) FROM lineitem)')}, ''
+    UNION ALL SELECT 4, 'L Partkey', {duck_kpi_text('(SELECT sum(l_partkey) FROM lineitem)')}, ''
+    """,
+)(c08_kpis)
+
+
+def c09_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share-of-the-five insights from the first ranking of each of two sections."""
+    i = ov.insights(fixture_overview(spark, sf_dir))
+    return i.select(F.col("insight_rank").cast("bigint").alias("insight_rank"), "text")
+
+
+check(
+    "c09_insights",
+    oracle="""
+    WITH r1 AS (SELECT o_orderstatus AS label, sum(o_totalprice) AS v FROM orders GROUP BY 1
+                ORDER BY v DESC, label LIMIT 5),
+         r2 AS (SELECT l_returnflag AS label, CAST(sum(l_orderkey) AS DOUBLE) AS v FROM lineitem GROUP BY 1
+                ORDER BY v DESC, label LIMIT 5),
+         s AS (SELECT 0 AS sec, label, v, row_number() OVER (ORDER BY v DESC, label) AS pos, sum(v) OVER () AS tot,
+                      'O Totalprice' AS metric FROM r1
+               UNION ALL
+               SELECT 1, label, v, row_number() OVER (ORDER BY v DESC, label), sum(v) OVER (), 'L Orderkey' FROM r2)
+    SELECT row_number() OVER (ORDER BY sec, pos) AS insight_rank,
+           label || ': ' || format('{:.2f}', v / tot * 100) || '% del total de ' || metric || '.' AS text
+    FROM s WHERE pos <= 3 QUALIFY insight_rank <= 4
+    """,
+)(c09_insights)
+
+
+def c10_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chart records (long form) for the first two sections."""
+    c = ov.charts(fixture_overview(spark, sf_dir))
+    return c.select(
+        F.col("chart_rank").cast("bigint").alias("chart_rank"), "title", "kind",
+        F.col("point").cast("bigint").alias("point"), "label", F.round("value", 2).alias("value"),
+    )
+
+
+check(
+    "c10_charts",
+    oracle="""
+    WITH r1 AS (SELECT o_orderstatus AS label, sum(o_totalprice) AS v FROM orders GROUP BY 1),
+         r2 AS (SELECT l_returnflag AS label, CAST(sum(l_orderkey) AS DOUBLE) AS v FROM lineitem GROUP BY 1)
+    SELECT * FROM (
+      SELECT 1::BIGINT AS chart_rank, 'O Orderstatus por O Totalprice' AS title, 'bar' AS kind,
+             row_number() OVER (ORDER BY v DESC, label) AS point, label, round(v, 2) AS value FROM r1
+      UNION ALL
+      SELECT 2::BIGINT, 'L Returnflag por L Orderkey', 'bar',
+             row_number() OVER (ORDER BY v DESC, label), label, round(v, 2) FROM r2) x
+    WHERE point <= 5
+    """,
+)(c10_charts)
+
+
+# ---- C11, C12 column functions over data ---------------------------------------
+
+def c11_kpi_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11 over customer balances (negative, fractional, K and M forms) and nulls."""
+    c = Tables(spark, sf_dir).customer
+    return c.select(
+        "c_custkey",
+        kpi_text(F.col("c_acctbal"), F.col("c_mktsegment") == "BUILDING").alias("balance_text"),
+        kpi_text(F.col("c_acctbal") * 1000).alias("scaled_text"),
+        kpi_text(F.expr("nullif(c_nationkey, 0)")).alias("nation_text"),
+    )
+
+
+check(
+    "c11_kpi_text",
+    oracle=f"""
+    SELECT c_custkey,
+           {duck_kpi_text('c_acctbal', "c_mktsegment = 'BUILDING'")} AS balance_text,
+           {duck_kpi_text('c_acctbal * 1000')} AS scaled_text,
+           {duck_kpi_text('nullif(c_nationkey, 0)')} AS nation_text
+    FROM customer
+    """,
+)(c11_kpi_text)
+
+
+def c12_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C12 over part names and types (title case after any non-letter)."""
+    p = Tables(spark, sf_dir).part
+    return p.select("p_partkey", label(F.col("p_type")).alias("type_label"),
+                    label(F.concat_ws("_", "p_brand", "p_name")).alias("name_label"))
+
+
+check(
+    "c12_labels",
+    oracle=f"""
+    SELECT p_partkey, {duck_label('p_type')} AS type_label, {duck_label("concat_ws('_', p_brand, p_name)")} AS name_label
+    FROM part
+    """,
+)(c12_labels)
