@@ -11,17 +11,14 @@ from ._util import col
 
 
 def slug(c, fallback: str | Column = "field") -> Column:
-    """Slug of a header or name (A5).
+    """Slug of a header or name (A5): the ASCII letter/digit runs of the
+    lower-cased text joined by ``_``; an empty result gives ``fallback``.
 
-    lower, runs outside ``[a-z0-9_]`` to ``_``, trim ``_``, collapse ``_``;
-    an empty result gives ``fallback``.  Accented letters are replaced, not
-    folded: ``Año`` -> ``a_o``.
+    Accented letters separate runs rather than fold: ``Año`` -> ``a_o``.
     """
-    x = F.regexp_replace(F.lower(col(c)), r"[^a-zA-Z0-9_]+", "_")
-    x = F.regexp_replace(x, r"^_+|_+$", "")
-    x = F.regexp_replace(x, r"_+", "_")
+    runs = F.regexp_extract_all(F.lower(col(c)), F.lit("[a-z0-9]+"), 0)
     fb = fallback if isinstance(fallback, Column) else F.lit(fallback)
-    return F.coalesce(F.nullif(x, F.lit("")), fb)
+    return F.coalesce(F.nullif(F.array_join(runs, "_"), F.lit("")), fb)
 
 
 def table_name(section) -> Column:
@@ -132,3 +129,10 @@ def truncate_text(c, max_chars: int = CHUNK_MAX_CHARS, marker: str = TRUNCATION_
     """D3: over the limit, the first ``max_chars`` characters plus a marker line."""
     x = col(c)
     return F.when(F.length(x) > max_chars, F.concat(F.substring(x, 1, max_chars), F.lit(marker))).otherwise(x)
+
+
+def slug_name(value, fallback: str = "field") -> str:
+    """Driver-side twin of ``slug`` for names the driver already holds."""
+    import re
+
+    return "_".join(re.findall("[a-z0-9]+", str(value).lower())) or fallback

@@ -9,9 +9,10 @@ index here is the DataFrame form of ``zipWithIndex``:
 2. sort inside each partition and take the position in the partition from
    ``monotonically_increasing_id`` (partition id in the upper 31 bits, the
    position in the lower 33);
-3. count rows per partition (one row per partition), turn the counts into
-   offsets on that tiny table and broadcast it back.  Its size is bounded by
-   the number of partitions, not by the data.
+3. checkpoint those rows (to ``spark.checkpoint.dir``), count rows per
+   partition (one row per partition), turn the counts into offsets on that
+   tiny table and broadcast it back.  Its size is bounded by the number of
+   partitions, not by the data.
 
 With group columns the index restarts per group: the first global index of
 each group is taken by an aggregate (one row per group, partial aggregation
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import shuffle_partitions
+from ..session import ensure_checkpoint_dir, shuffle_partitions
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -52,7 +53,11 @@ def row_index(
     keys = list(group_by) + list(order_by)
     ranged = df.repartitionByRange(n, *_as_cols(keys)).sortWithinPartitions(*_as_cols(keys))
     mid = "__tally_mid"
-    tagged = ranged.withColumn(mid, F.monotonically_increasing_id())
+    # Materialize the partitioned, sorted, tagged rows once: two independent
+    # range exchanges may sample different bounds, so the counts must come
+    # from the very rows that get numbered.  The checkpoint also cuts lineage.
+    ensure_checkpoint_dir(df.sparkSession)
+    tagged = ranged.withColumn(mid, F.monotonically_increasing_id()).checkpoint(eager=True)
     part = F.shiftright(F.col(mid), 33)
     counts = tagged.groupBy(part.alias("__pid")).agg(F.count(F.lit(1)).alias("__n"))
     # One row per partition: a window without PARTITION BY is fine here.
@@ -62,7 +67,7 @@ def row_index(
     ).fillna(0, subset=["__off"])
     indexed = (
         tagged.join(F.broadcast(offsets), part == F.col("__pid"), "left")
-        .withColumn(name, F.col("__off") + F.bitwise_and(F.col(mid), F.lit(_LOW_BITS)) + F.lit(1))
+        .withColumn(name, F.col("__off") + F.col(mid).bitwiseAND(F.lit(_LOW_BITS)) + F.lit(1))
         .drop("__pid", "__off", mid)
     )
     if not group_by:
