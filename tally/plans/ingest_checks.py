@@ -1,3 +1,194 @@
-"""Checks (filled in below)."""
+"""Checks for the ingest operators over the fixture tables.
+
+File readers (A1-A4, A10-A12) need files the tests write, so they are
+covered in ``tests/`` rather than here.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import slug, table_name
+from ..operators import ingest as ig
+from ..sources.tables import FIXTURE_TABLES, Tables
+from .registry import check
+
+
+def _duck_slug(x: str, fallback: str = "'field'") -> str:
+    return f"coalesce(nullif(array_to_string(regexp_extract_all(lower({x}), '[a-z0-9]+'), '_'), ''), {fallback})"
+
+
+def a05_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 over part names and types, and over whole document texts."""
+    p = Tables(spark, sf_dir).part.select(
+        F.col("p_partkey").alias("id"), F.lit("part").alias("src"),
+        slug(F.col("p_name")).alias("slug_value"),
+    )
+    d = Tables(spark, sf_dir).documents.select(
+        F.col("doc_id").alias("id"), F.lit("documents").alias("src"), F.md5(slug(F.col("text"))).alias("slug_value"),
+    )
+    return p.unionByName(d)
+
+
+check(
+    "a05_slug",
+    oracle=f"""
+    SELECT p_partkey AS id, 'part' AS src, {_duck_slug('p_name')} AS slug_value FROM part
+    UNION ALL
+    SELECT doc_id, 'documents', md5({_duck_slug('text')}) FROM documents
+    """,
+)(a05_slug)
+
+
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header table made from part: file = brand, position = key, header = type."""
+    return Tables(spark, sf_dir).part.select(
+        F.col("p_brand").alias("file"), F.col("p_partkey").alias("pos"), F.col("p_type").alias("header")
+    )
+
+
+def a06_unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slugged, de-duplicated header names (reference rule, one pass)."""
+    return ig.unique_names(_headers(spark, sf_dir), fix_collisions=False).select("file", "pos", "name")
+
+
+check(
+    "a06_unique_names",
+    oracle=f"""
+    WITH b AS (SELECT p_brand AS file, p_partkey AS pos,
+                      CASE WHEN p_type IS NULL OR trim(p_type) = '' THEN 'col_' || CAST(p_partkey AS VARCHAR)
+                           ELSE {_duck_slug('trim(p_type)', "'col_' || CAST(p_partkey AS VARCHAR)")} END AS base
+               FROM part),
+    n AS (SELECT file, pos, base, row_number() OVER (PARTITION BY file, base ORDER BY pos) AS k FROM b)
+    SELECT file, pos, CASE WHEN k = 1 THEN base ELSE base || '_' || CAST(k AS VARCHAR) END AS name FROM n
+    """,
+)(a06_unique_names)
+
+
+def a06_unique_names_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 with the collision fix: names are unique per file (property checked in tests)."""
+    return ig.unique_names(_headers(spark, sf_dir), fix_collisions=True).select("file", "pos", "name")
+
+
+check("a06_unique_names_fixed")(a06_unique_names_fixed)
+
+
+def a07_table_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table name per section (sections = distinct part types)."""
+    types = Tables(spark, sf_dir).part.select(F.col("p_type").alias("section")).distinct()
+    return types.select("section", table_name(F.col("section")).alias("table_name"))
+
+
+check(
+    "a07_table_names",
+    oracle=f"SELECT DISTINCT p_type AS section, 'sheet_' || {_duck_slug('p_type', chr(39) + 'sheet' + chr(39))} AS table_name FROM part",
+)(a07_table_names)
+
+
+def a08_drop_empty_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose data cells are all null go (nulls made in the query)."""
+    o = Tables(spark, sf_dir).orders.select(
+        F.col("o_orderkey").alias("_rid"),
+        F.expr("CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END").alias("s"),
+        F.expr("CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN NULL ELSE o_orderpriority END").alias("p"),
+    )
+    return ig.drop_empty_rows(o)
+
+
+check(
+    "a08_drop_empty_rows",
+    oracle="""
+    SELECT * FROM (
+      SELECT o_orderkey AS _rid, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS s,
+             CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN NULL ELSE o_orderpriority END AS p
+      FROM orders) x
+    WHERE s IS NOT NULL OR p IS NOT NULL
+    """,
+)(a08_drop_empty_rows)
+
+_TEXT_COLS_SPARK = {
+    "qty": "CAST(l_quantity AS STRING)",
+    "line": "concat(' ', CAST(l_linenumber AS STRING), ' ')",
+    "flag": "l_returnflag",
+    "tax_suffixed": "CASE WHEN l_linestatus = 'O' THEN CAST(l_tax AS STRING) ELSE concat(CAST(l_tax AS STRING), 'd') END",
+    "price_grouped": "format_number(l_extendedprice, 2)",
+    "sci": "concat(CAST(l_linenumber AS STRING), 'e3')",
+    "flag_bool": "CASE WHEN l_returnflag = 'R' THEN 'True' ELSE 'False' END",
+}
+_TEXT_COLS_DUCK = {
+    "qty": "CAST(l_quantity AS VARCHAR)",
+    "line": "' ' || CAST(l_linenumber AS VARCHAR) || ' '",
+    "flag": "l_returnflag",
+    "tax_suffixed": "CASE WHEN l_linestatus = 'O' THEN CAST(l_tax AS VARCHAR) ELSE CAST(l_tax AS VARCHAR) || 'd' END",
+    "price_grouped": "format('{:,.2f}', l_extendedprice)",
+    "sci": "CAST(l_linenumber AS VARCHAR) || 'e3'",
+    "flag_bool": "CASE WHEN l_returnflag = 'R' THEN 'True' ELSE 'False' END",
+}
+
+
+def a09_coercion_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All-or-nothing typing verdicts of text columns made from lineitem."""
+    li = Tables(spark, sf_dir).lineitem.select(*[F.expr(v).alias(k) for k, v in _TEXT_COLS_SPARK.items()])
+    return ig.coercion_plan(li).select("column_name", "non_null", "numbers", "integers", "verdict")
+
+
+def _a09_oracle() -> str:
+    num = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity|nan)$"
+    integer = r"^[+-]?\d{1,18}$"
+    parts = []
+    for k, v in _TEXT_COLS_DUCK.items():
+        parts.append(
+            f"SELECT '{k}' AS column_name, count(x) AS non_null, "
+            f"count(*) FILTER (WHERE regexp_matches(lower(trim(x)), '{num}')) AS numbers, "
+            f"count(*) FILTER (WHERE regexp_matches(trim(x), '{integer}')) AS integers, "
+            f"count(*) FILTER (WHERE x IN ('True', 'TRUE', 'true', 'False', 'FALSE', 'false')) AS booleans "
+            f"FROM (SELECT {v} AS x FROM lineitem)"
+        )
+    body = "\nUNION ALL\n".join(parts)
+    return (
+        "SELECT column_name, non_null, numbers, integers, CASE WHEN non_null = 0 THEN 'string' "
+        "WHEN booleans = non_null THEN 'boolean' WHEN integers = non_null THEN 'bigint' "
+        f"WHEN numbers = non_null THEN 'double' ELSE 'string' END AS verdict FROM ({body}) s"
+    )
+
+
+check("a09_coercion_verdicts", oracle=_a09_oracle())(a09_coercion_verdicts)
+
+
+def a13_section_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and columns of every fixture table as a section."""
+    t = Tables(spark, sf_dir)
+    s = ig.section_summary([(name, getattr(t, name), False) for name in FIXTURE_TABLES])
+    return s.select("section", "table_name", "hidden", "rows", "n_columns")
+
+
+_WIDTHS = {
+    "region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6,
+    "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4,
+}
+
+check(
+    "a13_section_summary",
+    oracle="\nUNION ALL\n".join(
+        f"SELECT '{t}' AS section, 'sheet_{t}' AS table_name, false AS hidden, count(*) AS rows, "
+        f"CAST({_WIDTHS[t]} AS BIGINT) AS n_columns FROM {t}"
+        for t in FIXTURE_TABLES
+    ),
+)(a13_section_summary)
+
+
+def a14_row_total_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row-total sentence over all sections."""
+    t = Tables(spark, sf_dir)
+    s = ig.section_summary([(name, getattr(t, name), False) for name in FIXTURE_TABLES])
+    return ig.row_total_text(s, "parquet")
+
+
+check(
+    "a14_row_total_text",
+    oracle="SELECT total_rows, 'PARQUET listo para análisis con ' || format('{:,}', total_rows) || ' registros.' AS summary FROM ("
+    + "SELECT CAST(sum(n) AS BIGINT) AS total_rows FROM ("
+    + " UNION ALL ".join(f"SELECT count(*) AS n FROM {t}" for t in FIXTURE_TABLES)
+    + ") c) s",
+)(a14_row_total_text)
