@@ -7,6 +7,7 @@ original header texts, ``df`` has unique slugged column names and ``_rid``.
 
 from __future__ import annotations
 
+import csv
 import os
 from dataclasses import dataclass, field
 
@@ -74,10 +75,19 @@ def read_csv_section(spark: SparkSession, path: str, name: str | None = None, mu
         spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
         .option("multiLine", multi_line).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False).option("nullValue", None).option("emptyValue", "")
-        .option("enforceSchema", False)
         .csv(path)
     )
-    originals = list(raw.columns)
+    if not head or not raw.columns:
+        raise ValueError(f"no header row in {path}")
+    # Original header texts from the first line (Spark renames repeats to a0, a2).
+    originals = next(csv.reader([head[0]], delimiter=sep))
+    if len(originals) != len(raw.columns):
+        originals = list(raw.columns)
+    # Like the reference reader, a line with more fields than the header is an
+    # error (checked on the sniffed lines; Spark would drop the extra fields).
+    for ln in head[1:]:
+        if ln.strip() and _count_outside_quotes(ln, sep) + 1 > len(originals):
+            raise ValueError(f"a line has more fields than the header in {path}")
     slugs = ig.unique_name_list(originals)
     df = raw.toDF(*slugs)
     df = ig.with_row_ids(df)
