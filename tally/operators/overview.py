@@ -20,6 +20,7 @@ from ..functions._util import qcol
 from ..functions.numbers import kpi_text
 from ..functions.text import label
 from .profile import semantic_type
+from .small import materialize_small
 
 # Overview sizes and texts.
 MAX_SECTIONS = 4
@@ -117,84 +118,70 @@ def top_k(df: DataFrame, dimension: str, metric: str | None = None, k: int = TOP
     return agg.orderBy(F.col("value").desc(), F.col("label").asc()).limit(k)
 
 
-def section_overview(df: DataFrame, section: str, prof: DataFrame, k: int = TOP_K) -> DataFrame:
-    """C7 for one section: ``section, rows, metrics[], dimensions[], rankings[]``.
-
-    The profile is catalog-sized, so the choice of metric and dimensions is
-    read on the driver; the rankings are one Spark job over the section.
-    """
-    metrics = metric_columns(prof)
-    dims = dimension_columns(prof)
-    ranked = [r["column_name"] for r in dims.where("ranked").orderBy("pos").collect()]
-    base = base_metric(metrics).collect()[0]
-    base_col, base_label = base["column_name"], base["label"]
-    metric_label = base_label if base_col else COUNT_METRIC_LABEL
-    spark = df.sparkSession
-    rows = prof.select(F.max("rows").alias("rows"))
-    metric_arr = metrics.where("kept").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("metric_rank", "column_name", "label", "total", "mean", "semantic_type"))),
-            lambda m: m.dropFields("metric_rank"),
-        ).alias("metrics")
-    )
-    dim_arr = dims.where("kept").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("dimension_rank", "column_name", "label", "distinct"))),
-            lambda d: d.dropFields("dimension_rank"),
-        ).alias("dimensions")
-    )
-    if ranked:
-        labels = dims.where("ranked").select(F.col("column_name").alias("dimension"), F.col("label").alias("dim_label"), "dimension_rank")
-        rk = rank_dimensions(df, ranked, base_col, k).join(F.broadcast(labels), "dimension")
-        rank_arr = (
-            rk.groupBy("dimension_rank", "dim_label")
-            .agg(F.array_sort(F.collect_list(F.struct("rank", "label", "value"))).alias("data"))
-            .agg(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("dimension_rank", "dim_label", "data"))),
-                    lambda r: F.struct(
-                        r["dim_label"].alias("dimension"),
-                        F.lit(metric_label).alias("metric"),
-                        F.lit("bar").alias("kind"),
-                        F.transform(r["data"], lambda p: F.struct(p["label"].alias("label"), p["value"].alias("value"))).alias("data"),
-                    ),
-                ).alias("rankings")
-            )
-        )
-    else:
-        rank_arr = spark.range(1).select(
-            F.array().cast("array<struct<dimension:string,metric:string,kind:string,data:array<struct<label:string,value:double>>>>").alias("rankings")
-        )
-    return _one_row([rows, metric_arr, dim_arr, rank_arr]).select(
-        F.lit(section).alias("section"), "rows", "metrics", "dimensions", "rankings"
-    )
+OVERVIEW_SCHEMA = (
+    "section string, rows bigint, "
+    "metrics array<struct<column_name:string,label:string,total:double,mean:double,semantic_type:string>>, "
+    "dimensions array<struct<column_name:string,label:string,distinct:bigint>>, "
+    "rankings array<struct<dimension:string,metric:string,kind:string,data:array<struct<label:string,value:double>>>>"
+)
 
 
-def _one_row(parts: Sequence[DataFrame]) -> DataFrame:
-    """Put single-row results side by side without a join: union, then ``first``."""
-    names = [c for p in parts for c in p.columns]
-    types = {f.name: f.dataType for p in parts for f in p.schema.fields}
-    padded = [p.select(*[(F.col(n) if n in p.columns else F.lit(None).cast(types[n])).alias(n) for n in names]) for p in parts]
-    u = padded[0]
-    for p in padded[1:]:
-        u = u.unionByName(p)
-    return u.agg(*[F.first(n, ignorenulls=True).alias(n) for n in names])
+def section_overview_record(df: DataFrame, section: str, prof: DataFrame, k: int = TOP_K) -> dict:
+    """C7 for one section as a record: ``section, rows, metrics[], dimensions[], rankings[]``.
 
-
-def overview(sections: Sequence[tuple[str, DataFrame, DataFrame]], k: int = TOP_K) -> DataFrame:
+    The profile is catalog-sized: it is computed once and its metric and
+    dimension rows are read on the driver.  The rankings are one Spark job
+    over the section (all ranked dimensions in one pass).
+    """
+    prof = materialize_small(prof)
+    m_rows = metric_columns(prof).orderBy("pos").collect()
+    d_rows = dimension_columns(prof).orderBy("pos").collect()
+    n_rows = prof.agg(F.max("rows")).first()[0] or 0
+    base = next((m for m in m_rows if m["semantic_type"] == "money_or_amount"), m_rows[0] if m_rows else None)
+    metric_label = base["label"] if base else COUNT_METRIC_LABEL
+    ranked = [d for d in d_rows if d["ranked"]]
+    rankings = []
+    if ranked:
+        got = rank_dimensions(df, [d["column_name"] for d in ranked], base["column_name"] if base else None, k).collect()
+        for d in ranked:
+            data = sorted((r for r in got if r["dimension"] == d["column_name"]), key=lambda r: r["rank"])
+            if data:
+                rankings.append({
+                    "dimension": d["label"], "metric": metric_label, "kind": "bar",
+                    "data": [{"label": r["label"], "value": r["value"]} for r in data],
+                })
+    return {
+        "section": section,
+        "rows": int(n_rows),
+        "metrics": [
+            {"column_name": m["column_name"], "label": m["label"], "total": m["total"], "mean": m["mean"],
+             "semantic_type": m["semantic_type"]} for m in m_rows if m["kept"]
+        ],
+        "dimensions": [
+            {"column_name": d["column_name"], "label": d["label"], "distinct": d["distinct"]} for d in d_rows if d["kept"]
+        ],
+        "rankings": rankings,
+    }
+
+
+def overview(sections: Sequence[tuple[str, DataFrame, DataFrame]], k: int = TOP_K, parallel: int = 4) -> DataFrame:
     """First 4 sections; empty sections are skipped but use a slot.
 
-    ``sections`` is ``[(name, df, profile)]``; the result has one row per kept
-    section and an ``ordinal`` column.
+    ``sections`` is ``[(name, df, profile)]``; the result (a local relation:
+    one row per kept section, with an ``ordinal``) feeds C8-C10.  Sections
+    are independent, so their jobs are submitted from a few driver threads
+    and run side by side on the cluster.
     """
-    parts = []
-    for ordinal, (name, df, prof) in enumerate(list(sections)[:MAX_SECTIONS]):
-        ov = section_overview(df, name, prof, k).where(F.col("rows") > 0)
-        parts.append(ov.withColumn("ordinal", F.lit(ordinal)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    from concurrent.futures import ThreadPoolExecutor
+
+    chosen = list(sections)[:MAX_SECTIONS]
+    if not chosen:
+        raise ValueError("no sections")
+    spark = chosen[0][1].sparkSession
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        records = list(pool.map(lambda s: section_overview_record(s[1], s[0], s[2], k), chosen))
+    kept = [dict(r, ordinal=i) for i, r in enumerate(records) if r["rows"] > 0]
+    return spark.createDataFrame(kept, OVERVIEW_SCHEMA + ", ordinal int")
 
 
 def kpis(ov: DataFrame) -> DataFrame:

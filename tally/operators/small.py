@@ -1,0 +1,21 @@
+"""Catalog-sized results: computed once, then held as a local relation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+# A profile has one row per column, an overview one row per section: far below this.
+SMALL_ROWS = 100_000
+
+
+def materialize_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Run ``df`` once and return its rows as a local relation.
+
+    For results whose size is bounded by the schema (profiles, overviews),
+    so later steps that read them several times do not re-run the scan.
+    The bound is checked: more than ``max_rows`` rows is an error.
+    """
+    rows = df.take(max_rows + 1)
+    if len(rows) > max_rows:
+        raise ValueError(f"result has more than {max_rows} rows; not catalog-sized")
+    return df.sparkSession.createDataFrame(rows, df.schema)

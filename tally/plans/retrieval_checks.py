@@ -169,3 +169,30 @@ check(
            round(list_sum(list_transform(q, lambda v: abs(v))), 6) AS l1 FROM c
     """,
 )(d07_query_rounding)
+
+
+def d05_cosine_top_k_100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D5 with 100 query vectors: centroids of (label, vec_id mod 10) groups."""
+    emb = Tables(spark, sf_dir).embeddings
+    grouped = emb.withColumn("qgroup", F.col("label") * 10 + F.col("vec_id") % 10)
+    q = vx.label_centroid_queries(grouped, group_col="qgroup")
+    hits = vx.cosine_top_k(emb, q, k=vx.CALLER_TOP_K, id_col="vec_id")
+    return hits.select(
+        F.col("query_id").cast("bigint").alias("query_id"), F.col("rank").cast("bigint").alias("rank"),
+        "vec_id", F.round("score", 6).alias("score"),
+    )
+
+
+check(
+    "d05_cosine_top_k_100",
+    oracle="""
+    WITH e AS (SELECT label * 10 + vec_id % 10 AS g, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x
+               FROM embeddings),
+    c AS (SELECT g AS query_id, list(round(m, 8) ORDER BY i) AS q
+          FROM (SELECT g, i, avg(x) AS m FROM e GROUP BY g, i) GROUP BY g),
+    s AS (SELECT c.query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, c)
+    SELECT CAST(query_id AS BIGINT) AS query_id, rank, vec_id, round(score, 6) AS score FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) r
+    WHERE rank <= 4
+    """,
+)(d05_cosine_top_k_100)
