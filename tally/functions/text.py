@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,26 +78,27 @@ def normalize_text(c) -> Column:
     return F.regexp_replace(fold_accents(F.lower(col(c))), r"[^a-z0-9_ ]+", " ")
 
 
-def normalize_text_exact(c) -> Column:
-    """E5 with full NFKD, as an Arrow-batched pandas UDF (slow path)."""
-    import pandas as pd
+def _nfkd_fold(s: pd.Series) -> pd.Series:
+    pat = re.compile(r"[^a-z0-9_ ]+")
 
-    @F.pandas_udf("string")
-    def _nfkd(s: pd.Series) -> pd.Series:
-        import re
+    def one(v):
+        if v is None:
+            return None
+        d = unicodedata.normalize("NFKD", v.lower())
+        return pat.sub(" ", "".join(ch for ch in d if not unicodedata.combining(ch)))
 
-        pat = re.compile(r"[^a-z0-9_ ]+")
+    return s.map(one)
 
-        def one(v):
-            if v is None:
-                return None
-            d = unicodedata.normalize("NFKD", v.lower())
-            d = "".join(ch for ch in d if not unicodedata.combining(ch))
-            return pat.sub(" ", d)
 
-        return s.map(one)
+_nfkd_udf = None
 
-    return _nfkd(col(c))
+
+def normalize_text_exact(c) -> Column:
+    """E5 with full NFKD (ligatures, fractions), as an Arrow-batched pandas UDF (slow path)."""
+    global _nfkd_udf
+    if _nfkd_udf is None:
+        _nfkd_udf = F.pandas_udf(_nfkd_fold, "string")
+    return _nfkd_udf(col(c))
 
 
 # The characters Python's str.split() treats as whitespace.
