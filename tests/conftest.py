@@ -13,6 +13,8 @@ SF_ORACLE = "/root/testdata/sf0.01"
 def spark():
     from tally.session import local_session
 
-    s = local_session(cores=8, shuffle_partitions=8, app="tally-tests")
+    s = local_session(cores=8, shuffle_partitions=int(os.environ.get("TALLY_TEST_PARTITIONS", "8")), app="tally-tests")
+    if os.environ.get("TALLY_TEST_TZ"):
+        s.conf.set("spark.sql.session.timeZone", os.environ["TALLY_TEST_TZ"])
     yield s
     s.stop()
