@@ -2,9 +2,9 @@
 
 Plan shape: one aggregate over all columns for counts / min / max / mean
 (a single scan, no ``Expand``), and exact distinct counts from a melt of
-all columns to ``(pos, value)`` with two aggregations (map-side partial
-aggregation first), which costs the same data volume as ``countDistinct``
-on one column but does not multiply rows per distinct column.  With
+all columns to ``(pos, typed value)`` with two aggregations (map-side
+partial aggregation first); values keep their type (long / double / text
+slots), so numbers are compared natively rather than formatted.  With
 ``approx=True`` the distinct counts come from ``approx_count_distinct`` in
 the same single aggregate.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions._util import qcol
+from ..session import spread
 
 ROW_ID = "_rid"
 
@@ -72,6 +73,40 @@ def melt_text(df: DataFrame, fields: Sequence[T.StructField], keep: Sequence[str
     )
 
 
+def _typed_slots(field: T.StructField) -> tuple[Column, Column, Column]:
+    """A value in one of three typed slots (long, double, text), so the exact
+    distinct count compares values natively instead of formatting them."""
+    c = qcol(field.name)
+    dt = field.dataType
+    none_l, none_d, none_s = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return c.cast("long"), none_d, none_s
+    if isinstance(dt, T.BooleanType):
+        return c.cast("int").cast("long"), none_d, none_s
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        d = c.cast("double")
+        return none_l, F.when(F.isnan(d), F.lit(None)).otherwise(d + F.lit(0.0)), none_s
+    if isinstance(dt, T.DateType):
+        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long"), none_d, none_s
+    return none_l, none_d, _as_text(field)
+
+
+def distinct_counts(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """Exact distinct non-null values per column: ``(pos, distinct_exact)``.
+
+    Rows are melted to ``(pos, l, d, s)`` (one typed slot set per value),
+    deduplicated (partial aggregation map-side) and counted per column.
+    """
+    items = []
+    for i, f in enumerate(fields):
+        lv, dv, sv = _typed_slots(f)
+        items.append(F.struct(F.lit(i).alias("pos"), lv.alias("l"), dv.alias("d"), sv.alias("s")))
+    long = spread(df).select(F.inline(F.array(*items))).where(
+        F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull()
+    )
+    return long.distinct().groupBy("pos").agg(F.count(F.lit(1)).alias("distinct_exact"))
+
+
 def profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """B1: one row per column.
 
@@ -117,11 +152,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool =
         return spark.createDataFrame([], schema)
     long = stats.select("rows", F.inline(F.array(*[one(i, f) for i, f in enumerate(fields)])))
     if not approx:
-        distinct = (
-            melt_text(df, fields)
-            .select("pos", "value").distinct()  # dedupe, partial aggregation map-side
-            .groupBy("pos").agg(F.count(F.lit(1)).alias("distinct_exact"))
-        )
+        distinct = distinct_counts(df, fields)
         long = (
             long.join(distinct, "pos", "left")
             .withColumn("distinct", F.coalesce(F.col("distinct_exact"), F.lit(0)).cast("long"))

@@ -10,6 +10,7 @@ from ..functions.numbers import executive_value, format_metric
 from ..operators import display as dp
 from ..operators import overview as ov
 from ..sources.tables import Tables
+from ..session import spread
 from .registry import check
 
 # A mixed text column made from orders: numbers with grouping commas, ISO
@@ -149,7 +150,7 @@ check(
 
 def h06_rich_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H6 over whole documents (look-behind regex: no DuckDB oracle; goldens in tests)."""
-    d = Tables(spark, sf_dir).documents
+    d = spread(Tables(spark, sf_dir).documents.select("doc_id", "text"))
     r = rich_text(F.col("text"))
     return d.select("doc_id", F.length(r).cast("bigint").alias("clean_len"), F.md5(r).alias("clean_md5"))
 
@@ -159,7 +160,7 @@ check("h06_rich_text")(h06_rich_text)
 
 def h07_html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H7 over every stored page: body only, blocked elements and handlers removed."""
-    p = Tables(spark, sf_dir).pages
+    p = spread(Tables(spark, sf_dir).pages)
     c = sanitize_html(F.col("html"))
     return p.select("page_id", F.length(c).cast("bigint").alias("clean_len"), F.md5(c).alias("clean_md5"))
 

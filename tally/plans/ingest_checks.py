@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import slug, table_name
 from ..operators import ingest as ig
 from ..sources.tables import FIXTURE_TABLES, Tables
+from ..session import spread
 from .registry import check
 
 
@@ -25,7 +26,7 @@ def a05_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("id"), F.lit("part").alias("src"),
         slug(F.col("p_name")).alias("slug_value"),
     )
-    d = Tables(spark, sf_dir).documents.select(
+    d = spread(Tables(spark, sf_dir).documents.select("doc_id", "text")).select(
         F.col("doc_id").alias("id"), F.lit("documents").alias("src"), F.md5(slug(F.col("text"))).alias("slug_value"),
     )
     return p.unionByName(d)

@@ -9,6 +9,7 @@ from ..functions.text import truncate_text
 from ..operators import chunks as ch
 from ..operators import vectors as vx
 from ..sources.tables import Tables
+from ..session import spread
 from .registry import check
 
 ORDERS_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
@@ -65,7 +66,7 @@ check("d02_dataset_chunks")(d02_dataset_chunks)
 
 def d03_truncate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3 over whole documents: over 12,000 characters, cut plus a marker line."""
-    d = Tables(spark, sf_dir).documents
+    d = spread(Tables(spark, sf_dir).documents.select("doc_id", "text"))
     t = truncate_text(F.col("text"))
     return d.select("doc_id", F.length(t).cast("bigint").alias("chunk_len"), F.md5(t).alias("chunk_md5"))
 
@@ -83,7 +84,7 @@ check(
 
 def d04_text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spark-native vectors of the documents' chunk text (width 1536, unit length)."""
-    d = Tables(spark, sf_dir).documents.select("doc_id", truncate_text(F.col("text")).alias("content"))
+    d = spread(Tables(spark, sf_dir).documents.select("doc_id", truncate_text(F.col("text")).alias("content")))
     v = vx.text_vectors(d, "content")
     return v.select(
         "doc_id", F.size("embedding").cast("bigint").alias("width"),

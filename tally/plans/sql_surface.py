@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_text
 from ..operators import adhoc
 from ..operators.asof import asof_previous
+from ..session import spread
 from ..sources.tables import Tables, register_views
 from .registry import check
 
@@ -567,11 +568,12 @@ check(
 
 def e04_routing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E4/E5 over whole documents: folded text digest and the routing flag."""
-    d = Tables(spark, sf_dir).documents
-    return d.select(
+    d = spread(Tables(spark, sf_dir).documents.select("doc_id", "text"))
+    folded = d.select("doc_id", normalize_text(F.col("text")).alias("folded"))
+    return folded.select(
         "doc_id",
-        adhoc.sql_capable(F.col("text")).alias("sql_capable"),
-        F.md5(normalize_text(F.col("text"))).alias("folded_md5"),
+        adhoc.signals_present(F.col("folded")).alias("sql_capable"),
+        F.md5("folded").alias("folded_md5"),
     )
 
 
@@ -592,7 +594,7 @@ check(
 
 def e05_fold_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E5 over every conversation turn (whole texts)."""
-    c = Tables(spark, sf_dir).conversations
+    c = spread(Tables(spark, sf_dir).conversations)
     folded = normalize_text(F.col("text"))
     return c.select("conv_id", "turn", F.md5(folded).alias("folded_md5"), F.length(folded).cast("bigint").alias("folded_len"))
 

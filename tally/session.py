@@ -78,3 +78,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin ``df`` over the cluster's cores when it has fewer input
+    partitions than cores (a single large file or row group is one task).
+
+    At scale the input already has many more partitions than cores and this
+    is a no-op; it only pays a shuffle of the input where CPU-heavy per-row
+    work (whole-text regular expressions, melts) would otherwise run in one
+    task.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
