@@ -26,7 +26,9 @@ HEADLINE = [
     "d01_row_chunks_orders",
     "d05_cosine_top_k",
     "d05_cosine_top_k_100",
+    "q02_pricing_summary",
     "q03_join_region_revenue",
+    "q03_lines_by_brand_and_nation",
     "q06_asof_last_event_before_error",
     "q09_monthly_windows",
     "f05_conversation_rollup",

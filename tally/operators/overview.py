@@ -129,17 +129,26 @@ OVERVIEW_SCHEMA = (
 def section_overview_record(df: DataFrame, section: str, prof: DataFrame, k: int = TOP_K) -> dict:
     """C7 for one section as a record: ``section, rows, metrics[], dimensions[], rankings[]``.
 
-    The profile is catalog-sized: it is computed once and its metric and
-    dimension rows are read on the driver.  The rankings are one Spark job
-    over the section (all ranked dimensions in one pass).
+    The profile is catalog-sized: it is computed once (with labels and
+    semantic types) and read on the driver, where the metric and dimension
+    choice (C1-C3, the same rules as ``metric_columns`` /
+    ``dimension_columns``) is a filter over a few rows.  The rankings are one
+    Spark job over the section (all ranked dimensions in one pass).
     """
-    prof = materialize_small(prof)
-    m_rows = metric_columns(prof).orderBy("pos").collect()
-    d_rows = dimension_columns(prof).orderBy("pos").collect()
-    n_rows = prof.agg(F.max("rows")).first()[0] or 0
+    # One job: the profile with labels and types, read as catalog-sized rows.
+    rows = prof.select(
+        "*",
+        label(F.col("column_name")).alias("label"),
+        semantic_type(F.col("column_name"), F.col("kind"), F.col("distinct"), F.col("non_nulls")).alias("semantic_type"),
+    ).collect()
+    rows = sorted(rows, key=lambda r: r["pos"])
+    numeric = ("number", "boolean")
+    m_rows = [r for r in rows if r["kind"] in numeric and r["non_nulls"] > 0]
+    d_rows = [r for r in rows if r["kind"] not in numeric and r["non_nulls"] > 0 and r["distinct"] > 1]
+    n_rows = rows[0]["rows"] if rows else 0
     base = next((m for m in m_rows if m["semantic_type"] == "money_or_amount"), m_rows[0] if m_rows else None)
     metric_label = base["label"] if base else COUNT_METRIC_LABEL
-    ranked = [d for d in d_rows if d["ranked"]]
+    ranked = d_rows[:RANKED_DIMENSIONS]
     rankings = []
     if ranked:
         got = rank_dimensions(df, [d["column_name"] for d in ranked], base["column_name"] if base else None, k).collect()
@@ -155,10 +164,10 @@ def section_overview_record(df: DataFrame, section: str, prof: DataFrame, k: int
         "rows": int(n_rows),
         "metrics": [
             {"column_name": m["column_name"], "label": m["label"], "total": m["total"], "mean": m["mean"],
-             "semantic_type": m["semantic_type"]} for m in m_rows if m["kept"]
+             "semantic_type": m["semantic_type"]} for m in m_rows[:MAX_METRICS]
         ],
         "dimensions": [
-            {"column_name": d["column_name"], "label": d["label"], "distinct": d["distinct"]} for d in d_rows if d["kept"]
+            {"column_name": d["column_name"], "label": d["label"], "distinct": d["distinct"]} for d in d_rows[:MAX_DIMENSIONS]
         ],
         "rankings": rankings,
     }

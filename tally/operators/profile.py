@@ -19,7 +19,6 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions._util import qcol
-from ..session import spread
 
 ROW_ID = "_rid"
 
@@ -101,7 +100,7 @@ def distinct_counts(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame
     for i, f in enumerate(fields):
         lv, dv, sv = _typed_slots(f)
         items.append(F.struct(F.lit(i).alias("pos"), lv.alias("l"), dv.alias("d"), sv.alias("s")))
-    long = spread(df).select(F.inline(F.array(*items))).where(
+    long = df.select(F.inline(F.array(*items))).where(
         F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull()
     )
     return long.distinct().groupBy("pos").agg(F.count(F.lit(1)).alias("distinct_exact"))

@@ -58,13 +58,13 @@ _sql(
     "q02_group_having",
     """
     SELECT l_returnflag, l_linestatus, count(*) AS n_lines, round(sum(l_quantity), 2) AS sum_qty,
-           round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,
+           CAST(round(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))), 2) AS DOUBLE) AS revenue,
            round(avg(l_discount), 6) AS avg_disc, round(max(l_tax), 6) AS max_tax
     FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 100
     """,
     """
     SELECT l_returnflag, l_linestatus, count(*) AS n_lines, round(sum(l_quantity), 2) AS sum_qty,
-           round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,
+           CAST(round(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))), 2) AS DOUBLE) AS revenue,
            round(avg(l_discount), 6) AS avg_disc, round(max(l_tax), 6) AS max_tax
     FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 100
     """,
@@ -102,6 +102,54 @@ _sql(
     """,
 )
 
+_sql(
+    "q02_pricing_summary",
+    """
+    SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
+           round(sum(l_extendedprice), 2) AS sum_base_price,
+           CAST(round(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))), 2) AS DOUBLE) AS sum_disc_price,
+           CAST(round(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) * (1 + CAST(l_tax AS DECIMAL(4,2)))), 2) AS DOUBLE) AS sum_charge,
+           round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price,
+           round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
+    FROM lineitem WHERE l_shipdate <= DATE'2001-06-30'
+    GROUP BY l_returnflag, l_linestatus
+    """,
+    """
+    SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
+           round(sum(l_extendedprice), 2) AS sum_base_price,
+           CAST(round(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))), 2) AS DOUBLE) AS sum_disc_price,
+           CAST(round(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) * (1 + CAST(l_tax AS DECIMAL(4,2)))), 2) AS DOUBLE) AS sum_charge,
+           round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price,
+           round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
+    FROM lineitem WHERE l_shipdate <= DATE '2001-06-30'
+    GROUP BY l_returnflag, l_linestatus
+    """,
+)
+
+_sql(
+    "q03_lines_by_brand_and_nation",
+    """
+    SELECT p_brand, n_name, count(*) AS n_lines,
+           CAST(round(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))), 2) AS DOUBLE) AS revenue, count(DISTINCT o_custkey) AS n_customers
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+         JOIN part ON l_partkey = p_partkey
+         JOIN supplier ON l_suppkey = s_suppkey
+         JOIN nation ON s_nationkey = n_nationkey
+    WHERE o_orderdate >= DATE'1997-01-01' AND o_orderdate < DATE'1999-01-01'
+    GROUP BY p_brand, n_name
+    """,
+    """
+    SELECT p_brand, n_name, count(*) AS n_lines,
+           CAST(round(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))), 2) AS DOUBLE) AS revenue, count(DISTINCT o_custkey) AS n_customers
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+         JOIN part ON l_partkey = p_partkey
+         JOIN supplier ON l_suppkey = s_suppkey
+         JOIN nation ON s_nationkey = n_nationkey
+    WHERE o_orderdate >= DATE '1997-01-01' AND o_orderdate < DATE '1999-01-01'
+    GROUP BY p_brand, n_name
+    """,
+)
+
 _sql(
     "q04_anti_orders_without_lines",
     """

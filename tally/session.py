@@ -62,8 +62,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (tests, local runs) a fresh local folder is
-    made, so nothing ever writes to a machine-local path on a cluster.
+    as is (a cluster without it is an error).  Only a local-mode session
+    with nothing set (tests, the bench) gets a fresh local folder, so
+    nothing ever writes to a machine-local path on a cluster.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -71,6 +72,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         conf_dir = tempfile.mkdtemp(prefix="tally-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
