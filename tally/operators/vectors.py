@@ -54,6 +54,12 @@ def text_vectors(
     return out.withColumn(out_col, vector_to_array("__vec", "float32")).drop("__tok", "__tf", "__idf", "__vec")
 
 
+def embed_with(df: DataFrame, text_col: str, model_udf, out_col: str = "embedding") -> DataFrame:
+    """D4 model slot: vectors from a user's pandas UDF (``Series[str] -> Series[list[float]]``),
+    Arrow-batched; the rest of retrieval takes any ``ARRAY<FLOAT>`` column."""
+    return df.withColumn(out_col, model_udf(F.col(text_col)).cast("array<float>"))
+
+
 def round_vector(c, decimals: int = QUERY_DECIMALS) -> Column:
     """Query vector rounded to 8 decimals, as it is written into the query."""
     x = F.col(c) if isinstance(c, str) else c

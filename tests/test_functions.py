@@ -124,5 +124,7 @@ def test_capped_run_rejects_commands_and_paths(spark):
     assert ok.error is None and ok.row_count == 200 and ok.truncated
     chart = adhoc.chart_series(adhoc.run_sql(spark, "select 'a' AS k, 0 AS n, 1.5 AS v union all select 'b', 2, 2.5"))
     assert chart["chart"]["data"] == [{"label": "a", "value": 1.5}, {"label": "b | 2", "value": 2.5}]
+    quoted = adhoc.run_sql(spark, 'select "k" from (select 1 AS k) t')
+    assert quoted.error is None and quoted.rows == [{"k": 1}]
     rec = adhoc.answer_record(ok, "ventas.csv")
     assert rec["artifacts"][0]["type"] == "table" and len(rec["artifacts"][0]["rows"]) == 20

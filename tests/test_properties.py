@@ -106,3 +106,28 @@ def test_text_vectors_are_unit_length(spark):
     ).collect()
     assert all(r["w"] == 256 for r in v)
     assert all(abs(r["n2"] - 1.0) < 1e-4 or r["n2"] == 0.0 for r in v)
+
+
+def test_conversation_rollup_nested_matches_aggregates(spark):
+    from tally.operators.rollups import conversation_rollup
+
+    c = Tables(spark, SF_SMALL).conversations
+    r = conversation_rollup(c, nest=True).collect()
+    for row in r:
+        turns = [m["turn"] for m in row["messages"]]
+        assert turns == sorted(turns) and len(turns) == row["n_turns"]
+        assert row["first_role"] == row["messages"][0]["role"]
+
+
+def test_embed_with_model_slot(spark):
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("array<double>")
+    def toy(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [float(len(t)), 1.0])
+
+    d = Tables(spark, SF_SMALL).documents.select("doc_id", "text")
+    v = vx.embed_with(d, "text", toy)
+    assert v.schema["embedding"].dataType.simpleString() == "array<float>"
+    assert v.where("size(embedding) = 2").count() == d.count()
