@@ -21,6 +21,7 @@ and partitions as one (last row, predecessor) pair.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 import numpy as np
@@ -78,10 +79,12 @@ def _scan_batches(it, by, order, payload, start_state):
         new_block = ~(same_key & same_ord)
         empty = {c: None for c in payload}
         # pool row 0: carried predecessor, row 1: carried last row, then the batch
-        pool = pd.concat(
-            [pd.DataFrame([pred or empty, last or empty], columns=list(payload)), pdf[list(payload)]],
-            ignore_index=True,
-        )
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", FutureWarning)  # all-null carried rows at partition start
+            pool = pd.concat(
+                [pd.DataFrame([pred or empty, last or empty], columns=list(payload)), pdf[list(payload)]],
+                ignore_index=True,
+            )
         idx = np.arange(n)
         at_start = np.where(same_key, np.where(idx == 0, 1, idx + 1), -1)  # row before, if same key
         at_start = np.where(new_block, at_start, -2)
