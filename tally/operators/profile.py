@@ -1,10 +1,10 @@
 """Profiling and the semantic catalog.
 
-Plan shape: one aggregate over all columns for counts / min / max / mean
-(a single scan, no ``Expand``), and exact distinct counts from a melt of
-all columns to ``(pos, typed value)`` with two aggregations (map-side
-partial aggregation first); values keep their type (long / double / text
-slots), so numbers are compared natively rather than formatted.  With
+Plan shape: the exact profile is one scan, melted to ``(pos, typed
+value)`` (long / double / text slots, so numbers are compared natively,
+not formatted) and two aggregations with map-side partial aggregation; the
+approximate profile is a single aggregate over all columns.  Neither uses
+``Expand`` (one ``countDistinct`` per column would).  With
 ``approx=True`` the distinct counts come from ``approx_count_distinct`` in
 the same single aggregate.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions._util import qcol
+from ..session import spread
 
 ROW_ID = "_rid"
 
@@ -90,43 +91,84 @@ def _typed_slots(field: T.StructField) -> tuple[Column, Column, Column]:
     return none_l, none_d, _as_text(field)
 
 
-def distinct_counts(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
-    """Exact distinct non-null values per column: ``(pos, distinct_exact)``.
-
-    Rows are melted to ``(pos, l, d, s)`` (one typed slot set per value),
-    deduplicated (partial aggregation map-side) and counted per column.
-    """
-    items = []
-    for i, f in enumerate(fields):
-        lv, dv, sv = _typed_slots(f)
-        items.append(F.struct(F.lit(i).alias("pos"), lv.alias("l"), dv.alias("d"), sv.alias("s")))
-    long = df.select(F.inline(F.array(*items))).where(
-        F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull()
-    )
-    return long.distinct().groupBy("pos").agg(F.count(F.lit(1)).alias("distinct_exact"))
-
-
 def profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """B1: one row per column.
 
     Columns: ``pos, column_name, data_type, kind, rows, nulls, non_nulls,
     distinct, min, max, mean, total``.  min/max/mean/total are DOUBLE and
     only set for numeric (and boolean) columns that have a value; ``total``
-    feeds the overview (C1) so it needs no second scan.
+    feeds the overview (C1) so it needs no second scan.  NaN counts as null.
+
+    Exact (default): one scan.  Every row is melted to ``(pos, typed value)``
+    plus one row-count marker, aggregated per distinct value (partial
+    aggregation map-side collapses repeats, so a hot value costs one row per
+    task), then per column: distinct = values, non_nulls = sum of counts,
+    min / max / total from the typed value.  ``approx=True``: one aggregate,
+    ``approx_count_distinct`` per column, nothing shuffled but one row.
     """
     fields = data_columns(df, columns)
     spark = df.sparkSession
+    if not fields:
+        schema = ("pos int, column_name string, data_type string, kind string, rows long, nulls long, "
+                  "non_nulls long, distinct long, min double, max double, mean double, total double")
+        return spark.createDataFrame([], schema)
+    if approx:
+        return _profile_approx(df, fields)
+    meta = spark.createDataFrame(
+        [(-1, "", "", "rows")]
+        + [(i, f.name, f.dataType.simpleString(), column_kind(f.dataType)) for i, f in enumerate(fields)],
+        "pos int, column_name string, data_type string, kind string",
+    )
+    items = [F.struct(F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("l"),
+                      F.lit(None).cast("double").alias("d"), F.lit(None).cast("string").alias("s"))]
+    for i, f in enumerate(fields):
+        lv, dv, sv = _typed_slots(f)
+        items.append(F.struct(F.lit(i).alias("pos"), lv.alias("l"), dv.alias("d"), sv.alias("s")))
+    # The melt multiplies rows by the column count: spread an under-partitioned
+    # input over the cores first (a no-op when it already has enough tasks).
+    melted = spread(df).select(F.inline(F.array(*items))).where(
+        F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull()
+    )
+    per_value = melted.groupBy("pos", "l", "d", "s").agg(F.count(F.lit(1)).alias("n"))
+    num = F.coalesce(F.col("d"), F.col("l").cast("double"))
+    per_col = per_value.groupBy("pos").agg(
+        F.count(F.lit(1)).alias("distinct"),
+        F.sum("n").alias("non_nulls"),
+        F.min(num).alias("min"),
+        F.max(num).alias("max"),
+        F.sum(num * F.col("n")).alias("total"),
+    )
+    # meta and per_col are one row per column: a small join and a window over them.
+    out = meta.join(per_col, "pos", "left").withColumn(
+        "rows", F.max(F.when(F.col("pos") == -1, F.col("non_nulls"))).over(Window.partitionBy(F.lit(1)))
+    )
+    nn = F.coalesce(F.col("non_nulls"), F.lit(0)).cast("long")
+    numeric = F.col("kind").isin("number", "boolean") & (nn > 0)
+    nothing = F.lit(None).cast("double")
+    return out.where(F.col("pos") >= 0).select(
+        "pos", "column_name", "data_type", "kind",
+        F.coalesce(F.col("rows"), F.lit(0)).cast("long").alias("rows"),
+        (F.coalesce(F.col("rows"), F.lit(0)) - nn).cast("long").alias("nulls"),
+        nn.alias("non_nulls"),
+        F.coalesce(F.col("distinct"), F.lit(0)).cast("long").alias("distinct"),
+        F.when(numeric, F.col("min")).otherwise(nothing).alias("min"),
+        F.when(numeric, F.col("max")).otherwise(nothing).alias("max"),
+        F.when(numeric, F.col("total") / nn).otherwise(nothing).alias("mean"),
+        F.when(numeric, F.col("total")).otherwise(nothing).alias("total"),
+    )
+
+
+def _profile_approx(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """B1 with ``approx_count_distinct``: a single aggregate over all columns."""
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(fields):
-        kind = column_kind(f.dataType)
-        aggs.append(F.count(qcol(f.name)).alias(f"nn{i}"))
-        if is_numeric_kind(kind):
-            x = _as_double(f)
-            aggs += [
-                F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"), F.avg(x).alias(f"av{i}"), F.sum(x).alias(f"sm{i}"),
-            ]
-        if approx:
-            aggs.append(F.approx_count_distinct(_as_text(f)).alias(f"ds{i}"))
+        lv, dv, sv = _typed_slots(f)
+        aggs.append(F.count(F.coalesce(lv.cast("string"), dv.cast("string"), sv)).alias(f"nn{i}"))
+        if is_numeric_kind(column_kind(f.dataType)):
+            x = F.coalesce(dv, lv.cast("double"))
+            aggs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"), F.avg(x).alias(f"av{i}"),
+                     F.sum(x).alias(f"sm{i}")]
+        aggs.append(F.approx_count_distinct(_as_text(f)).alias(f"ds{i}"))
     stats = df.agg(*aggs)
 
     def one(i: int, f: T.StructField) -> Column:
@@ -134,29 +176,17 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool =
         num = is_numeric_kind(kind)
         nothing = F.lit(None).cast("double")
         return F.struct(
-            F.lit(i).alias("pos"),
-            F.lit(f.name).alias("column_name"),
-            F.lit(f.dataType.simpleString()).alias("data_type"),
-            F.lit(kind).alias("kind"),
+            F.lit(i).alias("pos"), F.lit(f.name).alias("column_name"),
+            F.lit(f.dataType.simpleString()).alias("data_type"), F.lit(kind).alias("kind"),
             F.col(f"nn{i}").alias("non_nulls"),
             (F.col(f"mn{i}") if num else nothing).alias("min"),
             (F.col(f"mx{i}") if num else nothing).alias("max"),
             (F.col(f"av{i}") if num else nothing).alias("mean"),
             (F.col(f"sm{i}") if num else nothing).alias("total"),
-            (F.col(f"ds{i}").cast("long") if approx else F.lit(None).cast("long")).alias("distinct"),
+            F.col(f"ds{i}").cast("long").alias("distinct"),
         )
 
-    if not fields:
-        schema = "pos int, column_name string, data_type string, kind string, rows long, nulls long, non_nulls long, distinct long, min double, max double, mean double, total double"
-        return spark.createDataFrame([], schema)
     long = stats.select("rows", F.inline(F.array(*[one(i, f) for i, f in enumerate(fields)])))
-    if not approx:
-        distinct = distinct_counts(df, fields)
-        long = (
-            long.join(distinct, "pos", "left")
-            .withColumn("distinct", F.coalesce(F.col("distinct_exact"), F.lit(0)).cast("long"))
-            .drop("distinct_exact")
-        )
     return long.select(
         "pos", "column_name", "data_type", "kind", "rows",
         (F.col("rows") - F.col("non_nulls")).alias("nulls"), "non_nulls", "distinct", "min", "max", "mean", "total",
