@@ -131,3 +131,16 @@ def test_embed_with_model_slot(spark):
     v = vx.embed_with(d, "text", toy)
     assert v.schema["embedding"].dataType.simpleString() == "array<float>"
     assert v.where("size(embedding) = 2").count() == d.count()
+
+
+def test_samples_head_growth_matches_full_ranking(spark):
+    from tally.operators.profile import _samples_window, data_columns, samples
+
+    o = orders_with_nulls(spark, SF_SMALL).withColumn(
+        "sparse", F.when(F.col("o_orderkey") % 97 == 0, F.col("o_orderkey"))
+    )
+    fields = data_columns(o)
+    full = sorted(tuple(r) for r in _samples_window(o, fields, ["o_orderkey"], 6).collect())
+    for head in (2, 64, 100000):
+        got = sorted(tuple(r) for r in samples(o, ["o_orderkey"], 6, head_rows=head, max_head_rows=4096).collect())
+        assert got == full, head
