@@ -49,6 +49,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("TALLY_DRIVER_MEMORY", "16g"))
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tally-warehouse-"))
     )
     for key, value in SESSION_DEFAULTS.items():
         builder = builder.config(key, value)
