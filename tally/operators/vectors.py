@@ -85,6 +85,17 @@ def centroids(df: DataFrame, group_col: str, vec_col: str = "embedding") -> Data
     )
 
 
+def _ship(spark, value):
+    """Send a bounded value to the tasks once: a broadcast variable, or (without
+    an RDD context, e.g. Spark Connect) the function closure, which Spark
+    also broadcasts when it is large."""
+    try:
+        bc = spark.sparkContext.broadcast(value)
+        return lambda: bc.value
+    except Exception:
+        return lambda: value
+
+
 def _local_topk(scores: np.ndarray, ids: np.ndarray, parts: np.ndarray | None, k: int):
     """Top-k rows per query column (and per part) by (score desc, id asc); NaN last."""
     n, q = scores.shape
@@ -156,10 +167,10 @@ def cosine_top_k(
         qnorm = np.linalg.norm(qmat, axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             qunit = qmat / qnorm[:, None]
-        bc = spark.sparkContext.broadcast((qids, qunit))
+        block_data = _ship(spark, (qids, qunit))
 
-        def score(it, _bc=bc, _k=k):
-            q_ids, q_unit = _bc.value
+        def score(it, _get=block_data, _k=k):
+            q_ids, q_unit = _get()
             for pdf in it:
                 if pdf.empty:
                     continue

@@ -67,7 +67,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     with nothing set (tests, the bench) gets a fresh local folder, so
     nothing ever writes to a machine-local path on a cluster.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's spark.checkpoint.dir is used by checkpoint()
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -93,7 +96,11 @@ def spread(df, min_partitions: int | None = None):
     work (whole-text regular expressions, melts) would otherwise run in one
     task.
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (Spark Connect): leave the plan as it is
+        return df
+    if have >= want:
         return df
     return df.repartition(want)

@@ -128,3 +128,15 @@ def test_capped_run_rejects_commands_and_paths(spark):
     assert quoted.error is None and quoted.rows == [{"k": 1}]
     rec = adhoc.answer_record(ok, "ventas.csv")
     assert rec["artifacts"][0]["type"] == "table" and len(rec["artifacts"][0]["rows"]) == 20
+
+
+def test_answer_flow(spark):
+    sql = "select 'a' AS k, 2.5 AS v union all select 'b', 1.5"
+    direct = adhoc.answer_question(spark, "¿Cuál es el total por categoría?", sql, "ventas.csv", title="Total por categoría")
+    assert direct["response_text"] == "Aquí tienes total por categoría." and len(direct["artifacts"]) == 2
+    not_routed = adhoc.answer_question(spark, "Hola", sql, "ventas.csv")
+    assert not_routed["response_text"].startswith("No pude estructurar") and not_routed["artifacts"] == []
+    failing = adhoc.answer_question(spark, "ventas totales", "select nope", "ventas.csv")
+    assert failing["type"] == "answer" and failing["artifacts"] == []
+    assert adhoc.answer_question(spark, "x", None, "v.csv", datasets_ready=False)["type"] == "status"
+    assert adhoc.is_sql_question("Ingresos por AÑO") and not adhoc.is_sql_question("hola")
