@@ -193,3 +193,35 @@ check(
     + " UNION ALL ".join(f"SELECT count(*) AS n FROM {t}" for t in FIXTURE_TABLES)
     + ") c) s",
 )(a14_row_total_text)
+
+
+ORDERS_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+def a03_cells_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 (Spark part): orders as a long cells table (header row + one cell per
+    value, as the workbook decoder emits), lifted back to a typed table."""
+    from ..sources.workbook import lift_cells
+
+    o = Tables(spark, sf_dir).orders
+    items = F.array(*[
+        F.struct(F.lit(i + 1).alias("col"), F.col(c).cast("string").alias("value"),
+                 F.lit("number" if c in ("o_orderkey", "o_custkey", "o_totalprice") else "string").alias("kind"))
+        for i, c in enumerate(ORDERS_COLUMNS)
+    ])
+    body = o.select((F.col("o_orderkey") + 2).cast("int").alias("row"), F.inline(items))
+    header = spark.createDataFrame(
+        [(1, i + 1, c, "string") for i, c in enumerate(ORDERS_COLUMNS)], "row int, col int, value string, kind string"
+    )
+    typed, _, _ = lift_cells(header.unionByName(body))
+    return typed
+
+
+check(
+    "a03_cells_lift",
+    oracle="""
+    SELECT o_orderkey + 1 AS _rid, o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+           strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority
+    FROM orders
+    """,
+)(a03_cells_lift)

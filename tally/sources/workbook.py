@@ -142,6 +142,45 @@ def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(decode, CELLS_SCHEMA)
 
 
+def lift_cells(cells: DataFrame, header_row: int = 1):
+    """A3 (Spark part): a long cells table ``(row, col, value, kind)`` of one
+    sheet to a typed table.
+
+    Row ``header_row`` gives the headers (blank -> ``col_<i>``, slugged and
+    made unique; originals kept); later rows are pivoted to columns with the
+    column list known up front (one shuffle on ``row``; a row holds at most
+    the sheet width), ``_rid`` is the sheet row minus the header, all-empty
+    rows go, columns whose every cell is a date become TIMESTAMP_NTZ and the
+    rest are typed all-or-nothing (A9).  Returns ``(df, originals, verdicts)``;
+    ``df`` is None for an empty sheet.
+    """
+    header = {r["col"]: r["value"] for r in cells.where(F.col("row") == header_row).select("col", "value").collect()}
+    width = max([0] + list(header.keys()) + [r[0] or 0 for r in cells.agg(F.max("col")).collect()])
+    if width == 0:
+        return None, [], {}
+    raw_headers = [header.get(i) for i in range(1, width + 1)]
+    slugs = ig.unique_name_list(raw_headers)
+    originals = [
+        str(h).strip() if h is not None and str(h).strip() != "" else slugs[i] for i, h in enumerate(raw_headers)
+    ]
+    body = cells.where(F.col("row") > header_row)
+    wide = body.groupBy("row").pivot("col", list(range(1, width + 1))).agg(
+        F.first("value").alias("v"), F.max(F.col("kind") == "date").alias("d"), F.max(F.col("kind") != "date").alias("nd")
+    )
+    stats = wide.agg(*[F.max(F.col(f"{i}_nd")).alias(f"nd{i}") for i in range(1, width + 1)],
+                     *[F.max(F.col(f"{i}_d")).alias(f"d{i}") for i in range(1, width + 1)]).first()
+    date_cols = {i for i in range(1, width + 1) if stats[f"d{i}"] and not stats[f"nd{i}"]}
+    cols = []
+    for i, name in enumerate(slugs, start=1):
+        v = F.col(f"{i}_v")
+        cols.append((v.try_cast("timestamp_ntz") if i in date_cols else v).alias(name))
+    df = wide.select((F.col("row") - header_row).cast("bigint").alias(ROW_ID), *cols)
+    df = ig.drop_empty_rows(df)
+    text_cols = [name for i, name in enumerate(slugs, start=1) if i not in date_cols]
+    typed, verdicts = ig.coerce(df, text_cols)
+    return typed, originals, verdicts
+
+
 def read_workbook_sections(spark: SparkSession, path: str):
     """A3: every sheet of the workbook(s) as a section (hidden = state not visible)."""
     from .files import Section
@@ -155,34 +194,11 @@ def read_workbook_sections(spark: SparkSession, path: str):
         mine = cells.where(
             (F.col("path") == sh["path"]) & (F.col("sheet_index") == sh["sheet_index"]) & (F.col("kind") != "sheet")
         )
-        header = {r["col"]: r["value"] for r in mine.where(F.col("row") == 1).select("col", "value").collect()}
-        width = max([0] + list(header.keys()) + [
-            r[0] or 0 for r in mine.agg(F.max("col")).collect()
-        ])
         hidden = sh["state"] != "visible"
-        if width == 0:
+        typed, originals, verdicts = lift_cells(mine)
+        if typed is None:
             empty = spark.createDataFrame([], f"{ROW_ID} bigint")
             sections.append(Section(sh["sheet"], empty, [], hidden, "excel"))
             continue
-        raw_headers = [header.get(i) for i in range(1, width + 1)]
-        slugs = ig.unique_name_list(raw_headers)
-        originals = [
-            str(h).strip() if h is not None and str(h).strip() != "" else slugs[i] for i, h in enumerate(raw_headers)
-        ]
-        body = mine.where(F.col("row") > 1)
-        wide = body.groupBy("row").pivot("col", list(range(1, width + 1))).agg(
-            F.first("value").alias("v"), F.max(F.col("kind") == "date").alias("d"), F.max(F.col("kind") != "date").alias("nd")
-        )
-        stats = wide.agg(*[F.max(F.col(f"{i}_nd")).alias(f"nd{i}") for i in range(1, width + 1)],
-                         *[F.max(F.col(f"{i}_d")).alias(f"d{i}") for i in range(1, width + 1)]).first()
-        date_cols = {i for i in range(1, width + 1) if stats[f"d{i}"] and not stats[f"nd{i}"]}
-        cols = []
-        for i, s in enumerate(slugs, start=1):
-            v = F.col(f"{i}_v")
-            cols.append((v.try_cast("timestamp_ntz") if i in date_cols else v).alias(s))
-        df = wide.select((F.col("row") - 1).cast("bigint").alias(ROW_ID), *cols)
-        df = ig.drop_empty_rows(df)
-        text_cols = [s for i, s in enumerate(slugs, start=1) if i not in date_cols]
-        typed, verdicts = ig.coerce(df, text_cols)
         sections.append(Section(sh["sheet"], typed, originals, hidden, "excel", verdicts))
     return sections
