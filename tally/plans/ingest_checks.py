@@ -225,3 +225,45 @@ check(
     FROM orders
     """,
 )(a03_cells_lift)
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder under the session's checkpoint dir (shared on a cluster)."""
+    from ..session import ensure_checkpoint_dir
+
+    return ensure_checkpoint_dir(spark).rstrip("/") + "/tally-scratch/" + name
+
+
+def a01_csv_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 + A2 + A8 + A9 over a delimited export of orders (written by Spark,
+    ``;``-separated, with ``NA`` and blank cells): sniff, read as text, null
+    tokens, drop empty rows, type all-or-nothing."""
+    import os
+
+    from ..sources.files import read_csv_section
+
+    o = Tables(spark, sf_dir).orders
+    export = o.select(
+        F.col("o_orderkey").cast("string").alias("o_orderkey"),
+        F.col("o_custkey").cast("string").alias("o_custkey"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("")).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
+        F.col("o_totalprice").cast("string").alias("o_totalprice"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("NA")).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
+    )
+    path = _scratch(spark, "orders-csv-" + os.path.basename(sf_dir.rstrip("/")))
+    (export.write.mode("overwrite").option("header", True).option("sep", ";")
+     .option("emptyValue", "").option("quoteAll", False).csv(path))
+    section = read_csv_section(spark, path, name="orders")
+    return section.df.drop("_rid")
+
+
+check(
+    "a01_csv_read",
+    oracle="""
+    SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS o_orderstatus,
+           o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate,
+           CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE o_orderpriority END AS o_orderpriority
+    FROM orders
+    """,
+)(a01_csv_read)
