@@ -267,3 +267,30 @@ check(
     FROM orders
     """,
 )(a01_csv_read)
+
+
+def a12_landing_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture folder as a landing folder, ingested by the file stream
+    (``availableNow``).  Each file is processed once: a second call finds no
+    new file and returns the same status table."""
+    import os
+
+    from ..streaming.landing import ingest_landing, landing_status
+
+    tag = os.path.basename(sf_dir.rstrip("/"))
+    out = _scratch(spark, "landing-out-" + tag)
+    ingest_landing(spark, sf_dir, out, checkpoint=_scratch(spark, "landing-ckpt-" + tag), pattern="*.parquet")
+    st = landing_status(spark, out)
+    return st.select(
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "dataset_id", "status",
+        F.col("rows").cast("bigint").alias("rows"),
+    )
+
+
+check(
+    "a12_landing_ingest",
+    oracle="\nUNION ALL\n".join(
+        f"SELECT '{t}.parquet' AS file, '{t}' AS dataset_id, 'ready' AS status, count(*) AS rows FROM {t}"
+        for t in FIXTURE_TABLES
+    ),
+)(a12_landing_ingest)

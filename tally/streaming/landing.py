@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import traceback
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,7 @@ def ingest_landing(
     checkpoint: str | None = None,
     pattern: str = "*.csv",
     max_files_per_trigger: int = 64,
+    parallel_files: int = 4,
 ) -> DataFrame:
     """Process every file of ``landing_dir`` not seen before; returns the status table.
 
@@ -81,15 +83,21 @@ def ingest_landing(
     def process(batch: DataFrame, epoch_id: int) -> None:
         # One row per new file, at most max_files_per_trigger rows.
         paths = [r["path"] for r in batch.select("path").orderBy("path").collect()]
-        rows, bad = [], []
-        for p in paths:
+
+        def one(p):
             try:
                 ds, n_sections, n_rows = _ingest_file(spark, p, out_dir)
-                rows.append((p, ds, "ready", n_sections, n_rows, None, epoch_id))
+                return (p, ds, "ready", n_sections, n_rows, None, epoch_id), None
             except Exception as exc:  # the file is quarantined, the batch goes on
                 msg = f"{type(exc).__name__}: {exc}".splitlines()[0]
-                rows.append((p, None, "error", 0, 0, msg, epoch_id))
-                bad.append((p, None, "error", 0, 0, traceback.format_exc(limit=2)[-2000:], epoch_id))
+                return ((p, None, "error", 0, 0, msg, epoch_id),
+                        (p, None, "error", 0, 0, traceback.format_exc(limit=2)[-2000:], epoch_id))
+
+        # Files are independent: their jobs are submitted from a few driver threads.
+        with ThreadPoolExecutor(max_workers=parallel_files) as pool:
+            results = list(pool.map(one, paths))
+        rows = [r for r, _ in results]
+        bad = [b for _, b in results if b is not None]
         if rows:
             spark.createDataFrame(rows, STATUS_SCHEMA).write.mode("append").parquet(status_path)
         if bad:
