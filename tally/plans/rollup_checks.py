@@ -181,3 +181,37 @@ check(
           FROM orders GROUP BY o_custkey) s
     """,
 )(f09_session_order)
+
+
+def g01_answers_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1-G5 over answer texts made from every conversation turn: the turn's
+    text as ``response_text`` inside JSON wrapped in prose, with a table
+    artifact (kept) and a pie chart (dropped)."""
+    from ..operators.answers import clean_answers
+
+    c = Tables(spark, sf_dir).conversations
+    artifact = "struct<type:string,rows:array<string>,chart:struct<kind:string>>"
+    arts = F.array(
+        F.struct(F.lit("table").alias("type"), F.array(F.to_json(F.struct("conv_id", "turn"))).alias("rows"),
+                 F.lit(None).cast("struct<kind:string>").alias("chart")),
+        F.struct(F.lit("chart").alias("type"), F.lit(None).cast("array<string>").alias("rows"),
+                 F.struct(F.lit("pie").alias("kind")).alias("chart")),
+    ).cast(f"array<{artifact}>")
+    answer = F.concat(F.lit("Respuesta: "), F.to_json(F.struct(F.col("text").alias("response_text"), arts.alias("artifacts"))),
+                      F.lit(" fin"))
+    cleaned = clean_answers(c.select("conv_id", "turn", answer.alias("answer")), "answer")
+    return cleaned.select(
+        "conv_id", "turn", "parse_error", F.md5("response_text").alias("text_md5"),
+        F.size("artifacts").cast("bigint").alias("n_artifacts"), F.col("artifacts")[0]["type"].alias("first_type"),
+    )
+
+
+check(
+    "g01_answers_from_conversations",
+    oracle="""
+    SELECT conv_id, turn, false AS parse_error,
+           md5(CASE WHEN text IS NULL OR trim(text) = '' THEN 'Respuesta no disponible.' ELSE text END) AS text_md5,
+           CAST(1 AS BIGINT) AS n_artifacts, 'table' AS first_type
+    FROM conversations
+    """,
+)(g01_answers_from_conversations)
