@@ -20,7 +20,6 @@ from ..functions._util import qcol
 from ..functions.numbers import kpi_text
 from ..functions.text import label
 from .profile import semantic_type
-from .small import materialize_small
 
 # Overview sizes and texts.
 MAX_SECTIONS = 4

@@ -57,13 +57,6 @@ def _as_text(field: T.StructField) -> Column:
     return c.cast("string")
 
 
-def _as_double(field: T.StructField) -> Column:
-    c = qcol(field.name)
-    if isinstance(field.dataType, T.BooleanType):
-        return c.cast("int").cast("double")
-    return c.cast("double")
-
-
 def melt_text(df: DataFrame, fields: Sequence[T.StructField], keep: Sequence[str] = ()) -> DataFrame:
     """Long form ``(pos, value)`` of the given columns, values as text, nulls dropped."""
     items = F.array(*[F.struct(F.lit(i).alias("pos"), _as_text(f).alias("value")) for i, f in enumerate(fields)])
