@@ -96,6 +96,13 @@ _nfkd_udf = None
 def normalize_text_exact(c) -> Column:
     """E5 with full NFKD (ligatures, fractions), as an Arrow-batched pandas UDF (slow path)."""
     global _nfkd_udf
+    from pyspark.sql import SparkSession
+
+    from ..session import ship_package
+
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)
     if _nfkd_udf is None:
         _nfkd_udf = F.pandas_udf(_nfkd_fold, "string")
     return _nfkd_udf(col(c))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir, shuffle_partitions
+from ..session import ensure_checkpoint_dir, ship_package, shuffle_partitions
 
 _PID = "__tally_pid"
 _PROBE = "__tally_probe"
@@ -120,6 +120,7 @@ def asof_previous(
     columns of the predecessor returned (default: all but ``by``).
     """
     spark = df.sparkSession
+    ship_package(spark)
     n = num_partitions or shuffle_partitions(spark)
     keys = [by, order] + ([tiebreak] if tiebreak else [])
     carry = list(carry) if carry else [c for c in df.columns if c != by]

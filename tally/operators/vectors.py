@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import ship_package
+
 # Retrieval sizes and the default vector width.
 DEFAULT_TOP_K = 8
 CALLER_TOP_K = 4
@@ -140,6 +142,7 @@ def cosine_top_k(
     most ``max_queries_per_block`` vectors (its size is checked, not assumed).
     """
     spark = vectors.sparkSession
+    ship_package(spark)
     n_queries = queries.count()
     id_type = vectors.schema[id_col].dataType
     qid_type = queries.schema[query_id_col].dataType

@@ -104,3 +104,36 @@ def spread(df, min_partitions: int | None = None):
     if have >= want:
         return df
     return df.repartition(want)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tally`` importable by the Python workers (once per application).
+
+    Operators that run Python on executors (``mapInPandas``, pandas UDFs)
+    pickle functions by reference to this package; when the package is not
+    installed on the executors (``--py-files`` not given), it is zipped and
+    added with ``addPyFile``, the same thing ``--py-files`` does.
+    """
+    import zipfile
+
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: ship with spark.addArtifacts instead
+        return
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    target = os.path.join(tempfile.mkdtemp(prefix="tally-pyfiles-"), "tally.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(target)
+    _SHIPPED.add(key)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest as ig
+from ..session import ship_package
 from ..operators.profile import ROW_ID
 
 _NS = {
@@ -138,6 +139,7 @@ def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
                 rows.extend(decode_workbook(p, bytes(content)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CELLS_SCHEMA.split(", ")])
 
+    ship_package(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
     return files.mapInPandas(decode, CELLS_SCHEMA)
 
