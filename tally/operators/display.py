@@ -14,14 +14,21 @@ from .rowindex import row_index
 DISPLAY_ROWS = 50
 
 
-def typed_sort(df: DataFrame, column: str, tiebreak: str, descending: bool = False, name: str = "position") -> DataFrame:
+def typed_sort(df: DataFrame, column: str, tiebreak: str, descending: bool = False, name: str = "position",
+               reverse_whole: bool = False) -> DataFrame:
     """H2: order rows by the typed value of ``column``; empties last in both directions.
 
     A total order (kind, then value, then ``tiebreak``), where the browser's
     comparator is not one: mixed kinds there compare as text and a
-    descending sort reverses the ascending one (empties first).  The
-    position is a global index from the skew-safe ``row_index``.
+    descending sort reverses the ascending one (empties first).  With
+    ``reverse_whole=True`` a descending sort is the exact reverse of the
+    ascending one, empties first, as in the browser.  The position is a
+    global index from the skew-safe ``row_index``.
     """
+    if descending and reverse_whole:
+        asc = typed_sort(df, column, tiebreak, False, name)
+        n = df.count()
+        return asc.withColumn(name, F.lit(n + 1) - F.col(name))
     tv = typed_value(F.col(column), df.schema[column].dataType)
     keyed = df.withColumn("__tv", tv).withColumn("__kr", kind_rank(F.col("__tv.kind")))
     empty_last = (F.col("__tv.kind") == "empty").cast("int")

@@ -56,11 +56,20 @@ def metric_columns(prof: DataFrame) -> DataFrame:
     )
 
 
-def dimension_columns(prof: DataFrame) -> DataFrame:
-    """Non-numeric columns with more than one distinct value; first 3 kept, first 2 ranked."""
+def dimension_columns(prof: DataFrame, max_distinct_share: float | None = None) -> DataFrame:
+    """Non-numeric columns with more than one distinct value; first 3 kept, first 2 ranked.
+
+    ``max_distinct_share`` (off by default, as in the reference) also bars
+    columns whose distinct count is above that share of their values, such
+    as free text or identifiers stored as text, which make useless rankings
+    on large tables.
+    """
     w = Window.orderBy("pos")
+    cond = ~F.col("kind").isin("number", "boolean") & (F.col("non_nulls") > 0) & (F.col("distinct") > 1)
+    if max_distinct_share is not None:
+        cond = cond & (F.col("distinct") <= F.col("non_nulls") * F.lit(float(max_distinct_share)))
     return (
-        prof.where(~F.col("kind").isin("number", "boolean") & (F.col("non_nulls") > 0) & (F.col("distinct") > 1))
+        prof.where(cond)
         .select("pos", "column_name", label(F.col("column_name")).alias("label"), "distinct")
         .withColumn("dimension_rank", F.row_number().over(w))
         .withColumn("kept", F.col("dimension_rank") <= MAX_DIMENSIONS)

@@ -336,18 +336,28 @@ def catalog_lookup(cat: DataFrame, dataset_ids: Sequence[str] | None = None) ->
     return out.orderBy("dataset_id", "section", "pos")
 
 
-def schema_context(cat: DataFrame, n_samples: int = 4) -> DataFrame:
+def schema_context(cat: DataFrame, n_samples: int = 4, dataset_ids: Sequence[str] | None = None,
+                   max_datasets: int = 4) -> DataFrame:
     """One row per (dataset, table) with the ordered column list nested.
 
-    Groups hold one row per column of one table, so they are bounded by the
-    table width, not by the data.
+    With ``dataset_ids`` (newest first) only the first ``max_datasets`` are
+    kept and each gets its query alias ``ds0``, ``ds1``...  Groups hold one
+    row per column of one table, so they are bounded by the table width, not
+    by the data.
     """
     cols = F.struct(
         "pos", "column_name", "column_slug", "data_type", "semantic_type",
         F.slice("sample_values", 1, n_samples).alias("sample_values"), "metrics",
     )
-    return cat.groupBy("dataset_id", "section", "table_name").agg(
-        F.transform(F.array_sort(F.collect_list(cols)), lambda c: c.dropFields("pos")).alias("columns")
+    src = cat
+    alias = F.lit(None).cast("string")
+    if dataset_ids is not None:
+        chosen = list(dataset_ids)[:max_datasets]
+        src = cat.where(F.col("dataset_id").isin(chosen))
+        alias = F.concat(F.lit("ds"), (F.array_position(F.array(*[F.lit(d) for d in chosen]), F.col("dataset_id")) - 1).cast("string"))
+    return src.groupBy("dataset_id", "section", "table_name").agg(
+        F.first(alias).alias("db_alias"),
+        F.transform(F.array_sort(F.collect_list(cols)), lambda c: c.dropFields("pos")).alias("columns"),
     )
 
 

@@ -144,3 +144,26 @@ def test_samples_head_growth_matches_full_ranking(spark):
     for head in (2, 64, 100000):
         got = sorted(tuple(r) for r in samples(o, ["o_orderkey"], 6, head_rows=head, max_head_rows=4096).collect())
         assert got == full, head
+
+
+def test_typed_sort_directions_and_schema_aliases(spark):
+    from tally.operators.display import typed_sort
+    from tally.operators.overview import dimension_columns
+    from tally.operators.profile import catalog, schema_context
+
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(["b", "", "1,000", "2", None, "a"])], "id int, v string")
+    asc = [r["id"] for r in typed_sort(df, "v", "id").orderBy("position").collect()]
+    assert asc == [3, 2, 5, 0, 1, 4]  # numbers, text, empties (tie by id)
+    desc = [r["id"] for r in typed_sort(df, "v", "id", descending=True).orderBy("position").collect()]
+    assert desc[:4] == [0, 5, 2, 3] and set(desc[4:]) == {1, 4}  # reversed, empties still last
+    browser = [r["id"] for r in typed_sort(df, "v", "id", descending=True, reverse_whole=True).orderBy("position").collect()]
+    assert browser == list(reversed(asc))
+
+    o = Tables(spark, SF_SMALL).orders
+    cat = catalog(o, "orders", order_by=["o_orderkey"], dataset_id="a").unionByName(
+        catalog(Tables(spark, SF_SMALL).customer, "customer", order_by=["c_custkey"], dataset_id="b"))
+    ctx = {r["dataset_id"]: r["db_alias"] for r in schema_context(cat, dataset_ids=["b", "a"]).collect()}
+    assert ctx == {"b": "ds0", "a": "ds1"}
+    prof = profile(o)
+    assert "o_orderdate" in [r["column_name"] for r in dimension_columns(prof).collect()]
+    assert "o_orderdate" not in [r["column_name"] for r in dimension_columns(prof, max_distinct_share=0.1).collect()]
