@@ -8,10 +8,10 @@ by the key puts a hot key in one task.  This is a sorted scan instead:
    so a hot key is split over many partitions like any other key range; the
    result is checkpointed (``spark.checkpoint.dir``) so both passes read the
    same rows and a lost executor re-reads it instead of re-shuffling;
-2. pass 1 (``mapInPandas``) emits one summary row per partition (its last
-   row and the predecessor of its last tie block).  Summaries are bounded by
-   the number of partitions; the driver folds them into the start state of
-   every partition;
+2. pass 1 (two JVM aggregations over the checkpoint) gives one summary row
+   per partition (its last row and the predecessor of its last tie block).
+   Summaries are bounded by the number of partitions; the driver folds them
+   into the start state of every partition;
 3. pass 2 (``mapInPandas``) scans each partition in order from that state
    and emits only the probe rows, with their predecessor.
 
@@ -135,38 +135,34 @@ def asof_previous(
     )
     fmap = {f.name: f for f in df.schema.fields}
 
-    # Pass 1: per-partition summary.
-    summ_fields = [T.StructField(_PID, T.IntegerType()), T.StructField("has_last", T.BooleanType()),
-                   T.StructField("has_pred", T.BooleanType()), T.StructField("from_start", T.BooleanType())]
-    summ_fields += [T.StructField(f"last_{c}", fmap[c].dataType) for c in payload]
-    summ_fields += [T.StructField(f"pred_{c}", fmap[c].dataType) for c in payload]
-
-    def summarize(it):
-        gen = _scan_batches(it, by, order, payload, lambda pid: (None, None))
-        pid = None
-        while True:
-            try:
-                pdf, _, _ = next(gen)
-                pid = int(pdf[_PID].iloc[0])
-            except StopIteration as stop:
-                last, pred, from_start, started = stop.value
-                break
-        if started:
-            row = {_PID: pid, "has_last": last is not None, "has_pred": pred is not None, "from_start": from_start}
-            row.update({f"last_{c}": (last or {}).get(c) for c in payload})
-            row.update({f"pred_{c}": (pred or {}).get(c) for c in payload})
-            yield pd.DataFrame([row], columns=[f.name for f in summ_fields])
-
-    summaries = sorted(
-        ranged.mapInPandas(summarize, T.StructType(summ_fields)).collect(), key=lambda r: r[_PID]
+    # Pass 1: per-partition summary, JVM-side over the checkpoint (one row per
+    # partition): its last row, whether that row's tie block spans the whole
+    # partition, and the last row before that block.
+    key = F.struct(F.col(by).alias("b"), F.col(order).alias("o"))
+    full = F.struct(*[F.col(k) for k in keys])
+    row = F.struct(*[F.col(c) for c in payload])
+    ends = ranged.groupBy(_PID).agg(
+        F.max_by(row, full).alias("last"), F.min(key).alias("first_key"), F.max(key).alias("last_key")
     )
+    befores = (
+        ranged.join(F.broadcast(ends.select(_PID, "last_key")), _PID)
+        .where(key < F.col("last_key"))
+        .groupBy(_PID)
+        .agg(F.max_by(row, full).alias("before"))
+    )
+    summaries = []
+    for r in sorted(ends.join(befores, _PID, "left").collect(), key=lambda r: r[_PID]):
+        last = r["last"].asDict()
+        before = r["before"].asDict() if r["before"] is not None else None
+        pred = before if before is not None and last[by] is not None and before[by] == last[by] else None
+        summaries.append({_PID: r[_PID], "last": last, "pred": pred, "from_start": r["first_key"] == r["last_key"]})
 
     # Fold on the driver: start state of each partition = state after all earlier ones.
     starts: dict[int, tuple] = {}
     state_last, state_pred = None, None
     for r in summaries:
         starts[r[_PID]] = (state_last, state_pred)
-        last = {c: r[f"last_{c}"] for c in payload}
+        last = r["last"]
         if r["from_start"]:
             # The partition's last block began at its first row: its predecessor
             # comes from the incoming state.
@@ -177,7 +173,7 @@ def asof_previous(
             else:
                 pred = None
         else:
-            pred = {c: r[f"pred_{c}"] for c in payload} if r["has_pred"] else None
+            pred = r["pred"]
         state_last, state_pred = last, pred
 
     prev_names = {c: f"prev_{c}" for c in payload}

@@ -167,3 +167,17 @@ def test_typed_sort_directions_and_schema_aliases(spark):
     prof = profile(o)
     assert "o_orderdate" in [r["column_name"] for r in dimension_columns(prof).collect()]
     assert "o_orderdate" not in [r["column_name"] for r in dimension_columns(prof, max_distinct_share=0.1).collect()]
+
+
+def test_asof_tie_blocks_spanning_partitions(spark):
+    rnd = random.Random(11)
+    base = datetime(2024, 1, 1)
+    rows = []
+    for i in range(1500):
+        uid = 0 if i % 2 else rnd.randint(1, 5)
+        ts = base + timedelta(hours=rnd.randint(0, 2))  # three timestamps: tie blocks cross partitions
+        rows.append((i, ts, uid, rnd.choice(["error", "view"])))
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    got = asof_previous(df, "user_id", "ts", "event_id", probe=F.col("event_type") == "error", num_partitions=13)
+    mine = {r["event_id"]: r["prev_event_id"] for r in got.collect() if r["prev_event_id"] is not None}
+    assert mine == _brute_asof(rows)
