@@ -7,12 +7,13 @@ per row with no shuffle, and IDF fitting is one tree aggregate of a
 model.
 
 D5/D6 score every stored vector against a small, size-checked set of query
-vectors.  The query matrix is shipped to the tasks once; each Arrow batch of
-stored vectors is scored with one matrix product, and only its local top-k
-per query (and per dataset) leaves the task.  A final
-``row_number() <= k`` (``WindowGroupLimit``) merges the candidates, which is
-exact because every global top-k row is a local top-k row of its batch.
-Query sets above the limit are scored in blocks of that size.
+vectors.  The query matrix is shipped to the tasks once; stored vectors are
+scored a sub-block at a time with one matrix product, and a row leaves the
+task only if it can still be in a query's top-k: its score is not below the
+k-th best already seen in that task (a threshold that only rises, ties
+kept).  A final ``row_number() <= k`` (``WindowGroupLimit``) merges the
+candidates, which is exact because no dropped row had k rows strictly
+above it.  Query sets above the limit are scored in blocks of that size.
 """
 
 from __future__ import annotations
@@ -98,29 +99,59 @@ def _ship(spark, value):
         return lambda: value
 
 
-def _local_topk(scores: np.ndarray, ids: np.ndarray, parts: np.ndarray | None, k: int):
-    """Top-k rows per query column (and per part) by (score desc, id asc); NaN last."""
-    n, q = scores.shape
-    out_q, out_i, out_s = [], [], []
-    order_keys = np.where(np.isnan(scores), np.inf, -scores)
-    for j in range(q):
-        if parts is None:
-            idx = np.lexsort((ids, order_keys[:, j]))[:k]
-            out_q.append(np.full(len(idx), j))
-            out_i.append(idx)
-        else:
-            idx = np.lexsort((ids, order_keys[:, j], parts))
-            p_sorted = parts[idx]
-            first = np.r_[True, p_sorted[1:] != p_sorted[:-1]]
-            grp_start = np.maximum.accumulate(np.where(first, np.arange(len(idx)), 0))
-            keep = (np.arange(len(idx)) - grp_start) < k
-            idx = idx[keep]
-            out_q.append(np.full(len(idx), j))
-            out_i.append(idx)
-        out_s.append(scores[idx, j])
-    if not out_q:
-        return np.array([], dtype=int), np.array([], dtype=int), np.array([])
-    return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
+# Score-matrix cells per sub-block (rows x queries), about 32 MB of doubles.
+SCORE_CELLS = 4_000_000
+
+
+def _candidates(scores: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) pairs that can still be in a query's top-k.
+
+    Tie-inclusive: a row is dropped only when at least k rows already score
+    strictly higher (its score is below the k-th largest of this block, or
+    below ``floor``, the best k-th largest seen in earlier blocks).  NaN
+    (zero vector) counts as lowest.  ``floor`` is raised in place.
+    """
+    filled = np.where(np.isnan(scores), -np.inf, scores)
+    m = filled.shape[0]
+    if m >= k:
+        kth = np.partition(filled, m - k, axis=0)[m - k]
+        np.maximum(floor, kth, out=floor)
+    rows, cols = np.nonzero(filled >= floor[None, :])
+    return rows, cols
+
+
+def _score_task(it, get_block, k, id_col, vec_col, partition_col):
+    """Score one task's vectors against the query block; emit candidates only."""
+    q_ids, q_unit = get_block()
+    q = q_unit.shape[0]
+    step = max(1, SCORE_CELLS // max(q, 1))
+    floors: dict = {}
+    for pdf in it:
+        if pdf.empty:
+            continue
+        mat = np.stack(pdf[vec_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
+        norms = np.linalg.norm(mat, axis=1)
+        ids = pdf[id_col].to_numpy()
+        parts = pdf[partition_col].to_numpy() if partition_col else None
+        for lo in range(0, len(pdf), step):
+            hi = min(lo + step, len(pdf))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = (mat[lo:hi] @ q_unit.T) / norms[lo:hi, None]
+            groups = [(None, np.arange(hi - lo))] if parts is None else [
+                (g, np.flatnonzero(parts[lo:hi] == g)) for g in pd.unique(parts[lo:hi])
+            ]
+            for g, sel in groups:
+                floor = floors.setdefault(g, np.full(q, -np.inf))
+                r, c = _candidates(s[sel], k, floor)
+                rows = sel[r] + lo
+                out = {"query_id": [q_ids[j] for j in c]}
+                if partition_col:
+                    out[partition_col] = parts[rows]
+                out[id_col] = ids[rows]
+                sc = s[sel[r], c]
+                frame = pd.DataFrame(out)
+                frame["score"] = pd.Series(sc).astype(object).where(~np.isnan(sc), None)
+                yield frame
 
 
 def cosine_top_k(
@@ -173,25 +204,7 @@ def cosine_top_k(
         block_data = _ship(spark, (qids, qunit))
 
         def score(it, _get=block_data, _k=k):
-            q_ids, q_unit = _get()
-            for pdf in it:
-                if pdf.empty:
-                    continue
-                mat = np.stack(pdf[vec_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-                norms = np.linalg.norm(mat, axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    s = (mat @ q_unit.T) / norms[:, None]
-                ids = pdf[id_col].to_numpy()
-                parts = pdf[partition_col].to_numpy() if partition_col else None
-                qj, ri, sc = _local_topk(s, ids, parts, _k)
-                out = {"query_id": [q_ids[j] for j in qj]}
-                if partition_col:
-                    out[partition_col] = parts[ri]
-                out[id_col] = ids[ri]
-                out["score"] = np.where(np.isnan(sc), np.nan, sc)
-                frame = pd.DataFrame(out)
-                frame["score"] = frame["score"].astype(object).where(~frame["score"].isna(), None)
-                yield frame
+            return _score_task(it, _get, _k, id_col, vec_col, partition_col)
 
         results.append(base.mapInPandas(score, cand_schema))
     cands = results[0]
