@@ -61,7 +61,40 @@ def d02_dataset_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-check("d02_dataset_chunks")(d02_dataset_chunks)
+CUSTOMER_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+def _duck_row_chunks(table: str, cols: list[str], key: str) -> str:
+    """DuckDB twin of the row chunks of one section (content per chunk of 100 rows)."""
+    line = " || ',' || ".join(_duck_csv_field(c) for c in cols)
+    return f"""
+    SELECT 'row_chunk' AS chunk_type, '{table}' AS section,
+           'Sección: {table}' || chr(10) || 'Tabla DuckDB: sheet_{table}' || chr(10) || 'Filas aproximadas: '
+           || min(rn) || ' a ' || max(rn) || chr(10) || chr(10) || '{",".join(cols)}' || chr(10)
+           || string_agg(line, chr(10) ORDER BY rn) || chr(10) AS content
+    FROM (SELECT row_number() OVER (ORDER BY {key}) AS rn, {line} AS line FROM {table}) l
+    GROUP BY (rn - 1) // 100"""
+
+
+def _catalog_chunk_sql(table: str, cols: list[str]) -> str:
+    listed = "[" + ", ".join("''" + c + "''" for c in cols) + "]"
+    return (f"SELECT 'sheet_catalog' AS chunk_type, '{table}' AS section, "
+            f"'Sección: {table}' || chr(10) || 'Tabla DuckDB: sheet_{table}' || chr(10) || 'Columnas: {listed}' AS content")
+
+
+check(
+    "d02_dataset_chunks",
+    oracle=f"""
+    WITH c AS (
+      SELECT 'workbook_summary' AS chunk_type, CAST(NULL AS VARCHAR) AS section, '' AS content
+      UNION ALL {_catalog_chunk_sql("orders", ORDERS_COLS)}
+      UNION ALL {_catalog_chunk_sql("customer", CUSTOMER_COLS)}
+      UNION ALL {_duck_row_chunks("orders", ORDERS_COLS, "o_orderkey")}
+      UNION ALL {_duck_row_chunks("customer", CUSTOMER_COLS, "c_custkey")})
+    SELECT chunk_type, section, count(*) AS n_chunks, CAST(sum(length(content)) AS BIGINT) AS chars
+    FROM c GROUP BY chunk_type, section
+    """,
+)(d02_dataset_chunks)
 
 
 def d03_truncate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
