@@ -54,25 +54,26 @@ def a06_unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ig.unique_names(_headers(spark, sf_dir), fix_collisions=False).select("file", "pos", "name")
 
 
-check(
-    "a06_unique_names",
-    oracle=f"""
+_A06_ORACLE = f"""
     WITH b AS (SELECT p_brand AS file, p_partkey AS pos,
                       CASE WHEN p_type IS NULL OR trim(p_type) = '' THEN 'col_' || CAST(p_partkey AS VARCHAR)
                            ELSE {_duck_slug('trim(p_type)', "'col_' || CAST(p_partkey AS VARCHAR)")} END AS base
                FROM part),
     n AS (SELECT file, pos, base, row_number() OVER (PARTITION BY file, base ORDER BY pos) AS k FROM b)
     SELECT file, pos, CASE WHEN k = 1 THEN base ELSE base || '_' || CAST(k AS VARCHAR) END AS name FROM n
-    """,
-)(a06_unique_names)
+    """
+
+check("a06_unique_names", oracle=_A06_ORACLE)(a06_unique_names)
 
 
 def a06_unique_names_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A6 with the collision fix: names are unique per file (property checked in tests)."""
+    """A6 with the collision fix.  Part types hold no digits, so the first pass
+    leaves no collision here and the result equals the reference rule; the
+    fix itself is exercised by the unit tests."""
     return ig.unique_names(_headers(spark, sf_dir), fix_collisions=True).select("file", "pos", "name")
 
 
-check("a06_unique_names_fixed")(a06_unique_names_fixed)
+check("a06_unique_names_fixed", oracle=_A06_ORACLE)(a06_unique_names_fixed)
 
 
 def a07_table_names(spark: SparkSession, sf_dir: str) -> DataFrame:
