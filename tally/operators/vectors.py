@@ -36,27 +36,41 @@ QUERY_DECIMALS = 8
 MAX_QUERIES_PER_BLOCK = 4096
 
 
-def text_vectors(
-    df: DataFrame,
-    text_col: str = "content",
-    num_features: int = VECTOR_WIDTH,
-    out_col: str = "embedding",
-    min_doc_freq: int = 0,
-) -> DataFrame:
-    """Unit-length TF-IDF vectors of hashed word tokens, as ``ARRAY<FLOAT>``."""
+def fit_text_vectorizer(df: DataFrame, text_col: str = "content", num_features: int = VECTOR_WIDTH,
+                        min_doc_freq: int = 0):
+    """D4 fit: tokenizer + hashing TF + IDF + L2 normalizer (IDF is one tree aggregate)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
 
     tok = RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"[^\p{L}\p{N}]+", toLowercase=True)
     tf = HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=num_features)
     idf = IDF(inputCol="__tf", outputCol="__idf", minDocFreq=min_doc_freq)
     norm = Normalizer(inputCol="__idf", outputCol="__vec", p=2.0)
-    model = Pipeline(stages=[tok, tf, idf, norm]).fit(df)
+    return Pipeline(stages=[tok, tf, idf, norm]).fit(df)
+
+
+def apply_text_vectorizer(model, df: DataFrame, text_col: str = "content", out_col: str = "embedding") -> DataFrame:
+    """D4 transform with a fitted vectorizer (per row, no shuffle): ``ARRAY<FLOAT>`` of unit length."""
+    from pyspark.ml.functions import vector_to_array
+
+    if text_col != model.stages[0].getInputCol():
+        df = df.withColumnRenamed(text_col, model.stages[0].getInputCol())
     out = model.transform(df)
     return out.withColumn(out_col, vector_to_array("__vec", "float32")).drop("__tok", "__tf", "__idf", "__vec")
 
 
+def text_vectors(
+    df: DataFrame,
+    text_col: str = "content",
+    num_features: int = VECTOR_WIDTH,
+    out_col: str = "embedding",
+    min_doc_freq: int = 0,
+) -> DataFrame:
+    """Unit-length TF-IDF vectors of hashed word tokens, as ``ARRAY<FLOAT>``."""
+    model = fit_text_vectorizer(df, text_col, num_features, min_doc_freq)
+    return apply_text_vectorizer(model, df, text_col, out_col)
+
+
 def embed_with(df: DataFrame, text_col: str, model_udf, out_col: str = "embedding") -> DataFrame:
     """D4 model slot: vectors from a user's pandas UDF (``Series[str] -> Series[list[float]]``),
     Arrow-batched; the rest of retrieval takes any ``ARRAY<FLOAT>`` column."""
