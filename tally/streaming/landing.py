@@ -30,6 +30,7 @@ STATUS_SCHEMA = "path string, dataset_id string, status string, sections int, ro
 
 
 def _ingest_file(spark: SparkSession, path: str, out_dir: str) -> tuple[str, int, int]:
+    # The file source reports Hadoop paths (``file:/a/b c.csv``, not percent-encoded).
     local = path[len("file:"):] if path.startswith("file:") else path
     dataset_id = slug_name(os.path.splitext(os.path.basename(local))[0], "dataset")
     kind, sections = load_sections(spark, local)

@@ -140,3 +140,20 @@ def test_answer_flow(spark):
     assert failing["type"] == "answer" and failing["artifacts"] == []
     assert adhoc.answer_question(spark, "x", None, "v.csv", datasets_ready=False)["type"] == "status"
     assert adhoc.is_sql_question("Ingresos por AÑO") and not adhoc.is_sql_question("hola")
+
+
+def test_guard_rejects_any_appended_command(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    commands = ["DROP TABLE t", "INSERT INTO t VALUES (1)", "DELETE FROM t", "SET a=b", "CREATE TABLE x (a INT)",
+                "ALTER TABLE t ADD COLUMNS (b INT)", "CACHE TABLE t", "REFRESH TABLE t", "ADD JAR x.jar"]
+    glue = ["; ", ";\n", " ) q; ", "\n) q;\n", " -- c\n; ", "/* c */; "]
+
+    @settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.sampled_from(glue), st.sampled_from(commands), st.sampled_from(["", " --", " /*"]))
+    def run(g, cmd, tail):
+        res = adhoc.run_sql(spark, "SELECT 1 AS a" + g + cmd + tail)
+        assert res.error is not None and res.rows == []
+
+    run()

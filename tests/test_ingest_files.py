@@ -125,13 +125,13 @@ def test_landing_folder_each_file_once_and_quarantine(spark, tmp):
     first = {os.path.basename(r["path"]): r["status"] for r in landing_status(spark, out).collect()}
     assert first == {"ventas.csv": "ready", "clientes.csv": "ready"}
     _write(os.path.join(landing, "roto.csv"), "a,b\n1,2,3,4\n")
-    _write(os.path.join(landing, "extra.csv"), "a\n1\n")
+    _write(os.path.join(landing, "extra file.csv"), "a\n1\n")
     ingest_landing(spark, landing, out, checkpoint=ckpt)
     st = spark.read.parquet(os.path.join(out, "_status"))
     per_file = {os.path.basename(r["path"]): r["n"] for r in st.groupBy("path").agg(F.count("*").alias("n")).collect()}
-    assert per_file == {"ventas.csv": 1, "clientes.csv": 1, "roto.csv": 1, "extra.csv": 1}
+    assert per_file == {"ventas.csv": 1, "clientes.csv": 1, "roto.csv": 1, "extra file.csv": 1}
     last = {os.path.basename(r["path"]): r["status"] for r in landing_status(spark, out).collect()}
-    assert last["roto.csv"] == "error" and last["extra.csv"] == "ready"
+    assert last["roto.csv"] == "error" and last["extra file.csv"] == "ready"
     q = spark.read.parquet(os.path.join(out, "_quarantine")).collect()
     assert [os.path.basename(r["path"]) for r in q] == ["roto.csv"]
     cat = spark.read.parquet(os.path.join(out, "catalog"))
