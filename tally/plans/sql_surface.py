@@ -591,6 +591,74 @@ _sql(
 )
 
 
+_sql(
+    "q08_events_per_week_type",
+    """
+    SELECT date_format(date_trunc('WEEK', ts), 'yyyy-MM-dd') AS week, event_type, count(*) AS n_events,
+           round(sum(value), 2) AS value_sum, count(DISTINCT user_id) AS n_users
+    FROM events GROUP BY 1, 2
+    """,
+    """
+    SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, event_type, count(*) AS n_events,
+           round(sum(value), 2) AS value_sum, count(DISTINCT user_id) AS n_users
+    FROM events GROUP BY 1, 2
+    """,
+)
+
+_sql(
+    "q12_multiset_operations",
+    """
+    SELECT 'intersect_all' AS op, k FROM (SELECT l_suppkey AS k FROM lineitem INTERSECT ALL SELECT s_suppkey FROM supplier)
+    UNION ALL
+    SELECT 'parts_never_sold', k FROM (SELECT p_partkey AS k FROM part EXCEPT ALL SELECT l_partkey FROM lineitem)
+    """,
+    """
+    SELECT 'intersect_all' AS op, k FROM (SELECT l_suppkey AS k FROM lineitem INTERSECT ALL SELECT s_suppkey FROM supplier)
+    UNION ALL
+    SELECT 'parts_never_sold', k FROM (SELECT p_partkey AS k FROM part EXCEPT ALL SELECT l_partkey FROM lineitem)
+    """,
+)
+
+_sql(
+    "q16_text_functions",
+    """
+    SELECT c_custkey, split_part(c_name, '#', 2) AS name_num, reverse(c_mktsegment) AS seg_rev,
+           CAST(instr(c_name, '#') AS BIGINT) AS hash_pos, regexp_extract(c_name, '([0-9]+)', 1) AS digits,
+           lower(substr(c_mktsegment, 1, 3)) AS seg3, CAST(length(replace(c_name, '0', '')) AS BIGINT) AS nonzero_len,
+           concat_ws('/', c_mktsegment, CAST(c_nationkey AS STRING)) AS seg_nation,
+           CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS balance_band,
+           rtrim(ltrim(concat('  ', c_mktsegment, '  '))) AS seg_trim
+    FROM customer
+    """,
+    """
+    SELECT c_custkey, split_part(c_name, '#', 2) AS name_num, reverse(c_mktsegment) AS seg_rev,
+           CAST(instr(c_name, '#') AS BIGINT) AS hash_pos, regexp_extract(c_name, '([0-9]+)', 1) AS digits,
+           lower(substr(c_mktsegment, 1, 3)) AS seg3, CAST(length(replace(c_name, '0', '')) AS BIGINT) AS nonzero_len,
+           concat_ws('/', c_mktsegment, CAST(c_nationkey AS VARCHAR)) AS seg_nation,
+           CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS balance_band,
+           rtrim(ltrim(concat('  ', c_mktsegment, '  '))) AS seg_trim
+    FROM customer
+    """,
+)
+
+_sql(
+    "q17_discrete_quantiles",
+    """
+    SELECT p_brand, percentile_disc(0.25) WITHIN GROUP (ORDER BY p_retailprice) AS q1_disc,
+           percentile_disc(0.5) WITHIN GROUP (ORDER BY p_retailprice) AS median_disc,
+           percentile_disc(0.75) WITHIN GROUP (ORDER BY p_retailprice) AS q3_disc
+    FROM part GROUP BY p_brand
+    """,
+    """
+    SELECT p_brand, min(p_retailprice) FILTER (WHERE cd >= 0.25) AS q1_disc,
+           min(p_retailprice) FILTER (WHERE cd >= 0.5) AS median_disc,
+           min(p_retailprice) FILTER (WHERE cd >= 0.75) AS q3_disc
+    FROM (SELECT p_brand, p_retailprice, cume_dist() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS cd FROM part) x
+    GROUP BY p_brand
+    """,
+)
+
+
 # ---- E: ad-hoc SQL operators -------------------------------------------------
 
 TOP_ORDERS_SQL = """
