@@ -296,11 +296,16 @@ def catalog(
     original_names: dict[str, str] | None = None,
     approx: bool = False,
     n_samples: int = 6,
+    prof: DataFrame | None = None,
 ) -> DataFrame:
-    """One catalog row per column of a section (B1 + B2 + B3)."""
+    """One catalog row per column of a section (B1 + B2 + B3).
+
+    ``prof`` reuses a profile already computed for the section (the overview
+    needs the same one), so a dataset is profiled once.
+    """
     from ..functions.text import table_name
 
-    prof = profile(df, approx=approx)
+    prof = prof if prof is not None else profile(df, approx=approx)
     originals = original_names or {}
     fields = data_columns(df)
     orig = F.element_at(F.array(*[F.lit(originals.get(f.name, f.name)) for f in fields]), F.col("pos") + 1)
@@ -330,6 +335,13 @@ def catalog(
     )
 
 
+def local_profile(df: DataFrame, approx: bool = False) -> DataFrame:
+    """The profile computed once and held as a local relation (one row per
+    column, catalog-sized), for callers that read it several times."""
+    prof = profile(df, approx=approx)
+    return df.sparkSession.createDataFrame(prof.collect(), prof.schema)
+
+
 def catalog_lookup(cat: DataFrame, dataset_ids: Sequence[str] | None = None) -> DataFrame:
     """Catalog rows of some datasets, ordered by dataset, section, position."""
     out = cat if not dataset_ids else cat.where(F.col("dataset_id").isin(list(dataset_ids)))
