@@ -99,10 +99,14 @@ def ingest_landing(
             results = list(pool.map(one, paths))
         rows = [r for r, _ in results]
         bad = [b for _, b in results if b is not None]
+        # One folder per micro-batch, overwritten: a retried batch replaces its
+        # own rows instead of appending them twice (foreachBatch is at-least-once).
         if rows:
-            spark.createDataFrame(rows, STATUS_SCHEMA).write.mode("append").parquet(status_path)
+            spark.createDataFrame(rows, STATUS_SCHEMA).write.mode("overwrite").parquet(
+                os.path.join(status_path, f"batch={epoch_id}"))
         if bad:
-            spark.createDataFrame(bad, STATUS_SCHEMA).write.mode("append").parquet(quarantine_path)
+            spark.createDataFrame(bad, STATUS_SCHEMA).write.mode("overwrite").parquet(
+                os.path.join(quarantine_path, f"batch={epoch_id}"))
 
     q = (
         files.writeStream.foreachBatch(process)
