@@ -215,3 +215,52 @@ def test_cosine_top_k_ties_zero_vectors_and_sub_blocks(spark, monkeypatch):
     # equal scores are ordered by id; compare rank/id pairs but allow float noise on exact ties
     assert len(got) == len(want)
     assert sorted(got) == sorted(want)
+
+
+def _py_format_metric(x: float) -> str:
+    a = abs(x)
+    if a >= 10_000_000:
+        return f"{x / 1_000_000:.2f}MM"
+    if a >= 1_000_000:
+        return f"{x / 1_000_000:.2f}M"
+    if a >= 1_000:
+        return f"{x / 1_000:.2f}k"
+    return f"{x:,.2f}"
+
+
+def _py_rich_text(text: str) -> str:
+    import re
+
+    t = re.sub(r"\*\*(.*?)\*\*", r"\1", text)
+    t = re.sub(r"__(.*?)__", r"\1", t)
+    t = re.sub(r"`([^`]+)`", r"\1", t)
+
+    def rewrite(m):
+        s = m.group(0)
+        n = float(s.replace(",", ""))
+        if abs(n) < 1000 and "." not in s:
+            return s
+        return _py_format_metric(n)
+
+    return re.sub(r"(?<![A-Za-z0-9])(-?\d{1,3}(?:,\d{3})*(?:\.\d+)?|-?\d{4,}(?:\.\d+)?)(?![A-Za-z0-9])", rewrite, t)
+
+
+def test_rich_text_matches_brute_force_on_documents(spark):
+    from tally.functions.display import rich_text
+
+    docs = Tables(spark, SF_SMALL).documents.select("doc_id", "text")
+    extra = spark.createDataFrame(
+        [(-1, "**Ventas** de 1234567 y -2,500.5 en `Q1`; 12 items, a12 b 999 y 1000 __fin__ 3.14159")],
+        "doc_id long, text string")
+    rows = docs.unionByName(extra).select("doc_id", "text", rich_text(F.col("text")).alias("r")).collect()
+    bad = [r["doc_id"] for r in rows if r["r"] != _py_rich_text(r["text"])]
+    assert not bad, bad[:5]
+
+
+def test_fast_folding_matches_nfkd_on_fixture_texts(spark):
+    from tally.functions.text import normalize_question, normalize_text
+
+    for table in ("documents", "conversations", "benchmark"):
+        df = getattr(Tables(spark, SF_SMALL), table).select("text")
+        rows = df.select("text", normalize_text(F.col("text")).alias("f")).collect()
+        assert all(r["f"] == normalize_question(r["text"]) for r in rows), table
