@@ -61,6 +61,17 @@ def sniff_delimiter(lines: list[str]) -> str:
     return max(DELIMITERS, key=lambda d: _count_outside_quotes(rows[0], d))
 
 
+def _logical_lines(lines: list[str]) -> list[str]:
+    """Join physical lines that continue a quoted field."""
+    out, cur = [], None
+    for ln in lines:
+        cur = ln if cur is None else cur + "\n" + ln
+        if cur.count('"') % 2 == 0:
+            out.append(cur)
+            cur = None
+    return out + ([cur] if cur is not None else [])
+
+
 def read_csv_section(spark: SparkSession, path: str, name: str | None = None, multi_line: bool = False) -> Section:
     """A1 + A2 + A5/A6 + A8 + A9 for one delimited file.
 
@@ -71,6 +82,11 @@ def read_csv_section(spark: SparkSession, path: str, name: str | None = None, mu
     """
     head = [r[0] for r in spark.read.text(path).limit(SNIFF_LINES).collect()]
     sep = sniff_delimiter(head)
+    # An unbalanced quote in a sniffed line means a quoted line break: read
+    # those files whole (a quoted field may span lines, as the reference allows).
+    multi_line = multi_line or any(ln.count('"') % 2 for ln in head)
+    if multi_line:
+        head = _logical_lines(head)
     raw = (
         spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
         .option("multiLine", multi_line).option("escape", '"').option("ignoreLeadingWhiteSpace", False)

@@ -136,3 +136,11 @@ def test_landing_folder_each_file_once_and_quarantine(spark, tmp):
     assert [os.path.basename(r["path"]) for r in q] == ["roto.csv"]
     cat = spark.read.parquet(os.path.join(out, "catalog"))
     assert cat.where("dataset_id = 'ventas'").count() == 2
+
+
+def test_quoted_line_breaks(spark, tmp):
+    p = _write(os.path.join(tmp, "notas.csv"), 'id,nota\n1,"linea uno\nlinea dos"\n2,simple\n')
+    s = load_sections(spark, p)[1][0]
+    rows = s.df.orderBy("_rid").collect()
+    assert [r["nota"] for r in rows] == ["linea uno\nlinea dos", "simple"]
+    assert s.verdicts["id"] == "bigint"
