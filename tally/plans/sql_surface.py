@@ -176,6 +176,16 @@ _sql(
     """,
 )
 
+_sql(
+    "q04_anti_customers_without_orders",
+    """
+    SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON o_custkey = c_custkey
+    """,
+    """
+    SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)
+    """,
+)
+
 _sql(
     "q04_semi_big_spenders",
     """
