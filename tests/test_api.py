@@ -33,6 +33,10 @@ def test_process_retrieve_answer(spark):
     by = {p["dataset_id"]: p["chunks"] for p in ctx["retrieved_chunks"]}
     assert len(by["ventas"]) == 3 and len(by["resumen_anual"]) >= 1
     assert {c["db_alias"] for c in ctx["schema_context"]} == {"ds0", "ds1"}
+    samples = {(r["dataset_id"], r["table_name"]): r["sample_rows"] for r in ctx["sample_rows"]}
+    assert len(samples[("ventas", "sheet_ventas")]) == 3
+    assert len(samples[("ventas", "sheet_ventas")][0]) == 7  # seven data columns (row id not shown)
+    assert samples[("resumen_anual", "sheet_metas")][0] == {"regi_n": "Norte", "meta": 100}
     missing = api.retrieve_context(spark, out, ["nope"], "x")
     assert missing["retrieved_chunks"] == [{"dataset_id": "nope", "chunks": []}]
 
