@@ -3,8 +3,9 @@
 The reference answers these with one ORM query per session (an N+1
 pattern); here each is one grouped job over the whole message / link tables.
 Per-group results are aggregates (counts, ``max_by`` / ``min_by``, an
-order-aware digest) so no conversation is ever collected into one row
-unless ``nest=True`` asks for the nested payload.
+order-aware digest), so no conversation is ever collected into one row;
+the nested message payload comes in pages of bounded size
+(``conversation_pages``).
 """
 
 from __future__ import annotations
@@ -72,27 +73,44 @@ def row_digest(*cols) -> Column:
 
 
 def conversation_rollup(msgs: DataFrame, conv_col="conv_id", turn_col="turn", role_col="role",
-                        text_col="text", nest: bool = False) -> DataFrame:
+                        text_col="text") -> DataFrame:
     """one row per conversation.
 
     Aggregates only (turn count, per-role counts, characters, first role and
     a digest that changes with any message or its position), so a long
-    conversation is reduced map-side.  ``nest=True`` adds the ordered message
-    array (the UI payload); that array is as long as the conversation.
+    conversation is reduced map-side.
     """
-    aggs = [
+    return msgs.groupBy(conv_col).agg(
         F.count(F.lit(1)).alias("n_turns"),
         F.count_if(F.col(role_col) == "user").alias("n_user"),
         F.count_if(F.col(role_col) == "assistant").alias("n_assistant"),
         F.sum(F.length(text_col)).cast("bigint").alias("n_chars"),
         F.min_by(role_col, turn_col).alias("first_role"),
         F.sum(row_digest(turn_col, role_col, text_col).cast("decimal(38,0)")).cast("string").alias("digest"),
-    ]
-    if nest:
-        aggs.append(
-            F.array_sort(F.collect_list(F.struct(turn_col, role_col, text_col))).alias("messages")
-        )
-    return msgs.groupBy(conv_col).agg(*aggs)
+    )
+
+
+# Fixed value: messages per page of the nested payload (ours; the reference nests all).
+PAGE_SIZE = 1000
+
+
+def conversation_pages(msgs: DataFrame, conv_col="conv_id", turn_col="turn", role_col="role",
+                       text_col="text", page_size: int = PAGE_SIZE) -> DataFrame:
+    """F5 payload: the messages of each conversation in turn order, nested in
+    pages of at most ``page_size`` (``conv_id, page, messages``).
+
+    Turns are numbered per conversation by the skew-safe ``row_index``, so
+    a conversation holding a third of all messages is split over tasks and
+    no group ever holds more than one page.
+    """
+    numbered = row_index(msgs.select(conv_col, turn_col, role_col, text_col), [turn_col], group_by=[conv_col],
+                         name="__n")
+    return (
+        numbered.withColumn("page", F.floor((F.col("__n") - 1) / page_size).cast("bigint"))
+        .groupBy(conv_col, "page")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", turn_col, role_col, text_col))),
+                         lambda m: m.dropFields("__n")).alias("messages"))
+    )
 
 
 def last_message_preview(msgs: DataFrame, conv_col="conv_id", turn_col="turn", role_col="role",

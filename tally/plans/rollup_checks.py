@@ -112,6 +112,29 @@ check(
 )(f05_conversation_rollup)
 
 
+def f05_conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5 payload: messages nested in turn order, in pages of at most 4 (a small
+    page size so that the fixture conversations span several pages)."""
+    pages = rl.conversation_pages(Tables(spark, sf_dir).conversations, page_size=4)
+    return pages.select(
+        "conv_id", "page", F.size("messages").cast("bigint").alias("n_messages"),
+        F.col("messages")[0]["turn"].alias("first_turn"),
+        F.element_at("messages", -1)["turn"].alias("last_turn"),
+        F.md5(F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["text"])), "\n")).alias("digest"),
+    )
+
+
+check(
+    "f05_conversation_pages",
+    oracle="""
+    WITH n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 4 AS page FROM conversations)
+    SELECT conv_id, page, count(*) AS n_messages, min(turn) AS first_turn, max(turn) AS last_turn,
+           md5(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS digest
+    FROM n GROUP BY conv_id, page
+    """,
+)(f05_conversation_pages)
+
+
 def f06_last_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """last message of each conversation, 120 characters."""
     return rl.last_message_preview(Tables(spark, sf_dir).conversations)

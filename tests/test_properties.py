@@ -108,15 +108,20 @@ def test_text_vectors_are_unit_length(spark):
     assert all(abs(r["n2"] - 1.0) < 1e-4 or r["n2"] == 0.0 for r in v)
 
 
-def test_conversation_rollup_nested_matches_aggregates(spark):
-    from tally.operators.rollups import conversation_rollup
+def test_conversation_pages_match_aggregates(spark):
+    from tally.operators.rollups import conversation_pages, conversation_rollup
 
     c = Tables(spark, SF_SMALL).conversations
-    r = conversation_rollup(c, nest=True).collect()
-    for row in r:
-        turns = [m["turn"] for m in row["messages"]]
-        assert turns == sorted(turns) and len(turns) == row["n_turns"]
-        assert row["first_role"] == row["messages"][0]["role"]
+    agg = {r["conv_id"]: r for r in conversation_rollup(c).collect()}
+    pages = {}
+    for r in conversation_pages(c, page_size=2).collect():
+        assert len(r["messages"]) <= 2
+        pages.setdefault(r["conv_id"], []).append((r["page"], r["messages"]))
+    for conv, ps in pages.items():
+        msgs = [m for _, page in sorted(ps) for m in page]
+        turns = [m["turn"] for m in msgs]
+        assert turns == sorted(turns) and len(turns) == agg[conv]["n_turns"]
+        assert agg[conv]["first_role"] == msgs[0]["role"]
 
 
 def test_embed_with_model_slot(spark):
