@@ -20,6 +20,7 @@ from ..functions._util import qcol
 from ..functions.numbers import INTEGER_TEXT, NUMBER_TEXT
 from ..functions.text import slug, slug_name
 from .profile import ROW_ID
+from .rowindex import row_index
 
 # The null tokens of the CSV reader (pandas' default list).
 NA_TOKENS = [
@@ -38,8 +39,8 @@ def unique_names(headers: DataFrame, file_col="file", pos_col="pos", header_col=
     repeat of a base name within a file gets ``_n``.  That rule can still
     collide (``a, a, a_2`` -> ``a, a_2, a_2``); with ``fix_collisions`` the
     rule is applied again to the colliding names until all are unique.
-    A header table has one row per column of a file, so the window per
-    (file, name) is bounded by the file's width.
+    Repeats are numbered with the skew-safe ``row_index``, so even a very
+    large (file, name) group is split over tasks.
     """
     fallback = F.concat(F.lit(prefix + "_"), F.col(pos_col).cast("string"))
     blank = F.col(header_col).isNull() | (F.trim(F.col(header_col).cast("string")) == "")
@@ -47,9 +48,13 @@ def unique_names(headers: DataFrame, file_col="file", pos_col="pos", header_col=
     out = headers.withColumn("name", base)
 
     def dedupe(df: DataFrame) -> DataFrame:
-        w = Window.partitionBy(file_col, "name").orderBy(pos_col)
-        n = F.row_number().over(w)
-        return df.withColumn("name", F.when(n == 1, F.col("name")).otherwise(F.concat(F.col("name"), F.lit("_"), n.cast("string"))))
+        # n-th repeat of a name within a file, numbered by the skew-safe row index
+        # (a header table is one row per column, but a table used as one need not be).
+        n = F.col("__k")
+        numbered = row_index(df, [pos_col], group_by=[file_col, "name"], name="__k")
+        return numbered.withColumn(
+            "name", F.when(n == 1, F.col("name")).otherwise(F.concat(F.col("name"), F.lit("_"), n.cast("string")))
+        ).drop("__k")
 
     out = dedupe(out)
     if not fix_collisions:
