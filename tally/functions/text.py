@@ -43,11 +43,14 @@ def label(c) -> Column:
 
 
 def _fold_table() -> tuple[str, str]:
-    """Single-character accent folds, derived from Unicode NFKD.
-
-    Built by rule: every Latin letter in U+00C0..U+024F and U+1E00..U+1EFF
-    whose compatibility decomposition, without combining marks, is one ASCII
-    letter.
+    """Accent folds and mark deletions, derived from Unicode by rule.
+
+    Folds: every Latin letter in U+00C0..U+024F and U+1E00..U+1EFF whose
+    compatibility decomposition, without combining marks, is one ASCII
+    letter.  Deletions: every BMP character with a non-zero canonical
+    combining class (the marks NFKD folding drops).  ``translate`` removes
+    the characters of the first string that have no counterpart in the
+    second, so one pass does both.
     """
     src, dst = [], []
     for lo, hi in ((0x00C0, 0x024F), (0x1E00, 0x1EFF)):
@@ -57,15 +60,17 @@ def _fold_table() -> tuple[str, str]:
             if len(base) == 1 and base != ch and base.isascii() and base.isalpha():
                 src.append(ch)
                 dst.append(base)
-    return "".join(src), "".join(dst)
+    marks = [chr(cp) for cp in range(0x0300, 0x10000) if not 0xD800 <= cp <= 0xDFFF and unicodedata.combining(chr(cp))]
+    return "".join(src) + "".join(marks), "".join(dst)
 
 
 _FOLD_SRC, _FOLD_DST = _fold_table()
 
 
 def fold_accents(c) -> Column:
-    """Drop accents (E5, fast path): table fold plus removal of combining marks."""
-    return F.regexp_replace(F.translate(col(c), _FOLD_SRC, _FOLD_DST), r"\p{M}+", "")
+    """Drop accents (E5, fast path): one ``translate`` folds accented Latin
+    letters and deletes combining marks."""
+    return F.translate(col(c), _FOLD_SRC, _FOLD_DST)
 
 
 def normalize_text(c) -> Column:

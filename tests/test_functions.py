@@ -157,3 +157,8 @@ def test_guard_rejects_any_appended_command(spark):
         assert res.error is not None and res.rows == []
 
     run()
+
+
+def test_folding_of_decomposed_marks(spark):
+    got = _one(spark, normalize_text(F.col("v")), ["Café ñ", "हःx"])
+    assert got == ["cafe n", " x"]  # marks with a combining class go; a spacing sign (class 0) is a separator
