@@ -244,22 +244,38 @@ def c07_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-check(
-    "c07_overview",
-    oracle="""
-    SELECT * FROM (VALUES
-      ('orders', 'o_orderkey,o_custkey,o_totalprice', 'o_orderstatus,o_orderdate,o_orderpriority',
-       'O Orderstatus,O Orderdate', 'O Totalprice,O Totalprice'),
-      ('lineitem', 'l_orderkey,l_partkey,l_suppkey,l_linenumber', 'l_returnflag,l_linestatus,l_shipdate',
-       'L Returnflag,L Linestatus', 'L Orderkey,L Orderkey'),
-      ('customer', 'c_custkey,c_nationkey,c_acctbal', 'c_name,c_mktsegment', 'C Name,C Mktsegment', 'C Custkey,C Custkey'),
-      ('part', 'p_partkey,p_size,p_retailprice', 'p_name,p_brand,p_type', 'P Name,P Brand', 'P Partkey,P Partkey')
-    ) AS v(section, metric_columns, dimension_columns, ranked, ranked_metric)
-    JOIN (SELECT 'orders' AS s, count(*) AS rows FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem
-          UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'part', count(*) FROM part) c
-      ON c.s = v.section
-    """.replace("SELECT * FROM", "SELECT section, rows, metric_columns, dimension_columns, ranked, ranked_metric FROM"),
-)(c07_overview)
+def _c07_oracle() -> str:
+    """The overview choice rules in SQL over per-column statistics of the four sections."""
+    from .profile_checks import SCHEMAS, _semantic_case
+
+    parts = []
+    for t in OVERVIEW_TABLES:
+        for pos, (c, kind) in enumerate(SCHEMAS[t]):
+            st = _semantic_case(f"'{c}'", f"'{kind}'", "0", "1")
+            parts.append(
+                f"SELECT '{t}' AS section, {pos} AS pos, '{c}' AS col, '{kind}' AS kind, {st} AS st, "
+                f"count({c}) AS nn, count(DISTINCT {c}) AS d, count(*) AS n FROM {t}"
+            )
+    stats = "\nUNION ALL\n".join(parts)
+    return f"""
+    WITH s AS ({stats}),
+    m AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY pos) AS r FROM s WHERE kind = 'number' AND nn > 0),
+    dm AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY pos) AS r FROM s
+           WHERE kind <> 'number' AND nn > 0 AND d > 1),
+    base AS (SELECT section, arg_min(col, (st <> 'money_or_amount', pos)) AS b FROM m GROUP BY section),
+    agg AS (
+      SELECT s.section, max(s.n) AS rows,
+             (SELECT string_agg(col, ',' ORDER BY pos) FROM m WHERE m.section = s.section AND r <= 4) AS metric_columns,
+             (SELECT string_agg(col, ',' ORDER BY pos) FROM dm WHERE dm.section = s.section AND r <= 3) AS dimension_columns,
+             (SELECT string_agg({duck_label('col')}, ',' ORDER BY pos) FROM dm WHERE dm.section = s.section AND r <= 2) AS ranked,
+             (SELECT string_agg({duck_label('base.b')}, ',') FROM dm JOIN base ON base.section = dm.section
+              WHERE dm.section = s.section AND r <= 2) AS ranked_metric
+      FROM s GROUP BY s.section)
+    SELECT section, rows, metric_columns, dimension_columns, ranked, ranked_metric FROM agg
+    """
+
+
+check("c07_overview", oracle=_c07_oracle())(c07_overview)
 
 
 def c08_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
