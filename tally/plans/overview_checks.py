@@ -284,15 +284,39 @@ def c08_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select(F.col("kpi_rank").cast("bigint").alias("kpi_rank"), "label", "value", "context")
 
 
-check(
-    "c08_kpis",
-    oracle=f"""
-    SELECT 1::BIGINT AS kpi_rank, 'O Orderkey' AS label, {duck_kpi_text('(SELECT sum(o_orderkey) FROM orders)')} AS value, '' AS context
-    UNION ALL SELECT 2, 'O Custkey', {duck_kpi_text('(SELECT sum(o_custkey) FROM orders)')}, ''
-    UNION ALL SELECT 3, 'L Orderkey', {duck_kpi_text('(SELECT sum(l_orderkey) FROM lineitem)')}, ''
-    UNION ALL SELECT 4, 'L Partkey', {duck_kpi_text('(SELECT sum(l_partkey) FROM lineitem)')}, ''
-    """,
-)(c08_kpis)
+def _c08_oracle() -> str:
+    """KPI choice in SQL: first two sections; of their first 4 metrics, money or
+    plain metrics first (else anything but quantity), two each, four in all."""
+    from .profile_checks import SCHEMAS, _semantic_case
+
+    parts = []
+    for sec, t in enumerate(OVERVIEW_TABLES[:2]):
+        for pos, (c, kind) in enumerate(SCHEMAS[t]):
+            if kind != "number":
+                continue
+            st = _semantic_case(f"'{c}'", "'number'", "0", "1")
+            parts.append(
+                f"SELECT {sec} AS sec, {pos} AS pos, '{c}' AS col, {st} AS st, count({c}) AS nn, "
+                f"CAST(sum({c}) AS DOUBLE) AS total FROM {t}"
+            )
+    stats = "\nUNION ALL\n".join(parts)
+    return f"""
+    WITH m AS (SELECT *, row_number() OVER (PARTITION BY sec ORDER BY pos) AS r FROM ({stats}) x WHERE nn > 0),
+    kept AS (SELECT * FROM m WHERE r <= 4),
+    pref AS (SELECT sec, count(*) FILTER (WHERE st IN ('money_or_amount', 'metric')) AS n_pref FROM kept GROUP BY sec),
+    chosen AS (
+      SELECT kept.*, row_number() OVER (PARTITION BY kept.sec ORDER BY pos) AS c
+      FROM kept JOIN pref ON pref.sec = kept.sec
+      WHERE (n_pref > 0 AND st IN ('money_or_amount', 'metric')) OR (n_pref = 0 AND st <> 'quantity'))
+    SELECT * FROM (
+      SELECT row_number() OVER (ORDER BY sec, pos) AS kpi_rank, {duck_label('col')} AS label,
+             {duck_kpi_text('total', "st = 'money_or_amount'")} AS value, '' AS context
+      FROM chosen WHERE c <= 2) y
+    WHERE kpi_rank <= 4
+    """
+
+
+check("c08_kpis", oracle=_c08_oracle())(c08_kpis)
 
 
 def c09_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
