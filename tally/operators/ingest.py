@@ -199,15 +199,23 @@ def write_section(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
 def refresh_dataset_rows(df: DataFrame, path: str, dataset_col: str = "dataset_id") -> None:
     """Replace the derived rows (catalog, chunks) of the datasets present in ``df`` only.
 
-    Dynamic partition overwrite: partitions of other datasets are untouched.
+    Dynamic partition overwrite (as a writer option, so the session's setting
+    is not touched): partitions of other datasets are untouched.  One writer
+    per output path at a time; concurrent writers of one dataset each use
+    ``replace_dataset_partition``.
     """
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(dataset_col).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(dataset_col).parquet(path)
+
+
+def replace_dataset_partition(df: DataFrame, path: str, dataset_id: str, dataset_col: str = "dataset_id") -> None:
+    """A11 for one dataset: overwrite its own partition folder only.
+
+    Writers of different datasets touch different folders, so they can run
+    at the same time (dynamic overwrite of one shared path cannot: the
+    writers would share its staging folder).
+    """
+    target = path.rstrip("/") + f"/{dataset_col}={dataset_id}"
+    df.drop(dataset_col).write.mode("overwrite").parquet(target)
 
 
 def section_summary(sections: Sequence[tuple[str, DataFrame, bool]]) -> DataFrame:

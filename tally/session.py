@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 
 from pyspark.sql import SparkSession
 
@@ -107,6 +108,7 @@ def spread(df, min_partitions: int | None = None):
 
 
 _SHIPPED: set[str] = set()
+_SHIP_LOCK = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -117,15 +119,21 @@ def ship_package(spark: SparkSession) -> None:
     installed on the executors (``--py-files`` not given), it is zipped and
     added with ``addPyFile``, the same thing ``--py-files`` does.
     """
-    import zipfile
-
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: ship with spark.addArtifacts instead
         return
     key = sc.applicationId
-    if key in _SHIPPED:
-        return
+    with _SHIP_LOCK:  # operators may run from several driver threads
+        if key in _SHIPPED:
+            return
+        _ship(sc)
+        _SHIPPED.add(key)
+
+
+def _ship(sc) -> None:
+    import zipfile
+
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
     target = os.path.join(tempfile.mkdtemp(prefix="tally-pyfiles-"), "tally.zip")
@@ -136,4 +144,3 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(folder, f)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(target)
-    _SHIPPED.add(key)

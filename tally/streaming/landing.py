@@ -50,7 +50,9 @@ def _ingest_file(spark: SparkSession, path: str, out_dir: str) -> tuple[str, int
         cat = cats[0]
         for c in cats[1:]:
             cat = cat.unionByName(c)
-        ig.refresh_dataset_rows(cat, os.path.join(out_dir, "catalog"))
+        # Files of one micro-batch are ingested side by side: each replaces
+        # only its own dataset's catalog folder.
+        ig.replace_dataset_partition(cat, os.path.join(out_dir, "catalog"), dataset_id)
     return dataset_id, len(sections), total
 
 
