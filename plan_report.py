@@ -21,14 +21,13 @@ KEEP = [
     "FileScan", "Scan ExistingRDD", "LocalTableScan", "Filter", "Generate", "HashAggregate", "ObjectHashAggregate",
     "SortAggregate", "Exchange", "BroadcastExchange", "BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin",
     "BroadcastNestedLoopJoin", "CartesianProduct", "Window", "WindowGroupLimit", "TakeOrderedAndProject",
-    "CollectLimit", "GlobalLimit", "Expand", "MapInPandas", "ArrowEvalPython", "Union", "Sort", "Generate",
+    "CollectLimit", "GlobalLimit", "Expand", "MapInPandas", "ArrowEvalPython", "Union", "Sort",
 ]
 
 
 def skeleton(plan: str) -> list[str]:
     names = []
     for line in plan.splitlines():
-        m = re.search(r"([A-Za-z]+(?: [A-Za-z]+)?)", line.replace("+-", "").replace(":-", ""))
         for k in KEEP:
             if re.search(r"(^|[\s*()\-+:])" + re.escape(k) + r"\b", line):
                 label = k
@@ -41,7 +40,6 @@ def skeleton(plan: str) -> list[str]:
                 if not names or names[-1] != label:
                     names.append(label)
                 break
-        del m
     return list(reversed(names))
 
 
