@@ -325,20 +325,56 @@ def c09_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select(F.col("insight_rank").cast("bigint").alias("insight_rank"), "text")
 
 
+def _first_rankings_sql() -> str:
+    """CTEs ending in ``ranked(sec, dim, metric, label, v, point)``: the first
+    ranking (first dimension by the base metric, top 5) of each of the first
+    two sections, chosen in SQL from column statistics over every candidate
+    (dimension, metric) pair."""
+    from .profile_checks import SCHEMAS, _semantic_case
+
+    stats, pairs = [], []
+    for sec, t in enumerate(OVERVIEW_TABLES[:2]):
+        cols = SCHEMAS[t]
+        for pos, (c, kind) in enumerate(cols):
+            st = _semantic_case(f"'{c}'", f"'{kind}'", "0", "1")
+            stats.append(f"SELECT {sec} AS sec, {pos} AS pos, '{c}' AS col, '{kind}' AS kind, {st} AS st, "
+                         f"count({c}) AS nn, count(DISTINCT {c}) AS d FROM {t}")
+        for dc, dk in cols:
+            if dk == "number":
+                continue
+            for mc, mk in cols:
+                if mk != "number":
+                    continue
+                pairs.append(f"SELECT {sec} AS sec, '{dc}' AS dim, '{mc}' AS metric, CAST({dc} AS VARCHAR) AS label, "
+                             f"coalesce(CAST(sum({mc}) AS DOUBLE), 0.0) AS v FROM {t} WHERE {dc} IS NOT NULL GROUP BY {dc}")
+    stats_sql = "\nUNION ALL\n".join(stats)
+    pairs_sql = "\nUNION ALL\n".join(pairs)
+    return f"""
+    s AS ({stats_sql}),
+    dims AS (SELECT sec, arg_min(col, pos) AS dim FROM s WHERE kind <> 'number' AND nn > 0 AND d > 1 GROUP BY sec),
+    base AS (SELECT sec, arg_min(col, (st <> 'money_or_amount', pos)) AS metric FROM s WHERE kind = 'number' AND nn > 0
+             GROUP BY sec),
+    pairs AS ({pairs_sql}),
+    ranked AS (
+      SELECT * FROM (
+        SELECT p.sec, p.dim, p.metric, p.label, p.v,
+               row_number() OVER (PARTITION BY p.sec ORDER BY p.v DESC, p.label) AS point
+        FROM pairs p JOIN dims ON dims.sec = p.sec AND dims.dim = p.dim
+             JOIN base ON base.sec = p.sec AND base.metric = p.metric) x
+      WHERE point <= 5)
+    """
+
+
 check(
     "c09_insights",
-    oracle="""
-    WITH r1 AS (SELECT o_orderstatus AS label, sum(o_totalprice) AS v FROM orders GROUP BY 1
-                ORDER BY v DESC, label LIMIT 5),
-         r2 AS (SELECT l_returnflag AS label, CAST(sum(l_orderkey) AS DOUBLE) AS v FROM lineitem GROUP BY 1
-                ORDER BY v DESC, label LIMIT 5),
-         s AS (SELECT 0 AS sec, label, v, row_number() OVER (ORDER BY v DESC, label) AS pos, sum(v) OVER () AS tot,
-                      'O Totalprice' AS metric FROM r1
-               UNION ALL
-               SELECT 1, label, v, row_number() OVER (ORDER BY v DESC, label), sum(v) OVER (), 'L Orderkey' FROM r2)
-    SELECT row_number() OVER (ORDER BY sec, pos) AS insight_rank,
-           label || ': ' || format('{:.2f}', v / tot * 100) || '% del total de ' || metric || '.' AS text
-    FROM s WHERE pos <= 3 QUALIFY insight_rank <= 4
+    oracle=f"""
+    WITH {_first_rankings_sql()},
+    shares AS (SELECT *, sum(v) OVER (PARTITION BY sec) AS tot, count(*) OVER (PARTITION BY sec) AS n FROM ranked)
+    SELECT * FROM (
+      SELECT row_number() OVER (ORDER BY sec, point) AS insight_rank,
+             label || ': ' || format('{{:.2f}}', v / tot * 100) || '% del total de ' || {duck_label('metric')} || '.' AS text
+      FROM shares WHERE point <= 3 AND tot > 0 AND n >= 2) y
+    WHERE insight_rank <= 4
     """,
 )(c09_insights)
 
@@ -354,16 +390,11 @@ def c10_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 check(
     "c10_charts",
-    oracle="""
-    WITH r1 AS (SELECT o_orderstatus AS label, sum(o_totalprice) AS v FROM orders GROUP BY 1),
-         r2 AS (SELECT l_returnflag AS label, CAST(sum(l_orderkey) AS DOUBLE) AS v FROM lineitem GROUP BY 1)
-    SELECT * FROM (
-      SELECT 1::BIGINT AS chart_rank, 'O Orderstatus por O Totalprice' AS title, 'bar' AS kind,
-             row_number() OVER (ORDER BY v DESC, label) AS point, label, round(v, 2) AS value FROM r1
-      UNION ALL
-      SELECT 2::BIGINT, 'L Returnflag por L Orderkey', 'bar',
-             row_number() OVER (ORDER BY v DESC, label), label, round(v, 2) FROM r2) x
-    WHERE point <= 5
+    oracle=f"""
+    WITH {_first_rankings_sql()}
+    SELECT CAST(sec + 1 AS BIGINT) AS chart_rank, {duck_label('dim')} || ' por ' || {duck_label('metric')} AS title,
+           'bar' AS kind, point, label, round(v, 2) AS value
+    FROM ranked
     """,
 )(c10_charts)
 
