@@ -221,6 +221,8 @@ def cosine_top_k(
             return _score_task(it, _get, _k, id_col, vec_col, partition_col)
 
         results.append(base.mapInPandas(score, cand_schema))
+    if not results:  # no query: no hit
+        results = [spark.createDataFrame([], cand_schema)]
     cands = results[0]
     for r in results[1:]:
         cands = cands.unionByName(r)

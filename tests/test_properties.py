@@ -269,3 +269,19 @@ def test_fast_folding_matches_nfkd_on_fixture_texts(spark):
         df = getattr(Tables(spark, SF_SMALL), table).select("text")
         rows = df.select("text", normalize_text(F.col("text")).alias("f")).collect()
         assert all(r["f"] == normalize_question(r["text"]) for r in rows), table
+
+
+def test_operators_accept_empty_inputs(spark):
+    from tally.operators import chunks as ch
+    from tally.operators import overview as ov
+    from tally.operators.profile import samples
+
+    e = spark.createDataFrame([], "_rid long, a string, b double")
+    assert [r["rows"] for r in profile(e).collect()] == [0, 0]
+    assert samples(e, ["_rid"]).count() == 0
+    assert ov.overview([("x", e, profile(e))]).count() == 0
+    assert ch.row_chunks(e, "x", ["_rid"]).count() == 0
+    assert row_index(e, ["_rid"]).count() == 0
+    vecs = spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<float>")
+    no_q = spark.createDataFrame([], "query_id int, query_vec array<double>")
+    assert vx.cosine_top_k(vecs, no_q).count() == 0
