@@ -285,3 +285,15 @@ def test_operators_accept_empty_inputs(spark):
     vecs = spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<float>")
     no_q = spark.createDataFrame([], "query_id int, query_vec array<double>")
     assert vx.cosine_top_k(vecs, no_q).count() == 0
+
+
+def test_asof_with_null_keys(spark):
+    rnd = random.Random(3)
+    base = datetime(2024, 1, 1)
+    rows = [(i, base + timedelta(minutes=rnd.randint(0, 50)), None if i % 5 == 0 else rnd.randint(1, 4),
+             rnd.choice(["error", "view"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    got = asof_previous(df, "user_id", "ts", "event_id", probe=F.col("event_type") == "error", num_partitions=5)
+    mine = {r["event_id"]: r["prev_event_id"] for r in got.collect() if r["prev_event_id"] is not None}
+    brute = {k: v for k, v in _brute_asof([r for r in rows if r[2] is not None]).items()}
+    assert mine == brute
