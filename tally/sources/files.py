@@ -96,7 +96,7 @@ def read_csv_section(spark: SparkSession, path: str, name: str | None = None, mu
     if not head or not raw.columns:
         raise ValueError(f"no header row in {path}")
     # Original header texts from the first line (Spark renames repeats to a0, a2).
-    originals = next(csv.reader([head[0]], delimiter=sep))
+    originals = next(csv.reader([head[0].lstrip("\ufeff")], delimiter=sep))  # a UTF-8 BOM is not part of the header
     if len(originals) != len(raw.columns):
         originals = list(raw.columns)
     # Like the reference reader, a line with more fields than the header is an

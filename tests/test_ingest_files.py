@@ -144,3 +144,12 @@ def test_quoted_line_breaks(spark, tmp):
     rows = s.df.orderBy("_rid").collect()
     assert [r["nota"] for r in rows] == ["linea uno\nlinea dos", "simple"]
     assert s.verdicts["id"] == "bigint"
+
+
+def test_bom_header(spark, tmp):
+    p = os.path.join(tmp, "bom.csv")
+    with open(p, "w", encoding="utf-8-sig") as f:
+        f.write("Año;Monto\n2024;10,5\n")
+    s = load_sections(spark, p)[1][0]
+    assert s.columns == ["Año", "Monto"]
+    assert [c for c in s.df.columns if c != "_rid"] == ["a_o", "monto"]
