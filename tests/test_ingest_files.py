@@ -153,3 +153,36 @@ def test_bom_header(spark, tmp):
     s = load_sections(spark, p)[1][0]
     assert s.columns == ["Año", "Monto"]
     assert [c for c in s.df.columns if c != "_rid"] == ["a_o", "monto"]
+
+
+def test_workbook_decoder_shared_strings_formulas_styles(tmp):
+    import io
+    import zipfile
+
+    from tally.sources.workbook import decode_workbook
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">'
+                   '<sheets><sheet name="Datos" sheetId="1" state="veryHidden" r:id="rId7"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                   '<Relationship Id="rId7" Target="/xl/worksheets/hoja.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>Nombre</t></si>'
+                   '<si><r><t>Ana </t></r><r><t>María</t></r></si><si><t>Fecha</t></si></sst>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="170" formatCode="dd/mm/yyyy;@"/>'
+                   '<numFmt numFmtId="171" formatCode="&quot;d&quot;0.00"/></numFmts>'
+                   '<cellXfs><xf numFmtId="0"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/hoja.xml", f'<worksheet xmlns="{main}"><sheetData>'
+                   '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>2</v></c><c r="C1"><v>7</v></c></row>'
+                   '<row r="2"><c r="A2" t="s"><v>1</v></c><c r="B2" s="1"><v>45292</v></c>'
+                   '<c r="C2" s="2"><f>1+1</f><v>2</v></c><c r="D2" t="e"><v>#DIV/0!</v></c></row>'
+                   '</sheetData></worksheet>')
+    cells = decode_workbook("book.xlsx", buf.getvalue())
+    sheet = [c for c in cells if c["kind"] == "sheet"][0]
+    assert sheet["sheet"] == "Datos" and sheet["state"] == "veryHidden"
+    got = {(c["row"], c["col"]): (c["value"], c["kind"]) for c in cells if c["kind"] != "sheet"}
+    assert got[(1, 1)] == ("Nombre", "string") and got[(2, 1)] == ("Ana María", "string")
+    assert got[(2, 2)] == ("2024-01-01 00:00:00", "date")
+    assert got[(2, 3)] == ("2", "number")  # quoted "d" in the format is literal text, not a date
+    assert got[(2, 4)] == ("#DIV/0!", "error") and got[(1, 3)] == ("7", "number")
