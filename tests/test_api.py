@@ -51,3 +51,6 @@ def test_process_retrieve_answer(spark):
     assert ans["artifacts"][1]["chart"]["data"][0]["label"] in {"hogar", "ropa", "juguetes"}
     both = adhoc.run_sql(spark, "SELECT (SELECT count(*) FROM ds0.sheet_ventas) + (SELECT count(*) FROM ds1.sheet_metas) AS n")
     assert both.rows == [{"n": 502}]
+    adhoc.attach_datasets(spark, [{"sheet_metas": os.path.join(out, "tables", "resumen_anual", "sheet_metas")}])
+    assert adhoc.run_sql(spark, "SELECT count(*) AS n FROM ds0.sheet_ventas").error is not None  # re-attach replaced ds0
+    assert adhoc.run_sql(spark, "SELECT count(*) AS n FROM ds0.sheet_metas").rows == [{"n": 2}]
