@@ -297,3 +297,15 @@ def test_asof_with_null_keys(spark):
     mine = {r["event_id"]: r["prev_event_id"] for r in got.collect() if r["prev_event_id"] is not None}
     brute = {k: v for k, v in _brute_asof([r for r in rows if r[2] is not None]).items()}
     assert mine == brute
+
+
+def test_overview_without_metrics_counts_records(spark):
+    from tally.operators import overview as ov
+
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), (None, "x")], "cat string, other string")
+    rec = ov.overview([("solo_texto", df, profile(df))]).first()
+    assert rec["metrics"] == []
+    r0 = rec["rankings"][0]
+    assert r0["metric"] == "Registros" and [(p["label"], p["value"]) for p in r0["data"]] == [("a", 2.0), ("b", 1.0)]
+    ins = [r["text"] for r in ov.insights(ov.overview([("solo_texto", df, profile(df))])).collect()]
+    assert ins[0] == "a: 66.67% del total de Registros."
