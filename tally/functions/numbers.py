@@ -32,6 +32,14 @@ def strict_number(c) -> Column:
     return F.when(F.lower(s).rlike(NUMBER_TEXT), s.try_cast("double"))
 
 
+def kpi_text_of_text(c, monetary=False) -> Column:
+    """C11 for a text column: numbers as written by Python's ``float`` are
+    formatted, any other text passes through unchanged."""
+    raw = col(c).cast("string")
+    num = strict_number(raw)
+    return F.when(raw.isNotNull() & num.isNull(), raw).otherwise(kpi_text(num, monetary))
+
+
 def _plain(x: Column, digits: int) -> Column:
     """``format_number`` without the grouping commas (``%.nf``)."""
     return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))

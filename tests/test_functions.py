@@ -45,6 +45,9 @@ def test_kpi_text(spark):
     assert got == ["—", "0", "-5", "1,000.00", "1.0K", "1000.0K", "1.0M", "2.4M", "0.15", "-1.2K", "12.35"]
     money = _one(spark, kpi_text(F.col("v"), True), [-5.0, 1000.0, None], "v double")
     assert money == ["$-5", "$1.0K", "—"]
+    from tally.functions.numbers import kpi_text_of_text
+
+    assert _one(spark, kpi_text_of_text(F.col("v")), ["1,000", " 2500 ", "abc", None, "1d"]) == ["1,000", "2.5K", "abc", "—", "1d"]
 
 
 def test_format_metric_and_executive_value(spark):
