@@ -54,3 +54,20 @@ def test_process_retrieve_answer(spark):
     adhoc.attach_datasets(spark, [{"sheet_metas": os.path.join(out, "tables", "resumen_anual", "sheet_metas")}])
     assert adhoc.run_sql(spark, "SELECT count(*) AS n FROM ds0.sheet_ventas").error is not None  # re-attach replaced ds0
     assert adhoc.run_sql(spark, "SELECT count(*) AS n FROM ds0.sheet_metas").rows == [{"n": 2}]
+
+
+def test_command_line_in_process(spark, capsys):
+    import json
+
+    from tally.__main__ import main
+
+    tmp = tempfile.mkdtemp(prefix="tally-cli-")
+    src = os.path.join(tmp, "ventas.csv")
+    _ventas(src)
+    store = os.path.join(tmp, "store")
+    main(["process", src, store])
+    rec = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert rec["dataset_id"] == "ventas" and rec["status"] == "ready"
+    main(["ask", store, "ventas", "ventas totales", "SELECT count(*) AS n FROM ds0.sheet_ventas"])
+    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert out["answer"]["artifacts"][0]["rows"] == [{"n": 500}]
