@@ -67,3 +67,13 @@ def test_range_join_broadcasts_the_band_table(spark):
 def test_capped_ordered_query_is_take_ordered(spark):
     df = all_checks()["e03_capped_query"].build(spark, SF_SMALL)
     assert "TakeOrderedAndProject" in _plan(df)
+
+
+def test_registry_names_and_oracle_columns():
+    import re
+
+    checks = all_checks()
+    assert len(checks) >= 100
+    for name, c in checks.items():
+        assert re.fullmatch(r"[a-hq]\d\d_[a-z0-9_]+", name), name
+        assert "pipeline" not in name and not re.match(r"op\d+_", name)
