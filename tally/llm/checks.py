@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load_table
-from . import quality_cascade
+from . import best_fit, hilbert_shards, quality_cascade, token_frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,8 +26,8 @@ def query(name: str, oracle: str | None = None):
 
 OP8_ORACLE = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-v AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+v AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
 g AS (SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM v)),
 r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
 c AS (SELECT doc_id, count(DISTINCT p + k) AS n_repeat_words FROM (SELECT doc_id, p, unnest([0, 1, 2]) AS k FROM r) GROUP BY doc_id),
@@ -56,3 +56,27 @@ def op8(spark, sf_dir):
         "doc_id", stat("n_words"), stat("word_chars"), stat("n_symbols"), stat("n_dup_lines"), stat("n_repeat_words"),
         ((n < 50) | (100 * rep > 50 * n)).alias("base_failed"), F.col("rejected_by").isNull().alias("kept"),
     )
+
+
+@query("op7_best_fit_packing")
+def op7(spark, sf_dir):
+    return best_fit.pack(load_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2)
+
+
+@query("op4_token_frames")
+def op4(spark, sf_dir):
+    return token_frames.round_trip(load_table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=1)
+
+
+@query("op2_hilbert_shards")
+def op2(spark, sf_dir):
+    docs = load_table(spark, sf_dir, "documents")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(
+        F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        hilbert_shards.hashed(F.col("lang")).alias("__lang"), hilbert_shards.hashed(F.col("source")).alias("__source"),
+        hilbert_shards.logarithmic(F.col("n_chars")).alias("__chars"),
+    )
+    cells = {c: F.col(c) for c in ("__lang", "__source", "__chars")}
+    out = hilbert_shards.shards(rows, cells, ["doc_id", "text_crc32", "size"], 8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
