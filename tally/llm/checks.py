@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load_table
-from . import best_fit, hilbert_shards, quality_cascade, token_frames
+from . import best_fit, hilbert_shards, license_rules, quality_cascade, token_frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,10 @@ def op2(spark, sf_dir):
     cells = {c: F.col(c) for c in ("__lang", "__source", "__chars")}
     out = hilbert_shards.shards(rows, cells, ["doc_id", "text_crc32", "size"], 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+@query("op10_license_rules")
+def op10(spark, sf_dir):
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = license_rules.scan(docs).withColumn("n_words", license_rules.n_words(F.col("text")))
+    return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
