@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load_table
-from . import best_fit, hilbert_shards, license_rules, quality_cascade, token_frames
+from . import best_fit, hilbert_shards, license_rules, quality_cascade, simhash_lsh, token_frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,9 @@ def op10(spark, sf_dir):
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = license_rules.scan(docs).withColumn("n_words", license_rules.n_words(F.col("text")))
     return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query("op6_simhash_covering")
+def op6(spark, sf_dir):
+    rows = simhash_lsh.near_duplicates(load_table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return rows.select("doc_id", simhash_lsh.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
