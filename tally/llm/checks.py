@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load_table
-from . import best_fit, hilbert_shards, license_rules, quality_cascade, simhash_lsh, token_frames
+from . import benchmark_suffixes, best_fit, hilbert_shards, license_rules, quality_cascade, simhash_lsh, token_frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,15 @@ def op10(spark, sf_dir):
 def op6(spark, sf_dir):
     rows = simhash_lsh.near_duplicates(load_table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return rows.select("doc_id", simhash_lsh.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op5_benchmark_suffixes")
+def op5(spark, sf_dir):
+    docs, benchmark = (load_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    m = F.col("matches")
+    rows = benchmark_suffixes.scan(docs.select("doc_id", "text"), benchmark).withColumn("n_hit", benchmark_suffixes.n_hit(m))
+    return rows.select(
+        "doc_id", m["n_words"].alias("n_words"), "n_hit", F.size(m["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.sort_array(m["items"]), ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"), m["longest"].alias("longest_match"),
+    )
