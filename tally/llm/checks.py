@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load_table
-from . import benchmark_suffixes, best_fit, hilbert_shards, license_rules, quality_cascade, simhash_lsh, token_frames
+from . import benchmark_suffixes, best_fit, hilbert_shards, license_rules, quality_cascade, simhash_lsh, suffix_dedup, token_frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,13 @@ def op5(spark, sf_dir):
         F.sha2(F.array_join(F.sort_array(m["items"]), ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"), m["longest"].alias("longest_match"),
     )
+
+
+@query("op1_suffix_dedup")
+def op1(spark, sf_dir):
+    rows = suffix_dedup.remove_repeats(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = F.octet_length(F.coalesce(F.col("text"), F.lit("")))
+    return rows.select(
+        "doc_id", n.cast("long").alias("n_bytes"), (n - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
