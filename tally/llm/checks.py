@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load_table
-from . import benchmark_suffixes, best_fit, hilbert_shards, license_rules, quality_cascade, simhash_lsh, suffix_dedup, token_frames
+from . import benchmark_suffixes, best_fit, hilbert_shards, license_rules, quality_cascade, simhash_lsh, suffix_dedup, token_frames, toxicity_zstd, warc_revisits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,41 @@ def op1(spark, sf_dir):
         "doc_id", n.cast("long").alias("n_bytes"), (n - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op9_toxicity_zstd")
+def op9(spark, sf_dir):
+    docs, labels = (load_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = toxicity_zstd.train(toxicity_zstd.sample(docs, labels))
+    rows = toxicity_zstd.score(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", toxicity_zstd.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+
+def page_records(pages):
+    """The crawl that ``pages`` stands for: each page's response at the time of its id and, for
+    every second URL, a not-modified revisit 5000 later, whose tag is stale on every seventh page."""
+    tag = F.concat(F.lit('"'), F.md5(F.substring("html", 1, 400).cast("binary")), F.lit('"'))
+    stale = F.col("page_id") % 7 == 0
+    header = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    response = F.map_from_entries(F.array(
+        header("content-type", F.lit("text/html")), header("etag", tag), header("date", F.col("page_id").cast("string")),
+        header("content-length", F.octet_length("html").cast("string"))))
+    revisit = F.map_from_entries(F.array(
+        header("etag", F.when(stale, F.lit('"stale"')).otherwise(F.concat(F.lit("W/"), tag))), header("date", (F.col("page_id") + 5000).cast("string")),
+        header("content-length", F.lit("0")), header("cache-control", F.lit("max-age=60"))))
+    page = F.col("page_id")
+    first = pages.select((2 * page).alias("record_id"), "url", page.cast("long").alias("time"), F.lit("response").alias("kind"), response.alias("headers"), F.col("html").alias("body"))
+    again = pages.where(F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(2)) == 0).select(
+        (2 * page + 1).alias("record_id"), "url", (page + 5000).cast("long").alias("time"), F.lit("revisit").alias("kind"), revisit.alias("headers"), F.lit(None).cast("string").alias("body"))
+    return first.unionByName(again)
+
+
+@query("op3_warc_revisits")
+def op3(spark, sf_dir):
+    rows = warc_revisits.resolve(page_records(load_table(spark, sf_dir, "pages")))
+    h = F.col("merged_headers")
+    return rows.select(
+        "record_id", "kind", "canonical_url", "resolved", "refers_to", h["date"].alias("date"), h["content-length"].alias("content_length"),
+        h["cache-control"].alias("cache_control"), F.md5(F.col("resolved_body").cast("binary")).alias("body_md5"),
+    )
