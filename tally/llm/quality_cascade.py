@@ -170,5 +170,8 @@ def judge(docs: DataFrame, text_col: str = "text", out: str = "rejected_by", sam
 
 def quality_filter(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents no rule rejects, with their own columns."""
-    kept = judge(docs, text_col, "__q_rejected_by", sample_rows).where(F.col("__q_rejected_by").isNull())
+    judged = judge(docs, text_col, "__q_rejected_by", sample_rows)
+    # A filter over the verdict alone would be pushed below the statistics, each copied into it
+    # wherever it is used; one that also reads a row number stays above them.
+    kept = judged.withColumn("__q_row", F.monotonically_increasing_id()).where(F.col("__q_rejected_by").isNull() & (F.col("__q_row") >= 0))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
