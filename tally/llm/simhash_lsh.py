@@ -128,7 +128,7 @@ def links(distinct: DataFrame, radius: int, max_bucket: int = MAX_BUCKET) -> Dat
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (u, v); root is the component's least node."""
+    """(node, root) for every node of ``edges`` (u, v) but the roots; a root is its component's least node."""
     ensure_checkpoint_dir(edges.sparkSession)
     edges = edges.where("u <> v").checkpoint()
     if edges.isEmpty():

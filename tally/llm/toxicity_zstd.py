@@ -37,9 +37,10 @@ from ..session import ship_package
 
 PER_CLASS = 2000
 TRAIN_CHARS = 20_000
-LIFT = 10.0
+LIFT = 20.0
 #: Share of the toxic training documents a word of the toxic dictionary is in, at least.
 MIN_SHARE = 0.013
+MIN_DOCS = 8
 TOXIC_BYTES, ORDINARY_BYTES = 8192, 112_640
 #: Counts of windows above the threshold that are told apart.
 LEVELS = 4
@@ -133,7 +134,7 @@ def train(rows: list[tuple[int, str]]) -> Model:
     check = {y: v[::4] for y, v in texts.items()}
     n = {y: len(v) for y, v in fit.items()}
     seen = {y: Counter(w for t in v for w in set(words(t))) for y, v in fit.items()}
-    marked = Counter({w: c for w, c in seen[1].items() if c >= max(2, MIN_SHARE * n[1]) and c * (n[0] + 1) >= LIFT * (seen[0][w] + 0.5) * (n[1] + 1)})
+    marked = Counter({w: c for w, c in seen[1].items() if c >= max(min(MIN_DOCS, n[1] / 4), MIN_SHARE * n[1]) and c * (n[0] + 1) >= LIFT * (seen[0][w] + 0.5) * (n[1] + 1)})
     if not marked:
         return Model(b"", b"", 1, [n[1] / (n[0] + n[1])])
     dicts = []
