@@ -33,7 +33,7 @@ WINDOW = 10
 #: Characters of benchmark text in one broadcast block.
 BLOCK_CHARS = 8_000_000
 #: Bytes of text that make one shard's suffix array.
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 

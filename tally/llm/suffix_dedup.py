@@ -35,6 +35,8 @@ pass through and those named like a result give way to it.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,8 +49,10 @@ LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1  # triples inside one string
 #: Bytes handled by numpy at a time.
 CHUNK = 1 << 20
+#: Documents whose names are combined before they travel.
+BATCH_DOCS = 2500
 #: Documents in one group of texts.
-GROUP_DOCS = 1000
+GROUP_DOCS = 500
 HOT_DOCS = 50_000
 _NULL = -(1 << 63)
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -113,7 +117,7 @@ def _table(blob: bytes, columns: int) -> np.ndarray:
 
 def _texts(pdf: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
     ids = np.array([_NULL if pd.isna(d) else int(d) for d in pdf["__doc"].tolist()], dtype=np.int64)
-    return ids, [(t or "").encode("utf-8", "surrogatepass") for t in pdf["__text"].tolist()]
+    return ids, [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"].tolist()]
 
 
 def _by(part: np.ndarray, *columns: np.ndarray):
@@ -134,22 +138,25 @@ def _triples(buckets: int, groups: int):
 
     def run(batches):
         for pdf in batches:
-            ids, texts = _texts(pdf)
-            found = [(ids[k], h) for k, _, _, _, h in samples(texts)]
-            if not found:
-                continue
-            doc, h = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((doc, h))
-            doc, h = doc[order], h[order]
-            once = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
-            doc, h = doc[once], h[once]
-            head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            n = np.diff(np.r_[head, len(h)])
-            last = head + n - 1
-            out = [(b, _press(*c)) for b, c in _by(h[head] % buckets, h[head], doc[head], doc[last], n)]
-            many = np.repeat(n > 1, n)
-            out += [(-1 - g, _press(*c)) for g, c in _by(_group(doc[many], groups), doc[many], h[many])]
-            yield pd.DataFrame(out, columns=["bucket", "blob"])
+            for at in range(0, len(pdf), BATCH_DOCS):
+                out = names(*_texts(pdf.iloc[at : at + BATCH_DOCS]))
+                if out:
+                    yield pd.DataFrame(out, columns=["bucket", "blob"])
+
+    def names(ids, texts):
+        found = [(ids[k], h) for k, _, _, _, h in samples(texts)]
+        if not found:
+            return []
+        doc, h = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((doc, h))
+        doc, h = doc[order], h[order]
+        once = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
+        doc, h = doc[once], h[once]
+        head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        n = np.diff(np.r_[head, len(h)])
+        out = [(b, _press(*c)) for b, c in _by(h[head] % buckets, h[head], doc[head], doc[head + n - 1], n)]
+        many = np.repeat(n > 1, n)
+        return out + [(-1 - g, _press(*c)) for g, c in _by(_group(doc[many], groups), doc[many], h[many])]
 
     return run
 
@@ -338,19 +345,28 @@ def _cut(columns: list[str]):
     return run
 
 
+def release_shuffles(spark) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished, checkpointed steps now, not at the driver's next full collection."""
+    gc.collect()
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
+
+
 def remove_repeats(docs: DataFrame, buckets: int | None = None, hot_docs: int = HOT_DOCS) -> DataFrame:
     """``docs`` with ``kept`` (bytes left, in order), ``span_starts`` and ``span_ends`` (removed bytes)."""
     spark = docs.sparkSession
     ship_package(spark)
     ensure_checkpoint_dir(spark)
     columns = [c for c in docs.columns if c not in ("kept", "span_starts", "span_ends")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("doc_id").cast("long").cast("string").alias("__doc"), F.col("text").cast("string").alias("__text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("doc_id").cast("long").cast("string").alias("__doc"))
     groups = docs.count() // GROUP_DOCS + 1
-    buckets = buckets or 2 * groups + 8
+    buckets = buckets or groups // 2 + 8
 
-    narrow = rows.select("__doc", "__text")
-    names = narrow.mapInPandas(_triples(buckets, groups), "bucket long, blob binary")
-    hits = names.groupBy("bucket").applyInPandas(_shared(groups, hot_docs), "grp long, blob binary").checkpoint()
+    narrow = rows.select("__doc", F.col("text").cast("string").alias("text"))
+    hits = narrow.mapInPandas(_triples(buckets, groups), "bucket long, blob binary").groupBy("bucket").applyInPandas(
+        _shared(groups, hot_docs), "grp long, blob binary").checkpoint()
+    release_shuffles(spark)
     # More than hot_docs documents share each: at most (sampled places / hot_docs) of them.
     hot = np.concatenate([np.zeros(0, np.int64)] + [_table(r[0], 1)[0] for r in hits.where("grp = -1").select("blob").toLocalIterator()])
 

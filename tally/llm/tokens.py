@@ -74,6 +74,11 @@ class Encoder:
         return [whole[k] if c is None else b"".join(map(get, c)) for k, c in enumerate(cut)]
 
 
+def release(enc: Encoder) -> None:
+    """Forget the pieces when a task ends: an idle worker should hold no memory."""
+    enc.known.clear()
+
+
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
