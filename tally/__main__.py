@@ -18,6 +18,7 @@ from pyspark.sql import SparkSession
 from . import api
 from .operators import adhoc
 from .session import apply_defaults, local_session
+from .sources.tables import child_names
 
 
 def _session() -> SparkSession:
@@ -45,8 +46,7 @@ def main(argv=None) -> None:
         return
     ctx = api.retrieve_context(spark, a.store, [a.dataset_id], a.question)
     tables = os.path.join(a.store, "tables", a.dataset_id)
-    if os.path.isdir(tables):
-        adhoc.attach_datasets(spark, [{t: os.path.join(tables, t) for t in sorted(os.listdir(tables))}])
+    adhoc.attach_datasets(spark, [{t: os.path.join(tables, t) for t in child_names(spark, tables)}])
     answer = adhoc.answer_question(spark, a.question, a.sql, a.dataset_id)
     print(json.dumps({"chunks": ctx["retrieved_chunks"], "answer": answer}, ensure_ascii=False, default=str))
 

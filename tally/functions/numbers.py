@@ -19,7 +19,7 @@ MONEY_PREFIX = "$"
 
 # What Python's float() / pandas.to_numeric accept as a number (after trim).
 NUMBER_TEXT = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity|nan)$"
-INTEGER_TEXT = r"^[+-]?\d{1,18}$"  # fits BIGINT
+INTEGER_TEXT = r"^[+-]?\d+$"  # an integer column also needs every value to fit BIGINT
 
 
 def strict_number(c) -> Column:

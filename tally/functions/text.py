@@ -5,10 +5,9 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._util import col
 
@@ -42,75 +41,78 @@ def label(c) -> Column:
     )
 
 
-def _fold_table() -> tuple[str, str]:
-    """Accent folds and mark deletions, derived from Unicode by rule.
-
-    Folds: every Latin letter in U+00C0..U+024F and U+1E00..U+1EFF whose
-    compatibility decomposition, without combining marks, is one ASCII
-    letter.  Deletions: every BMP character with a non-zero canonical
-    combining class (the marks NFKD folding drops).  ``translate`` removes
-    the characters of the first string that have no counterpart in the
-    second, so one pass does both.
-    """
-    src, dst = [], []
-    for lo, hi in ((0x00C0, 0x024F), (0x1E00, 0x1EFF)):
-        for cp in range(lo, hi + 1):
-            ch = chr(cp)
-            base = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
-            if len(base) == 1 and base != ch and base.isascii() and base.isalpha():
-                src.append(ch)
-                dst.append(base)
-    marks = [chr(cp) for cp in range(0x0300, 0x10000) if not 0xD800 <= cp <= 0xDFFF and unicodedata.combining(chr(cp))]
-    return "".join(src) + "".join(marks), "".join(dst)
-
-
-_FOLD_SRC, _FOLD_DST = _fold_table()
-
-
-def fold_accents(c) -> Column:
-    """Drop accents (E5, fast path): one ``translate`` folds accented Latin
-    letters and deletes combining marks."""
-    return F.translate(col(c), _FOLD_SRC, _FOLD_DST)
-
+def _folded(ch: str) -> str:
+    """Lower case, compatibility decomposition, combining marks dropped."""
+    return "".join(x for x in unicodedata.normalize("NFKD", ch.lower()) if not unicodedata.combining(x))
 
-def normalize_text(c) -> Column:
-    """Question folding (E5): lower, fold accents, other characters to one space.
 
-    Not trimmed.  Compatibility forms that expand to several letters
-    (ligatures, fractions) are not folded here; ``normalize_text_exact``
-    covers them with a pandas UDF.
-    """
-    return F.regexp_replace(fold_accents(F.lower(col(c))), r"[^a-z0-9_ ]+", " ")
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """The fold of every BMP character, by rule: one-letter folds and deletions as
+    the two strings of a ``translate``, longer folds (ligatures, fractions) apart."""
+    gone, src, dst, longer = [], [], [], {}
+    for ch in (chr(cp) for cp in range(0x80, 0x10000) if not 0xD800 <= cp <= 0xDFFF):
+        to = _folded(ch)
+        if to == ch or not any(x.isascii() for x in to) and to:
+            continue
+        if len(to) > 1:
+            longer[ch] = to
+        elif to:
+            src.append(ch)
+            dst.append(to)
+        else:
+            gone.append(ch)
+    return "".join(src) + "".join(gone), "".join(dst), longer
 
 
-def _nfkd_fold(s: pd.Series) -> pd.Series:
-    pat = re.compile(r"[^a-z0-9_ ]+")
+_FOLD_SRC, _FOLD_DST, _FOLD_LONGER = _fold_tables()
 
-    def one(v):
-        if v is None:
-            return None
-        d = unicodedata.normalize("NFKD", v.lower())
-        return pat.sub(" ", "".join(ch for ch in d if not unicodedata.combining(ch)))
 
-    return s.map(one)
+def fold_accents(c) -> Column:
+    """Compatibility folding (E5): one ``translate`` for letters and marks; texts
+    with a character that folds to several are rewritten by one replacement each."""
+    x = col(c)
+    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in _FOLD_LONGER.items()])
+    rewritten = F.aggregate(table, x, lambda acc, r: F.replace(acc, r["k"], r["v"]))
+    holds = x.rlike("[" + "".join(f"\\u{ord(k):04x}" for k in _FOLD_LONGER) + "]")
+    return F.translate(F.when(holds, rewritten).otherwise(x), _FOLD_SRC, _FOLD_DST)
 
 
-_nfkd_udf = None
+NOT_QUESTION_TEXT = r"[^a-z0-9_ ]+"
 
 
-def normalize_text_exact(c) -> Column:
-    """E5 with full NFKD (ligatures, fractions), as an Arrow-batched pandas UDF (slow path)."""
-    global _nfkd_udf
-    from pyspark.sql import SparkSession
+def normalize_text(c) -> Column:
+    """Question folding (E5): lower, fold, other characters to one space.  Not trimmed."""
+    return F.regexp_replace(fold_accents(F.lower(col(c))), NOT_QUESTION_TEXT, " ")
+
+
+#: Since the fold covers compatibility forms, the exact form is the same Column.
+normalize_text_exact = normalize_text
+
+
+def float_text(c) -> Column:
+    """A double as Python writes it: ``12345678.9``, ``1e+16``, ``1e-05``."""
+    x = col(c).cast("double")
+    s = x.cast("string")
+    plain = F.regexp_replace(s.cast("decimal(38,20)").cast("string"), r"0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    mantissa = F.regexp_replace(F.substring_index(s, "E", 1), r"\.0$", "")
+    power = F.substring_index(s, "E", -1).cast("int")
+    sign = F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+"))
+    scientific = F.concat(mantissa, sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return (
+        F.when(F.isnan(x), F.lit("nan")).when(s.contains("Infinity"), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+        .when(~s.contains("E"), s).when((F.abs(x) >= 1e16) | (F.abs(x) < 1e-4), scientific).otherwise(plain)
+    )
 
-    from ..session import ship_package
 
-    active = SparkSession.getActiveSession()
-    if active is not None:
-        ship_package(active)
-    if _nfkd_udf is None:
-        _nfkd_udf = F.pandas_udf(_nfkd_fold, "string")
-    return _nfkd_udf(col(c))
+def cell_text(c, data_type: T.DataType) -> Column:
+    """A cell as the reference writes it: Python's text of numbers and booleans."""
+    x = col(c)
+    if isinstance(data_type, T.BooleanType):
+        return F.when(x, F.lit("True")).when(~x, F.lit("False"))
+    if isinstance(data_type, T.DoubleType):
+        return float_text(x)
+    return x.cast("string")
 
 
 # The characters Python's str.split() treats as whitespace.
@@ -155,6 +157,5 @@ def slug_name(value, fallback: str = "field") -> str:
 
 
 def normalize_question(value: str) -> str:
-    """Driver-side twin of ``normalize_text_exact`` for one question string."""
-    d = unicodedata.normalize("NFKD", value.lower())
-    return re.sub(r"[^a-z0-9_ ]+", " ", "".join(ch for ch in d if not unicodedata.combining(ch)))
+    """Driver-side twin of ``normalize_text`` for one question string."""
+    return re.sub(NOT_QUESTION_TEXT, " ", "".join(map(_folded, value)))

@@ -2,105 +2,41 @@
 
 Spark has no as-of join (and ``a asof join b`` silently parses as an alias).
 A range join would emit every earlier row of a key, and a window partitioned
-by the key puts a hot key in one task.  This is a sorted scan instead:
-
-1. range-partition on ``(by, order, tiebreak)`` and sort inside partitions,
-   so a hot key is split over many partitions like any other key range; the
-   result is checkpointed (``spark.checkpoint.dir``) so both passes read the
-   same rows and a lost executor re-reads it instead of re-shuffling;
-2. pass 1 (two JVM aggregations over the checkpoint) gives one summary row
-   per partition (its last row and the predecessor of its last tie block).
-   Summaries are bounded by the number of partitions; the driver folds them
-   into the start state of every partition;
-3. pass 2 (``mapInPandas``) scans each partition in order from that state
-   and emits only the probe rows, with their predecessor.
-
-The scan is vectorized per Arrow batch with numpy; state crosses batches
-and partitions as one (last row, predecessor) pair.
+by the key alone puts a hot key in one task.  All steps here are DataFrame
+operations, with nothing on the driver:
+
+1. rows tied on (key, order) become one row, the last of them in tiebreak
+   order, by a partial aggregate;
+2. the order's range is cut into slices of equal width; inside one key and
+   slice the row before is a ``lag``;
+3. the last row of each (key, slice) is carried into the key's later slices
+   by a window over those few rows, for the first row of each slice;
+4. the probe rows look their (key, order) up.  A hot key is spread over its
+   slices and instants in every shuffle.
 """
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from ..session import ensure_checkpoint_dir, ship_package, shuffle_partitions
-
-_PID = "__tally_pid"
-_PROBE = "__tally_probe"
-
-
-def _eq(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Vectorized equality where null never equals anything."""
-    return np.asarray(a == b, dtype=bool) & ~pd.isna(a) & ~pd.isna(b)
+#: Slices of the order's range; a key's rows are spread over as many tasks.
+SLICES = 256
 
 
-def _scalar_eq(a, b) -> bool:
-    if a is None or b is None or pd.isna(a) or pd.isna(b):
-        return False
-    if isinstance(a, (np.datetime64, pd.Timestamp)) or isinstance(b, (np.datetime64, pd.Timestamp)):
-        return pd.Timestamp(a) == pd.Timestamp(b)
-    return bool(a == b)
-
-
-def _scan_batches(it, by, order, payload, start_state):
-    """Yield ``(pdf, ref, pool)`` per batch; ``ref`` indexes the predecessor in ``pool`` (-1: none).
-
-    ``start_state(pid)`` gives ``(last, pred)`` dicts (or None) for the
-    partition's first batch.  The final state is returned via StopIteration.
-    """
-    last = pred = None
-    started = False
-    from_start = True
-    for pdf in it:
-        if pdf.empty:
-            continue
-        first_batch = not started
-        if not started:
-            last, pred = start_state(int(pdf[_PID].iloc[0]))
-            started = True
-        n = len(pdf)
-        b = pdf[by].to_numpy()
-        o = pdf[order].to_numpy()
-        same_key = np.zeros(n, dtype=bool)
-        same_ord = np.zeros(n, dtype=bool)
-        if n > 1:
-            same_key[1:] = _eq(b[1:], b[:-1])
-            same_ord[1:] = _eq(o[1:], o[:-1])
-        if last is not None:
-            same_key[0] = _scalar_eq(b[0], last[by])
-            same_ord[0] = _scalar_eq(o[0], last[order])
-        new_block = ~(same_key & same_ord)
-        empty = {c: None for c in payload}
-        # pool row 0: carried predecessor, row 1: carried last row, then the batch
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore", FutureWarning)  # all-null carried rows at partition start
-            pool = pd.concat(
-                [pd.DataFrame([pred or empty, last or empty], columns=list(payload)), pdf[list(payload)]],
-                ignore_index=True,
-            )
-        idx = np.arange(n)
-        at_start = np.where(same_key, np.where(idx == 0, 1, idx + 1), -1)  # row before, if same key
-        at_start = np.where(new_block, at_start, -2)
-        last_start = np.maximum.accumulate(np.where(new_block, idx, -1))
-        carried = 0 if pred is not None else -1
-        ref = np.where(last_start >= 0, at_start[np.maximum(last_start, 0)], carried)
-        ref = np.where(pd.isna(b), -1, ref)
-        yield pdf, ref, pool
-        starts = np.flatnonzero(new_block)
-        if len(starts):
-            from_start = first_batch and starts[-1] == 0
-            r = at_start[starts[-1]]
-            pred = None if r < 0 else pool.iloc[r][list(payload)].to_dict()
-        last = pdf.iloc[n - 1][list(payload)].to_dict()
-        first_batch = False
-    return last, pred, from_start, started
+def _position(df: DataFrame, order: str) -> Column:
+    """The order column as a number."""
+    c, kind = F.col(order), df.schema[order].dataType
+    days = F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("double")
+    if isinstance(kind, T.DateType):
+        return days
+    if isinstance(kind, T.TimestampNTZType):  # without a time zone: days and seconds of the day
+        return days * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    return c.cast("double")
 
 
 def asof_previous(
@@ -110,90 +46,36 @@ def asof_previous(
     tiebreak: str | None = None,
     probe: Column | None = None,
     carry: Sequence[str] | None = None,
-    num_partitions: int | None = None,
+    slices: int = SLICES,
 ) -> DataFrame:
     """Probe rows plus ``prev_<col>`` columns of the latest row with the same
     ``by`` and a strictly smaller ``order`` (nulls when there is none).
 
     Among rows tied on ``order`` the one last in ``tiebreak`` order is taken.
     ``probe`` selects the rows answered (default: all).  ``carry`` names the
-    columns of the predecessor returned (default: all but ``by``).
+    columns of the predecessor returned (default: all but ``by``).  ``order``
+    is a number, date or timestamp; a null key or order has no predecessor
+    and is none.
     """
-    spark = df.sparkSession
-    ship_package(spark)
-    n = num_partitions or shuffle_partitions(spark)
-    keys = [by, order] + ([tiebreak] if tiebreak else [])
     carry = list(carry) if carry else [c for c in df.columns if c != by]
-    payload = list(dict.fromkeys([by, order] + carry))
-    ensure_checkpoint_dir(spark)
-    ranged = (
-        df.withColumn(_PROBE, probe if probe is not None else F.lit(True))
-        .repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn(_PID, F.spark_partition_id())
-        .checkpoint(eager=True)
+    payload = list(dict.fromkeys([by, order, *carry]))
+    row = F.struct(*payload)
+    known = df.where(F.col(by).isNotNull() & F.col(order).isNotNull())
+    instants = known.groupBy(F.col(by).alias("__by"), F.col(order).alias("__at"), _position(df, order).alias("__x")).agg(
+        (F.max_by(row, F.col(tiebreak)) if tiebreak else F.max(row)).alias("__row")
     )
-    fmap = {f.name: f for f in df.schema.fields}
-
-    # Pass 1: per-partition summary, JVM-side over the checkpoint (one row per
-    # partition): its last row, whether that row's tie block spans the whole
-    # partition, and the last row before that block.
-    key = F.struct(F.col(by).alias("b"), F.col(order).alias("o"))
-    full = F.struct(*[F.col(k) for k in keys])
-    row = F.struct(*[F.col(c) for c in payload])
-    ends = ranged.groupBy(_PID).agg(
-        F.max_by(row, full).alias("last"), F.min(key).alias("first_key"), F.max(key).alias("last_key")
-    )
-    befores = (
-        ranged.join(F.broadcast(ends.select(_PID, "last_key")), _PID)
-        .where(key < F.col("last_key"))
-        .groupBy(_PID)
-        .agg(F.max_by(row, full).alias("before"))
-    )
-    summaries = []
-    for r in sorted(ends.join(befores, _PID, "left").collect(), key=lambda r: r[_PID]):
-        last = r["last"].asDict()
-        before = r["before"].asDict() if r["before"] is not None else None
-        pred = before if before is not None and last[by] is not None and before[by] == last[by] else None
-        summaries.append({_PID: r[_PID], "last": last, "pred": pred, "from_start": r["first_key"] == r["last_key"]})
-
-    # Fold on the driver: start state of each partition = state after all earlier ones.
-    starts: dict[int, tuple] = {}
-    state_last, state_pred = None, None
-    for r in summaries:
-        starts[r[_PID]] = (state_last, state_pred)
-        last = r["last"]
-        if r["from_start"]:
-            # The partition's last block began at its first row: its predecessor
-            # comes from the incoming state.
-            if state_last is not None and state_last[by] == last[by] and state_last[order] == last[order]:
-                pred = state_pred
-            elif state_last is not None and state_last[by] == last[by] and last[by] is not None:
-                pred = state_last
-            else:
-                pred = None
-        else:
-            pred = r["pred"]
-        state_last, state_pred = last, pred
-
-    prev_names = {c: f"prev_{c}" for c in payload}
-    out_cols = list(df.columns)
-    out_schema = T.StructType(
-        [fmap[c] for c in out_cols] + [T.StructField(prev_names[c], fmap[c].dataType, True) for c in payload]
-    )
-
-    def answer(it):
-        gen = _scan_batches(it, by, order, payload, lambda pid: starts.get(pid, (None, None)))
-        for pdf, ref, pool in gen:
-            probe_mask = pdf[_PROBE].to_numpy(dtype=bool)
-            if not probe_mask.any():
-                continue
-            sel = np.flatnonzero(probe_mask)
-            out = pdf.iloc[sel][out_cols].reset_index(drop=True)
-            r = ref[sel]
-            taken = pool.iloc[np.where(r >= 0, r, 0)].reset_index(drop=True)
-            for c in payload:
-                out[prev_names[c]] = taken[c].astype(object).where(pd.Series(r >= 0), None)
-            yield out
-
-    return ranged.mapInPandas(answer, out_schema)
+    low, high = F.min("__x").alias("__low"), F.max("__x").alias("__high")
+    bounds = known.select(_position(df, order).alias("__x")).agg(low, high)  # one row
+    width = (F.col("__high") - F.col("__low")) / slices
+    instants = instants.crossJoin(F.broadcast(bounds)).withColumn(
+        "__slice", F.when(width > 0, F.floor((F.col("__x") - F.col("__low")) / width)).otherwise(F.lit(0))
+    ).drop("__x", "__low", "__high")
+    ends = instants.groupBy("__by", "__slice").agg(F.max_by("__row", "__at").alias("__end"))
+    earlier = Window.partitionBy("__by").orderBy("__slice")
+    carried = ends.withColumn("__carried", F.lag("__end").over(earlier)).drop("__end")
+    inside = Window.partitionBy("__by", "__slice").orderBy("__at")
+    before = instants.withColumn("__before", F.lag("__row").over(inside)).join(carried, ["__by", "__slice"])
+    before = before.select("__by", "__at", F.coalesce("__before", "__carried").alias("__prev"))
+    rows = df if probe is None else df.where(probe)
+    found = rows.join(before, (rows[by] == before["__by"]) & (rows[order] == before["__at"]), "left")
+    return found.select(*[rows[c] for c in df.columns], *[F.col("__prev")[c].alias(f"prev_{c}") for c in payload])

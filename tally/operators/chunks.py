@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions._util import qcol
-from ..functions.text import csv_field, csv_line, slug_name, table_name, truncate_text
+from ..functions.text import cell_text, csv_field, csv_line, slug_name, table_name, truncate_text
 from .profile import ROW_ID, data_columns
 from .rowindex import row_index
 
@@ -42,7 +42,7 @@ def _line_value(field: T.StructField):
     c = qcol(field.name)
     if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(c)
-    return c
+    return cell_text(c, field.dataType)
 
 
 def row_chunks(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,23 +29,30 @@ def typed_sort(df: DataFrame, column: str, tiebreak: str, descending: bool = Fal
         asc = typed_sort(df, column, tiebreak, False, name)
         n = df.count()
         return asc.withColumn(name, F.lit(n + 1) - F.col(name))
-    tv = typed_value(F.col(column), df.schema[column].dataType)
-    keyed = df.withColumn("__tv", tv).withColumn("__kr", kind_rank(F.col("__tv.kind")))
-    empty_last = (F.col("__tv.kind") == "empty").cast("int")
-    vals = [F.col("__tv.num"), F.col("__tv.ts"), F.col("__tv.txt")]
-    keyed = keyed.withColumn("__e", empty_last)
-    for i, v in enumerate(vals):
-        keyed = keyed.withColumn(f"__v{i}", v)
-    direction = (lambda c: F.col(c).desc_nulls_last()) if descending else (lambda c: F.col(c).asc_nulls_last())
-    order = [F.col("__e").asc(), direction("__kr"), direction("__v0"), direction("__v1"), direction("__v2"),
-             F.col(tiebreak).asc()]
-    out = row_index(keyed, order, name=name)
-    return out.drop("__tv", "__kr", "__e", "__v0", "__v1", "__v2")
-
-
-def display_rows(sorted_df: DataFrame, name: str = "position", n: int = DISPLAY_ROWS) -> DataFrame:
-    """H3: the first 50 rows after the sort."""
-    return sorted_df.where(F.col(name) <= n)
+    keyed, order = _typed_keys(df, column, tiebreak, descending)
+    return row_index(keyed, order, name=name).select(*df.columns, name)
+
+
+def _typed_keys(df: DataFrame, column: str, tiebreak: str, descending: bool) -> tuple[DataFrame, list[Column]]:
+    """``df`` with the sort keys of H2, and the order over them."""
+    tv = F.col("__tv")
+    keyed = df.withColumn("__tv", typed_value(F.col(column), df.schema[column].dataType))
+    keys = {"__kr": kind_rank(tv["kind"]), "__v0": tv["num"], "__v1": tv["ts"], "__v2": tv["txt"]}
+    keyed = keyed.withColumns({"__e": (tv["kind"] == "empty").cast("int")} | keys).drop("__tv")
+    directed = [F.col(k).desc_nulls_last() if descending else F.col(k).asc_nulls_last() for k in keys]
+    return keyed, [F.col("__e").asc(), *directed, F.col(tiebreak).asc()]
+
+
+def display_rows(df: DataFrame, column: str, tiebreak: str, descending: bool = False, name: str = "position",
+                 n: int = DISPLAY_ROWS) -> DataFrame:
+    """H3: the first 50 rows of the typed sort, numbered.
+
+    A sort with a limit keeps 50 rows a task and merges them
+    (``TakeOrderedAndProject``); only those are numbered.
+    """
+    keyed, order = _typed_keys(df, column, tiebreak, descending)
+    first = keyed.orderBy(*order).limit(n)
+    return first.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long")).select(*df.columns, name)
 
 
 def bar_widths(points: DataFrame, chart_col: str, value_col: str = "value") -> DataFrame:

@@ -59,10 +59,8 @@ def unique_names(headers: DataFrame, file_col="file", pos_col="pos", header_col=
     out = dedupe(out)
     if not fix_collisions:
         return out
-    for _ in range(16):
-        dup = out.groupBy(file_col, "name").count().where("count > 1").limit(1).count()
-        if dup == 0:
-            break
+    # Every round lengthens all but one of the names that still collide, so it ends.
+    while not out.groupBy(file_col, "name").count().where("count > 1").isEmpty():
         out = dedupe(out)
     return out
 
@@ -73,15 +71,15 @@ def unique_name_list(values: Sequence, prefix: str = "col") -> list[str]:
     for i, v in enumerate(values, start=1):
         blank = v is None or str(v).strip() == ""
         names.append(f"{prefix}_{i}" if blank else slug_name(str(v).strip(), f"{prefix}_{i}"))
-    while True:
-        seen: dict[str, int] = {}
-        out = []
-        for n in names:
-            seen[n] = seen.get(n, 0) + 1
-            out.append(n if seen[n] == 1 else f"{n}_{seen[n]}")
-        if len(set(out)) == len(out):
-            return out
-        names = out
+    rounds = names
+    while len(set(rounds)) < len(rounds):
+        repeat: dict[str, int] = {}
+        numbered = []
+        for name in rounds:
+            repeat[name] = repeat.get(name, 0) + 1
+            numbered.append(name + (f"_{repeat[name]}" if repeat[name] > 1 else ""))
+        rounds = numbered
+    return rounds
 
 
 def null_tokens(df: DataFrame, columns: Sequence[str] | None = None, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
@@ -115,7 +113,7 @@ def coercion_plan(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         aggs += [
             F.count(qcol(c)).alias(f"n{i}"),
             F.count_if(F.lower(s).rlike(NUMBER_TEXT)).alias(f"d{i}"),
-            F.count_if(s.rlike(INTEGER_TEXT)).alias(f"i{i}"),
+            F.count_if(s.rlike(INTEGER_TEXT) & s.try_cast("bigint").isNotNull()).alias(f"i{i}"),
             F.count_if(qcol(c).isin(BOOLEAN_TRUE + BOOLEAN_FALSE)).alias(f"b{i}"),
         ]
     stats = df.agg(*aggs)

@@ -123,7 +123,9 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool =
         F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull()
     )
     per_value = melted.groupBy("pos", "l", "d", "s").agg(F.count(F.lit(1)).alias("n"))
-    num = F.coalesce(F.col("d"), F.col("l").cast("double"))
+    # Decimals travel as text, which keeps every digit for the distinct count.
+    decimals = [i for i, f in enumerate(fields) if isinstance(f.dataType, T.DecimalType)]
+    num = F.coalesce(F.col("d"), F.col("l").cast("double"), F.when(F.col("pos").isin(decimals), F.col("s").try_cast("double")))
     per_col = per_value.groupBy("pos").agg(
         F.count(F.lit(1)).alias("distinct"),
         F.sum("n").alias("non_nulls"),
@@ -158,7 +160,7 @@ def _profile_approx(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame
         lv, dv, sv = _typed_slots(f)
         aggs.append(F.count(F.coalesce(lv.cast("string"), dv.cast("string"), sv)).alias(f"nn{i}"))
         if is_numeric_kind(column_kind(f.dataType)):
-            x = F.coalesce(dv, lv.cast("double"))
+            x = qcol(f.name).cast("double") if isinstance(f.dataType, T.DecimalType) else F.coalesce(dv, lv.cast("double"))
             aggs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"), F.avg(x).alias(f"av{i}"),
                      F.sum(x).alias(f"sm{i}")]
         aggs.append(F.approx_count_distinct(_as_text(f)).alias(f"ds{i}"))

@@ -434,11 +434,13 @@ _sql(
     "q13_recursive_month_calendar",
     """
     WITH RECURSIVE bounds AS (
-      SELECT CAST(min(o_orderdate) AS DATE) AS lo, CAST(max(o_orderdate) AS DATE) AS hi FROM orders),
-    cal(m) AS (
-      SELECT trunc(lo, 'MM') FROM bounds
+      SELECT trunc(CAST(min(o_orderdate) AS DATE), 'MM') AS lo, CAST(max(o_orderdate) AS DATE) AS hi FROM orders),
+    years(y) AS (
+      SELECT lo FROM bounds
       UNION ALL
-      SELECT add_months(m, 1) FROM cal WHERE add_months(m, 1) <= (SELECT hi FROM bounds)),
+      SELECT add_months(y, 12) FROM years WHERE add_months(y, 12) <= (SELECT hi FROM bounds)),
+    cal AS (SELECT m FROM (SELECT explode(sequence(y, add_months(y, 11), INTERVAL 1 MONTH)) AS m FROM years)
+            WHERE m <= (SELECT hi FROM bounds)),
     counts AS (SELECT trunc(CAST(o_orderdate AS DATE), 'MM') AS m, count(*) AS n FROM orders GROUP BY 1)
     SELECT date_format(cal.m, 'yyyy-MM') AS month, coalesce(counts.n, 0) AS n_orders
     FROM cal LEFT JOIN counts ON cal.m = counts.m

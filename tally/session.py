@@ -49,7 +49,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", os.environ.get("TALLY_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("TALLY_DRIVER_MEMORY", "8g"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tally-warehouse-"))
     )
     for key, value in SESSION_DEFAULTS.items():
@@ -97,14 +97,14 @@ def spread(df, min_partitions: int | None = None):
     work (whole-text regular expressions, melts) would otherwise run in one
     task.
     """
-    try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (Spark Connect): leave the plan as it is
-        return df
-    if have >= want:
+    plan = getattr(df, "_jdf", None)
+    if plan is None:  # Spark Connect: leave the plan as it is
         return df
-    return df.repartition(want)
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    # The optimized size over the split size: known without running any stage of the plan.
+    size = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df if size >= want * split else df.repartition(want)
 
 
 _SHIPPED: set[str] = set()

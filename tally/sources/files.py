@@ -11,8 +11,9 @@ import csv
 import os
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import table_name
 from ..operators import ingest as ig
@@ -61,6 +62,12 @@ def sniff_delimiter(lines: list[str]) -> str:
     return max(DELIMITERS, key=lambda d: _count_outside_quotes(rows[0], d))
 
 
+def _n_fields(line: Column, sep: str) -> Column:
+    """Fields of a record: its delimiters outside quotes, and one."""
+    bare = F.regexp_replace(line, '"[^"]*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+
+
 def _logical_lines(lines: list[str]) -> list[str]:
     """Join physical lines that continue a quoted field."""
     out, cur = [], None
@@ -75,37 +82,41 @@ def _logical_lines(lines: list[str]) -> list[str]:
 def read_csv_section(spark: SparkSession, path: str, name: str | None = None, multi_line: bool = False) -> Section:
     """A1 + A2 + A5/A6 + A8 + A9 for one delimited file.
 
-    Only the first lines reach the driver (delimiter sniffing); the file is
-    read by Spark as text columns, null tokens are nulled, all-null rows are
-    dropped and columns are typed all-or-nothing.  ``multi_line`` allows
-    quoted line breaks but makes each file one task (not splittable).
+    The first lines give the delimiter and the header.  One scan of all lines
+    decides the rest: an odd number of quotes in any line means quoted line
+    breaks, and the file is read whole (one task); a line or record with more
+    fields than the header is an error wherever it stands.  Text columns are
+    nulled, empty rows dropped and columns typed all-or-nothing.
     """
-    head = [r[0] for r in spark.read.text(path).limit(SNIFF_LINES).collect()]
+    lines = spark.read.text(path)
+    head = [r[0] for r in lines.limit(SNIFF_LINES).collect()]
     sep = sniff_delimiter(head)
-    # An unbalanced quote in a sniffed line means a quoted line break: read
-    # those files whole (a quoted field may span lines, as the reference allows).
-    multi_line = multi_line or any(ln.count('"') % 2 for ln in head)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    whole = lines.agg(F.max(quotes % 2).alias("odd"), F.max(_n_fields(F.col("value"), sep)).alias("fields")).first()
+    multi_line = multi_line or bool(whole["odd"])
     if multi_line:
         head = _logical_lines(head)
-    raw = (
-        spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
-        .option("multiLine", multi_line).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False).option("nullValue", None).option("emptyValue", "")
-        .csv(path)
-    )
-    if not head or not raw.columns:
+    if not head:
         raise ValueError(f"no header row in {path}")
-    # Original header texts from the first line (Spark renames repeats to a0, a2).
     originals = next(csv.reader([head[0].lstrip("\ufeff")], delimiter=sep))  # a UTF-8 BOM is not part of the header
-    if len(originals) != len(raw.columns):
-        originals = list(raw.columns)
-    # Like the reference reader, a line with more fields than the header is an
-    # error (checked on the sniffed lines; Spark would drop the extra fields).
-    for ln in head[1:]:
-        if ln.strip() and _count_outside_quotes(ln, sep) + 1 > len(originals):
-            raise ValueError(f"a line has more fields than the header in {path}")
     slugs = ig.unique_name_list(originals)
-    df = raw.toDF(*slugs)
+    record = "__record"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*slugs, record]])
+    raw = (
+        spark.read.schema(schema).option("header", True).option("sep", sep).option("multiLine", multi_line).option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("nullValue", None)
+        .option("emptyValue", "").option("enforceSchema", True).option("columnPruning", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", record).csv(path)
+    )
+    # Like the reference reader, more fields than the header is an error (Spark would drop them).
+    # Lines are records unless a quoted field spans lines; then Spark keeps the odd records' text.
+    too_long = whole["fields"] > len(originals)
+    if multi_line:
+        # A column of the data goes along: the text of odd records can't be read alone.
+        odd = raw.select(F.length(F.coalesce(*slugs, F.lit(""))).alias("n"), record).where(F.col(record).isNotNull())
+        too_long = odd.where((_n_fields(F.col(record), sep) > len(originals)) & (F.col("n") >= 0)).limit(1).count() > 0
+    if too_long:
+        raise ValueError(f"a line has more fields than the header in {path}")
+    df = raw.drop(record)
     df = ig.with_row_ids(df)
     df = ig.null_tokens(df, slugs)
     df = ig.drop_empty_rows(df)
@@ -148,3 +159,8 @@ def sections_frame(spark: SparkSession, sections: list[Section]) -> DataFrame:
     return spark.createDataFrame(
         rows, "section string, hidden boolean, kind string, columns array<string>, slugs array<string>"
     ).withColumn("table_name", table_name(F.col("section")))
+
+
+def section_tables(sections: list[Section]) -> list[str]:
+    """Table names of a file's sections, no two alike (the A6 rule across sections)."""
+    return ["sheet_" + n for n in ig.unique_name_list([s.name for s in sections], prefix="sheet")]

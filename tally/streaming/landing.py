@@ -12,6 +12,7 @@ quarantine table and does not stop the others.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import traceback
 from concurrent.futures import ThreadPoolExecutor
@@ -23,23 +24,31 @@ from ..functions.text import slug_name
 from ..operators import ingest as ig
 from ..operators.profile import catalog
 from ..session import ensure_checkpoint_dir
-from ..sources.files import load_sections
+from ..sources.files import load_sections, section_tables
+from ..sources.tables import path_exists
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 STATUS_SCHEMA = "path string, dataset_id string, status string, sections int, rows long, error string, epoch long"
 
 
+def dataset_id_of(path: str) -> str:
+    """Id of a landed file: its slug, with a digest of the name unless the name is its own
+    slug plus ``.csv``.  Files of one folder never share an id."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    base = slug_name(os.path.splitext(name)[0], "dataset")
+    return base if name == base + ".csv" else f"{base}_{hashlib.md5(name.encode()).hexdigest()[:8]}"
+
+
 def _ingest_file(spark: SparkSession, path: str, out_dir: str) -> tuple[str, int, int]:
     # The file source reports Hadoop paths (``file:/a/b c.csv``, not percent-encoded).
     local = path[len("file:"):] if path.startswith("file:") else path
-    dataset_id = slug_name(os.path.splitext(os.path.basename(local))[0], "dataset")
+    dataset_id = dataset_id_of(local)
     kind, sections = load_sections(spark, local)
     total = 0
     cats = []
-    for s in sections:
+    for s, table in zip(sections, section_tables(sections)):
         if not [c for c in s.df.columns if c != "_rid"]:
             raise ValueError(f"empty section {s.name}")
-        table = "sheet_" + slug_name(s.name, "sheet")
         target = os.path.join(out_dir, "tables", dataset_id, table)
         ig.write_section(s.df, target)
         written = spark.read.parquet(target)
@@ -117,7 +126,7 @@ def ingest_landing(
         .start()
     )
     q.awaitTermination()
-    if os.path.exists(status_path):
+    if path_exists(spark, status_path):
         return spark.read.parquet(status_path)
     return spark.createDataFrame([], STATUS_SCHEMA)
 

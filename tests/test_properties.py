@@ -73,7 +73,7 @@ def test_asof_matches_brute_force_with_hot_key_and_ties(spark):
         ts = base + timedelta(minutes=rnd.randint(0, 600))  # many ties
         rows.append((i, ts, uid, rnd.choice(["error", "click", "view"])))
     df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string")
-    got = asof_previous(df, "user_id", "ts", "event_id", probe=F.col("event_type") == "error", num_partitions=11)
+    got = asof_previous(df, "user_id", "ts", "event_id", probe=F.col("event_type") == "error", slices=11)
     mine = {r["event_id"]: r["prev_event_id"] for r in got.collect() if r["prev_event_id"] is not None}
     assert mine == _brute_asof(rows)
 
@@ -183,7 +183,7 @@ def test_asof_tie_blocks_spanning_partitions(spark):
         ts = base + timedelta(hours=rnd.randint(0, 2))  # three timestamps: tie blocks cross partitions
         rows.append((i, ts, uid, rnd.choice(["error", "view"])))
     df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string")
-    got = asof_previous(df, "user_id", "ts", "event_id", probe=F.col("event_type") == "error", num_partitions=13)
+    got = asof_previous(df, "user_id", "ts", "event_id", probe=F.col("event_type") == "error", slices=13)
     mine = {r["event_id"]: r["prev_event_id"] for r in got.collect() if r["prev_event_id"] is not None}
     assert mine == _brute_asof(rows)
 
@@ -293,7 +293,7 @@ def test_asof_with_null_keys(spark):
     rows = [(i, base + timedelta(minutes=rnd.randint(0, 50)), None if i % 5 == 0 else rnd.randint(1, 4),
              rnd.choice(["error", "view"])) for i in range(400)]
     df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string")
-    got = asof_previous(df, "user_id", "ts", "event_id", probe=F.col("event_type") == "error", num_partitions=5)
+    got = asof_previous(df, "user_id", "ts", "event_id", probe=F.col("event_type") == "error", slices=5)
     mine = {r["event_id"]: r["prev_event_id"] for r in got.collect() if r["prev_event_id"] is not None}
     brute = {k: v for k, v in _brute_asof([r for r in rows if r[2] is not None]).items()}
     assert mine == brute
