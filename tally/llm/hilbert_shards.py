@@ -67,9 +67,9 @@ def shards(df: DataFrame, cells: Mapping[str, Column], order: list[str], count:
     """``df`` with ``curve``, ``shard`` and ``slot`` (place in the shard, from 0)."""
     curve = hilbert_index(list(cells.values()), bits)
     rows = row_index(df.withColumn("curve", curve), ["curve", *order], name="__place")
-    total = rows.agg(F.count(F.lit(1)).alias("__total"))  # one row
-    place = F.col("__place") - 1
+    total = rows.count()
     # Shard k holds the places from ceil(k * total / count) on.
-    rows = rows.crossJoin(F.broadcast(total)).withColumn("shard", F.expr(f"int((__place - 1) * {count} div greatest(__total, 1))"))
-    first = F.expr(f"(shard * __total + {count - 1}) div {count}")
-    return rows.withColumn("slot", (place - first).cast("long")).drop("__place", "__total")
+    place = F.col("__place") - 1
+    rows = rows.withColumn("shard", F.expr(f"int((__place - 1) * {count} div {max(total, 1)})"))
+    first = F.expr(f"(shard * {total}L + {count - 1}) div {count}")
+    return rows.withColumn("slot", (place - first).cast("long")).drop("__place")

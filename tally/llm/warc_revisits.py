@@ -67,9 +67,9 @@ def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
     """
     names = ("canonical_url", "refers_to", "resolved", "merged_headers", "resolved_body")
     rows = records.drop(*names).withColumn("canonical_url", canonical_url(F.col("url")))
-    bounds = rows.agg(F.min("time").alias("__t0"), F.max("time").alias("__t1"))  # one row
-    rows = rows.crossJoin(F.broadcast(bounds))
-    rows = rows.withColumn("__slice", F.expr(f"(time - __t0) div ((__t1 - __t0) div {slices} + 1)")).drop("__t0", "__t1")
+    low, high = rows.agg(F.min("time"), F.max("time")).first()
+    low, width = low or 0, ((high or 0) - (low or 0)) // slices + 1
+    rows = rows.withColumn("__slice", F.expr(f"(time - {low}L) div {width}L"))
     is_full = F.col("kind") == "response"
     full = F.struct("time", F.col("record_id").alias("id"), "headers")
     # Bodies stay at home: only ids and headers are carried, the body is joined at the end.
