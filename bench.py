@@ -24,6 +24,9 @@ HEADLINE = [
     "c06_rankings_two_dims",
     "c07_overview",
     "d01_row_chunks_orders",
+    "a01_csv_read",
+    "h03_display_rows",
+    "d06_top_k_per_dataset",
     "d05_cosine_top_k",
     "d05_cosine_top_k_100",
     "q02_pricing_summary",

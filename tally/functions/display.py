@@ -90,24 +90,26 @@ BLOCKED_WITH_CONTENT = ["script", "style", "iframe", "object"]
 BLOCKED_VOID = ["embed", "link", "meta"]
 
 
-def html_clean_patterns() -> list[tuple[str, str]]:
-    """(pattern, replacement) steps of H7, no back-references (RE2-compatible)."""
-    steps = [(rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>", "") for t in BLOCKED_WITH_CONTENT]
-    steps += [(rf"(?is)</?{t}\b[^>]*>", "") for t in BLOCKED_VOID]
-    steps.append((r"""(?i)\s+on[a-z0-9_-]+\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", ""))
-    steps.append((r"""(?i)\s(href|src)\s*=\s*("\s*javascript:[^"]*"|'\s*javascript:[^']*'|javascript:[^\s>]*)""", ""))
-    return steps
-
-
 BODY_PATTERN = r"(?is)<body\b[^>]*>(.*)</body\s*>"
+_TAG = "<[a-zA-Z/][^<>]*>"
+#: Attributes removed from tags: handlers, and links that run code.
+_HANDLER = r"""(?i)[\s/]+on[a-z0-9_-]+\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
+_SCRIPT_LINK = r"""(?i)[\s/]+(href|src)\s*=\s*("\s*javascript:[^"]*"|'\s*javascript:[^']*'|javascript:[^\s>]*)"""
 
 
 def sanitize_html(c) -> Column:
-    """H7: body only; blocked elements, ``on*`` attributes and ``javascript:``
-    links removed.  A regular-expression approximation of a DOM walk: it
-    cleans stored pages for display and is not a security boundary."""
+    """H7: body only; blocked elements, ``on*`` attributes and ``javascript:`` links removed.
+
+    Blocked elements go with their content, one that is never closed up to
+    the end.  Attributes are looked for inside tags alone, so text that reads
+    like one stays.  A regular-expression approximation of a DOM walk: it
+    cleans stored pages for display and is not a security boundary.
+    """
     s = col(c).cast("string")
     s = F.when(s.rlike(BODY_PATTERN), F.regexp_extract(s, BODY_PATTERN, 1)).otherwise(s)
-    for pat, rep in html_clean_patterns():
-        s = F.regexp_replace(s, pat, rep)
-    return s
+    for t in BLOCKED_WITH_CONTENT:
+        s = F.regexp_replace(s, rf"(?is)<{t}\b[^>]*>.*?(</{t}\s*>|\z)", "")
+    s = F.regexp_replace(s, rf"(?is)</?({'|'.join(BLOCKED_VOID)})\b[^>]*>", "")
+    texts = F.split(s, _TAG, -1)
+    tags = F.transform(F.regexp_extract_all(s, F.lit(_TAG), 0), lambda t: F.regexp_replace(F.regexp_replace(t, _HANDLER, ""), _SCRIPT_LINK, ""))
+    return F.array_join(F.zip_with(texts, tags, lambda text, tag: F.concat(text, F.coalesce(tag, F.lit("")))), "")

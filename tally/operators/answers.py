@@ -31,10 +31,12 @@ ANALYSIS_HTML_CLOSE = "</ul></div>"
 
 CHART = "struct<title:string,kind:string,data:array<struct<label:string,value:double>>>"
 ARTIFACT = f"struct<type:string,title:string,html:string,chart:{CHART},rows:array<string>>"
+# As parsed, a chart value may also be a number written as text.
+_PARSED = {CHART: CHART.replace("value:double", "value:string")}
 ANSWER_SCHEMA = (
     f"struct<response_text:string,response_html:string,artifacts:array<{ARTIFACT}>,focus_files:array<string>,"
     f"analysis:array<string>,chart:{CHART},table:array<string>>"
-)
+).replace(CHART, _PARSED[CHART])
 
 
 def json_candidate(c) -> Column:
@@ -56,6 +58,17 @@ def _blank(x: Column) -> Column:
     return x.isNull() | (F.trim(x) == "")
 
 
+def _first_text(*texts: Column) -> Column:
+    """The first text that is not blank."""
+    return F.coalesce(*[F.when(~_blank(t), t) for t in texts])
+
+
+def _points(chart: Column) -> Column:
+    """Up to 12 points of a parsed chart, values as numbers."""
+    data = F.coalesce(chart["data"], F.array().cast("array<struct<label:string,value:string>>"))
+    return F.transform(F.slice(data, 1, MAX_POINTS), lambda p: F.struct(p["label"].alias("label"), p["value"].try_cast("double").alias("value")))
+
+
 def _artifact(type_: Column, title: Column, html: Column, chart: Column, rows: Column) -> Column:
     return F.struct(
         type_.alias("type"), title.alias("title"), html.alias("html"), chart.alias("chart"), rows.alias("rows")
@@ -65,7 +78,7 @@ def _artifact(type_: Column, title: Column, html: Column, chart: Column, rows: C
 def clean_artifacts(arts: Column) -> Column:
     """First 6 considered; known types only; blank html, charts of another kind
     and empty tables dropped; chart data and table rows cut to 12."""
-    first = F.slice(F.coalesce(arts, F.array().cast(f"array<{ARTIFACT}>")), 1, MAX_ARTIFACTS)
+    first = F.slice(F.coalesce(arts, F.array().cast(f"array<{ARTIFACT.replace(CHART, _PARSED[CHART])}>")), 1, MAX_ARTIFACTS)
     null_chart = F.lit(None).cast(CHART)
     null_rows = F.lit(None).cast("array<string>")
     null_text = F.lit(None).cast("string")
@@ -73,9 +86,8 @@ def clean_artifacts(arts: Column) -> Column:
     def norm(a: Column) -> Column:
         kind = F.lower(F.trim(a["type"]))
         chart = F.struct(
-            F.coalesce(a["chart"]["title"], a["title"], F.lit(DEFAULT_CHART_TITLE)).alias("title"),
-            a["chart"]["kind"].alias("kind"),
-            F.slice(F.coalesce(a["chart"]["data"], F.array().cast("array<struct<label:string,value:double>>")), 1, MAX_POINTS).alias("data"),
+            _first_text(a["chart"]["title"], a["title"], F.lit(DEFAULT_CHART_TITLE)).alias("title"),
+            a["chart"]["kind"].alias("kind"), _points(a["chart"]).alias("data"),
         )
         return _artifact(
             kind, a["title"],
@@ -107,12 +119,11 @@ def legacy_artifacts(ans: Column) -> Column:
     null_text = F.lit(None).cast("string")
     a1 = F.when(F.size(analysis) > 0, F.array(_artifact(F.lit("html"), F.lit(ANALYSIS_TITLE), html, null_chart, null_rows)))
     ch = ans["chart"]
-    chart_title = F.coalesce(ch["title"], F.lit(DEFAULT_CHART_TITLE))
+    chart_title = _first_text(ch["title"], F.lit(DEFAULT_CHART_TITLE))
     a2 = F.when(
         ch["kind"].isin(CHART_KINDS),
         F.array(_artifact(F.lit("chart"), chart_title, null_text,
-                          F.struct(chart_title.alias("title"), ch["kind"].alias("kind"),
-                                   F.slice(F.coalesce(ch["data"], F.array().cast("array<struct<label:string,value:double>>")), 1, MAX_POINTS).alias("data")),
+                          F.struct(chart_title.alias("title"), ch["kind"].alias("kind"), _points(ch).alias("data")),
                           null_rows)),
     )
     a3 = F.when(
@@ -143,7 +154,7 @@ def clean_answers(
     arts = F.concat(clean_artifacts(ans["artifacts"]), legacy_artifacts(ans))
     if fallback_col:
         arts = F.when(F.size(arts) == 0, F.coalesce(F.col(fallback_col), arts)).otherwise(arts)
-    focus = F.coalesce(ans["focus_files"], F.when(primary.isNotNull(), F.array(primary)), F.array().cast("array<string>"))
+    focus = F.coalesce(F.when(F.size(ans["focus_files"]) > 0, ans["focus_files"]), F.when(primary.isNotNull(), F.array(primary)), F.array().cast("array<string>"))
     return df.select(
         "*",
         ans.isNull().alias("parse_error"),

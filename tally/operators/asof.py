@@ -64,12 +64,10 @@ def asof_previous(
     instants = known.groupBy(F.col(by).alias("__by"), F.col(order).alias("__at"), _position(df, order).alias("__x")).agg(
         (F.max_by(row, F.col(tiebreak)) if tiebreak else F.max(row)).alias("__row")
     )
-    low, high = F.min("__x").alias("__low"), F.max("__x").alias("__high")
-    bounds = known.select(_position(df, order).alias("__x")).agg(low, high)  # one row
-    width = (F.col("__high") - F.col("__low")) / slices
-    instants = instants.crossJoin(F.broadcast(bounds)).withColumn(
-        "__slice", F.when(width > 0, F.floor((F.col("__x") - F.col("__low")) / width)).otherwise(F.lit(0))
-    ).drop("__x", "__low", "__high")
+    low, high = known.select(_position(df, order).alias("x")).agg(F.min("x"), F.max("x")).first()
+    width = ((high or 0.0) - (low or 0.0)) / slices
+    place = F.floor((F.col("__x") - F.lit(low)) / F.lit(width)) if width > 0 else F.lit(0)
+    instants = instants.withColumn("__slice", place).drop("__x")
     ends = instants.groupBy("__by", "__slice").agg(F.max_by("__row", "__at").alias("__end"))
     earlier = Window.partitionBy("__by").orderBy("__slice")
     carried = ends.withColumn("__carried", F.lag("__end").over(earlier)).drop("__end")

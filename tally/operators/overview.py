@@ -137,46 +137,30 @@ OVERVIEW_SCHEMA = (
 def section_overview_record(df: DataFrame, section: str, prof: DataFrame, k: int = TOP_K) -> dict:
     """C7 for one section as a record: ``section, rows, metrics[], dimensions[], rankings[]``.
 
-    The profile is catalog-sized: it is computed once (with labels and
-    semantic types) and read on the driver, where the metric and dimension
-    choice (C1-C3, the same rules as ``metric_columns`` /
-    ``dimension_columns``) is a filter over a few rows.  The rankings are one
-    Spark job over the section (all ranked dimensions in one pass).
+    The profile is catalog-sized: it is computed once and kept as a local
+    relation, from which C1-C3 choose.  The rankings are one Spark job over
+    the section (all ranked dimensions in one pass).
     """
-    # One job: the profile with labels and types, read as catalog-sized rows.
-    rows = prof.select(
-        "*",
-        label(F.col("column_name")).alias("label"),
-        semantic_type(F.col("column_name"), F.col("kind"), F.col("distinct"), F.col("non_nulls")).alias("semantic_type"),
-    ).collect()
-    rows = sorted(rows, key=lambda r: r["pos"])
-    numeric = ("number", "boolean")
-    m_rows = [r for r in rows if r["kind"] in numeric and r["non_nulls"] > 0]
-    d_rows = [r for r in rows if r["kind"] not in numeric and r["non_nulls"] > 0 and r["distinct"] > 1]
-    n_rows = rows[0]["rows"] if rows else 0
-    base = next((m for m in m_rows if m["semantic_type"] == "money_or_amount"), m_rows[0] if m_rows else None)
-    metric_label = base["label"] if base else COUNT_METRIC_LABEL
-    ranked = d_rows[:RANKED_DIMENSIONS]
-    rankings = []
-    if ranked:
-        got = rank_dimensions(df, [d["column_name"] for d in ranked], base["column_name"] if base else None, k).collect()
-        for d in ranked:
-            data = sorted((r for r in got if r["dimension"] == d["column_name"]), key=lambda r: r["rank"])
-            if data:
-                rankings.append({
-                    "dimension": d["label"], "metric": metric_label, "kind": "bar",
-                    "data": [{"label": r["label"], "value": r["value"]} for r in data],
-                })
+    local = df.sparkSession.createDataFrame(prof.collect(), prof.schema)
+    chosen = metric_columns(local)
+    metrics = chosen.where("kept").orderBy("pos").collect()
+    dimensions = dimension_columns(local).where("kept").orderBy("pos").collect()
+    base = base_metric(chosen).first()
+    top: dict[str, list] = {d["column_name"]: [] for d in dimensions if d["ranked"]}
+    if top:
+        for r in rank_dimensions(df, list(top), base["column_name"], k).orderBy("rank").collect():
+            top[r["dimension"]].append({"label": r["label"], "value": r["value"]})
+    rankings = [
+        {"dimension": d["label"], "metric": base["label"] or COUNT_METRIC_LABEL, "kind": "bar", "data": top[d["column_name"]]}
+        for d in dimensions if top.get(d["column_name"])
+    ]
+    n_rows = local.agg(F.max("rows")).first()[0] or 0
+    shown = lambda row, names: {n: row[n] for n in names}
     return {
         "section": section,
         "rows": int(n_rows),
-        "metrics": [
-            {"column_name": m["column_name"], "label": m["label"], "total": m["total"], "mean": m["mean"],
-             "semantic_type": m["semantic_type"]} for m in m_rows[:MAX_METRICS]
-        ],
-        "dimensions": [
-            {"column_name": d["column_name"], "label": d["label"], "distinct": d["distinct"]} for d in d_rows[:MAX_DIMENSIONS]
-        ],
+        "metrics": [shown(m, ("column_name", "label", "total", "mean", "semantic_type")) for m in metrics],
+        "dimensions": [shown(d, ("column_name", "label", "distinct")) for d in dimensions],
         "rankings": rankings,
     }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.display import DATE_FORMATS, html_clean_patterns, rich_text, sanitize_html, typed_value
+from ..functions.display import DATE_FORMATS, rich_text, sanitize_html, typed_value
 from ..functions.numbers import executive_value, format_metric
 from ..operators import display as dp
 from ..operators import overview as ov
@@ -165,18 +165,23 @@ def h07_html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.length(c).cast("bigint").alias("clean_len"), F.md5(c).alias("clean_md5"))
 
 
-def _duck_sanitize(x: str) -> str:
-    body = r"(?is)<body\b[^>]*>(.*)</body\s*>"
-    s = f"CASE WHEN regexp_matches({x}, '{body}') THEN regexp_extract({x}, '{body}', 1) ELSE {x} END"
-    for pat, rep in html_clean_patterns():
-        s = f"regexp_replace({s}, '{pat.replace(chr(39), chr(39) * 2)}', '{rep}', 'g')"
-    return s
-
-
 check(
     "h07_html_clean",
-    oracle=f"""
-    WITH c AS (SELECT page_id, {_duck_sanitize('html')} AS c FROM pages)
+    # Elements go by the places of their tags; attributes piece by piece between "<" and ">".
+    oracle=r"""
+    WITH b AS (SELECT page_id, CASE WHEN html ILIKE '%<body%</body%' THEN regexp_extract(html, '(?is)<body\b[^>]*>(.*)</body\s*>', 1) ELSE html END AS t FROM pages),
+    e AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
+            '(?is)<script\b[^>]*>.*?(</script\s*>|\z)', '', 'g'), '(?is)<style\b[^>]*>.*?(</style\s*>|\z)', '', 'g'),
+            '(?is)<iframe\b[^>]*>.*?(</iframe\s*>|\z)', '', 'g'), '(?is)<object\b[^>]*>.*?(</object\s*>|\z)', '', 'g'),
+            '(?is)</?(embed|link|meta)\b[^>]*>', '', 'g') AS t FROM b),
+    p AS (SELECT page_id, string_split(t, '<') AS p FROM e),
+    c AS (SELECT page_id, p[1] || array_to_string(list_transform(p[2:], lambda x:
+            CASE WHEN strpos(x, '>') > 0 AND regexp_matches(x, '^[a-zA-Z/]')
+                 THEN '<' || regexp_replace(regexp_replace(substr(x, 1, strpos(x, '>')),
+                      '(?i)[\s/]+on[a-z0-9_-]+\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', '', 'g'),
+                      '(?i)[\s/]+(href|src)\s*=\s*("\s*javascript:[^"]*"|''\s*javascript:[^'']*''|javascript:[^\s>]*)', '', 'g')
+                      || substr(x, strpos(x, '>') + 1)
+                 ELSE '<' || x END), '') AS c FROM p)
     SELECT page_id, CAST(length(c) AS BIGINT) AS clean_len, md5(c) AS clean_md5 FROM c
     """,
 )(h07_html_clean)
