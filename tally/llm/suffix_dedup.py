@@ -104,15 +104,23 @@ def _samples(texts, held):
 
 
 def _press(*arrays: np.ndarray) -> bytes:
+    """Columns of numbers, byte plane by byte plane: the planes of zeros above small numbers cost nothing."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a, dtype="<i8").tobytes() for a in arrays))
+    planes = [np.ascontiguousarray(a, dtype="<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
 def _table(blob: bytes, columns: int) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype="<i8").reshape(columns, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(columns, 8, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8").reshape(columns, -1)
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """First number and the differences: small where neighbours are near."""
+    return np.diff(ascending, prepend=0)
 
 
 def _texts(pdf: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
@@ -154,7 +162,7 @@ def _triples(buckets: int, groups: int):
         doc, h = doc[once], h[once]
         head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         n = np.diff(np.r_[head, len(h)])
-        out = [(b, _press(*c)) for b, c in _by(h[head] % buckets, h[head], doc[head], doc[head + n - 1], n)]
+        out = [(b, _press(_steps(hs), lo, hi - lo, m)) for b, (hs, lo, hi, m) in _by(h[head] % buckets, h[head], doc[head], doc[head + n - 1], n)]
         many = np.repeat(n > 1, n)
         return out + [(-1 - g, _press(*c)) for g, c in _by(_group(doc[many], groups), doc[many], h[many])]
 
@@ -167,7 +175,10 @@ def _shared(groups: int, hot_docs: int):
     def run(key, pdf):
         if key[0] < 0:
             return pd.DataFrame({"grp": [-1 - int(key[0])] * len(pdf), "blob": pdf["blob"]})
-        h, lo, hi, n = np.concatenate([_table(b, 4) for b in pdf["blob"]], axis=1)
+        tables = [_table(b, 4) for b in pdf["blob"]]
+        h = np.concatenate([np.cumsum(t[0]) for t in tables])
+        lo, more, n = np.concatenate([t[1:] for t in tables], axis=1)
+        hi = lo + more
         order = np.argsort(h, kind="stable")
         h, lo, hi, n = h[order], lo[order], hi[order], n[order]
         head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
