@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
+from .memory import give_back
 
 WINDOW = 10
 #: Characters of benchmark text in one broadcast block.
@@ -174,6 +175,8 @@ def _finder(spark, block: Block | None):
                 flush()
                 held, size = [], 0
         flush()
+        held = []
+        give_back()
         return pd.DataFrame(rows, columns=_FOUND.names)
 
     return find

@@ -27,10 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
+from .memory import give_back
 
 SEED = 42
 MAX_BUCKET = 4096
-_CHUNK = 1 << 16
+_CHUNK = 1 << 14
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -55,7 +56,9 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, shingle) for t in texts.tolist()], dtype="int64")
+        out = pd.Series([fingerprint(t, shingle) for t in texts.tolist()], dtype="int64")
+        give_back()
+        return out
 
     return docs.select("doc_id", fp(F.col("text").cast("string")).alias("fp"))
 

@@ -44,11 +44,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir, ship_package
+from .memory import give_back
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1  # triples inside one string
 #: Bytes handled by numpy at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Documents whose names are combined before they travel.
 BATCH_DOCS = 2500
 #: Documents in one group of texts.
@@ -137,6 +138,28 @@ def _by(part: np.ndarray, *columns: np.ndarray):
         yield int(part[i]), [c[order[i:j]] for c in columns]
 
 
+def _lean_pair(run):
+    """A grouped function that gives its memory back."""
+
+    def lean(key, left, right):
+        out = run(key, left, right)
+        give_back()
+        return out
+
+    return lean
+
+
+def _lean(run):
+    """The same for one group."""
+
+    def lean(key, pdf):
+        out = run(key, pdf)
+        give_back()
+        return out
+
+    return lean
+
+
 def _group(doc: np.ndarray, groups: int) -> np.ndarray:
     return (_mix(doc.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
@@ -148,6 +171,7 @@ def _triples(buckets: int, groups: int):
         for pdf in batches:
             for at in range(0, len(pdf), BATCH_DOCS):
                 out = names(*_texts(pdf.iloc[at : at + BATCH_DOCS]))
+                give_back()
                 if out:
                     yield pd.DataFrame(out, columns=["bucket", "blob"])
 
@@ -376,7 +400,7 @@ def remove_repeats(docs: DataFrame, buckets: int | None = None, hot_docs: int =
 
     narrow = rows.select("__doc", F.col("text").cast("string").alias("text"))
     hits = narrow.mapInPandas(_triples(buckets, groups), "bucket long, blob binary").groupBy("bucket").applyInPandas(
-        _shared(groups, hot_docs), "grp long, blob binary").checkpoint()
+        _lean(_shared(groups, hot_docs)), "grp long, blob binary").checkpoint()
     release_shuffles(spark)
     # More than hot_docs documents share each: at most (sampled places / hot_docs) of them.
     hot = np.concatenate([np.zeros(0, np.int64)] + [_table(r[0], 1)[0] for r in hits.where("grp = -1").select("blob").toLocalIterator()])
@@ -387,11 +411,11 @@ def remove_repeats(docs: DataFrame, buckets: int | None = None, hot_docs: int =
 
     grouped = rows.withColumn("grp", group_of("__doc"))
     contexts = grouped.groupBy("grp").cogroup(hits.where("grp >= 0").groupBy("grp")).applyInPandas(
-        _contexts(buckets, groups, hot), "bucket long, rows binary, bytes binary")
-    ranges = contexts.groupBy("bucket").applyInPandas(_sorted(groups), "grp long, blob binary")
+        _lean_pair(_contexts(buckets, groups, hot)), "bucket long, rows binary, bytes binary")
+    ranges = contexts.groupBy("bucket").applyInPandas(_lean(_sorted(groups)), "grp long, blob binary")
     schema = T.StructType([f for f in rows.select(*[F.col(f"`{c}`") for c in columns]).schema.fields] + [
         T.StructField("kept", T.BinaryType()), T.StructField("span_starts", T.ArrayType(T.LongType())), T.StructField("span_ends", T.ArrayType(T.LongType()))])
-    return grouped.groupBy("grp").cogroup(ranges.groupBy("grp")).applyInPandas(_cut(columns), schema)
+    return grouped.groupBy("grp").cogroup(ranges.groupBy("grp")).applyInPandas(_lean_pair(_cut(columns)), schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

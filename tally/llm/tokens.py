@@ -13,6 +13,8 @@ import os
 
 import numpy as np
 
+from .memory import give_back
+
 #: Distinct pieces a worker remembers; beyond it the memory starts anew.
 CACHE_PIECES = 1_000_000
 
@@ -77,6 +79,7 @@ class Encoder:
 def release(enc: Encoder) -> None:
     """Forget the pieces when a task ends: an idle worker should hold no memory."""
     enc.known.clear()
+    give_back()
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
