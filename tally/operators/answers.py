@@ -163,3 +163,44 @@ def clean_answers(
         F.slice(arts, 1, MAX_ARTIFACTS).alias("artifacts"),
         F.slice(focus, 1, MAX_FOCUS_FILES).alias("focus_files"),
     )
+
+
+# Caps of the side panel and words that name a sheet in a KPI's context.
+MAX_PANEL = {"insights": 4, "metrics": 4, "charts": 2}
+SHEET_WORDS = ["hoja", "sheet"]
+PANEL_SCHEMA = (
+    "struct<title:string,input_kind:string,summary:string,insights:array<string>,"
+    f"metrics:array<struct<label:string,value:string,context:string>>,charts:array<{_PARSED[CHART]}>>"
+)
+
+
+def clean_panels(df: DataFrame, text_col: str, title_col: str, kind_col: str, summary_col: str) -> DataFrame:
+    """G3 for panel analyses: adds ``panel_error`` and ``panel``.
+
+    A missing title, kind or summary takes the dataset's own; lists are cut to
+    4 insights, 4 metrics and 2 charts; a KPI context that names a sheet is
+    blanked.  Text without a JSON object is an error with an empty panel.
+    """
+    parsed = F.from_json(json_candidate(F.col(text_col)), PANEL_SCHEMA)
+    p = F.col("__panel")
+
+    def cut(name: str) -> Column:
+        return F.slice(F.coalesce(p[name], F.array().cast(_panel_type(name))), 1, MAX_PANEL[name])
+
+    def metric(m: Column) -> Column:
+        context = F.lower(F.coalesce(m["context"], F.lit("")))
+        names_sheet = F.lit(False)
+        for word in SHEET_WORDS:
+            names_sheet |= context.contains(word)
+        return F.struct(m["label"].alias("label"), m["value"].alias("value"), F.when(names_sheet, F.lit("")).otherwise(m["context"]).alias("context"))
+
+    panel = F.struct(
+        F.coalesce(p["title"], F.col(title_col)).alias("title"), F.coalesce(p["input_kind"], F.col(kind_col)).alias("input_kind"),
+        F.coalesce(p["summary"], F.col(summary_col)).alias("summary"), cut("insights").alias("insights"),
+        F.transform(cut("metrics"), metric).alias("metrics"), cut("charts").alias("charts"),
+    )
+    return df.withColumn("__panel", parsed).withColumn("panel_error", p.isNull()).withColumn("panel", panel).drop("__panel")
+
+
+def _panel_type(name: str) -> str:
+    return {"insights": "array<string>", "metrics": "array<struct<label:string,value:string,context:string>>", "charts": f"array<{_PARSED[CHART]}>"}[name]

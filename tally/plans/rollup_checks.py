@@ -238,3 +238,36 @@ check(
     FROM conversations
     """,
 )(g01_answers_from_conversations)
+
+
+def g03_panels_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G3 over panel texts made from every conversation turn: five insights and metrics
+    (every third context names a sheet), the title missing on odd turns."""
+    from ..operators.answers import clean_panels
+
+    c = Tables(spark, sf_dir).conversations
+    metric = lambda k: F.struct(
+        F.concat(F.lit("m"), F.lit(k)).alias("label"), F.col("turn").cast("string").alias("value"),
+        F.when((F.col("turn") + k) % 3 == 0, F.lit("Hoja1 total")).otherwise(F.col("role")).alias("context"))
+    panel = F.to_json(F.struct(
+        F.when(F.col("turn") % 2 == 0, F.col("role")).alias("title"),
+        F.array(*[F.concat(F.lit(f"{k}: "), F.col("role")) for k in range(5)]).alias("insights"),
+        F.array(*[metric(k) for k in range(5)]).alias("metrics")))
+    rows = c.select("conv_id", "turn", F.concat(F.lit("Panel: "), panel).alias("t"), F.lit("datos.csv").alias("f"), F.lit("csv").alias("k"), F.lit("resumen").alias("s"))
+    p = F.col("panel")
+    return clean_panels(rows, "t", "f", "k", "s").select(
+        "conv_id", "turn", "panel_error", p["title"].alias("title"), p["summary"].alias("summary"),
+        F.size(p["insights"]).cast("bigint").alias("n_insights"), F.size(p["charts"]).cast("bigint").alias("n_charts"),
+        F.array_join(F.transform(p["metrics"], lambda m: F.concat(m["label"], F.lit("="), m["context"])), ";").alias("contexts"))
+
+
+check(
+    "g03_panels_from_conversations",
+    oracle="""
+    SELECT conv_id, turn, false AS panel_error, CASE WHEN turn % 2 = 0 THEN coalesce(role, 'datos.csv') ELSE 'datos.csv' END AS title,
+           'resumen' AS summary, CAST(4 AS BIGINT) AS n_insights, CAST(0 AS BIGINT) AS n_charts,
+           'm0=' || CASE WHEN turn % 3 = 0 THEN '' ELSE role END || ';m1=' || CASE WHEN (turn + 1) % 3 = 0 THEN '' ELSE role END
+           || ';m2=' || CASE WHEN (turn + 2) % 3 = 0 THEN '' ELSE role END || ';m3=' || CASE WHEN turn % 3 = 0 THEN '' ELSE role END AS contexts
+    FROM conversations
+    """,
+)(g03_panels_from_conversations)

@@ -50,3 +50,29 @@ def test_legacy_fields_and_fallback(spark):
     assert got["artifacts"][0]["html"].count("<li>") == 4
     assert got["artifacts"][1]["title"] == "Visualización"
     assert got["artifacts"][2]["title"] == "Detalle"
+
+
+def test_panel_defaults_caps_and_contexts(spark):
+    from tally.operators.answers import clean_panels
+
+    texts = [
+        json.dumps({"title": "T", "insights": list("abcde"), "metrics": [{"label": str(k), "value": 1, "context": c} for k, c in enumerate(["HOJA1", "Sheet 2", "ventas", None, "x"])],
+                    "charts": [{"title": "c", "kind": "bar", "data": []}] * 3}),
+        "{}", "nada",
+    ]
+    df = spark.createDataFrame([(i, t, "f.csv", "csv", "resumen") for i, t in enumerate(texts)], "id int, t string, f string, k string, s string")
+    got = {r["id"]: r for r in clean_panels(df, "t", "f", "k", "s").collect()}
+    first = got[0]["panel"]
+    assert (first["title"], first["input_kind"], first["summary"]) == ("T", "csv", "resumen")
+    assert first["insights"] == list("abcd") and len(first["charts"]) == 2
+    assert [m["context"] for m in first["metrics"]] == ["", "", "ventas", None]
+    assert got[1]["panel"]["title"] == "f.csv" and got[1]["panel"]["metrics"] == [] and not got[1]["panel_error"]
+    assert got[2]["panel_error"]
+
+
+def test_answer_fallbacks(spark):
+    chart = {"type": "chart", "title": "Ventas", "chart": {"title": " ", "kind": "bar", "data": [{"label": "a", "value": "12"}, {"label": "b", "value": 3}]}}
+    got = _run(spark, [json.dumps({"response_text": "x", "artifacts": [chart], "focus_files": []})])[0]
+    assert got["focus_files"] == ["ventas.csv"]
+    assert got["artifacts"][0]["chart"]["title"] == "Ventas"
+    assert [p["value"] for p in got["artifacts"][0]["chart"]["data"]] == [12.0, 3.0]
