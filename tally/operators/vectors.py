@@ -134,12 +134,29 @@ def _candidates(scores: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarr
     return rows, cols
 
 
+#: Candidates a task keeps before it emits them.
+HELD_ROWS = 500_000
+
+
+def _best(frames: list[pd.DataFrame], by: list[str], id_col: str, k: int) -> pd.DataFrame:
+    """The k best of each query and group; of equal scores the least ids, so copies don't leave the task."""
+    rows = pd.concat(frames, ignore_index=True)
+    order = rows.sort_values(["score", id_col], ascending=[False, True], na_position="last", kind="stable")
+    return order.groupby(by, dropna=False, sort=False).head(k)
+
+
+def _nullable(frame: pd.DataFrame) -> pd.DataFrame:
+    return frame.assign(score=frame["score"].astype(object).where(frame["score"].notna(), None))
+
+
 def _score_task(it, get_block, k, id_col, vec_col, partition_col):
     """Score one task's vectors against the query block; emit candidates only."""
     q_ids, q_unit = get_block()
     q = q_unit.shape[0]
     step = max(1, SCORE_CELLS // max(q, 1))
     floors: dict = {}
+    by = ["query_id"] + ([partition_col] if partition_col else [])
+    held: list[pd.DataFrame] = []
     for pdf in it:
         if pdf.empty:
             continue
@@ -163,9 +180,12 @@ def _score_task(it, get_block, k, id_col, vec_col, partition_col):
                     out[partition_col] = parts[rows]
                 out[id_col] = ids[rows]
                 sc = s[sel[r], c]
-                frame = pd.DataFrame(out)
-                frame["score"] = pd.Series(sc).astype(object).where(~np.isnan(sc), None)
-                yield frame
+                held.append(pd.DataFrame(out).assign(score=sc))
+        held = [_best(held, by, id_col, k)]
+        if len(held[0]) > HELD_ROWS:  # many groups: what is known so far goes out
+            yield _nullable(held.pop())
+    if held:
+        yield _nullable(held.pop())
 
 
 def cosine_top_k(

@@ -306,3 +306,13 @@ def test_overview_without_metrics_counts_records(spark):
     assert r0["metric"] == "Registros" and [(p["label"], p["value"]) for p in r0["data"]] == [("a", 2.0), ("b", 1.0)]
     ins = [r["text"] for r in ov.insights(ov.overview([("solo_texto", df, profile(df))])).collect()]
     assert ins[0] == "a: 66.67% del total de Registros."
+
+
+def test_equal_vectors_leave_a_task_k_times():
+    import numpy as np
+    import pandas as pd
+
+    rows = pd.DataFrame({"id": range(5000), "v": [[1.0, 2.0]] * 5000})
+    query = (["q", "r"], np.array([[1.0, 0.0], [0.0, 1.0]]))
+    out = pd.concat(vx._score_task(iter([rows[:3000], rows[3000:]]), lambda: query, 4, "id", "v", None))
+    assert sorted(zip(out["query_id"], out["id"])) == [(q, i) for q in "qr" for i in range(4)]
