@@ -211,30 +211,25 @@ def samples(
     n: int = 6,
     columns: Sequence[str] | None = None,
     head_rows: int = 1024,
-    max_head_rows: int = 1 << 20,
 ) -> DataFrame:
     """B2: first ``n`` non-null values of every column in row order (not distinct).
 
     The first ``head_rows`` rows in order are taken with ``orderBy().limit()``
     (``TakeOrderedAndProject``: each task keeps a bounded heap, no full
-    sort).  When every column has ``n`` values among them (or the table is
-    shorter), the samples come from that head; otherwise the head grows 8x
-    up to ``max_head_rows``.  Past that, the exact fallback ranks all rows
-    per column with ``row_number() <= n`` (``WindowGroupLimit``: each map
-    task keeps n rows per column before the shuffle).  ``order_by`` must be a
-    total order (``_rid`` or a key) so that the head is well defined.
+    sort), enough wherever every column has ``n`` values among them.
+    Otherwise one pass ranks all rows per column with ``row_number() <= n``
+    (``WindowGroupLimit``: each map task keeps n rows per column before the
+    shuffle); the same values either way.  ``order_by`` must be a total order
+    (``_rid`` or a key) so that the head is well defined.
     """
     fields = data_columns(df, columns)
     if not fields:
         return df.sparkSession.createDataFrame([], "pos int, column_name string, sample_pos int, value string")
     k = max(int(head_rows), n)
-    while k <= max_head_rows:
-        head = df.orderBy(*order_by).limit(k)
-        counts = head.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(qcol(f.name)).alias(f"c{i}") for i, f in enumerate(fields)]).first()
-        if counts["__rows"] < k or all(counts[f"c{i}"] >= n for i in range(len(fields))):
-            return _samples_window(head, fields, order_by, n)
-        k *= 8
-    return _samples_window(df, fields, order_by, n)
+    head = df.orderBy(*order_by).limit(k)
+    counts = head.agg(F.count(F.lit(1)).alias("rows"), *[F.count(qcol(f.name)).alias(f"c{i}") for i, f in enumerate(fields)]).first()
+    enough = counts["rows"] < k or all(counts[f"c{i}"] >= n for i in range(len(fields)))
+    return _samples_window(head if enough else df, fields, order_by, n)
 
 
 def sample_arrays(sample_rows: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ def test_samples_head_growth_matches_full_ranking(spark):
     fields = data_columns(o)
     full = sorted(tuple(r) for r in _samples_window(o, fields, ["o_orderkey"], 6).collect())
     for head in (2, 64, 100000):
-        got = sorted(tuple(r) for r in samples(o, ["o_orderkey"], 6, head_rows=head, max_head_rows=4096).collect())
+        got = sorted(tuple(r) for r in samples(o, ["o_orderkey"], 6, head_rows=head).collect())
         assert got == full, head
 
 
