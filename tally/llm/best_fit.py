@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
-from .tokens import encoder, release
+from .memory import give_back
+from .tokens import encoder
 
 SEQUENCE = 1024
 OPEN_BINS = 8192
@@ -70,7 +71,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int = SEQUENCE)
                         out.append((doc_id, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
                         start += n
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
-        release(enc)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECES)
 

@@ -36,7 +36,8 @@ from pyspark.sql.window import Window
 
 from ..session import ensure_checkpoint_dir, ship_package, shuffle_partitions
 from .best_fit import BATCH_TEXTS, tokenizer_file
-from .tokens import encoder, release
+from .memory import give_back
+from .tokens import encoder
 
 SEEK_MAGIC, SKIP_MAGIC = 0x8F92EAB1, 0x184D2A5E
 #: Content bytes at which a frame closes.
@@ -155,7 +156,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, files: int
                     writer = FrameWriter(out, frame_bytes)
                 for doc_id, ids in zip(rows["doc_id"].tolist(), enc.ids([t or "" for t in rows["text"].tolist()])):
                     writer.add(None if pd.isna(doc_id) else int(doc_id), ids + end)
-        release(enc)
+        give_back()
         if writer is None:
             return
         writer.close()

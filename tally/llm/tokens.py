@@ -13,8 +13,6 @@ import os
 
 import numpy as np
 
-from .memory import give_back
-
 #: Distinct pieces a worker remembers; beyond it the memory starts anew.
 CACHE_PIECES = 1_000_000
 
@@ -76,12 +74,6 @@ class Encoder:
         return [whole[k] if c is None else b"".join(map(get, c)) for k, c in enumerate(cut)]
 
 
-def release(enc: Encoder) -> None:
-    """Forget the pieces when a task ends: an idle worker should hold no memory."""
-    enc.known.clear()
-    give_back()
-
-
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
