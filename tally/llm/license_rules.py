@@ -2,7 +2,7 @@
 
 Texts are lower-cased (A-Z) and their words joined by single spaces.  A text
 without any of a few anchor strings is done after one scan.  For the others,
-a family's signatures run only if the family's own keyword occurs.  Every
+a signature runs only if a keyword that its own name holds occurs.  Every
 match is an interval with a priority; sorted by start, longest first, a match
 inside another of equal or higher priority is suppressed, which one running
 maximum of ends per priority decides.
@@ -25,39 +25,36 @@ from pyspark.sql import functions as F
 # Phrases and the labels they give.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: label -> (keyword, names); names are regexes over single-spaced lower-case words.
-FAMILIES: dict[str, tuple[str, list[str]]] = {
-    "mit": ("mit", ["mit", "expat", "mit x11"]),
-    "apache": ("apache", ["apache(?: software)?", "apache 2(?: 0)?"]),
-    "gpl": ("gpl", ["gpl ?v?[123]?", "gnu gpl"]),
-    "gpl-long": ("general", ["(?:gnu )?general public"]),
-    "lgpl": ("lgpl", ["lgpl ?v?[23]?(?: 1)?", "gnu lgpl"]),
-    "lgpl-long": ("lesser", ["(?:gnu )?lesser general public", "(?:gnu )?library general public"]),
-    "agpl": ("agpl", ["agpl ?v?3?", "gnu agpl"]),
-    "agpl-long": ("affero", ["(?:gnu )?affero general public"]),
-    "bsd": ("bsd", ["bsd", "bsd [234] clause", "(?:simplified|modified|revised|new) bsd"]),
-    "mpl": ("mozilla", ["mozilla(?: public)?", "mpl ?[12]?(?: [01])?"]),
-    "epl": ("eclipse", ["eclipse(?: public| distribution)?"]),
-    "cddl": ("cddl", ["cddl", "common development and distribution"]),
-    "cpl": ("common", ["common public(?: attribution)?"]),
-    "cc-by": ("creative", ["creative commons(?: attribution)?", "creative commons attribution share ?alike"]),
-    "cc": ("cc", ["cc by(?: (?:nc|sa|nd))*"]),
-    "cc0": ("cc0", ["cc0(?: 1 0)?", "cc0 universal"]),
-    "isc": ("isc", ["isc", "internet systems consortium"]),
-    "zlib": ("zlib", ["zlib(?: libpng)?"]),
-    "boost": ("boost", ["boost(?: software)?"]),
-    "artistic": ("artistic", ["artistic(?: [12] 0)?", "perl artistic"]),
-    "python": ("python", ["python(?: software foundation)?", "psf"]),
-    "unlicense": ("unlicense", ["unlicense"]),
-    "wtfpl": ("wtfpl", ["wtfpl"]),
-    "openssl": ("openssl", ["openssl"]),
-    "ofl": ("font", ["(?:sil )?open font"]),
-    "odbl": ("database", ["open database"]),
-    "eupl": ("european", ["european union public"]),
-    "ms-pl": ("microsoft", ["microsoft (?:public|reciprocal)"]),
-    "sspl": ("server", ["server side public"]),
-    "bsl": ("business", ["business source"]),
-    "proprietary": ("proprietary", ["proprietary", "commercial proprietary"]),
+#: label -> (keyword, names); names are regexes over single-spaced lower-case words, and each of them holds the keyword.
+FAMILIES: dict[str, list[tuple[str, list[str]]]] = {
+    "mit": [("mit", ["mit", "mit x11"]), ("expat", ["expat"])],
+    "apache": [("apache", ["apache(?: software)?", "apache 2(?: 0)?"])],
+    "gpl": [("gpl", ["gpl ?v?[123]?", "gnu gpl"]), ("general public", ["(?:gnu )?general public"])],
+    "lgpl": [("lgpl", ["lgpl ?v?[23]?(?: 1)?", "gnu lgpl"]), ("lesser general", ["(?:gnu )?lesser general public"]), ("library general", ["(?:gnu )?library general public"])],
+    "agpl": [("agpl", ["agpl ?v?3?", "gnu agpl"]), ("affero", ["(?:gnu )?affero general public"])],
+    "bsd": [("bsd", ["bsd", "bsd [234] clause", "(?:simplified|modified|revised|new) bsd"])],
+    "mpl": [("mozilla", ["mozilla(?: public)?"]), ("mpl", ["mpl ?[12]?(?: [01])?"])],
+    "epl": [("eclipse", ["eclipse(?: public| distribution)?"])],
+    "cddl": [("cddl", ["cddl"]), ("common development", ["common development and distribution"])],
+    "cpl": [("common public", ["common public(?: attribution)?"])],
+    "cc-by": [("creative", ["creative commons(?: attribution)?", "creative commons attribution share ?alike"])],
+    "cc": [("cc by", ["cc by(?: (?:nc|sa|nd))*"])],
+    "cc0": [("cc0", ["cc0(?: 1 0)?", "cc0 universal"])],
+    "isc": [("isc", ["isc"]), ("internet systems", ["internet systems consortium"])],
+    "zlib": [("zlib", ["zlib(?: libpng)?"])],
+    "boost": [("boost", ["boost(?: software)?"])],
+    "artistic": [("artistic", ["artistic(?: [12] 0)?", "perl artistic"])],
+    "python": [("python", ["python(?: software foundation)?"]), ("psf", ["psf"])],
+    "unlicense": [("unlicense", ["unlicense"])],
+    "wtfpl": [("wtfpl", ["wtfpl"])],
+    "openssl": [("openssl", ["openssl"])],
+    "ofl": [("open font", ["(?:sil )?open font"])],
+    "odbl": [("open database", ["open database"])],
+    "eupl": [("european union", ["european union public"])],
+    "ms-pl": [("microsoft", ["microsoft (?:public|reciprocal)"])],
+    "sspl": [("server side", ["server side public"])],
+    "bsl": [("business source", ["business source"])],
+    "proprietary": [("proprietary", ["proprietary", "commercial proprietary"])],
 }
 _V = "(?: (?:version |v)?[0-9](?: [0-9])?)?"
 #: (priority, form); N stands for a family's name.  Higher priorities say more.
@@ -84,8 +81,9 @@ class Signature:
 def signatures() -> list[Signature]:
     """All signatures, in order."""
     return [
-        Signature(label.removesuffix("-long"), keyword, priority, f"(?<= ){form.replace('N', '(?:' + name + ')', 1)}(?= )")
-        for label, (keyword, names) in FAMILIES.items()
+        Signature(label, keyword, priority, f"(?<= ){form.replace('N', '(?:' + name + ')', 1)}(?= )")
+        for label, groups in FAMILIES.items()
+        for keyword, names in groups
         for name in names
         for priority, form in FORMS
     ]

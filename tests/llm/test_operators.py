@@ -357,6 +357,48 @@ def test_license_containment_and_priority(spark):
     assert got == {1: "long,strong", 2: "inner", 3: ""}
 
 
+def instances(pattern, rng, n=2):
+    """Random strings that a signature's regex describes."""
+    from re import _parser
+
+    def walk(nodes):
+        out = ""
+        for op, arg in nodes:
+            kind = str(op)
+            if kind == "LITERAL":
+                out += chr(arg)
+            elif kind == "IN":
+                out += chr(rng.choice([c for o, v in arg for c in ([v] if str(o) == "LITERAL" else range(v[0], v[1] + 1))]))
+            elif kind == "BRANCH":
+                out += walk(arg[1][rng.integers(len(arg[1]))])
+            elif kind == "SUBPATTERN":
+                out += walk(arg[-1])
+            elif kind == "MAX_REPEAT":
+                out += "".join(walk(arg[2]) for _ in range(rng.integers(arg[0], min(arg[1], 3) + 1)))
+            else:
+                assert kind in ("ASSERT",), kind
+        return out
+
+    texts = {walk(_parser.parse(pattern)) for _ in range(n)}
+    assert all(re.search(pattern, f" {t} ") for t in texts)
+    return sorted(texts)
+
+
+def test_license_keywords_lose_no_signature(spark):
+    rng, rules = np.random.default_rng(5), license_rules.signatures()
+    assert len(rules) == 336
+    # The license word lets each text past the anchors.
+    texts = sorted({f"license; {t}." for r in rules for t in instances(r.pattern, rng)})
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
+    whole = [license_rules.Signature(r.label, "", r.priority, r.pattern) for r in rules]
+    gated, ungated = ({r.text: (r.labels, r.score) for r in license_rules.scan(docs, rules=x).collect()} for x in (rules, whole))
+    assert gated == ungated and all(labels for labels, _ in gated.values())
+    named = {"SPDX-License-Identifier: MPL-2.0": "mpl", "licensed under the MPL 2.0": "mpl", "PSF License": "python", "Expat License": "mit",
+             "Internet Systems Consortium License": "isc", "Common Development and Distribution License": "cddl", "GNU Library General Public License": "gpl,lgpl"}
+    docs = spark.createDataFrame([(t,) for t in named], "text string")
+    assert {r.text: r.labels for r in license_rules.scan(docs).collect()} == named
+
+
 @pytest.mark.parametrize("slices", [1, 3, 64])
 def test_revisits(spark, slices):
     pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet").withColumn("url", F.concat(F.lit("HTTP://www.X.org/a"), F.pmod("page_id", F.lit(4)).cast("string"), F.lit("/?ref=q#z")))
