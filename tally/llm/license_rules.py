@@ -1,7 +1,8 @@
 """License scan: several hundred ordered regex signatures behind a keyword prefilter.
 
 Texts are lower-cased (A-Z) and their words joined by single spaces.  A text
-without any of a few anchor strings is done after one scan.  For the others,
+without any of a few anchors, which come from the signatures' forms, is done
+after one scan.  For the others,
 a signature runs only if a keyword that its own name holds occurs.  Every
 match is an interval with a priority; sorted by start, longest first, a match
 inside another of equal or higher priority is suppressed, which one running
@@ -57,17 +58,20 @@ FAMILIES: dict[str, list[tuple[str, list[str]]]] = {
     "proprietary": [("proprietary", ["proprietary", "commercial proprietary"])],
 }
 _V = "(?: (?:version |v)?[0-9](?: [0-9])?)?"
-#: (priority, form); N stands for a family's name.  Higher priorities say more.
+#: (priority, anchors, form); N stands for a family's name and every match of the form holds one of the
+#: anchors (regexes over single-spaced words).  Higher priorities say more.
 FORMS = [
-    (4, "spdx license identifier N(?: only| or later)?(?: [0-9] [0-9])?"),
-    (3, f"(?:licensed|released|distributed|available|published) under (?:the |an? )?(?:terms (?:of|and conditions of) )?(?:the )?N(?: licen[sc]e)?{_V}"),
-    (3, f"(?:subject to|governed by|covered by) (?:the )?(?:terms of )?(?:the )?N(?: licen[sc]e)?{_V}"),
-    (3, f"(?:use|copying|redistribution) (?:is )?permitted under (?:the )?N{_V}"),
-    (2, f"licen[sc]ed? (?:is |as )?(?:the )?N{_V}"),
-    (2, f"N licen[sc]e{_V} or (?:any |\\(at your option\\) any )?later"),
-    (1, f"N licen[sc]e{_V}"),
+    (4, "spdx", "spdx license identifier N(?: only| or later)?(?: [0-9] [0-9])?"),
+    (3, "licensed under|(?:released|distributed|available|published) under",
+     f"(?:licensed|released|distributed|available|published) under (?:the |an? )?(?:terms (?:of|and conditions of) )?(?:the )?N(?: licen[sc]e)?{_V}"),
+    (3, "subject to|(?:governed|covered) by", f"(?:subject to|governed by|covered by) (?:the )?(?:terms of )?(?:the )?N(?: licen[sc]e)?{_V}"),
+    (3, "permitted under", f"(?:use|copying|redistribution) (?:is )?permitted under (?:the )?N{_V}"),
+    (2, "licen[sc]", f"licen[sc]ed? (?:is |as )?(?:the )?N{_V}"),
+    (2, "licen[sc]", f"N licen[sc]e{_V} or (?:any |at your option any )?later"),
+    (1, "licen[sc]", f"N licen[sc]e{_V}"),
 ]
-_ANCHOR = "(?i)licen[sc]|spdx|permitted under|released under|distributed under|governed by|covered by|subject to"
+#: The base phrases' anchor.
+_BASE_ANCHOR = "licen[sc]"
 
 
 @dataclass(frozen=True)
@@ -76,21 +80,33 @@ class Signature:
     keyword: str
     priority: int
     pattern: str
+    #: Empty: texts are scanned whatever they hold.
+    anchor: str = ""
 
 
 def signatures() -> list[Signature]:
     """All signatures, in order."""
     return [
-        Signature(label, keyword, priority, f"(?<= ){form.replace('N', '(?:' + name + ')', 1)}(?= )")
+        Signature(label, keyword, priority, f"(?<= ){form.replace('N', '(?:' + name + ')', 1)}(?= )", anchor)
         for label, groups in FAMILIES.items()
         for keyword, names in groups
         for name in names
-        for priority, form in FORMS
+        for priority, anchor, form in FORMS
     ]
 
 
-LEVELS = max(p for p, _ in FORMS)
+LEVELS = max(p for p, _, _ in FORMS)
 _SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: Between the words of a text that is not lower-cased yet.
+_RAW_SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+
+def anchored(text: Column, rules: list[Signature]) -> Column:
+    """Whether a text as it stands can hold a base phrase or match a rule."""
+    if not all(r.anchor for r in rules):
+        return F.lit(True)
+    anchors = dict.fromkeys([_BASE_ANCHOR, *(r.anchor for r in rules)])
+    return text.rlike("(?i)" + "|".join(anchors).replace(" ", _RAW_SEPARATORS))
 
 
 def spaced(text: Column) -> Column:
@@ -159,7 +175,7 @@ def scan(docs: DataFrame, text_col: str = "text", rules: list[Signature] | None
     """``docs`` with ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels`` and ``score``."""
     rules = signatures() if rules is None else rules
     text = F.col(text_col)
-    rows = docs.withColumn("__norm", F.when(text.rlike(_ANCHOR), spaced(text)))
+    rows = docs.withColumn("__norm", F.when(anchored(text, rules), spaced(text)))
     norm = F.col("__norm")
     rows = rows.withColumn("__found", F.when(norm.isNotNull(), matches(norm, rules)))
     rows = rows.withColumn("__kept", F.when(F.size("__found") > 0, unsuppressed(F.col("__found"))))

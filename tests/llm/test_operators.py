@@ -399,6 +399,21 @@ def test_license_keywords_lose_no_signature(spark):
     assert {r.text: r.labels for r in license_rules.scan(docs).collect()} == named
 
 
+def test_license_anchors_lose_no_text(spark):
+    rng, rules = np.random.default_rng(6), license_rules.signatures()
+    named = {"available under the GPL v3": 0.75, "published under BSD": 0.75, "released\nunder MIT": 0.75, "governed  by the MPL 2.0": 0.75,
+             "distributed-under Zlib": 0.75, "GPL License version 2, or (at your option) any later": 0.5, "governed by nobody": 0.0}
+    # The words of every form, with other separators than one space.
+    mit = [r for r in rules if r.keyword == "expat"]
+    texts = {re.sub(" ", lambda _: str(rng.choice(["\n", "-", ", ", " \t", "_", " ("])), t).title() for r in mit for t in instances(r.pattern, rng, 5)}
+    docs = spark.createDataFrame([(t,) for t in sorted(texts | set(named))], "text string")
+    some = [r for r in rules if r.label in ("mit", "gpl", "bsd", "mpl", "zlib")]
+    whole = [license_rules.Signature(r.label, r.keyword, r.priority, r.pattern) for r in some]
+    near, full = ({r.text: (r.labels, r.score) for r in license_rules.scan(docs, rules=x).collect()} for x in (some, whole))
+    assert near == full and all(near[t][0] == "mit" for t in texts)
+    assert {t: near[t][1] for t in named} == named
+
+
 @pytest.mark.parametrize("slices", [1, 3, 64])
 def test_revisits(spark, slices):
     pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet").withColumn("url", F.concat(F.lit("HTTP://www.X.org/a"), F.pmod("page_id", F.lit(4)).cast("string"), F.lit("/?ref=q#z")))
