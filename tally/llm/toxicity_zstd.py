@@ -9,13 +9,18 @@ less that under the toxic one.
 The toxic samples are the words whose share of toxic training documents is
 ``LIFT`` times their share of ordinary ones or more, each as often as documents
 hold it; toxic prose is mostly ordinary, and its common words would fill the
-dictionary.  On training documents kept out of the dictionaries the threshold
-on the distance is the one that parts the labels best, and the score is the
-smoothed share of toxic documents among those with as many windows above it.
+dictionary.
 
-Training sees at most ``PER_CLASS`` labelled documents of each class and
-``TRAIN_CHARS`` characters of each, the documented bounds of the fit; scoring
-reads every word of every text.  Labels are read for training rows alone.
+A document's surprise is that of as many windows above the threshold or more,
+if its windows were those of ordinary text, so that length alone makes nothing
+toxic.  On training documents kept out of the dictionaries the threshold on the
+distance and the cut on the surprise are those that part the labels best, and
+the score is the smoothed share of toxic documents among those as surprising.
+
+Training sees at most ``PER_CLASS`` labelled documents of each class and stops
+taking more once ``TRAIN_CHARS`` characters of a class are reached, the
+documented bounds of the fit; each text is whole, as in scoring.  Labels are
+read for training rows alone.
 
 Defined results: null or wordless text has no window and the score of a
 document without any above the threshold; if a class has no training row, every
@@ -25,6 +30,7 @@ gives no rows; extra columns pass through and one named like the result gives wa
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 
@@ -36,14 +42,15 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 
 PER_CLASS = 2000
-TRAIN_CHARS = 20_000
+#: Characters of the training texts of a class after which no further text is taken.
+TRAIN_CHARS = 32_000_000
 LIFT = 20.0
 #: Share of the toxic training documents a word of the toxic dictionary is in, at least.
 MIN_SHARE = 0.013
 MIN_DOCS = 8
 TOXIC_BYTES, ORDINARY_BYTES = 8192, 112_640
-#: Counts of windows above the threshold that are told apart.
-LEVELS = 4
+#: Nats above the cut at which scores change.
+STEPS = (0.0, 2.0, 5.0)
 #: Distinct words a worker remembers the distance of.
 CACHE_WORDS = 500_000
 
@@ -58,11 +65,24 @@ def window(word: str) -> bytes:
     return b"".join(_STRETCH[c] for c in b" %s " % word.encode("utf-8", "surrogatepass"))
 
 
+def surprise(k: int, expected: float) -> float:
+    """Nats of ``k`` or more hits where so many are expected (Poisson); 0 if no more than that."""
+    if k <= expected:
+        return 0.0
+    term = total = 1.0
+    at = k
+    while term > 1e-9 * total:
+        at += 1
+        term *= expected / at
+        total += term
+    return max(0.0, expected + math.lgamma(k + 1) - k * math.log(expected) - math.log(total))
+
+
 class Model:
-    """Both dictionaries, the threshold and the score of each count of windows above it."""
+    """Both dictionaries, the threshold, the share of ordinary windows above it, the cuts on the surprise and the scores between them."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, threshold: int, scores: list[float]):
-        self.toxic, self.ordinary, self.threshold, self.scores = toxic, ordinary, threshold, scores
+    def __init__(self, toxic: bytes, ordinary: bytes, threshold: int, scores: list[float], rate: float = 1.0, cuts: tuple[float, ...] = ()):
+        self.toxic, self.ordinary, self.threshold, self.scores, self.rate, self.cuts = toxic, ordinary, threshold, scores, rate, cuts
         self._ready()
 
     def _ready(self):
@@ -78,7 +98,7 @@ class Model:
         self.known: dict[str, int] = {}
 
     def __getstate__(self):
-        return self.toxic, self.ordinary, self.threshold, self.scores
+        return self.toxic, self.ordinary, self.threshold, self.scores, self.rate, self.cuts
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -102,8 +122,9 @@ class Model:
         return out
 
     def score(self, text: str | None) -> float:
-        above = sum(d >= self.threshold for d in self.distances(text))
-        return self.scores[min(above, len(self.scores) - 1)]
+        far = self.distances(text)
+        found = surprise(sum(d >= self.threshold for d in far), self.rate * len(far))
+        return self.scores[sum(found >= c for c in self.cuts)]
 
 
 def _fold(doc_id: Column) -> Column:
@@ -146,16 +167,30 @@ def train(rows: list[tuple[int, str]]) -> Model:
     model = Model(*dicts, 1, [0.5])
     far = {y: [model.distances(t) for t in v] for y, v in check.items()}
 
-    def parted(t: int) -> float:
-        hit = {y: np.mean([any(d >= t for d in v) for v in far[y]]) for y in far}
-        return hit[1] - hit[0]
-
-    model.threshold = max(range(1, 64), key=lambda t: (parted(t), t))
+    # Sorted distances, so that the hits above a threshold are one search.
+    far = {y: [np.sort(v) for v in vs] for y, vs in far.items()}
+    windows = {y: np.array([len(v) for v in vs]) for y, vs in far.items()}
+    best = (-2.0, 0.0, 1, 1.0, 1.0, far)
+    for t in range(1, 64):
+        hits = {y: np.array([len(v) - np.searchsorted(v, t) for v in vs], dtype=int) for y, vs in far.items()}
+        rate = (hits[0].sum() + 0.5) / (windows[0].sum() + 1)
+        found = {y: np.array([surprise(int(k), rate * int(m)) for k, m in zip(hits[y], windows[y])]) for y in hits}
+        levels = np.unique(np.concatenate([[0.0], *found.values()]))
+        for below, level in zip(levels, levels[1:]):
+            gain = float(np.mean(found[1] >= level) - np.mean(found[0] >= level))
+            # Of equal ones the widest gap.
+            if (gain, level - below, t) > best[:3]:
+                best = (gain, float(level - below), t, rate, float(below + level) / 2, found)
+    if best[0] <= -2.0:  # no document has a window above any threshold
+        model.scores = [n[1] / (n[0] + n[1])]
+        return model
+    _, _, model.threshold, model.rate, cut, found = best
+    model.cuts = tuple(cut + x for x in STEPS)
     scores = []
-    for level in range(LEVELS):
-        at = {y: sum(min(sum(d >= model.threshold for d in v), LEVELS - 1) == level for v in far[y]) for y in far}
+    for level in range(len(model.cuts) + 1):
+        at = {y: sum(sum(x >= c for c in model.cuts) == level for x in v) for y, v in found.items()}
         # Shares of each class, so that the classes' sizes in the sample don't matter.
-        share = {y: (at[y] + 0.5) / (len(far[y]) + 1) for y in far}
+        share = {y: (at[y] + 0.5) / (len(found[y]) + 1) for y in found}
         scores.append(share[1] / (share[0] + share[1]))
     model.scores = np.maximum.accumulate(scores).tolist()
     return model
@@ -166,10 +201,15 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> li
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
     parts = [rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     picked = parts[0].unionByName(parts[1])
-    texts = docs.select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")).where(F.col("text").isNotNull())
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     # At most 2 * per_class ids: a bounded side.
-    got = texts.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").select("toxic", "text").limit(2 * per_class)
-    return [(r[0], r[1]) for r in got.toLocalIterator()]
+    got = texts.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("toxic", "text").limit(2 * per_class)
+    taken, out = [0, 0], []
+    for y, text in got.toLocalIterator():
+        if taken[y] < TRAIN_CHARS:
+            taken[y] += len(text)
+            out.append((y, text))
+    return out
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

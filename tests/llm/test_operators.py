@@ -329,6 +329,24 @@ def test_toxicity_finds_planted_words(spark, empty):
     assert nothing.score("any") == 0.5
 
 
+def test_toxicity_learns_and_scores_whole_texts(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)]
+    plain = lambda n: " ".join(rng.choice(vocabulary, n))
+    bad = ["zorkest", "quibble", "mumpsim"]
+    # Toxic words stand behind 20,000 characters only.
+    rows = [(k, int(k % 3 == 0), plain(3200) + (" " + " ".join(rng.choice(bad, 12)) if k % 3 == 0 else "")) for k in range(150)]
+    d, y = spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, text string"), spark.createDataFrame([(k, x) for k, x, _ in rows], "doc_id long, toxic int")
+    got = toxicity_zstd.sample(d, y)
+    assert Counter(got) == Counter((x, t) for k, x, t in rows if zlib.crc32(str(k).encode()) % 5)
+    model = toxicity_zstd.train(got)
+    assert model.score(plain(3200) + " zorkest quibble mumpsim" * 4) > 0.5 > model.score(plain(3200))
+    # As many hits in more windows say less; length alone says nothing.
+    assert model.score(plain(50) + " zorkest" * 12) > 0.5 > model.score(plain(200_000) + " zorkest" * 12)
+    found = [toxicity_zstd.surprise(k, m) for k, m in ((0, 1.0), (3, 0.1), (3, 1.0), (3, 5.0))]
+    assert found[0] == found[3] == 0 < found[2] < found[1] and abs(toxicity_zstd.surprise(1, 0.5) + np.log(1 - np.exp(-0.5))) < 1e-6
+
+
 def test_toxicity_held_out_accuracy(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = QUERIES["op9_toxicity_zstd"](spark, "/root/testdata/sf0.1").where("held_out").join(labels, "doc_id").collect()
