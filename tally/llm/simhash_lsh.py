@@ -50,8 +50,8 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and ``fp`` of every row."""
+def fingerprints(docs: DataFrame, shingle: int, *more: Column) -> DataFrame:
+    """doc_id, ``more`` and ``fp`` of every row."""
     ship_package(docs.sparkSession)
 
     @F.pandas_udf("long")
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
         give_back()
         return out
 
-    return docs.select("doc_id", fp(F.col("text").cast("string")).alias("fp"))
+    return docs.select("doc_id", *more, fp(F.col("text").cast("string")).alias("fp"))
 
 
 def masks(radius: int, bits: int = 64) -> list[int]:
@@ -155,17 +155,28 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
     ensure_checkpoint_dir(docs.sparkSession)
     rows = fingerprints(docs, shingle).checkpoint()
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    named = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(named, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(nodes, radius)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(rooted.join(ids, "root").select("fp", "component_id"), "fp")
 
 
+def _rooted(nodes: DataFrame, radius: int) -> DataFrame:
+    """``nodes``, one row for each ``fp``, with their component's ``root``."""
+    named = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return nodes.join(named, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def keep_one(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
-    """The documents with the least doc_id of their component; of rows with one doc_id, one."""
-    ids = near_duplicates(docs, shingle, radius).select(F.col("component_id").alias("__keep")).distinct()
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Of each component one row: the least doc_id (null last), then the least text digest; of rows equal in both, any."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    rows = fingerprints(docs, shingle, digest.alias("digest")).checkpoint()
+    nodes = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("first"))
+    # Rows of one text are of one component, so doc_id and digest name no row of another.
+    keep = _rooted(nodes, radius).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
+    keyed = docs.withColumn("__text_digest", digest)
+    kept = keyed.join(keep, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text_digest") == F.col("__digest")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__text_digest"]).drop("__text_digest")
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -245,6 +245,17 @@ def test_simhash_components(spark, edges, empty):
     assert kept.columns == edges.columns and len({r.doc_id for r in kept.collect()}) == kept.count() == len(set(comp.values()))
 
 
+def test_keep_one_keeps_a_row_of_every_component(spark):
+    rng = np.random.default_rng(7)
+    text = [" ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(40)) for _ in range(9)]
+    # Different texts without doc_id, some twice; different texts of one doc_id; a text with and without one.
+    rows = [(None, t) for t in text[:4] * 2] + [(7, t) for t in text[4:7]] + [(7, text[4]), (None, text[7]), (9, text[7]), (8, text[7]), (8, text[8]), (None, text[8])]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, more string")
+    kept = simhash_lsh.keep_one(docs, 4, 4)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, t) for t in text[:4]] + [(7, t) for t in text[4:7]] + [(8, text[7]), (8, text[8])])
+
+
 def test_large_buckets_are_split_without_loss(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 4)
