@@ -7,9 +7,11 @@ The distance is the window's compressed length under the ordinary dictionary
 less that under the toxic one.
 
 The toxic samples are the words whose share of toxic training documents is
-``LIFT`` times their share of ordinary ones or more, each as often as documents
-hold it; toxic prose is mostly ordinary, and its common words would fill the
-dictionary.
+``LIFT`` times their share of ordinary ones or more, on ``EVIDENCE`` nats of
+proof, each as often as documents hold it, the best proven first until the
+dictionary is full; toxic prose is mostly ordinary, and its common words would
+fill the dictionary.  The bars are counts of documents, not shares, so that the
+words of a small language come in with more labels.
 
 A document's surprise is that of as many windows above the threshold or more,
 if its windows were those of ordinary text, so that length alone makes nothing
@@ -45,10 +47,10 @@ PER_CLASS = 2000
 #: Characters of the training texts of a class after which no further text is taken.
 TRAIN_CHARS = 32_000_000
 LIFT = 20.0
-#: Share of the toxic training documents a word of the toxic dictionary is in, at least.
-MIN_SHARE = 0.013
-MIN_DOCS = 8
-TOXIC_BYTES, ORDINARY_BYTES = 8192, 112_640
+#: Training documents a word of the toxic dictionary is in, at least, and the log likelihood ratio of its share in them.
+MIN_DOCS = 3
+EVIDENCE = 7.0
+TOXIC_BYTES, ORDINARY_BYTES = 16_384, 112_640
 #: Nats above the cut at which scores change.
 STEPS = (0.0, 2.0, 5.0)
 #: Distinct words a worker remembers the distance of.
@@ -155,7 +157,7 @@ def train(rows: list[tuple[int, str]]) -> Model:
     check = {y: v[::4] for y, v in texts.items()}
     n = {y: len(v) for y, v in fit.items()}
     seen = {y: Counter(w for t in v for w in set(words(t))) for y, v in fit.items()}
-    marked = Counter({w: c for w, c in seen[1].items() if c >= max(min(MIN_DOCS, n[1] / 4), MIN_SHARE * n[1]) and c * (n[0] + 1) >= LIFT * (seen[0][w] + 0.5) * (n[1] + 1)})
+    marked = _marked(seen, n)
     if not marked:
         return Model(b"", b"", 1, [n[1] / (n[0] + n[1])])
     dicts = []
@@ -196,6 +198,25 @@ def train(rows: list[tuple[int, str]]) -> Model:
     return model
 
 
+def _marked(seen: dict[int, Counter], n: dict[int, int]) -> Counter:
+    """Documents of each word of the toxic dictionary; where none is proven, the best words there are."""
+    p = n[1] / (n[0] + n[1])
+
+    def evidence(w: str, c: int) -> float:
+        c0 = seen[0][w]
+        return c * math.log(c / (c + c0) / p) + (c0 * math.log(c0 / (c + c0) / (1 - p)) if c0 else 0.0)
+
+    more = [(evidence(w, c), w, c) for w, c in seen[1].items() if c * n[0] > seen[0][w] * n[1]]
+    proven = [x for x in more if x[0] >= EVIDENCE and x[2] >= MIN_DOCS and x[2] * n[0] >= LIFT * seen[0][x[1]] * n[1]]
+    out, size = Counter(), 0
+    for _, w, c in sorted(proven or more, key=lambda x: (-x[0], x[1])):
+        size += len(window(w))
+        if out and size > TOXIC_BYTES:
+            break
+        out[w] = c
+    return out
+
+
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[int, str]]:
     """At most ``per_class`` training rows of each label, chosen by a hash of doc_id."""
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])

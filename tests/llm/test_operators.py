@@ -358,6 +358,20 @@ def test_toxicity_learns_and_scores_whole_texts(spark):
     assert found[0] == found[3] == 0 < found[2] < found[1] and abs(toxicity_zstd.surprise(1, 0.5) + np.log(1 - np.exp(-0.5))) < 1e-6
 
 
+def test_toxicity_learns_the_words_of_a_small_language():
+    rng = np.random.default_rng(6)
+    plain = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(60))
+    rows = [(0, plain("abcdefgh")) for _ in range(1600)] + [(1, plain("abcdefgh") + " zorkest" * 3) for _ in range(1560)]
+    # One toxic document in forty is of another language: its words are in under 1.3 % of the toxic ones.
+    other = ["ññandu", "órbigo", "übelst"]
+    rows += [(1, plain("ijklmnop") + f" {other[k % 3]}" * 3) for k in range(48)]
+    model = toxicity_zstd.train(rows)
+    assert all(model.score(plain("ijklmnop") + f" {w}" * 3) > 0.5 for w in [*other, "zorkest"]) and model.score(plain("ijklmnop")) < 0.5
+    # Where no word is proven the best ones are taken, not one score for all.
+    few = toxicity_zstd.train([(0, plain("abcdefgh")) for _ in range(8)] + [(1, plain("abcdefgh") + " zorkest" * 3) for _ in range(4)])
+    assert few.score("zorkest zorkest zorkest") > few.score(plain("abcdefgh"))
+
+
 def test_toxicity_held_out_accuracy(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = QUERIES["op9_toxicity_zstd"](spark, "/root/testdata/sf0.1").where("held_out").join(labels, "doc_id").collect()
