@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load_table
-from . import benchmark_suffixes, best_fit, hilbert_shards, license_rules, quality_cascade, simhash_lsh, suffix_dedup, token_frames, toxicity_zstd, warc_revisits
+from . import benchmark_suffixes, best_fit, collocations, hilbert_shards, license_rules, quality_cascade, simhash_lsh, suffix_dedup, token_frames, toxicity_zstd, warc_revisits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -170,3 +170,28 @@ def op3(spark, sf_dir):
         "record_id", "kind", "canonical_url", "resolved", "refers_to", h["date"].alias("date"), h["content-length"].alias("content_length"),
         h["cache-control"].alias("cache_control"), F.md5(F.col("resolved_body").cast("binary")).alias("body_md5"),
     )
+
+
+OP11_ORACLE = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT lang, w, unnest([1, 2, 3]) AS k FROM w))),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+s AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a AS b FROM c WHERE k = 3),
+d AS (SELECT lang, phrase, max(b) AS b FROM s GROUP BY ALL),
+x AS (SELECT c.* FROM c LEFT JOIN d USING (lang, phrase) WHERE b IS NULL OR 100 * b < 50 * a),
+u AS (SELECT *, array_to_string(w[1:j], ' ') AS lp, array_to_string(w[j + 1:k], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS j FROM x)),
+v AS (SELECT u.*, l.f AS l, r.f AS r, ((1000000::HUGEINT * u.a * u.a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM u JOIN f l ON l.lang = u.lang AND l.phrase = lp JOIN f r ON r.lang = u.lang AND r.phrase = rp),
+y AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT y.lang, row_number() OVER (PARTITION BY y.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n.n::BIGINT AS n, score
+FROM y JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op11_collocations", OP11_ORACLE)
+def op11(spark, sf_dir):
+    return collocations.collocations(load_table(spark, sf_dir, "documents"), longest=3, least=10, top=2000, cover=50)
