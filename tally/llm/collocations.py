@@ -62,7 +62,7 @@ def edges(ids: np.ndarray, longest: int) -> list[np.ndarray]:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["part", "lang", "blob", "phrase", "n"]).astype({"part": "Int64", "n": "Int64"})
+    return pd.DataFrame(rows, columns=["part", "lang", "blob", "phrase", "n"], dtype=object).astype({"part": "Int64", "n": "Int64"})
 
 
 def _counted(longest: int, parts: int):
