@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load_table
-from . import benchmark_suffixes, best_fit, collocations, hilbert_shards, license_rules, quality_cascade, simhash_lsh, suffix_dedup, token_frames, toxicity_zstd, warc_revisits
+from . import benchmark_suffixes, best_fit, collocations, hard_negatives, hilbert_shards, license_rules, quality_cascade, simhash_lsh, suffix_dedup, suffix_tree_lm, token_frames, toxicity_zstd, warc_revisits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -195,3 +195,29 @@ FROM y JOIN n USING (lang) QUALIFY rank <= 2000
 @query("op11_collocations", OP11_ORACLE)
 def op11(spark, sf_dir):
     return collocations.collocations(load_table(spark, sf_dir, "documents"), longest=3, least=10, top=2000, cover=50)
+
+
+@query("op13_suffix_tree_lm")
+def op13(spark, sf_dir):
+    return suffix_tree_lm.score(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP12_ORACLE = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+@query("op12_hard_negatives", OP12_ORACLE)
+def op12(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(load_table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding"))
