@@ -127,9 +127,9 @@ def op9(spark, sf_dir):
 
 
 def page_records(pages):
-    """The crawl that ``pages`` stands for: each page's response at the time of its id and, for
-    every second page, a not-modified revisit 5000 later, whose tag is stale on every seventh page."""
-    tag = F.concat(F.lit('"'), F.md5(F.substring("html", 1, 400).cast("binary")), F.lit('"'))
+    """The crawl that ``pages`` stands for: each page's response at the time of its id and a
+    not-modified revisit of it 5000 later, whose tag is stale on every seventh page."""
+    tag = F.concat(F.lit('"'), F.md5(F.col("html").cast("binary")), F.lit('"'))
     stale = F.col("page_id") % 7 == 0
     header = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
     response = F.map_from_entries(F.array(
@@ -140,22 +140,23 @@ def page_records(pages):
         header("content-length", F.lit("0")), header("cache-control", F.lit("max-age=60"))))
     page = F.col("page_id")
     first = pages.select((2 * page).alias("record_id"), "url", page.cast("long").alias("time"), F.lit("response").alias("kind"), response.alias("headers"), F.col("html").alias("body"))
-    again = pages.where(page % 2 == 0).select(
+    again = pages.select(
         (2 * page + 1).alias("record_id"), "url", (page + 5000).cast("long").alias("time"), F.lit("revisit").alias("kind"), revisit.alias("headers"), F.lit(None).cast("string").alias("body"))
     return first.unionByName(again)
 
 
 OP3_ORACLE = r"""
-WITH u AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url,
-             '#.*$', ''), '(?i)(utm_[a-z]+|ref)=[^&]*&?', '', 'g'), '[?&]+$', ''), '(?i)^[a-z]+://(www\.|m\.)?', ''), '(/+|\.html?)$', '') AS r FROM pages),
-p AS (SELECT page_id, html, '"' || md5(substr(html, 1, 400)) || '"' AS tag,
-             lower(regexp_extract(r, '^[^/?]*')) || regexp_replace(r, '^[^/?]*', '') AS canonical_url FROM u),
-v AS (SELECT a.page_id, a.canonical_url, CASE WHEN a.page_id % 7 = 0 THEN '"stale"' ELSE a.tag END AS tag,
-             (SELECT max(b.page_id) FROM p b WHERE b.canonical_url = a.canonical_url AND b.page_id < a.page_id + 5000) AS f
-      FROM p a WHERE a.page_id % 2 = 0),
-w AS (SELECT v.page_id, v.canonical_url, v.tag = p.tag AS ok, p.page_id AS f, p.html FROM v JOIN p ON p.page_id = v.f)
+WITH u AS (SELECT *, regexp_replace(split_part(url, '#', 1), '^[A-Za-z]+://((www|WWW|m|M)[.])?', '') AS r FROM pages),
+q AS (SELECT *, split_part(r, '?', 1) AS place, list_filter(string_split(substr(r, length(split_part(r, '?', 1)) + 2), '&'),
+             lambda x: x <> '' AND NOT (lower(split_part(x, '=', 1)) = 'ref' OR regexp_full_match(lower(split_part(x, '=', 1)), 'utm_[a-z]+') AND contains(x, '='))) AS args FROM u),
+n AS (SELECT *, CASE WHEN len(args) > 0 THEN place || '?' || array_to_string(args, '&') ELSE place END AS whole FROM q),
+p AS (SELECT page_id, html, md5(html) AS sum, regexp_replace(CASE WHEN contains(whole, '/') OR contains(whole, '?')
+             THEN lower(split_part(split_part(whole, '/', 1), '?', 1)) || substr(whole, length(split_part(split_part(whole, '/', 1), '?', 1)) + 1) ELSE lower(whole) END, '(/+|[.]html?)$', '') AS canonical_url FROM n),
+a AS (SELECT page_id, canonical_url, sum, page_id % 7 <> 0 AS fresh, page_id + 5000 AS at FROM p),
+w AS (SELECT a.page_id, a.canonical_url, a.fresh AND a.sum = b.sum AS ok, b.page_id AS f, b.html
+      FROM a ASOF JOIN p b ON a.canonical_url = b.canonical_url AND a.at > b.page_id)
 SELECT 2 * page_id AS record_id, 'response' AS kind, canonical_url, true AS resolved, 2 * page_id AS refers_to, CAST(page_id AS VARCHAR) AS date,
-       CAST(strlen(html) AS VARCHAR) AS content_length, CAST(NULL AS VARCHAR) AS cache_control, md5(html) AS body_md5 FROM p
+       CAST(strlen(html) AS VARCHAR) AS content_length, CAST(NULL AS VARCHAR) AS cache_control, sum AS body_md5 FROM p
 UNION ALL
 SELECT 2 * page_id + 1, 'revisit', canonical_url, ok, CASE WHEN ok THEN 2 * f END, CASE WHEN ok THEN CAST(page_id + 5000 AS VARCHAR) END,
        CASE WHEN ok THEN CAST(strlen(html) AS VARCHAR) END, CASE WHEN ok THEN 'max-age=60' END, CASE WHEN ok THEN md5(html) END FROM w

@@ -487,6 +487,31 @@ def test_revisit_validators(spark):
     assert warc_revisits.resolve(page_records(spark.read.parquet(f"{SF_SMALL}/pages.parquet").limit(0))).count() == 0
 
 
+def test_canonical_urls_drop_whole_parameters_only(spark):
+    want = {
+        "http://x.org/p?pref=1": "x.org/p?pref=1", "http://x.org/p?pref=2": "x.org/p?pref=2", "http://x.org/p?href=q&id=5": "x.org/p?href=q&id=5",
+        "http://x.org/p?ref=q&id=5": "x.org/p?id=5", "http://x.org/p?id=5&ref=q": "x.org/p?id=5", "http://x.org/p?a=1&utm_x=2&REF=3&b=4": "x.org/p?a=1&b=4",
+        "https://WWW.X.org/P/?utm_a=1&ref=2": "x.org/P", "http://m.x.org/a.html#z": "x.org/a", "http://x.org/p?a=ref=1": "x.org/p?a=ref=1"}
+    got = spark.createDataFrame([(u,) for u in want], "url string").select("url", warc_revisits.canonical_url(F.col("url")).alias("c")).collect()
+    assert {r.url: r.c for r in got} == want
+
+
+def test_revisits_of_repeated_records_and_null_times(spark):
+    tag = lambda t: {"etag": t}
+    rows = [
+        (1, "http://x/a", 10, "response", tag("A"), "body A", 7), (1, "http://x/b", 10, "response", tag("B"), "body B", 7), (1, "http://x/b", 10, "response", tag("B"), "body B", 7),
+        (2, "http://x/a", 20, "revisit", tag("A"), None, 7), (2, "http://x/b", 20, "revisit", tag("B"), None, 7), (2, "http://x/b", 20, "revisit", tag("B"), None, 7),
+        (3, "http://x/a", None, "revisit", tag("A"), None, 7), (4, "http://x/c", None, "response", tag("C"), "body C", 7), (5, "http://x/c", 30, "revisit", tag("C"), None, 7),
+        (None, "http://x/d", 1, "response", tag("D"), "body D", 7), (6, "http://x/d", 2, "revisit", tag("D"), None, 7), (7, "http://x/a", 20, None, tag("A"), None, 7),
+    ]
+    records = spark.createDataFrame(rows, "record_id long, url string, time long, kind string, headers map<string,string>, body string, refers_to long")
+    got = sorted(((r.record_id, r.kind, r.resolved, r.refers_to, r.resolved_body) for r in warc_revisits.resolve(records, 4).collect()), key=repr)
+    assert got == sorted([
+        (1, "response", True, 1, "body A"), (1, "response", True, 1, "body B"), (1, "response", True, 1, "body B"), (2, "revisit", True, 1, "body A"),
+        (2, "revisit", True, 1, "body B"), (2, "revisit", True, 1, "body B"), (3, "revisit", False, None, None), (4, "response", True, 4, "body C"),
+        (5, "revisit", False, None, None), (None, "response", True, None, "body D"), (6, "revisit", True, None, "body D"), (7, None, False, None, None)], key=repr)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
