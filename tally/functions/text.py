@@ -67,13 +67,31 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
 _FOLD_SRC, _FOLD_DST, _FOLD_LONGER = _fold_tables()
 
 
+def _ranges(chars) -> str:
+    """A regular-expression class of characters, neighbours as ranges."""
+    out, run = [], []
+    for cp in sorted(map(ord, chars)):
+        if run and cp == run[1] + 1:
+            run[1] = cp
+        else:
+            run = [cp, cp]
+            out.append(run)
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in out) + "]"
+
+
+_LONGER_CHARS = "".join(_FOLD_LONGER)
+_LONGER_CLASS = _ranges(_FOLD_LONGER)
+
+
 def fold_accents(c) -> Column:
-    """Compatibility folding (E5): one ``translate`` for letters and marks; texts
-    with a character that folds to several are rewritten by one replacement each."""
+    """Compatibility folding (E5): one ``translate`` for letters and marks; a text that holds
+    characters that fold to several gets one replacement for each one that it holds."""
     x = col(c)
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in _FOLD_LONGER.items()])
-    rewritten = F.aggregate(table, x, lambda acc, r: F.replace(acc, r["k"], r["v"]))
-    holds = x.rlike("[" + "".join(f"\\u{ord(k):04x}" for k in _FOLD_LONGER) + "]")
+    folds = F.create_map(*[F.lit(t) for kv in _FOLD_LONGER.items() for t in kv])
+    present = F.array_distinct(F.regexp_extract_all(x, F.lit(_LONGER_CLASS), F.lit(0)))
+    rewritten = F.aggregate(present, x, lambda acc, k: F.replace(acc, k, F.element_at(folds, k)))
+    # Deleting them shortens the text if there are any: much cheaper than a class of their ranges.
+    holds = F.length(F.translate(x, _LONGER_CHARS, "")) < F.length(x)
     return F.translate(F.when(holds, rewritten).otherwise(x), _FOLD_SRC, _FOLD_DST)
 
 
@@ -99,9 +117,12 @@ def float_text(c) -> Column:
     power = F.substring_index(s, "E", -1).cast("int")
     sign = F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+"))
     scientific = F.concat(mantissa, sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
+    size = F.abs(x)
     return (
-        F.when(F.isnan(x), F.lit("nan")).when(s.contains("Infinity"), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .when(~s.contains("E"), s).when((F.abs(x) >= 1e16) | (F.abs(x) < 1e-4), scientific).otherwise(plain)
+        # Within these bounds the text has no exponent, and nothing else is computed.
+        F.when((size >= 1e-3) & (size < 1e7) | (x == 0), s)
+        .when(F.isnan(x), F.lit("nan")).when(s.contains("Infinity"), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+        .when(~s.contains("E"), s).when((size >= 1e16) | (size < 1e-4), scientific).otherwise(plain)
     )
 
 

@@ -141,11 +141,14 @@ def section_overview_record(df: DataFrame, section: str, prof: DataFrame, k: int
     relation, from which C1-C3 choose.  The rankings are one Spark job over
     the section (all ranked dimensions in one pass).
     """
-    local = df.sparkSession.createDataFrame(prof.collect(), prof.schema)
-    chosen = metric_columns(local)
-    metrics = chosen.where("kept").orderBy("pos").collect()
-    dimensions = dimension_columns(local).where("kept").orderBy("pos").collect()
-    base = base_metric(chosen).first()
+    rows = prof.collect()
+    local = df.sparkSession.createDataFrame(rows, prof.schema)
+    # C1 and C2 in one small job; C3 and the row count are in what the driver then holds.
+    picked = metric_columns(local).unionByName(dimension_columns(local), allowMissingColumns=True).orderBy("pos").collect()
+    numeric = [r for r in picked if r["metric_rank"] is not None]
+    metrics = [r for r in numeric if r["kept"]]
+    dimensions = [r for r in picked if r["dimension_rank"] is not None and r["kept"]]
+    base = min(numeric, key=lambda r: (r["semantic_type"] != "money_or_amount", r["pos"]), default={"column_name": None, "label": None})
     top: dict[str, list] = {d["column_name"]: [] for d in dimensions if d["ranked"]}
     if top:
         for r in rank_dimensions(df, list(top), base["column_name"], k).orderBy("rank").collect():
@@ -154,7 +157,7 @@ def section_overview_record(df: DataFrame, section: str, prof: DataFrame, k: int
         {"dimension": d["label"], "metric": base["label"] or COUNT_METRIC_LABEL, "kind": "bar", "data": top[d["column_name"]]}
         for d in dimensions if top.get(d["column_name"])
     ]
-    n_rows = local.agg(F.max("rows")).first()[0] or 0
+    n_rows = max((r["rows"] or 0 for r in rows), default=0)
     shown = lambda row, names: {n: row[n] for n in names}
     return {
         "section": section,

@@ -291,7 +291,8 @@ def a12_landing_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 check(
     "a12_landing_ingest",
     oracle="\nUNION ALL\n".join(
-        f"SELECT '{t}.parquet' AS file, '{t}' AS dataset_id, 'ready' AS status, count(*) AS rows FROM {t}"
+        # A name that is not its slug plus .csv carries a digest, so that customer.csv and customer.parquet differ.
+        f"SELECT '{t}.parquet' AS file, '{t}_' || substr(md5('{t}.parquet'), 1, 8) AS dataset_id, 'ready' AS status, count(*) AS rows FROM {t}"
         for t in FIXTURE_TABLES
     ),
 )(a12_landing_ingest)
