@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 SLICES = 256
 
 
-def _position(df: DataFrame, order: str) -> Column:
+def position(df: DataFrame, order: str) -> Column:
     """The order column as a number."""
     c, kind = F.col(order), df.schema[order].dataType
     days = F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("double")
@@ -61,10 +61,10 @@ def asof_previous(
     payload = list(dict.fromkeys([by, order, *carry]))
     row = F.struct(*payload)
     known = df.where(F.col(by).isNotNull() & F.col(order).isNotNull())
-    instants = known.groupBy(F.col(by).alias("__by"), F.col(order).alias("__at"), _position(df, order).alias("__x")).agg(
+    instants = known.groupBy(F.col(by).alias("__by"), F.col(order).alias("__at"), position(df, order).alias("__x")).agg(
         (F.max_by(row, F.col(tiebreak)) if tiebreak else F.max(row)).alias("__row")
     )
-    low, high = known.select(_position(df, order).alias("x")).agg(F.min("x"), F.max("x")).first()
+    low, high = known.select(position(df, order).alias("x")).agg(F.min("x"), F.max("x")).first()
     width = ((high or 0.0) - (low or 0.0)) / slices
     place = F.floor((F.col("__x") - F.lit(low)) / F.lit(width)) if width > 0 else F.lit(0)
     instants = instants.withColumn("__slice", place).drop("__x")

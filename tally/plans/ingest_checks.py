@@ -270,6 +270,25 @@ check(
 )(a01_csv_read)
 
 
+def a01_csv_quoted_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: a CSV export of ``documents`` with commas, quotes and line breaks inside
+    quoted fields, read back in splits (``sources.csvrecords``)."""
+    import os
+
+    from ..sources.files import read_csv_section
+
+    path = _scratch(spark, "documents-csv-" + os.path.basename(sf_dir.rstrip("/")))
+    docs = Tables(spark, sf_dir).documents.select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return read_csv_section(spark, path, name="documents").df.drop("_rid")
+
+
+check(
+    "a01_csv_quoted_breaks",
+    oracle="SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents",
+)(a01_csv_quoted_breaks)
+
+
 def a12_landing_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixture folder as a landing folder, ingested by the file stream
     (``availableNow``).  Each file is processed once: a second call finds no

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_text
 from ..operators import adhoc
 from ..operators.asof import asof_previous
+from ..operators.prefix import moving, running
+from ..operators.quantiles import quantiles
+from ..operators.rangejoin import interval_join
 from ..session import spread
 from ..sources.tables import Tables, register_views
 from .registry import check
@@ -550,19 +553,21 @@ _sql(
     """,
 )
 
-_sql(
+
+def q17_price_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q17: exact quartiles by rank, no group in one buffer (``operators.quantiles``)."""
+    q = quantiles(Tables(spark, sf_dir).part, ["p_brand"], "p_retailprice", {"q1": 0.25, "med": 0.5, "q3": 0.75}, count="n_parts")
+    return q.select("p_brand", *[F.round(c, 6).alias(c) for c in ("q1", "med", "q3")], "n_parts")
+
+
+check(
     "q17_price_quartiles",
-    """
-    SELECT p_brand, round(percentile(p_retailprice, 0.25), 6) AS q1, round(median(p_retailprice), 6) AS med,
-           round(percentile(p_retailprice, 0.75), 6) AS q3, count(*) AS n_parts
-    FROM part GROUP BY p_brand
-    """,
-    """
+    oracle="""
     SELECT p_brand, round(quantile_cont(p_retailprice, 0.25), 6) AS q1, round(median(p_retailprice), 6) AS med,
            round(quantile_cont(p_retailprice, 0.75), 6) AS q3, count(*) AS n_parts
     FROM part GROUP BY p_brand
     """,
-)
+)(q17_price_quartiles)
 
 _sql(
     "q18_share_and_yoy",
@@ -653,22 +658,93 @@ _sql(
     """,
 )
 
-_sql(
+
+def q17_discrete_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q17: discrete quantiles, the least value whose cumulative share reaches the wanted one."""
+    shares = {"q1_disc": 0.25, "median_disc": 0.5, "q3_disc": 0.75}
+    return quantiles(Tables(spark, sf_dir).part, ["p_brand"], "p_retailprice", shares, discrete=True)
+
+
+check(
     "q17_discrete_quantiles",
-    """
-    SELECT p_brand, percentile_disc(0.25) WITHIN GROUP (ORDER BY p_retailprice) AS q1_disc,
-           percentile_disc(0.5) WITHIN GROUP (ORDER BY p_retailprice) AS median_disc,
-           percentile_disc(0.75) WITHIN GROUP (ORDER BY p_retailprice) AS q3_disc
-    FROM part GROUP BY p_brand
-    """,
-    """
+    oracle="""
     SELECT p_brand, min(p_retailprice) FILTER (WHERE cd >= 0.25) AS q1_disc,
            min(p_retailprice) FILTER (WHERE cd >= 0.5) AS median_disc,
            min(p_retailprice) FILTER (WHERE cd >= 0.75) AS q3_disc
     FROM (SELECT p_brand, p_retailprice, cume_dist() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS cd FROM part) x
     GROUP BY p_brand
     """,
-)
+)(q17_discrete_quantiles)
+
+
+def q05_interval_join_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5 over two tables: a user's events within 36 hours from each of their errors (``operators.rangejoin``)."""
+    ev = Tables(spark, sf_dir).events.select("event_id", "ts", "user_id", "event_type")
+    errors = ev.where(F.col("event_type") == "error").select(
+        F.col("event_id").alias("error_id"), "user_id", F.col("ts").alias("since"), (F.col("ts") + F.expr("INTERVAL 36 HOURS")).alias("until"))
+    found = interval_join(ev, errors, "ts", "since", "until", on=["user_id"])
+    return found.select("error_id", "user_id", "event_id", "event_type")
+
+
+check(
+    "q05_interval_join_events",
+    oracle="""
+    SELECT r.event_id AS error_id, r.user_id, e.event_id, e.event_type
+    FROM events r JOIN events e ON e.user_id = r.user_id AND e.ts >= r.ts AND e.ts < r.ts + INTERVAL 36 HOURS
+    WHERE r.event_type = 'error'
+    """,
+)(q05_interval_join_events)
+
+
+def q05_interval_join_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5 without an equal key: parts whose price lies within each customer's balance and 5 above it."""
+    t = Tables(spark, sf_dir)
+    bands = t.customer.select("c_custkey", F.col("c_acctbal").alias("lo"), (F.col("c_acctbal") + 5).alias("hi"))
+    found = interval_join(t.part.select("p_partkey", "p_retailprice"), bands, "p_retailprice", "lo", "hi", closed=True)
+    return found.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_parts"), F.min("p_partkey").alias("first_part"))
+
+
+check(
+    "q05_interval_join_prices",
+    oracle="""
+    SELECT c_custkey, count(*) AS n_parts, min(p_partkey) AS first_part
+    FROM customer JOIN part ON p_retailprice >= c_acctbal AND p_retailprice <= c_acctbal + 5 GROUP BY c_custkey
+    """,
+)(q05_interval_join_prices)
+
+
+def q09_running_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q9 over one global order: running revenue of all orders and the last urgent one so far (``operators.prefix``)."""
+    o = Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderdate", "o_orderpriority", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    urgent = F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey"))
+    return running(o, ["o_orderdate", "o_orderkey"], {"revenue": F.col("cents"), "n_orders": F.lit(1).cast("long")}, {"last_urgent": urgent}, block_rows=5000).select(
+        "o_orderkey", "revenue", "n_orders", "last_urgent")
+
+
+check(
+    "q09_running_revenue",
+    oracle="""
+    SELECT o_orderkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER w AS BIGINT) AS revenue, count(*) OVER w AS n_orders,
+           last_value(CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey END IGNORE NULLS) OVER w AS last_urgent
+    FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)
+    """,
+)(q09_running_revenue)
+
+
+def q09_moving_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q9: revenue of the last 100 orders up to each one, over one global order."""
+    o = Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderdate", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return moving(o, ["o_orderdate", "o_orderkey"], 100, {"last_100": F.sum("cents"), "peak_100": F.max("cents")}, block_rows=3000).select("o_orderkey", "last_100", "peak_100")
+
+
+check(
+    "q09_moving_revenue",
+    oracle="""
+    SELECT o_orderkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER w AS BIGINT) AS last_100,
+           max(CAST(round(o_totalprice * 100) AS BIGINT)) OVER w AS peak_100
+    FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey ROWS 99 PRECEDING)
+    """,
+)(q09_moving_revenue)
 
 
 # ---- E: ad-hoc SQL operators -------------------------------------------------

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions.text import table_name
 from ..operators import ingest as ig
 from ..operators.profile import ROW_ID
+from .csvrecords import ends_inside, parsed, records
 
 # Candidate delimiters, in preference order, and how many lines are sniffed.
 DELIMITERS = [",", ";", "\t", "|"]
@@ -62,9 +63,9 @@ def sniff_delimiter(lines: list[str]) -> str:
     return max(DELIMITERS, key=lambda d: _count_outside_quotes(rows[0], d))
 
 
-def _n_fields(line: Column, sep: str) -> Column:
-    """Fields of a record: its delimiters outside quotes, and one."""
-    bare = F.regexp_replace(line, '"[^"]*"', "")
+def _n_fields(record: Column, sep: str) -> Column:
+    """Fields of a record: its delimiters outside quoted fields, and one."""
+    bare = F.regexp_replace(record, f'(?:^|(?<=\\x{ord(sep):02x}))"(?:[^"]|"")*+"', "")
     return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
 
 
@@ -83,41 +84,36 @@ def read_csv_section(spark: SparkSession, path: str, name: str | None = None, mu
     """A1 + A2 + A5/A6 + A8 + A9 for one delimited file.
 
     The first lines give the delimiter and the header.  One scan of all lines
-    decides the rest: an odd number of quotes in any line means quoted line
-    breaks, and the file is read whole (one task); a line or record with more
+    decides the rest: if some line leaves a quoted field open, records are put
+    together from the lines of all splits (``csvrecords``); a record with more
     fields than the header is an error wherever it stands.  Text columns are
     nulled, empty rows dropped and columns typed all-or-nothing.
     """
     lines = spark.read.text(path)
     head = [r[0] for r in lines.limit(SNIFF_LINES).collect()]
-    sep = sniff_delimiter(head)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    whole = lines.agg(F.max(quotes % 2).alias("odd"), F.max(_n_fields(F.col("value"), sep)).alias("fields")).first()
-    multi_line = multi_line or bool(whole["odd"])
+    sep = sniff_delimiter(_logical_lines(head) if multi_line else head)
+    value = F.col("value")
+    whole = lines.agg(F.max(ends_inside(value, sep, False)).alias("open"), F.max(_n_fields(value, sep)).alias("fields")).first()
+    multi_line = multi_line or bool(whole["open"])
     if multi_line:
         head = _logical_lines(head)
     if not head:
         raise ValueError(f"no header row in {path}")
     originals = next(csv.reader([head[0].lstrip("\ufeff")], delimiter=sep))  # a UTF-8 BOM is not part of the header
     slugs = ig.unique_name_list(originals)
-    record = "__record"
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*slugs, record]])
-    raw = (
-        spark.read.schema(schema).option("header", True).option("sep", sep).option("multiLine", multi_line).option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("nullValue", None)
-        .option("emptyValue", "").option("enforceSchema", True).option("columnPruning", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", record).csv(path)
-    )
     # Like the reference reader, more fields than the header is an error (Spark would drop them).
-    # Lines are records unless a quoted field spans lines; then Spark keeps the odd records' text.
-    too_long = whole["fields"] > len(originals)
     if multi_line:
-        # A column of the data goes along: the text of odd records can't be read alone.
-        odd = raw.select(F.length(F.coalesce(*slugs, F.lit(""))).alias("n"), record).where(F.col(record).isNotNull())
-        too_long = odd.where((_n_fields(F.col(record), sep) > len(originals)) & (F.col("n") >= 0)).limit(1).count() > 0
+        found = records(spark, path, sep).checkpoint()
+        too_long = not found.where((F.col("number") > 1) & (_n_fields(F.col("record"), sep) > len(originals))).isEmpty()
+        df = parsed(found, slugs, sep, ROW_ID)
+    else:
+        too_long = (whole["fields"] or 0) > len(originals)
+        df = ig.with_row_ids(
+            spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in slugs])).option("header", True).option("sep", sep).option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("nullValue", None)
+            .option("emptyValue", "").option("enforceSchema", True).option("mode", "PERMISSIVE").csv(path))
     if too_long:
         raise ValueError(f"a line has more fields than the header in {path}")
-    df = raw.drop(record)
-    df = ig.with_row_ids(df)
     df = ig.null_tokens(df, slugs)
     df = ig.drop_empty_rows(df)
     typed, verdicts = ig.coerce(df, slugs)
