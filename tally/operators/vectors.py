@@ -13,7 +13,8 @@ task only if it can still be in a query's top-k: its score is not below the
 k-th best already seen in that task (a threshold that only rises, ties
 kept).  A final ``row_number() <= k`` (``WindowGroupLimit``) merges the
 candidates, which is exact because no dropped row had k rows strictly
-above it.  Query sets above the limit are scored in blocks of that size.
+above it.  More queries than the limit stay a table and meet the vectors in a
+grid of blocks, the same way within each cell.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import ship_package
+from ..session import ship_package, shuffle_partitions
 
 # Retrieval sizes and the default vector width.
 DEFAULT_TOP_K = 8
@@ -188,6 +189,39 @@ def _score_task(it, get_block, k, id_col, vec_col, partition_col):
         yield _nullable(held.pop())
 
 
+def _unit_block(rows) -> tuple[list, np.ndarray]:
+    """Ids of (id, vector) rows and their vectors at unit length."""
+    rows = list(rows)
+    matrix = np.array([np.asarray(r[1], dtype=np.float64) for r in rows]).reshape(len(rows), -1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return [r[0] for r in rows], matrix / np.linalg.norm(matrix, axis=1)[:, None]
+
+
+#: Vectors of one cell of the grid.
+SLICE_ROWS = 65_536
+
+
+def _grid(base, asked, n_queries, max_queries, schema, k, id_col, vec_col, partition_col) -> DataFrame:
+    """Candidates of many queries: slices of the vectors meet blocks of the queries, each pair of them once.
+
+    Both are dealt by a hash, so a cell holds a slice and a block and no more; vectors are read once, and no query passes the driver.
+    """
+    blocks = -(-n_queries // max_queries)
+    slices = max(1, -(-base.count() // SLICE_ROWS), min(shuffle_partitions(base.sparkSession), 4 * blocks))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = base.withColumn("__cell", F.pmod(F.xxhash64(id_col), F.lit(slices)).cast("int")).withColumn("__block", each(blocks))
+    right = asked.withColumn("__block", F.pmod(F.xxhash64("__qid"), F.lit(blocks)).cast("int")).withColumn("__cell", each(slices))
+    names = schema.fieldNames()
+
+    def run(key, pdf, queries):
+        if pdf.empty or queries.empty:
+            return pd.DataFrame({n: [] for n in names})
+        block = _unit_block(zip(queries["__qid"].tolist(), queries["__qvec"].tolist()))
+        return pd.concat(list(_score_task(iter([pdf]), lambda: block, k, id_col, vec_col, partition_col)), ignore_index=True)[names]
+
+    return left.groupBy("__cell", "__block").cogroup(right.groupBy("__cell", "__block")).applyInPandas(run, schema)
+
+
 def cosine_top_k(
     vectors: DataFrame,
     queries: DataFrame,
@@ -203,8 +237,9 @@ def cosine_top_k(
 
     Output: ``query_id, [partition], id, score, rank``.  Score is
     ``1 - cosine distance`` in double; a zero vector scores NULL and ranks
-    last.  The query set is counted first and sent to tasks in blocks of at
-    most ``max_queries_per_block`` vectors (its size is checked, not assumed).
+    last.  The queries are counted first: up to ``max_queries_per_block`` of
+    them go to every task, so that vectors stay where they are; more of them
+    stay a table and meet the vectors in a grid of blocks.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -219,33 +254,12 @@ def cosine_top_k(
     sel = [id_col, vec_col] + ([partition_col] if partition_col else [])
     base = vectors.select(*sel)
 
-    results = []
-    for start in range(0, max(n_queries, 1), max_queries_per_block):
-        block = (
-            queries.select(query_id_col, query_vec_col)
-            .orderBy(query_id_col)
-            .offset(start)
-            .limit(max_queries_per_block)
-            .collect()
-        )  # bounded by max_queries_per_block rows
-        if not block:
-            break
-        qids = [r[0] for r in block]
-        qmat = np.array([np.asarray(r[1], dtype=np.float64) for r in block])
-        qnorm = np.linalg.norm(qmat, axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            qunit = qmat / qnorm[:, None]
-        block_data = _ship(spark, (qids, qunit))
-
-        def score(it, _get=block_data, _k=k):
-            return _score_task(it, _get, _k, id_col, vec_col, partition_col)
-
-        results.append(base.mapInPandas(score, cand_schema))
-    if not results:  # no query: no hit
-        results = [spark.createDataFrame([], cand_schema)]
-    cands = results[0]
-    for r in results[1:]:
-        cands = cands.unionByName(r)
+    asked = queries.select(F.col(query_id_col).alias("__qid"), F.col(query_vec_col).alias("__qvec"))
+    if n_queries > max_queries_per_block:
+        cands = _grid(base, asked, n_queries, max_queries_per_block, cand_schema, k, id_col, vec_col, partition_col)
+    else:
+        block_data = _ship(spark, _unit_block(asked.orderBy("__qid").collect()))  # at most max_queries_per_block rows
+        cands = base.mapInPandas(lambda it: _score_task(it, block_data, k, id_col, vec_col, partition_col), cand_schema)
     keys = ["query_id"] + ([partition_col] if partition_col else [])
     w = Window.partitionBy(*keys).orderBy(F.col("score").desc_nulls_last(), F.col(id_col).asc())
     return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

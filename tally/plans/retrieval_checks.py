@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import truncate_text
+from ..operators import approx as ax
 from ..operators import chunks as ch
 from ..operators import vectors as vx
 from ..sources.tables import Tables
@@ -230,3 +231,54 @@ check(
     WHERE rank <= 4
     """,
 )(d05_cosine_top_k_100)
+
+
+def _neighbour_queries(emb: DataFrame) -> DataFrame:
+    return emb.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
+def d05_cosine_top_k_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D5 with every stored vector as a query: the grid of query blocks and vector slices."""
+    emb = Tables(spark, sf_dir).embeddings
+    q = emb.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    hits = vx.cosine_top_k(emb, q, k=vx.CALLER_TOP_K, id_col="vec_id", max_queries_per_block=128)
+    return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
+
+
+check(
+    "d05_cosine_top_k_all",
+    oracle="""
+    SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (
+      SELECT q.vec_id AS query_id, v.vec_id, s.score, row_number() OVER (PARTITION BY q.vec_id ORDER BY s.score DESC, v.vec_id) AS rank
+      FROM embeddings q, embeddings v, LATERAL (SELECT list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score) s) r
+    WHERE rank <= 4
+    """,
+)(d05_cosine_top_k_all)
+
+
+def d08_approx_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate top-4 of every 20th vector, with the exact rank of each hit (null: none of the exact top 4)."""
+    emb = Tables(spark, sf_dir).embeddings
+    q = _neighbour_queries(emb)
+    exact = vx.cosine_top_k(emb, q, k=vx.CALLER_TOP_K, id_col="vec_id").select("query_id", "vec_id", F.col("rank").alias("exact_rank"))
+    hits = ax.approximate_top_k(emb, q, vx.CALLER_TOP_K, id_col="vec_id")
+    return hits.join(exact, ["query_id", "vec_id"], "left").select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"), "exact_rank", "candidates")
+
+
+check("d08_approx_top_k")(d08_approx_top_k)
+
+
+def d08_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recall of approximate search over all its queries, against its bound."""
+    emb = Tables(spark, sf_dir).embeddings
+    q = _neighbour_queries(emb)
+    exact = vx.cosine_top_k(emb, q, k=vx.CALLER_TOP_K, id_col="vec_id")
+    found = ax.approximate_top_k(emb, q, vx.CALLER_TOP_K, id_col="vec_id")
+    return ax.recall(found, exact, "vec_id").agg(
+        F.count(F.lit(1)).alias("n_queries"), F.sum("wanted").alias("wanted"), (F.sum("hits") / F.sum("wanted") >= 0.9).alias("recall_reached"))
+
+
+check(
+    "d08_recall",
+    oracle="SELECT count(*) AS n_queries, CAST(4 * count(*) AS BIGINT) AS wanted, true AS recall_reached FROM embeddings WHERE vec_id % 20 = 0",
+)(d08_recall)

@@ -147,3 +147,79 @@ def test_too_many_fields_and_empty_files(spark, tmp_path):
     none.write_text("")
     with pytest.raises(ValueError):
         read_csv_section(spark, str(none))
+
+
+def test_many_queries_meet_vectors_in_a_grid(spark):
+    from tally.operators import vectors as vx
+
+    rng = random.Random(6)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(8)], f"g{k % 3}") for k in range(200)] + [(500, [0.0] * 8, "g0"), (501, [1.0] * 8, "g0")]
+    emb = spark.createDataFrame(rows, "id long, embedding array<double>, g string")
+    q = emb.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    for part in (None, "g"):
+        whole = vx.cosine_top_k(emb, q, k=3, partition_col=part)
+        grid = vx.cosine_top_k(emb, q, k=3, partition_col=part, max_queries_per_block=30)
+        key = lambda r: (r["query_id"], r[part] if part else "", r["rank"])
+        flat = lambda df: [(r["query_id"], r["rank"], r["id"], None if r["score"] is None else round(r["score"], 9)) for r in sorted(df.collect(), key=key)]
+        assert flat(grid) == flat(whole)
+
+
+def test_approximate_search(spark):
+    from tally.operators import approx
+    from tally.operators import vectors as vx
+
+    rng = random.Random(7)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(12)]
+    rows = [(k, [c + rng.gauss(0, 0.4) for c in centres[k % 12]]) for k in range(600)] + [(900, [0.0] * 16), (901, None), (902, []), (903, [1.0] * 16), (903, [1.0] * 16)]
+    emb = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = emb.where("id % 10 = 0 or id = 903").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec")).distinct()
+    usable = emb.where(F.size("embedding") > 0)
+    exact = vx.cosine_top_k(usable.where("id <> 900"), q.where(F.size("query_vec") > 0).where("query_id <> 900"), k=4).checkpoint()
+    index = approx.lsh_index(emb).checkpoint()
+    assert index.select("id").distinct().count() == 601 and index.groupBy("id").count().where(f"id < 900 and count <> {approx.TABLES}").isEmpty()
+    found = approx.approximate_top_k(emb, q, 4, index=index).checkpoint()
+    got = approx.recall(found, exact).agg(F.sum("hits") / F.sum("wanted")).first()[0]
+    assert got >= 0.9
+    scores = {(r.query_id, r.id): r.score for r in exact.collect()}
+    assert all(abs(scores[r.query_id, r.id] - r.score) < 1e-9 for r in found.collect() if (r.query_id, r.id) in scores)
+    assert found.where("query_id in (900, 901, 902)").isEmpty()
+    # Far from every vector being a candidate.
+    assert found.agg(F.avg("candidates")).first()[0] < 450
+    assert approx.approximate_top_k(emb.limit(0), q, 4).count() == 0
+
+
+def _murmur3(data: bytes, seed: int = 42) -> int:
+    """The 32-bit hash of the public MurmurHash3 description, signed."""
+    m = 0xFFFFFFFF
+    rot = lambda x, r: (x << r | x >> (32 - r)) & m
+    h, n = seed, len(data) // 4 * 4
+    for i in range(0, n, 4):
+        k = rot(int.from_bytes(data[i:i + 4], "little") * 0xCC9E2D51 & m, 15) * 0x1B873593 & m
+        h = (rot(h ^ k, 13) * 5 + 0xE6546B64) & m
+    if data[n:]:
+        h ^= rot(int.from_bytes(data[n:], "little") * 0xCC9E2D51 & m, 15) * 0x1B873593 & m
+    h ^= len(data)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> shift) * factor & m
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def test_text_vectors_value_by_value(spark):
+    import re
+    from collections import Counter
+
+    from tally.operators import vectors as vx
+
+    from .conftest import SF_SMALL
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, ""), (-2, "Año ÉL x2")], "doc_id long, text string"))
+    got = {r.doc_id: r.embedding for r in vx.text_vectors(docs, "text", 512).select("doc_id", "embedding").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    terms = {d: Counter(_murmur3(w.encode()) % 512 for w in re.findall(r"[^\W_]+", t.lower())) for d, t in texts.items()}
+    df = Counter(k for c in terms.values() for k in c)
+    for d, c in terms.items():
+        v = {k: n * math.log((len(texts) + 1) / (df[k] + 1)) for k, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        want = [v.get(k, 0.0) / norm if norm else 0.0 for k in range(512)]
+        assert got[d] == pytest.approx(want, abs=1e-6)
