@@ -62,7 +62,7 @@ def pack(words: list[bytes], *columns: np.ndarray) -> bytes:
         head.append(struct.pack("<BI", width, len(c)))
         # Byte planes: the high bytes of small numbers press to nothing.
         body.append(c.astype(f"<{'i' if width == 8 else 'u'}{width}").view(np.uint8).reshape(-1, width).T.tobytes())
-    return zstandard.ZstdCompressor(level=1, write_content_size=True).compress(b"".join(head + body))
+    return zstandard.ZstdCompressor(level=3, write_content_size=True).compress(b"".join(head + body))
 
 
 def unpack(blob: bytes) -> tuple[list[bytes], list[np.ndarray]]:
@@ -130,29 +130,36 @@ def hashes(words: list[bytes]) -> np.ndarray:
 
 
 class Dealt:
-    """Grams by the part of the corpus-wide table that holds them."""
+    """Grams by the part of the corpus-wide table that holds them.
 
-    def __init__(self, columns: list[np.ndarray], word_hashes: np.ndarray, parts: int):
+    Columns number words: within a task, with the hash of each word in
+    ``word_hashes``, or corpus-wide, where the numbers themselves are hashed.
+    """
+
+    def __init__(self, columns: list[np.ndarray], word_hashes: np.ndarray | None, parts: int):
         h = np.full(len(columns[0]), len(columns), dtype=np.uint64)
         for c in columns:
-            h = h * _MIX[0] + word_hashes[c]
+            h = h * _MIX[0] + (c.astype(np.uint64) if word_hashes is None else word_hashes[c])
             h ^= h >> np.uint64(29)
             h *= _MIX[1]
             h ^= h >> np.uint64(32)
         part = (h % np.uint64(parts)).astype(np.int64)
-        self.order = np.argsort(part, kind="stable")
+        # Grams come in ascending order of numbers within the task; corpus-wide numbers are put in order here, to press well.
+        self.order = np.argsort(part, kind="stable") if word_hashes is not None else np.lexsort((columns[0], part))
         self.columns = columns
         self.bounds = np.searchsorted(part[self.order], np.arange(parts + 1))
 
-    def blobs(self, words: list[bytes], *values: np.ndarray):
-        """(part, blob of its grams and their values) of every part that has some."""
+    def blobs(self, words: list[bytes] | None, *values: np.ndarray):
+        """(part, blob of its grams, with their words if these are given, and their values) of every part that has some."""
         for p in range(len(self.bounds) - 1):
             rows = self.order[self.bounds[p] : self.bounds[p + 1]]
-            if len(rows):
-                flat = np.concatenate([c[rows] for c in self.columns])
-                used, local = np.unique(flat, return_inverse=True)
-                local = np.split(local.reshape(-1), len(self.columns))
-                yield p, pack([words[k] for k in used.tolist()], *local, *[v[rows] for v in values])
+            if not len(rows):
+                continue
+            columns, used = [c[rows] for c in self.columns], []
+            if words is not None:
+                used, local = np.unique(np.concatenate(columns), return_inverse=True)
+                columns, used = np.split(local.reshape(-1), len(columns)), [words[k] for k in used.tolist()]
+            yield p, pack(used, *columns, *[v[rows] for v in values])
 
     def placed(self, answers: list[np.ndarray], dtype=np.int64) -> np.ndarray:
         """Answers of the parts, in ascending order of the part, put back to the grams' own order."""

@@ -13,13 +13,15 @@ add up to 1 with one place for words never seen.  A token is scored in the
 state of the longest suffix of the words before it in its text.
 
 How it runs: texts are numbered once in windows of some million tokens (a
-checkpoint).  What a window needs from the corpus are sums by gram: training
-counts, and the divergence of contexts, whose terms each window adds up over
-its own tokens.  A window sends its distinct grams with its share of each sum
-to the parts of a hash of the gram, where shares meet, and gets the sums of
-its own grams back.  Grams of k + 1 words are asked for only behind contexts
-that stand often enough.  No table is broadcast; divergence terms are whole
-numbers of 2**-20 nats, so sums do not depend on the windows.
+checkpoint), each with a numbering of its own.  What a window needs from the
+corpus are sums by word or gram: training counts, and the divergence of
+contexts, whose terms each window adds up over its own tokens.  A window sends
+its distinct words or grams with its share of each sum to the parts of a hash
+of the gram, where shares meet, and gets the sums of its own back; with the
+words' counts come corpus-wide numbers, small ones for frequent words, so that
+grams travel as numbers.  Grams of k + 1 words are asked for only behind
+contexts that stand often enough.  No table is broadcast; divergence terms are
+whole numbers of 2**-20 nats, so sums do not depend on the windows.
 
 Defined results: null texts are empty; an empty text is its end token alone; a
 null doc_id counts as the empty text and so is held out; repeated rows are
@@ -36,12 +38,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, shuffle_partitions, ship_package
-from .grams import END, Dealt, Distinct, Names, hashes, merge, number, pack, spelled, unpack
+from .grams import BLANK, END, Dealt, Distinct, Names, hashes, number, pack, spelled, unpack
 from .memory import give_back
 from .suffix_dedup import release_shuffles
 
 #: Tokens of a window.
-WINDOW = 1_500_000
+WINDOW = 2_200_000
 PART_BYTES = 16 << 20
 #: Words of the longest context, and the least training tokens behind a state.
 DEPTH, LEAST = 2, 8
@@ -49,10 +51,10 @@ DEPTH, LEAST = 2, 8
 WEIGHT, DIVERGENCE = 4.0, 3.0
 #: Steps of a divergence term in a nat.
 _STEPS = 1 << 20
-#: Kinds of sums: grams of k words have the number k, divergences of contexts of d words this and d.
+#: Kinds of sums: words 1, grams of k words k, divergences of contexts of d words this and d.
 _GAIN = 100
 
-_WINDOWS = "window long, blob binary"
+_WINDOWS = "window long, words binary, tokens binary"
 _SHARES = "part long, window long, kind int, blob binary"
 _SUMS = "window long, kind int, part long, blob binary, tokens long, words long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_in_context long"
@@ -68,28 +70,56 @@ def tokens(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(_SHAPE) + b"\n"
 
 
-def _windows(batches):
-    task = TaskContext.get()
-    made, docs, arrays, names, size = 0, [], [], Names(), 0
-
-    def flush():
-        lengths, ids, null, held = (np.array(c, dtype=np.int64) for c in zip(*docs))
-        window = (task.partitionId() << 32) + made
-        return pd.DataFrame({"window": [window], "blob": [pack(spelled(names), np.concatenate(arrays), lengths, ids, null, held)]})
-
-    for pdf in batches:
-        for doc_id, held, text in zip(pdf["doc_id"].tolist(), pdf["held"].tolist(), pdf["text"].tolist()):
-            new = number(tokens(text), names)
-            n = sum(map(len, new))
-            arrays += new
-            docs.append((n, 0 if doc_id is None else int(doc_id), doc_id is None, bool(held)))
-            size += n
-            if size >= WINDOW:
-                yield flush()
-                made, docs, arrays, names, size = made + 1, [], [], Names(), 0
-    if docs:
-        yield flush()
-    give_back()
+def _windows(parts: int):
+    """Texts to windows: their words with training counts, and their tokens with the part of each word."""
+
+    def flush(window, docs, arrays, names):
+        lengths, doc_ids, null, held = (np.array(c, dtype=np.int64) for c in zip(*docs))
+        ids, words = np.concatenate(arrays), spelled(names)
+        part = (hashes(words) % np.uint64(parts)).astype(np.int64)
+        counts = np.bincount(ids[np.repeat(held == 0, lengths)], minlength=len(words))
+        return pd.DataFrame({"window": [window], "words": [pack(words, counts)], "tokens": [pack([], ids, lengths, doc_ids, null, held, part)]})
+
+    def run(batches):
+        first = TaskContext.get().partitionId() << 32
+        made, docs, arrays, names, size = 0, [], [], Names(), 0
+        for pdf in batches:
+            for doc_id, held, text in zip(pdf["doc_id"].tolist(), pdf["held"].tolist(), pdf["text"].tolist()):
+                new = number(tokens(text), names)
+                n = sum(map(len, new))
+                arrays += new
+                docs.append((n, 0 if doc_id is None else int(doc_id), doc_id is None, bool(held)))
+                size += n
+                if size >= WINDOW:
+                    yield flush(first + made, docs, arrays, names)
+                    made, docs, arrays, names, size = made + 1, [], [], Names(), 0
+        if docs:
+            yield flush(first + made, docs, arrays, names)
+        give_back()
+
+    return run
+
+
+def _sent(part: np.ndarray) -> np.ndarray:
+    """A window's words by the part that counts them; the blank is no word."""
+    order = np.argsort(part, kind="stable")
+    return order[order != BLANK]
+
+
+def _words_asked(parts: int):
+    def run(batches):
+        for pdf in batches:
+            for window, blob in zip(pdf["window"].tolist(), pdf["words"].tolist()):
+                words, (counts,) = unpack(blob)
+                part = (hashes(words) % np.uint64(parts)).astype(np.int64)
+                sent = _sent(part)
+                bounds = np.searchsorted(part[sent], np.arange(parts + 1))
+                of = [sent[i:j] for i, j in zip(bounds, bounds[1:])]
+                rows = [(p, window, 1, pack([words[k] for k in ids.tolist()], counts[ids])) for p, ids in enumerate(of) if len(ids)]
+                yield pd.DataFrame(rows, columns=["part", "window", "kind", "blob"])
+        give_back()
+
+    return run
 
 
 class Model:
@@ -103,20 +133,28 @@ class Model:
 class Window:
     """The tokens of one window, with the sums known so far."""
 
-    def __init__(self, blob: bytes, model: Model, sums: dict[int, list[np.ndarray]]):
+    def __init__(self, blob: bytes, model: Model, sums: dict[int, list[list[np.ndarray]]]):
         self.model, self.sums = model, sums
-        self.words, (self.ids, self.lengths, self.docs, self.null, self.held) = unpack(blob)
-        self.hashes = hashes(self.words)
+        _, (ids, self.lengths, self.docs, self.null, self.held, part) = unpack(blob)
+        self.ids = ids.astype(np.int32)
         self.train = np.repeat(self.held == 0, self.lengths)
+        self.named, self.count = np.zeros(len(part), dtype=np.int64), np.zeros(len(part), dtype=np.int64)
+        sent = _sent(part)
+        #: The corpus-wide number and count of each of the window's words.
+        for k, column in enumerate((self.named, self.count)):
+            column[sent] = np.concatenate([x[k] for x in sums[1]])
         #: The tokens, and at k the tokens k places before within the same text (END: none).
         self.before = [self.ids]
         for k in range(model.depth):
-            last = np.concatenate([np.array([END]), self.before[-1][:-1]])
-            self.before.append(last if k == 0 else np.where(self.before[-1] == END, END, last))
+            last = np.concatenate([np.array([END], dtype=np.int32), self.before[-1][:-1]])
+            self.before.append(last if k == 0 else np.where(self.before[-1] == END, np.int32(END), last))
 
     def _distinct(self, columns: list[np.ndarray], at: np.ndarray) -> tuple[Distinct, Dealt]:
         found = Distinct([c[at] for c in columns])
-        return found, Dealt(found.columns, self.hashes, self.model.parts)
+        return found, Dealt([self.named[c] for c in found.columns], None, self.model.parts)
+
+    def _answers(self, kind: int) -> list[np.ndarray]:
+        return [x[0] for x in self.sums[kind]]
 
     def grams(self, k: int, at: np.ndarray):
         """Distinct grams of ``k`` words that end at some tokens."""
@@ -130,13 +168,13 @@ class Window:
         """For every token the training count of the ``k`` words that end there (0 where not asked for)."""
         found, dealt = self.grams(k, at)
         out = np.zeros(len(self.ids), dtype=np.int64)
-        out[at] = dealt.placed(self.sums[k])[found.inverse()]
+        out[at] = dealt.placed(self._answers(k))[found.inverse()]
         return out
 
     def levels(self):
         """For each depth whose counts are known: tokens with a context that stands often, its count, the gram's count, the probability."""
         m = self.model
-        count = self.counts(1, np.arange(len(self.ids)))
+        count = self.count[self.ids]
         p = (count + 0.1) / (m.tokens + 0.1 * (m.words + 1))
         yield None, None, count, p
         for d in range(1, m.depth + 1):
@@ -146,7 +184,7 @@ class Window:
             if d + 1 not in self.sums:
                 yield often, context, None, None
                 return
-            count = self.counts(d + 1, np.flatnonzero(there) if d == 1 else often)
+            count = self.counts(d + 1, often)
             longer = p.copy()
             longer[often] = (count[often] + m.weight * p[often]) / (context[often] + m.weight)
             p = longer
@@ -166,22 +204,16 @@ class Window:
 
     def shares(self, step: int):
         """(kind, part, blob) of what this window asks for in a step."""
-        if step == 1:
-            for k in (1, 2):
-                at = np.arange(len(self.ids)) if k == 1 else np.flatnonzero(self.before[1] != END)
-                found, dealt = self.grams(k, at)
-                for p, blob in dealt.blobs(self.words, found.sums(self.train[at].astype(np.int64))):
-                    yield k, p, blob
-            return
         levels = list(self.levels())
         if step <= self.model.depth:
             often = levels[step][0]
             found, dealt = self.grams(step + 1, often)
-            for p, blob in dealt.blobs(self.words, found.sums(self.train[often].astype(np.int64))):
+            for p, blob in dealt.blobs(None, found.sums(self.train[often].astype(np.int64))):
                 yield step + 1, p, blob
-        _, dealt, gains = self.gains(step - 1, levels)
-        for p, blob in dealt.blobs(self.words, gains):
-            yield _GAIN + step - 1, p, blob
+        if step > 1:
+            _, dealt, gains = self.gains(step - 1, levels)
+            for p, blob in dealt.blobs(None, gains):
+                yield _GAIN + step - 1, p, blob
 
     def scores(self) -> pd.DataFrame:
         levels = list(self.levels())
@@ -190,7 +222,7 @@ class Window:
         for d in range(1, self.model.depth + 1):
             often = levels[d][0]
             found, dealt = self.contexts(d, often)
-            gain = dealt.placed(self.sums[_GAIN + d])[found.inverse()]
+            gain = dealt.placed(self._answers(_GAIN + d))[found.inverse()]
             kept = np.zeros(len(self.ids), dtype=bool)
             kept[often] = gain >= self.model.divergence * _STEPS
             state &= kept
@@ -204,45 +236,60 @@ class Window:
             "score": per(np.log10(p)), "n_in_context": per(deep.astype(np.int64))}).assign(doc_id=lambda f: f["doc_id"].mask(self.null != 0))
 
 
-def _met(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One part's sums, sent back to the windows that asked."""
-    out = []
-    for kind, of in pdf.groupby("kind", sort=True):
-        keys = int(kind) % _GAIN
-        _, columns, sizes = merge(of["blob"].tolist(), keys)
-        found = Distinct(columns[:keys])
-        sums = found.sums(columns[keys])
-        part = int(of["part"].iloc[0])
-        if kind == 1:
-            out.append((None, 1, part, None, int(sums.sum()), int((sums > 0).sum())))
-        back = np.split(sums[found.inverse()], np.cumsum(sizes)[:-1])
-        out += [(window, int(kind), part, pack([], x), None, None) for window, x in zip(of["window"].tolist(), back)]
+def _back(rows: list[tuple]) -> pd.DataFrame:
     give_back()
-    return pd.DataFrame(out, columns=["window", "kind", "part", "blob", "tokens", "words"], dtype=object).astype({"window": "Int64", "kind": "int32", "part": "int64", "tokens": "Int64", "words": "Int64"})
+    return pd.DataFrame(rows, columns=["window", "kind", "part", "blob", "tokens", "words"], dtype=object).astype(
+        {"window": "Int64", "kind": "int32", "part": "int64", "tokens": "Int64", "words": "Int64"})
+
+
+def _words_met(parts: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One part's words: counts, and numbers by falling count, sent back to the windows that asked."""
+        pdf = pdf.sort_values("window")
+        part, names, asked, counts = int(pdf["part"].iloc[0]), {}, [], []
+        for blob in pdf["blob"]:
+            words, (n,) = unpack(blob)
+            asked.append(np.fromiter((names.setdefault(w, len(names)) for w in words), dtype=np.int64, count=len(words)))
+            counts.append(n)
+        total = np.zeros(len(names), dtype=np.int64)
+        for ids, n in zip(asked, counts):
+            total[ids] += n
+        number = np.empty(len(names), dtype=np.int64)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(names)) * parts + part
+        rows = [(window, 1, part, pack([], number[ids], total[ids]), None, None) for window, ids in zip(pdf["window"].tolist(), asked)]
+        return _back([*rows, (None, 1, part, None, int(total.sum()), int((total > 0).sum()))])
 
+    return run
 
-def _sums(rows: pd.DataFrame) -> dict[int, list[np.ndarray]]:
-    rows = rows.sort_values(["kind", "part"])
-    return {int(kind): [unpack(b)[1][0] for b in of["blob"]] for kind, of in rows.groupby("kind")}
 
+def _met(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One part's sums by gram, sent back to the windows that asked."""
+    out = []
+    for kind, of in pdf.groupby("kind", sort=True):
+        found = [unpack(b)[1] for b in of["blob"]]
+        *columns, shares = (np.concatenate(c) for c in zip(*found))
+        met = Distinct(columns)
+        sums = np.split(met.sums(shares)[met.inverse()], np.cumsum([len(f[0]) for f in found])[:-1])
+        out += [(window, int(kind), int(part), pack([], x), None, None) for window, part, x in zip(of["window"].tolist(), of["part"].tolist(), sums)]
+    return _back(out)
 
-class _Filled(dict):
-    """Sums of a kind that no token asked for are none."""
 
-    def __init__(self, sums, kinds):
-        super().__init__({k: [] for k in kinds} | sums)
+def _sums(rows: pd.DataFrame, kinds: list[int]) -> dict[int, list[list[np.ndarray]]]:
+    """The columns of each kind of sum by part; what no token asked for has none."""
+    rows = rows.sort_values(["kind", "part"])
+    return {k: [] for k in kinds} | {int(kind): [unpack(b)[1] for b in of["blob"]] for kind, of in rows.groupby("kind")}
 
 
 def _kinds(step: int, depth: int) -> list[int]:
     """Kinds whose sums are known when a step begins."""
-    return [1, 2][: 2 * (step > 1)] + [k for s in range(2, step) for k in ([s + 1] if s <= depth else []) + [_GAIN + s - 1]]
+    return [1] + [k for s in range(1, step) for k in ([s + 1] if s <= depth else []) + ([_GAIN + s - 1] if s > 1 else [])]
 
 
 def _ask(step: int, model: Model):
     def run(key, texts: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for blob in texts["blob"].tolist():
-            window = Window(blob, model, _Filled(_sums(sums), _kinds(step, model.depth)))
+        for blob in texts["tokens"].tolist():
+            window = Window(blob, model, _sums(sums, _kinds(step, model.depth)))
             out += [(p, int(key[0]), kind, b) for kind, p, b in window.shares(step)]
         give_back()
         return pd.DataFrame(out, columns=["part", "window", "kind", "blob"])
@@ -252,8 +299,8 @@ def _ask(step: int, model: Model):
 
 def _score(model: Model):
     def run(key, texts: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
-        known = _Filled(_sums(sums), _kinds(model.depth + 2, model.depth))
-        out = [Window(blob, model, known).scores() for blob in texts["blob"].tolist()]
+        known = _sums(sums, _kinds(model.depth + 2, model.depth))
+        out = [Window(blob, model, known).scores() for blob in texts["tokens"].tolist()]
         give_back()
         return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in SCORES.split(", ")})
 
@@ -267,16 +314,19 @@ def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, weight: float
     ensure_checkpoint_dir(spark)
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    model = Model(max(shuffle_partitions(spark), size // PART_BYTES), depth, least, weight, divergence)
-    texts = rows.mapInPandas(_windows, _WINDOWS).checkpoint()
-    known = spark.createDataFrame([], _SUMS)
+    parts = max(shuffle_partitions(spark), size // PART_BYTES)
+    texts = rows.mapInPandas(_windows(parts), _WINDOWS).checkpoint()
+    met = texts.select("window", "words").mapInPandas(_words_asked(parts), _SHARES).groupBy("part").applyInPandas(_words_met(parts), _SUMS).checkpoint()
+    release_shuffles(spark)
+    # One row for each part.
+    total = met.where("window is null").agg(F.sum("tokens"), F.sum("words")).first()
+    model = Model(parts, depth, least, weight, divergence, int(total[0] or 0), int(total[1] or 0))
+    tokens_of = texts.select("window", "tokens").groupBy("window")
+    known = met.where("window is not null")
     for step in range(1, depth + 2):
-        shares = texts.groupBy("window").cogroup(known.groupBy("window")).applyInPandas(_ask(step, model), _SHARES)
+        shares = tokens_of.cogroup(known.groupBy("window")).applyInPandas(_ask(step, model), _SHARES)
         met = shares.groupBy("part").applyInPandas(_met, _SUMS).checkpoint()
+        del shares
         release_shuffles(spark)
-        if step == 1:
-            # One row for each part.
-            total = met.where("window is null").agg(F.sum("tokens"), F.sum("words")).first()
-            model = Model(model.parts, depth, least, weight, divergence, int(total[0] or 0), int(total[1] or 0))
-        known = met.where("window is not null") if step == 1 else known.unionByName(met.where("window is not null"))
-    return texts.groupBy("window").cogroup(known.groupBy("window")).applyInPandas(_score(model), SCORES)
+        known = known.unionByName(met)
+    return tokens_of.cogroup(known.groupBy("window")).applyInPandas(_score(model), SCORES)
