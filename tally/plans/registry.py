@@ -49,6 +49,7 @@ def all_checks() -> dict[str, Check]:
         sql_surface,
         rollup_checks,
         display_checks,
+        answer_checks,
     )
 
     return dict(_CHECKS)
