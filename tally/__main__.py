@@ -11,14 +11,12 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 
 from pyspark.sql import SparkSession
 
 from . import api
 from .operators import adhoc
 from .session import apply_defaults, local_session
-from .sources.tables import child_names
 
 
 def _session() -> SparkSession:
@@ -45,8 +43,7 @@ def main(argv=None) -> None:
         print(json.dumps({k: rec[k] for k in ("dataset_id", "status", "summary")}, ensure_ascii=False))
         return
     ctx = api.retrieve_context(spark, a.store, [a.dataset_id], a.question)
-    tables = os.path.join(a.store, "tables", a.dataset_id)
-    adhoc.attach_datasets(spark, [{t: os.path.join(tables, t) for t in child_names(spark, tables)}])
+    adhoc.attach_datasets(spark, [api.table_paths(spark, a.store, a.dataset_id)])
     answer = adhoc.answer_question(spark, a.question, a.sql, a.dataset_id)
     print(json.dumps({"chunks": ctx["retrieved_chunks"], "answer": answer}, ensure_ascii=False, default=str))
 

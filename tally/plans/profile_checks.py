@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import profile as pf
+from ..operators import sketches
 from ..sources.tables import Tables
 from .registry import check
 
@@ -283,3 +284,32 @@ def _preview_oracle() -> str:
 
 
 check("b07_preview", oracle=_preview_oracle())(b07_preview)
+
+
+def b01_profile_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1 merged from part profiles, one for each order year, without reading orders again."""
+    orders = Tables(spark, sf_dir).orders
+    parts = None
+    for year in range(1995, 2002):
+        parts = sketches.refresh(parts, orders.where(F.year("o_orderdate") == year), "orders", str(year))
+    got = sketches.read_profile(sketches.merged(parts, ["dataset_id"]), (0.5,))
+    exact = orders.agg(F.countDistinct("o_custkey").alias("custkeys"), F.countDistinct("o_orderkey").alias("orderkeys"))
+    # The bounds: 4 standard errors of the distinct count, 1 % of the rank.
+    real = F.when(F.col("column_name") == "o_custkey", F.col("custkeys")).when(F.col("column_name") == "o_orderkey", F.col("orderkeys"))
+    off = F.coalesce(F.abs(F.col("distinct") - real) <= 0.033 * real + 1, F.lit(True))
+    return got.join(exact, F.lit(True)).select(
+        "column_name", "rows", "non_nulls", F.round("total", 2).alias("total"), F.round("least", 2).alias("least"), F.round("greatest", 2).alias("greatest"), off.alias("distinct_within"))
+
+
+check(
+    "b01_profile_merged",
+    oracle="""
+    WITH o AS (SELECT count(*) AS n, sum(o_orderkey)::DOUBLE AS k, sum(o_custkey)::DOUBLE AS c, sum(o_totalprice) AS p, min(o_orderkey)::DOUBLE AS k0, max(o_orderkey)::DOUBLE AS k1,
+                      min(o_custkey)::DOUBLE AS c0, max(o_custkey)::DOUBLE AS c1, min(o_totalprice) AS p0, max(o_totalprice) AS p1 FROM orders)
+    SELECT v.name AS column_name, n AS rows, n AS non_nulls,
+           round(CASE v.name WHEN 'o_orderkey' THEN k WHEN 'o_custkey' THEN c WHEN 'o_totalprice' THEN p END, 2) AS total,
+           round(CASE v.name WHEN 'o_orderkey' THEN k0 WHEN 'o_custkey' THEN c0 WHEN 'o_totalprice' THEN p0 END, 2) AS least,
+           round(CASE v.name WHEN 'o_orderkey' THEN k1 WHEN 'o_custkey' THEN c1 WHEN 'o_totalprice' THEN p1 END, 2) AS greatest, true AS distinct_within
+    FROM o, (VALUES ('o_orderkey'), ('o_custkey'), ('o_orderstatus'), ('o_totalprice'), ('o_orderdate'), ('o_orderpriority')) AS v(name)
+    """,
+)(b01_profile_merged)

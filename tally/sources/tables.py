@@ -27,6 +27,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Remove a file or folder; whether it was there."""
+    p, fs = _store(spark, path)
+    return fs.delete(p, True)
+
+
 def child_names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder, sorted; none if it is not there."""
     p, fs = _store(spark, path)

@@ -5,8 +5,8 @@
 read by the stream itself); the file source's checkpoint remembers which
 files were seen, so each file is processed once across runs.  Every
 micro-batch (``foreachBatch``) ingests its new files: sections are read,
-cleaned, typed, written as Parquet tables, profiled into the catalog, and a
-status row is appended per file.  A file that fails is recorded in the
+cleaned, typed, written as Parquet tables, profiled into the catalog, published
+together (``operators.store``), and a status row is appended per file.  A file that fails is recorded in the
 quarantine table and does not stop the others.
 """
 
@@ -16,12 +16,14 @@ import hashlib
 import os
 import traceback
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import slug_name
 from ..operators import ingest as ig
+from ..operators import store
 from ..operators.profile import catalog
 from ..session import ensure_checkpoint_dir
 from ..sources.files import load_sections, section_tables
@@ -44,25 +46,27 @@ def _ingest_file(spark: SparkSession, path: str, out_dir: str) -> tuple[str, int
     local = path[len("file:"):] if path.startswith("file:") else path
     dataset_id = dataset_id_of(local)
     kind, sections = load_sections(spark, local)
-    total = 0
-    cats = []
-    for s, table in zip(sections, section_tables(sections)):
-        if not [c for c in s.df.columns if c != "_rid"]:
-            raise ValueError(f"empty section {s.name}")
-        target = os.path.join(out_dir, "tables", dataset_id, table)
-        ig.write_section(s.df, target)
-        written = spark.read.parquet(target)
-        total += written.count()
-        cats.append(catalog(written, s.name, dataset_id=dataset_id, hidden=s.hidden,
-                            original_names=dict(zip([c for c in s.df.columns if c != "_rid"], s.columns))))
-    if cats:
-        cat = cats[0]
-        for c in cats[1:]:
-            cat = cat.unionByName(c)
-        # Files of one micro-batch are ingested side by side: each replaces
-        # only its own dataset's catalog folder.
-        ig.replace_dataset_partition(cat, os.path.join(out_dir, "catalog"), dataset_id)
-    return dataset_id, len(sections), total
+    totals = []
+
+    def write(root: str) -> list[str]:
+        parts, cats = [], []
+        for s, table in zip(sections, section_tables(sections)):
+            if not [c for c in s.df.columns if c != "_rid"]:
+                raise ValueError(f"empty section {s.name}")
+            parts.append(f"tables/{table}")
+            ig.write_section(s.df, f"{root}/{parts[-1]}")
+            written = spark.read.parquet(f"{root}/{parts[-1]}")
+            totals.append(written.count())
+            cats.append(catalog(written, s.name, dataset_id=dataset_id, hidden=s.hidden,
+                                original_names=dict(zip([c for c in s.df.columns if c != "_rid"], s.columns))))
+        if cats:
+            reduce(DataFrame.unionByName, cats).write.parquet(f"{root}/catalog")
+            parts.append("catalog")
+        return parts
+
+    # Files of one micro-batch are ingested side by side, each into a version of its own dataset.
+    store.publish(spark, out_dir, dataset_id, write)
+    return dataset_id, len(sections), sum(totals)
 
 
 def ingest_landing(

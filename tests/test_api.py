@@ -40,10 +40,7 @@ def test_process_retrieve_answer(spark):
     missing = api.retrieve_context(spark, out, ["nope"], "x")
     assert missing["retrieved_chunks"] == [{"dataset_id": "nope", "chunks": []}]
 
-    adhoc.attach_datasets(spark, [
-        {"sheet_ventas": os.path.join(out, "tables", "ventas", "sheet_ventas")},
-        {"sheet_metas": os.path.join(out, "tables", "resumen_anual", "sheet_metas")},
-    ])
+    adhoc.attach_datasets(spark, [api.table_paths(spark, out, "ventas"), api.table_paths(spark, out, "resumen_anual")])
     ans = adhoc.answer_question(
         spark, "Total de ventas por categoría",
         "SELECT categoria, round(sum(monto), 2) AS total FROM ds0.sheet_ventas GROUP BY categoria ORDER BY total DESC",
@@ -51,7 +48,7 @@ def test_process_retrieve_answer(spark):
     assert ans["artifacts"][1]["chart"]["data"][0]["label"] in {"hogar", "ropa", "juguetes"}
     both = adhoc.run_sql(spark, "SELECT (SELECT count(*) FROM ds0.sheet_ventas) + (SELECT count(*) FROM ds1.sheet_metas) AS n")
     assert both.rows == [{"n": 502}]
-    adhoc.attach_datasets(spark, [{"sheet_metas": os.path.join(out, "tables", "resumen_anual", "sheet_metas")}])
+    adhoc.attach_datasets(spark, [{"sheet_metas": api.table_paths(spark, out, "resumen_anual")["sheet_metas"]}])
     assert adhoc.run_sql(spark, "SELECT count(*) AS n FROM ds0.sheet_ventas").error is not None  # re-attach replaced ds0
     assert adhoc.run_sql(spark, "SELECT count(*) AS n FROM ds0.sheet_metas").rows == [{"n": 2}]
 
@@ -71,3 +68,69 @@ def test_command_line_in_process(spark, capsys):
     main(["ask", store, "ventas", "ventas totales", "SELECT count(*) AS n FROM ds0.sheet_ventas"])
     out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert out["answer"]["artifacts"][0]["rows"] == [{"n": 500}]
+
+
+def test_a_refresh_is_seen_whole_or_not_at_all(spark, monkeypatch):
+    from pyspark.ml import PipelineModel
+
+    from tally.operators import store
+
+    tmp = tempfile.mkdtemp(prefix="tally-store-")
+    out, src = os.path.join(tmp, "store"), os.path.join(tmp, "ventas.csv")
+    seen = lambda: (api.table_paths(spark, out, "ventas"), spark.read.parquet(api.table_paths(spark, out, "ventas")["sheet_ventas"]).count())
+    with open(src, "w") as f:
+        f.write("k,v\n" + "".join(f"{i},first {i}\n" for i in range(10)))
+    assert store.current(spark, out).count() == 0 and api.table_paths(spark, out, "ventas") == {}
+    api.process_dataset(spark, src, out, num_features=64)
+    old = seen()
+    assert old[1] == 10
+    with open(src, "w") as f:
+        f.write("k,v\n" + "".join(f"{i},second {i}\n" for i in range(25)))
+    # Stopped behind the tables, behind the catalog and right before the manifest.
+    for name, target in (("local_profile", api), ("apply_text_vectorizer", api.vx), ("history", store)):
+        with monkeypatch.context() as m:
+            def stop(*a, **k):
+                raise RuntimeError("lost")
+            m.setattr(target, name, stop)
+            try:
+                api.process_dataset(spark, src, out, num_features=64)
+                raise AssertionError("not stopped")
+            except RuntimeError as e:
+                assert str(e) == "lost"
+        assert seen() == old
+        hit = api.retrieve_context(spark, out, ["ventas"], "first 3")
+        assert any("first" in c for c in hit["retrieved_chunks"][0]["chunks"]) and not any("second" in c for c in hit["retrieved_chunks"][0]["chunks"])
+    api.process_dataset(spark, src, out, num_features=64)
+    new = seen()
+    assert new[1] == 25 and new[0] != old[0]
+    assert store.history(spark, out).count() == 2 and store.current(spark, out).first()["sequence"] == 2
+    assert store.sweep(spark, out, "ventas") == 4 and seen() == new
+    assert store.history(spark, out).count() == 1
+    assert PipelineModel.load(os.path.join(store.root_of(spark, out, "ventas"), "vectorizer")) is not None
+
+
+def test_merged_sketches_are_a_profile(spark):
+    from pyspark.sql import functions as F
+
+    from tally.operators import sketches
+    from tally.operators.profile import profile
+
+    df = spark.range(20_000).select(
+        (F.col("id") % 700).cast("int").alias("k"), F.when(F.col("id") % 5 > 0, F.sqrt(F.col("id").cast("double"))).alias("x"),
+        F.concat(F.lit("w"), F.col("id") % 3000).alias("w"), (F.col("id") % 3 == 0).alias("b"), F.lit(None).cast("string").alias("none"), F.array(F.col("id") % 7).alias("list"))
+    parts = None
+    for p in range(4):
+        parts = sketches.refresh(parts, df.where(f"k % 4 = {p}"), "d", str(p))
+    # A part that comes again replaces itself.
+    parts = sketches.refresh(parts, df.where("k % 4 = 2"), "d", "2").unionByName(sketches.refresh(None, df.limit(0), "d", "empty"))
+    got = {r.column_name: r for r in sketches.read_profile(sketches.merged(parts, ["dataset_id"]), (0.5,)).collect()}
+    for e in profile(df).collect():
+        g = got[e.column_name]
+        assert (g.rows, g.nulls, g.non_nulls) == (e.rows, e.nulls, e.non_nulls)
+        assert abs(g.distinct - e["distinct"]) <= 0.03 * e["distinct"] + 0.5
+        if e["mean"] is not None:
+            assert abs(g["mean"] - e["mean"]) < 1e-9 * max(1, abs(e["mean"]))
+    median = df.agg(F.percentile("x", 0.5)).first()[0]
+    below = df.where(F.col("x") <= got["x"].quantiles[0]).count() / df.where("x is not null").count()
+    assert abs(below - 0.5) < 0.01 and abs(got["x"].quantiles[0] - median) < 2
+    assert got["none"].quantiles is None and got["none"]["distinct"] == 0 and got["x"].least == 1.0

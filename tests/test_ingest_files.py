@@ -1,5 +1,6 @@
 """File ingest (A1-A4, A8-A12) on inputs the tests write (FIXTURES.md part 2)."""
 
+import hashlib
 import os
 import tempfile
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tally.operators import ingest as ig
+from tally.operators import store
 from tally.sources.files import UnsupportedInput, load_sections, sniff_delimiter
 from tally.streaming.landing import ingest_landing, landing_status
 
@@ -134,8 +136,11 @@ def test_landing_folder_each_file_once_and_quarantine(spark, tmp):
     assert last["roto.csv"] == "error" and last["extra file.csv"] == "ready"
     q = spark.read.parquet(os.path.join(out, "_quarantine")).collect()
     assert [os.path.basename(r["path"]) for r in q] == ["roto.csv"]
-    cat = spark.read.parquet(os.path.join(out, "catalog"))
+    cat = spark.read.parquet(store.root_of(spark, out, "ventas") + "/catalog")
     assert cat.where("dataset_id = 'ventas'").count() == 2
+    # A file that fails publishes nothing.
+    assert {r["dataset_id"]: r["parts"] for r in store.current(spark, out).collect()} == {
+        "ventas": ["tables/sheet_ventas", "catalog"], "clientes": ["tables/sheet_clientes", "catalog"], "extra_file_" + hashlib.md5(b"extra file.csv").hexdigest()[:8]: ["tables/sheet_extra_file", "catalog"]}
 
 
 def test_quoted_line_breaks(spark, tmp):
