@@ -19,7 +19,6 @@ from __future__ import annotations
 import os
 import zlib
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +30,8 @@ SEQUENCE = 1024
 OPEN_BINS = 8192
 #: Pieces for one packer.
 PIECES_PER_PACKER = 250_000
-#: Texts encoded at a time.
-BATCH_TEXTS = 512
+#: Texts, and characters of them, encoded at a time.
+BATCH_TEXTS, BATCH_CHARS = 4096, 8_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -53,27 +52,43 @@ def cut(n: int, size: int) -> list[int]:
     return [first] + [size] * ((n - first) // size)
 
 
+def text_batches(batches):
+    """(doc_ids, texts) of so many characters, or one longer text, out of Arrow batches of both; ids stay whole numbers beside nulls."""
+    for batch in batches:
+        ids, texts, size = [], [], 0
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).tolist()):
+            text = text or ""
+            ids.append(doc_id)
+            texts.append(text)
+            size += len(text)
+            if size >= BATCH_CHARS or len(texts) >= BATCH_TEXTS:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+        if texts:
+            yield ids, texts
+
+
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int = SEQUENCE) -> DataFrame:
     """One row for each piece of every document."""
+    import pyarrow as pa
+
     ship_package(docs.sparkSession)
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
         enc = encoder(tokenizer_file(vocabulary), keeps_spaces=True)
-        for pdf in batches:
+        for doc_ids, texts in text_batches(batches):
             out = []
-            for at in range(0, len(pdf), BATCH_TEXTS):
-                part = pdf.iloc[at : at + BATCH_TEXTS]
-                for doc_id, ids in zip(part["doc_id"].tolist(), enc.ids([t or "" for t in part["text"].tolist()])):
-                    ids += end
-                    start = 0
-                    for k, n in enumerate(cut(len(ids) // 4, size)):
-                        out.append((doc_id, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
-                        start += n
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            for doc_id, ids in zip(doc_ids, enc.ids(texts)):
+                ids += end
+                start = 0
+                for k, n in enumerate(cut(len(ids) // 4, size)):
+                    out.append((doc_id, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
+                    start += n
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64() if k != 1 else pa.int32()) for k, c in enumerate(zip(*out))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
         give_back()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 def best_fit(lengths, size: int = SEQUENCE, open_bins: int = OPEN_BINS) -> tuple[list[int], list[int]]:
@@ -114,6 +129,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, size: int = SEQUENCE, op
     packers = rows.count() // PIECES_PER_PACKER + 1
     # Copies of a document share a doc_id only in broken tables; their crc keeps the order defined.
     rows = rows.withColumn("__h", F.xxhash64("doc_id", "piece", "ids_crc32")).withColumn("__g", F.pmod("__h", F.lit(packers)))
+    # Nullable ids stay whole numbers on their way through pandas.
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
 
     def run(key, pdf):
         pdf = pdf.sort_values(["__h", "doc_id", "piece"], kind="stable", ignore_index=True)
@@ -122,4 +139,4 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, size: int = SEQUENCE, op
         pdf["offset"] = offset
         return pdf.drop(columns=["__h", "__g"])
 
-    return rows.groupBy("__g").applyInPandas(run, PIECES + ", sequence_id long, offset long")
+    return rows.groupBy("__g").applyInPandas(run, PIECES.replace("doc_id long", "doc_id string") + ", sequence_id long, offset long").withColumn("doc_id", F.col("doc_id").cast("long"))

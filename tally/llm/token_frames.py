@@ -17,8 +17,9 @@ Files are written beside their place under the task's attempt and renamed, so
 a repeated or speculative task leaves one whole file.  The folder is one that
 driver and executors share (``spark.checkpoint.dir`` by default).
 
-Defined results: null or empty text is the end id alone; repeated rows are
-written one after the other; null doc_ids come first; no documents, no files.
+Defined results: null or empty text is the end id alone; rows of one doc_id
+are written one after the other, in the order of a hash of their text; null
+doc_ids come first; no documents, no files; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import ensure_checkpoint_dir, ship_package, shuffle_partitions
-from .best_fit import BATCH_TEXTS, tokenizer_file
+from .best_fit import text_batches, tokenizer_file
 from .memory import give_back
 from .tokens import encoder
 
@@ -137,6 +138,8 @@ class FrameReader:
 
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, files: int | None = None, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Write ``docs`` under ``folder``; one row per file: file, path, n_docs, n_ids."""
+    import pyarrow as pa
+
     ship_package(docs.sparkSession)
     end = int(end_id).to_bytes(4, "little")
 
@@ -147,29 +150,27 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, files: int
         part = task.partitionId()
         name, temp = f"{root}/tokens-{part:06d}.zst", f"{root}/_attempt-{part:06d}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
         out = None
-        for pdf in batches:
-            for at in range(0, len(pdf), BATCH_TEXTS):
-                rows = pdf.iloc[at : at + BATCH_TEXTS]
-                if writer is None:
-                    store.create_dir(root, recursive=True)
-                    out = store.open_output_stream(temp)
-                    writer = FrameWriter(out, frame_bytes)
-                for doc_id, ids in zip(rows["doc_id"].tolist(), enc.ids([t or "" for t in rows["text"].tolist()])):
-                    writer.add(None if pd.isna(doc_id) else int(doc_id), ids + end)
+        for doc_ids, texts in text_batches(batches):
+            if writer is None:
+                store.create_dir(root, recursive=True)
+                out = store.open_output_stream(temp)
+                writer = FrameWriter(out, frame_bytes)
+            for doc_id, ids in zip(doc_ids, enc.ids(texts)):
+                writer.add(doc_id, ids + end)
         give_back()
         if writer is None:
             return
         writer.close()
         out.close()
         store.move(temp, name)
-        yield pd.DataFrame({"file": [part], "path": [f"{folder}/tokens-{part:06d}.zst"], "n_docs": [len(writer.index)], "n_ids": [writer.n_ids]})
+        yield pa.RecordBatch.from_pydict({"file": [part], "path": [f"{folder}/tokens-{part:06d}.zst"], "n_docs": [len(writer.index)], "n_ids": [writer.n_ids]})
 
     n = files or shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    # Nullable ids stay whole numbers on their way through pandas.
-    rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    # The text's hash splits an id that very many rows share (or lack) over files, in the same order as the sort.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("__h"))
+    rows = rows.repartitionByRange(n, "doc_id", "__h").sortWithinPartitions("doc_id", "__h").drop("__h")
     ensure_checkpoint_dir(docs.sparkSession)
-    return rows.mapInPandas(run, "file long, path string, n_docs long, n_ids long").checkpoint()
+    return rows.mapInArrow(run, "file long, path string, n_docs long, n_ids long").checkpoint()
 
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -185,7 +186,7 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     for doc_id, ids in FrameReader(f).documents():
                         out.append((doc_id, start, len(ids) // 4, zlib.crc32(ids)))
                         start += len(ids) // 4
-                yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"], dtype=object).astype("Int64")
 
     # One row per file: the running sum sees the manifest alone, never documents.
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -3,8 +3,16 @@
 A byte-pair vocabulary splits a text into words before it merges bytes, and
 no word reaches over the cut between a word and the single space or line
 break that follows it.  So a text is cut there, each distinct piece is
-encoded once per worker, and the ids are joined.  A text with any other
-white space (runs of spaces, a space at an end, tabs) is encoded whole.
+encoded once, and the ids are joined.  A text with any other white space (runs
+of spaces, a space at an end, tabs), or with the text of a special token,
+which the library reads as that token, is encoded whole.  A vocabulary of
+lower-case words gets A-Z lower-cased first, as it does itself.
+
+Pieces not met before are encoded many at a time: words of letters alone in
+one string, whose ids are parted by the tokens that begin or end a word, and a
+word with one punctuation mark behind it from the ids of both.  What is
+remembered is bounded in bytes: of two generations the older one goes when the
+younger is full, so frequent pieces stay.
 """
 
 from __future__ import annotations
@@ -13,8 +21,11 @@ import os
 
 import numpy as np
 
-#: Distinct pieces a worker remembers; beyond it the memory starts anew.
-CACHE_PIECES = 1_000_000
+#: Bytes that a generation of remembered pieces may hold, by the sizes of Python objects.
+REMEMBERED = 64 << 20
+_PUNCTUATION = frozenset(".,;:!?")
+#: A dict entry, a string and a bytes object without their characters.
+_ENTRY = 190
 
 
 def _plain(text: str) -> bool:
@@ -28,57 +39,139 @@ class Encoder:
     """``ids(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
 
     ``keeps_spaces``: the vocabulary writes a word's leading space into its
-    first id; else white space carries no id.
+    first id; else white space carries no id and words end with a mark.
     """
 
-    def __init__(self, path: str, keeps_spaces: bool):
+    def __init__(self, path: str, keeps_spaces: bool, remembered: int = REMEMBERED):
+        import json
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.keeps_spaces = keeps_spaces
-        self.known: dict[str, bytes] = {}
+        self.keeps_spaces, self.limit = keeps_spaces, remembered
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        vocabulary = self.model.get_vocab()
+        mark = "Ġ" if keeps_spaces else json.loads(self.model.to_str())["model"].get("end_of_word_suffix") or ""
+        #: Ids that begin (with the space) or end (with the mark) a word.
+        self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        if mark:
+            self.edge[[k for t, k in vocabulary.items() if (t.startswith(mark) if keeps_spaces else t.endswith(mark))]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def _remember(self, piece: str, ids: bytes) -> None:
+        self.young[piece] = ids
+        self.size += _ENTRY + len(piece) + len(ids)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+    def _any(self, pieces: list[str]) -> list[bytes]:
         """One call for many pieces: each is a word of its own, which its ids name."""
         out = []
-        for k in range(0, len(pieces), 50_000):
-            part = pieces[k : k + 50_000]
+        for k in range(0, len(pieces), 20_000):
+            part = pieces[k : k + 20_000]
             e = self.model.encode(part, is_pretokenized=True, add_special_tokens=False)
             raw = np.array(e.ids, dtype="<u4").tobytes()
             cuts = (4 * np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(part) + 1))).tolist()
             out += [raw[i:j] for i, j in zip(cuts, cuts[1:])]
         return out
 
-    def _cut(self, text: str) -> list[str] | None:
-        if not _plain(text):
-            return None
+    def _letters(self, pieces: list[str]) -> list[bytes]:
+        """Words of letters: one word of the vocabulary's splitting each, so as many edges as pieces."""
+        out = []
+        for k in range(0, len(pieces), 20_000):
+            part = pieces[k : k + 20_000]
+            ids = np.array(self.model.encode_batch_fast([("" if self.keeps_spaces else " ").join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) != len(part):  # a letter whose lower case holds a mark
+                out += self._any(part)
+                continue
+            cuts = (4 * (np.append(at, len(ids)) if self.keeps_spaces else np.append(0, at + 1))).tolist()
+            raw = ids.tobytes()
+            out += [raw[i:j] for i, j in zip(cuts, cuts[1:])]
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode and remember pieces."""
+        again = [p for p in pieces if p in self.old]
+        for p in again:
+            self._remember(p, self.old[p])
+        pieces = [p for p in pieces if p not in self.young] if again else pieces
+        # A mark stands apart from a letter before it, if the letter's lower case ends with a letter.
+        marked = [p for p in pieces if len(p) > 1 and p[-1] in _PUNCTUATION and p[-2].lower()[-1].isalpha()]
+        need = set(pieces).difference(marked)
+        need.update([p[:-1] for p in marked])
+        need.update({p[-1] for p in marked})
+        need.difference_update(self.young)
+        need.discard("")
+        first = 1 if self.keeps_spaces else 0
+        letters = [w for w in need if w[first:].isalpha() and (not first or w[0] == " ")] if self.edge.any() else []
+        other = list(need.difference(letters))
+        for words, ids in ((letters, self._letters(letters)), (other, self._any(other))):
+            for w, x in zip(words, ids):
+                self._remember(w, x)
+        for p in marked:
+            self._remember(p, self.young[p[:-1]] + self.young[p[-1]])
+
+    def _pieces(self, texts: list[str]):
+        """Pieces of plain texts in one Arrow array, and where each text's begin."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        rows = pa.array(texts, type=pa.large_string())
         if self.keeps_spaces:
-            return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        return text.replace("\n", " ").split(" ")
+            rows = pc.replace_substring(pc.replace_substring(rows, "\n", "\0\n\0"), " ", "\0 ")
+        else:
+            rows = pc.replace_substring(rows, "\n", " ")
+        cut = pc.split_pattern(rows, "\0" if self.keeps_spaces else " ")
+        return cut.flatten(), cut.offsets.to_numpy()
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self._cut(t) if t else [] for t in texts]
-        new = list({p for c in cut if c for p in c if p not in self.known})
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known.clear()
-            new = list({p for c in cut if c for p in c})
-        self.known.update(zip(new, self._encode_pieces(new)))
-        odd = [k for k, c in enumerate(cut) if c is None]
-        whole = dict(zip(odd, self._encode([texts[k] for k in odd])))
-        get = self.known.__getitem__
-        return [whole[k] if c is None else b"".join(map(get, c)) for k, c in enumerate(cut)]
+        if self.size > self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
+        out, plain, odd = [b""] * len(texts), [], []
+        for k, t in enumerate(texts):
+            if t:
+                # Bytes are lower-cased in A-Z alone.
+                low = t if self.keeps_spaces else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+                (plain if _plain(t) and not any(s in low for s in self.special) else odd).append((k, low))
+        for (k, _), ids in zip(odd, self._encode([texts[k] for k, _ in odd])):
+            out[k] = ids
+        if not plain:
+            return out
+        words, bounds = self._pieces([t for _, t in plain])
+        coded = words.dictionary_encode()
+        pieces, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        known = list(map(self.young.get, pieces))
+        gaps = [k for k, x in enumerate(known) if x is None]
+        self._learn([pieces[k] for k in gaps if pieces[k]])
+        for k in gaps:
+            known[k] = self.young[pieces[k]] if pieces[k] else b""
+        size = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        flat = np.frombuffer(b"".join(known), dtype="<u4")
+        n = size[at]
+        ends = np.cumsum(n)
+        raw = flat[np.arange(ends[-1]) + np.repeat((np.cumsum(size) - size)[at] - (ends - n), n)].tobytes()
+        cuts = (4 * np.concatenate([[0], ends])[bounds]).tolist()
+        for (k, _), i, j in zip(plain, cuts, cuts[1:]):
+            out[k] = raw[i:j]
+        return out
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, keeps_spaces: bool) -> Encoder:
-    """One encoder per worker process and vocabulary."""
+    """The worker's encoder; one of another vocabulary goes."""
     if (path, keeps_spaces) not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[path, keeps_spaces] = Encoder(path, keeps_spaces)
     return _ENCODERS[path, keeps_spaces]
+
+
+def forget() -> None:
+    """Drop the worker's encoder."""
+    _ENCODERS.clear()
