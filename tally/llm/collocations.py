@@ -34,8 +34,7 @@ from pyspark.sql.window import Window
 
 from ..session import ensure_checkpoint_dir, shuffle_partitions, ship_package
 from .grams import END, Dealt, Distinct, Names, hashes, merge, number, spelled
-from .memory import give_back
-from .suffix_dedup import release_shuffles
+from .memory import give_back, release_shuffles
 
 #: Words of a task's text summed up before they are sent on.
 WINDOW = 2_000_000

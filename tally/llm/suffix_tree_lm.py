@@ -39,8 +39,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, shuffle_partitions, ship_package
 from .grams import BLANK, END, Dealt, Distinct, Names, hashes, number, pack, spelled, unpack
-from .memory import give_back
-from .suffix_dedup import release_shuffles
+from .memory import give_back, release_shuffles
 
 #: Tokens of a window.
 WINDOW = 2_200_000
