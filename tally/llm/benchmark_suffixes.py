@@ -194,9 +194,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_char
         passes = ["__found_0"]
         rows = rows.withColumn("__found_0", _finder(spark, None)(F.col("text").cast("string")))
     cols = [F.col(p) for p in passes]
-    found = cols[0] if len(cols) == 1 else F.struct(
-        cols[0]["n_words"].alias("n_words"), F.concat(*[c["starts"] for c in cols]).alias("starts"), F.concat(*[c["ends"] for c in cols]).alias("ends"),
-        F.array_distinct(F.concat(*[c["items"] for c in cols])).alias("items"), F.greatest(*[c["longest"] for c in cols]).alias("longest"))
+    joined = lambda name: F.concat(*[c[name] for c in cols])
+    longest = F.greatest(*[c["longest"] for c in cols]) if len(cols) > 1 else cols[0]["longest"]
+    found = F.struct(
+        cols[0]["n_words"].alias("n_words"), joined("starts").alias("starts"), joined("ends").alias("ends"),
+        F.array_distinct(joined("items")).alias("items"), longest.alias("longest"))
     return rows.withColumn("matches", found).drop(*passes)
 
 

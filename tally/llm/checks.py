@@ -74,11 +74,11 @@ def op2(spark, sf_dir):
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        hilbert_shards.hashed(F.col("lang")).alias("__lang"), hilbert_shards.hashed(F.col("source")).alias("__source"),
-        hilbert_shards.logarithmic(F.col("n_chars")).alias("__chars"),
+        hilbert_shards.ordered(F.col("lang")).alias("__lang"), hilbert_shards.ordered(F.col("source")).alias("__source"), F.col("n_chars").cast("long").alias("__chars"),
     )
-    cells = {c: F.col(c) for c in ("__lang", "__source", "__chars")}
-    out = hilbert_shards.shards(rows, cells, ["doc_id", "text_crc32", "size"], 8)
+    bits = 6
+    cells = hilbert_shards.quantiled(rows, {c: F.col(c) for c in ("__lang", "__source", "__chars")}, bits)
+    out = hilbert_shards.shards(rows, cells, ["doc_id", "text_crc32", "size"], 8, bits)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 

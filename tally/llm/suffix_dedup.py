@@ -394,7 +394,9 @@ def remove_repeats(docs: DataFrame, buckets: int | None = None, hot_docs: int =
     ship_package(spark)
     ensure_checkpoint_dir(spark)
     columns = [c for c in docs.columns if c not in ("kept", "span_starts", "span_ends")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("doc_id").cast("long").cast("string").alias("__doc"))
+    # Nullable whole numbers keep their digits on their way through pandas.
+    whole = {f.name: f.dataType for f in docs.schema.fields if isinstance(f.dataType, T.IntegralType)}
+    rows = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in whole else F.col(f"`{c}`") for c in columns], F.col("doc_id").cast("long").cast("string").alias("__doc"))
     groups = docs.count() // GROUP_DOCS + 1
     buckets = buckets or groups // 2 + 8
 
@@ -409,13 +411,14 @@ def remove_repeats(docs: DataFrame, buckets: int | None = None, hot_docs: int =
     def group_of(ids: pd.Series) -> pd.Series:
         return pd.Series(_group(np.array([_NULL if pd.isna(d) else int(d) for d in ids.tolist()], dtype=np.int64), groups))
 
-    grouped = rows.withColumn("grp", group_of("__doc"))
-    contexts = grouped.groupBy("grp").cogroup(hits.where("grp >= 0").groupBy("grp")).applyInPandas(
+    grouped = rows.withColumn("__grp", group_of("__doc"))
+    contexts = grouped.groupBy("__grp").cogroup(hits.where("grp >= 0").groupBy("grp")).applyInPandas(
         _lean_pair(_contexts(buckets, groups, hot)), "bucket long, rows binary, bytes binary")
     ranges = contexts.groupBy("bucket").applyInPandas(_lean(_sorted(groups)), "grp long, blob binary")
     schema = T.StructType([f for f in rows.select(*[F.col(f"`{c}`") for c in columns]).schema.fields] + [
         T.StructField("kept", T.BinaryType()), T.StructField("span_starts", T.ArrayType(T.LongType())), T.StructField("span_ends", T.ArrayType(T.LongType()))])
-    return grouped.groupBy("grp").cogroup(ranges.groupBy("grp")).applyInPandas(_lean_pair(_cut(columns)), schema)
+    cut = grouped.groupBy("__grp").cogroup(ranges.groupBy("grp")).applyInPandas(_lean_pair(_cut(columns)), schema)
+    return cut.select(*[F.col(f"`{f.name}`").cast(whole[f.name]).alias(f.name) if f.name in whole else F.col(f"`{f.name}`") for f in schema.fields])
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -425,5 +428,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def text(kept: pd.Series) -> pd.Series:
         return pd.Series([k.decode("utf-8", "ignore") for k in kept.tolist()], dtype=object)
 
-    rows = remove_repeats(docs)
-    return rows.withColumn("text", F.when(F.size("span_starts") > 0, text("kept")).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Own columns with the names of results give way while the operator works.
+    own = {c: f"__own_{c}" for c in docs.columns if c in ("kept", "span_starts", "span_ends")}
+    rows = remove_repeats(docs.withColumnsRenamed(own))
+    rows = rows.withColumn("text", F.when(F.size("span_starts") > 0, text("kept")).otherwise(F.col("text")))
+    return rows.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])

@@ -94,6 +94,34 @@ def test_hilbert_curve_visits_neighbours(spark):
     assert all(sum(abs(a[k] - b[k]) for k in "xyz") == 1 for a, b in zip(path, path[1:]))
 
 
+def test_shards_span_a_part_of_every_dimension(spark):
+    from ..conftest import SF_ORACLE
+
+    docs = spark.read.parquet(f"{SF_ORACLE}/documents.parquet")
+    out = QUERIES["op2_hilbert_shards"](spark, SF_ORACLE).join(docs.select("doc_id", "lang", "source", "n_chars"), "doc_id")
+    plain = docs.withColumn("shard", F.floor(F.col("doc_id") * 8 / F.lit(docs.count())).cast("int"))
+
+    def touched(df, dim):
+        """Shards whose range holds a row's value, over all rows."""
+        span = df.groupBy("shard").agg(F.min(dim).alias("lo"), F.max(dim).alias("hi")).collect()
+        values = [r[0] for r in df.select(dim).collect()]
+        return sum(r.lo <= v <= r.hi for v in values for r in span) / len(values) / len(span)
+
+    for dim, most in (("lang", 0.75), ("source", 0.75), ("n_chars", 0.75)):
+        assert touched(plain, dim) > 0.9 and touched(out, dim) < most, dim
+
+
+def test_quantile_cells_keep_order(spark, empty):
+    rows = spark.createDataFrame([("a",), ("a",), ("b",), (None,), ("zz",), ("b" * 9,), ("é",), ("",)], "v string")
+    num = rows.select("v", hilbert_shards.ordered(F.col("v")).alias("n"))
+    cell = hilbert_shards.quantiled(num, {"n": F.col("n")}, 3)["n"]
+    got = sorted(((r.v, r.n, r.c) for r in num.select("v", "n", cell.alias("c")).collect() if r.v is not None), key=lambda r: r[0].encode())
+    assert [r[1] for r in got] == sorted(r[1] for r in got) and [r[2] for r in got] == sorted(r[2] for r in got)
+    assert num.where("v is null").select(cell).first()[0] == 0
+    none = hilbert_shards.quantiled(empty.select(F.col("n_chars").alias("n")), {"n": F.col("n")}, 3)["n"]
+    assert num.select(none.alias("c")).distinct().collect() == [(0,)]
+
+
 def test_shards_are_even_and_gapless(spark, edges, empty):
     cells = {"a": hilbert_shards.hashed(F.col("lang")), "b": hilbert_shards.logarithmic(F.col("n_chars"))}
     out = hilbert_shards.shards(edges.select("doc_id", "lang", "n_chars"), cells, ["doc_id", "lang"], 4).collect()
@@ -116,7 +144,6 @@ def test_token_frames_round_trip(spark, edges, empty):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(best_fit.tokenizer_file("word_bpe_49k.json"))
-    model.encode_special_tokens = True
     want, start = [], 0
     for doc_id, text in sorted(((r[0], r[1]) for r in EDGES), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = np.array(model.encode(text or "", add_special_tokens=False).ids + [1], dtype="<u4").tobytes()
@@ -127,6 +154,14 @@ def test_token_frames_round_trip(spark, edges, empty):
     assert token_frames.round_trip(empty, "word_bpe_49k.json", 1).count() == 0
 
 
+def test_ids_past_53_bits_beside_nulls(spark):
+    docs = spark.createDataFrame([((1 << 60) + 1, "a b"), (None, "hello <|endoftext|> world"), (-(1 << 60) - 1, None), (None, "c")], "doc_id long, text string").coalesce(1)
+    want = sorted([(1 << 60) + 1, -(1 << 60) - 1, None, None], key=str)
+    assert sorted((r.doc_id for r in token_frames.round_trip(docs, "word_bpe_49k.json", 1).collect()), key=str) == want
+    got = best_fit.pack(docs, "byte_bpe_50k.json", 2).collect()
+    assert sorted((r.doc_id for r in got), key=str) == want and [type(r.doc_id) for r in got].count(int) == 2
+
+
 def test_frame_reader_reads_only_what_is_asked_and_checks_it(tmp_path):
     from pyarrow import fs
 
@@ -291,7 +326,6 @@ def test_packing_is_whole(spark, edges, empty):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(best_fit.tokenizer_file("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     want = Counter()
     for doc_id, text, *_ in EDGES:
         ids = np.array(model.encode(text or "", add_special_tokens=False).ids + [2], dtype="<u4")
@@ -529,6 +563,34 @@ def test_pipeline_stages(spark, tmp_path):
     assert rows_of(whole, *cols) == rows_of(packed, *cols)
 
 
+def test_stages_keep_clashing_columns_and_odd_rows(spark, empty):
+    import corpus_pipeline
+
+    text = " ".join(f"word{k % 61} of{k % 17} text{k % 7}" for k in range(60))
+    rows = [(1, text, "en", "s", 1), (None, text.replace("word1", "other"), None, None, None), (None, text[::-1], "en", "s", 1), (2, None, "en", "s", 1), (3, "", "en", "s", 1)]
+    rows += [((1 << 60) + 1, text + " and an ending of its own", "en", "s", 1)] + [(9, " ".join(f"again{k}" for k in range(80)), "en", "s", 1)] * 3
+    own = ("grp", "kept", "span_starts", "fp", "root", "matches", "rejected_by", "component_id", "digest", "curve")
+    docs = spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit(77 + k).alias(c) for k, c in enumerate(own)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF_SMALL)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all([r[c] for c in own] == list(range(77, 77 + len(own))) for r in got), name
+        assert got and {r.doc_id for r in got} <= {r[0] for r in rows}, name
+        assert stage(spark, empty, SF_SMALL).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, SF_SMALL).count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF_SMALL).collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r[0] for r in rows)
+
+
+def test_repeated_benchmark_items_count_once(spark):
+    docs = spark.createDataFrame([(1, "x one two three four y")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "one two three four"), (7, "one two three four"), (7, "two three four y"), (8, "four y")], "item_id long, text string")
+    for chars in (1 << 23, 10):
+        got = benchmark_suffixes.scan(docs, items, window=4, block_chars=chars).first().matches
+        assert sorted(got["items"]) == ["7", "8"]
+
+
 def test_simhash_digest_form(spark):
     assert spark.createDataFrame([(-1,), (0,), (255,)], "fp long").select(simhash_lsh.hexadecimal(F.col("fp"))).collect() == [("f" * 16,), ("0" * 16,), ("%016x" % 255,)]
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
