@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_text
 from ..operators import adhoc
 from ..operators.asof import asof_previous
+from ..operators.hierarchy import roots
 from ..operators.prefix import moving, running
 from ..operators.quantiles import quantiles
 from ..operators.rangejoin import interval_join
+from ..operators.rowindex import row_index
 from ..session import spread
 from ..sources.tables import Tables, register_views
 from .registry import check
@@ -747,6 +749,43 @@ check(
 )(q09_moving_revenue)
 
 
+def q13_chain_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q13 beyond SQL's limit of levels: each order's parent is the order before it, one chain through the whole table."""
+    o = Tables(spark, sf_dir).orders.select("o_orderkey")
+    numbered = row_index(o, ["o_orderkey"], name="n")
+    parents = numbered.join(numbered.select((F.col("n") + 1).alias("n"), F.col("o_orderkey").alias("parent")), "n", "left")
+    return roots(parents, "o_orderkey", "parent")
+
+
+check(
+    "q13_chain_depths",
+    oracle="""
+    SELECT o_orderkey, (SELECT min(o_orderkey) FROM orders) AS root, row_number() OVER (ORDER BY o_orderkey) - 1 AS depth FROM orders
+    """,
+)(q13_chain_depths)
+
+
+def q13_user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q13 on many chains: an event follows the user's former one within 12 hours; root: the event that opens the chain."""
+    ev = Tables(spark, sf_dir).events.select("event_id", "ts", "user_id")
+    m = asof_previous(ev, by="user_id", order="ts", tiebreak="event_id", carry=["event_id", "ts"])
+    near = F.col("prev_ts") >= F.col("ts") - F.expr("INTERVAL 12 HOURS")
+    return roots(m.select("event_id", F.when(near, F.col("prev_event_id")).alias("parent")), "event_id", "parent")
+
+
+check(
+    "q13_user_sessions",
+    oracle="""
+    WITH RECURSIVE p AS (
+      SELECT e.event_id, CASE WHEN q.ts >= e.ts - INTERVAL 12 HOURS THEN q.event_id END AS parent
+      FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY user_id, ts) q ON e.user_id = q.user_id AND e.ts > q.ts),
+    r AS (SELECT event_id, event_id AS root, 0::BIGINT AS depth FROM p WHERE parent IS NULL
+          UNION ALL SELECT p.event_id, r.root, r.depth + 1 FROM p JOIN r ON p.parent = r.event_id)
+    SELECT event_id, root, depth FROM r
+    """,
+)(q13_user_sessions)
+
+
 # ---- E: ad-hoc SQL operators -------------------------------------------------
 
 TOP_ORDERS_SQL = """

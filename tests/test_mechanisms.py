@@ -223,3 +223,17 @@ def test_text_vectors_value_by_value(spark):
         norm = math.sqrt(sum(x * x for x in v.values()))
         want = [v.get(k, 0.0) / norm if norm else 0.0 for k in range(512)]
         assert got[d] == pytest.approx(want, abs=1e-6)
+
+
+def test_roots_and_depths(spark):
+    from tally.operators.hierarchy import roots
+
+    chain = [(k, k - 1 if k else None) for k in range(1500)]
+    star = [(10_000 + k, 42) for k in range(30)] + [(20_000, 10_001), (20_001, 99_999), (20_001, 99_998), (None, 3)]
+    cycle = [(30_000, 30_001), (30_001, 30_002), (30_002, 30_000), (30_003, 30_000), (30_004, 30_004)]
+    got = {r.n: (r.root, r.depth) for r in roots(spark.createDataFrame(chain + star + cycle, "n long, p long"), "n", "p").collect()}
+    assert len(got) == 1500 + 30 + 2 + 5
+    assert all(got[k] == (0, k) for k in range(1500))
+    assert all(got[10_000 + k] == (0, 43) for k in range(30)) and got[20_000] == (0, 44) and got[20_001] == (20_001, 0)
+    assert all(got[30_000 + k] == (None, None) for k in range(5))
+    assert roots(spark.createDataFrame([], "n long, p long"), "n", "p").collect() == []
