@@ -15,6 +15,7 @@ import io
 import re
 import zipfile
 import xml.etree.ElementTree as ET
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,9 @@ CELLS_SCHEMA = (
 )
 
 
+_CELL_COLUMNS = [c.split()[0] for c in CELLS_SCHEMA.split(", ")]
+
+
 def _col_number(ref: str) -> int:
     n = 0
     for ch in ref:
@@ -73,74 +77,92 @@ def _date_styles(z: zipfile.ZipFile) -> set[int]:
     return out
 
 
-def decode_workbook(path: str, content: bytes) -> list[dict]:
-    """Cells of every sheet of one workbook, plus one ``kind='sheet'`` row per sheet."""
+def _elements(z: zipfile.ZipFile, member: str, name: str):
+    """Elements of one name out of an archive member, one at a time: what has been read is dropped."""
+    tag = f"{{{_NS['m']}}}{name}"
+    with z.open(member) as f:
+        inside = []
+        for event, el in ET.iterparse(f, events=("start", "end")):
+            if event == "start":
+                inside.append(el)
+                continue
+            inside.pop()
+            if el.tag == tag:
+                yield el
+                if inside:
+                    inside[-1].remove(el)
+
+
+def _cell(c, shared: list[str], dates: set[int]) -> tuple[str | None, str]:
+    """Value and kind of a cell."""
+    t = c.get("t", "n")
+    v = c.find(f"{{{_NS['m']}}}v")
+    raw = v.text if v is not None else None
+    if t == "inlineStr":
+        own = c.find(f"{{{_NS['m']}}}is")
+        return (_text_of(own) if own is not None else None), "string"
+    if raw is None:
+        return None, "empty"
+    if t == "s":
+        return shared[int(raw)], "string"
+    if t == "str":
+        return raw, "string"
+    if t == "b":
+        return ("True" if raw == "1" else "False"), "boolean"
+    if t == "e":
+        return raw, "error"
+    if int(c.get("s", "0")) in dates:
+        return (_EXCEL_EPOCH + _dt.timedelta(days=float(raw))).strftime("%Y-%m-%d %H:%M:%S"), "date"
+    return raw, "number"
+
+
+def workbook_rows(path: str, content: bytes):
+    """Cells of every sheet of one workbook as they are parsed, and one ``kind='sheet'`` row for each sheet.
+
+    Memory holds the archive, its shared strings and one sheet row.
+    """
     z = zipfile.ZipFile(io.BytesIO(content))
+    members = set(z.namelist())
     wb = ET.fromstring(z.read("xl/workbook.xml"))
     rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
     targets = {r.get("Id"): r.get("Target") for r in rels.iter(f"{{{_NS['p']}}}Relationship")}
-    try:
-        sst = ET.fromstring(z.read("xl/sharedStrings.xml"))
-        shared = [_text_of(si) for si in sst.findall(f"{{{_NS['m']}}}si")]
-    except KeyError:
-        shared = []
+    strings = "xl/sharedStrings.xml"
+    shared = [_text_of(si) for si in _elements(z, strings, "si")] if strings in members else []
     dates = _date_styles(z)
-    out = []
     for idx, sh in enumerate(wb.iter(f"{{{_NS['m']}}}sheet")):
-        name = sh.get("name")
-        state = sh.get("state", "visible")
-        target = targets.get(sh.get(f"{{{_NS['r']}}}id"), "")
-        target = target.lstrip("/")
+        sheet = (path, idx, sh.get("name"), sh.get("state", "visible"))
+        yield (*sheet, 0, 0, None, "sheet")
+        target = targets.get(sh.get(f"{{{_NS['r']}}}id"), "").lstrip("/")
         member = target if target.startswith("xl/") else "xl/" + target
-        out.append(dict(path=path, sheet_index=idx, sheet=name, state=state, row=0, col=0, value=None, kind="sheet"))
-        try:
-            root = ET.fromstring(z.read(member))
-        except KeyError:
-            continue
-        for row in root.iter(f"{{{_NS['m']}}}row"):
+        for row in _elements(z, member, "row") if member in members else ():
             r = int(row.get("r"))
             for c in row.findall(f"{{{_NS['m']}}}c"):
-                ref = c.get("r", "")
-                t = c.get("t", "n")
-                v = c.find(f"{{{_NS['m']}}}v")
-                raw = v.text if v is not None else None
-                if t == "s" and raw is not None:
-                    value, kind = shared[int(raw)], "string"
-                elif t == "inlineStr":
-                    is_ = c.find(f"{{{_NS['m']}}}is")
-                    value, kind = (_text_of(is_) if is_ is not None else None), "string"
-                elif t == "str":
-                    value, kind = raw, "string"
-                elif t == "b":
-                    value, kind = ("True" if raw == "1" else "False") if raw is not None else None, "boolean"
-                elif t == "e":
-                    value, kind = raw, "error"
-                elif raw is None:
-                    value, kind = None, "empty"
-                elif int(c.get("s", "0")) in dates:
-                    when = _EXCEL_EPOCH + _dt.timedelta(days=float(raw))
-                    value, kind = when.strftime("%Y-%m-%d %H:%M:%S"), "date"
-                else:
-                    value, kind = raw, "number"
-                if value is None or value == "":
-                    continue
-                out.append(dict(path=path, sheet_index=idx, sheet=name, state=state, row=r,
-                                col=_col_number(ref), value=value, kind=kind))
-    return out
+                value, kind = _cell(c, shared, dates)
+                if value:
+                    yield (*sheet, r, _col_number(c.get("r", "")), value, kind)
+
+
+def decode_workbook(path: str, content: bytes) -> list[dict]:
+    """``workbook_rows`` of a small workbook as records."""
+    return [dict(zip(_CELL_COLUMNS, row)) for row in workbook_rows(path, content)]
+
+
+#: Cells a task hands on at a time.
+BATCH_CELLS = 50_000
 
 
 def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
-    """The long cells table of one workbook or a folder of them."""
+    """The long cells table of one workbook or a folder of them (``.xlsx`` in any case)."""
 
     def decode(it):
         for pdf in it:
-            rows = []
             for p, content in zip(pdf["path"], pdf["content"]):
-                rows.extend(decode_workbook(p, bytes(content)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CELLS_SCHEMA.split(", ")])
+                rows = workbook_rows(p, bytes(content))
+                while batch := list(islice(rows, BATCH_CELLS)):
+                    yield pd.DataFrame(batch, columns=_CELL_COLUMNS)
 
     ship_package(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path).select("path", "content")
     return files.mapInPandas(decode, CELLS_SCHEMA)
 
 

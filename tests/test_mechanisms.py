@@ -237,3 +237,24 @@ def test_roots_and_depths(spark):
     assert all(got[10_000 + k] == (0, 43) for k in range(30)) and got[20_000] == (0, 44) and got[20_001] == (20_001, 0)
     assert all(got[30_000 + k] == (None, None) for k in range(5))
     assert roots(spark.createDataFrame([], "n long, p long"), "n", "p").collect() == []
+
+
+def test_workbooks_are_parsed_row_by_row(spark, tmp_path, monkeypatch):
+    import tracemalloc
+
+    from tally.sources import workbook
+
+    from .xlsx_writer import write_xlsx
+
+    rows = [["k", "v", "w"]] + [[i, f"text {i % 50}", i / 4] for i in range(20_000)]
+    write_xlsx(str(tmp_path / "BIG.XLSX"), [("A", "visible", rows), ("B", "hidden", [["x"], ["y"]])])
+    content = (tmp_path / "BIG.XLSX").read_bytes()
+    tracemalloc.start()
+    n = sum(1 for _ in workbook.workbook_rows("p", content))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 3 * 20_001 + 2 + 2 and peak < 12_000_000
+    monkeypatch.setattr(workbook, "BATCH_CELLS", 1000)
+    cells = workbook.workbook_cells(spark, str(tmp_path))
+    assert cells.count() == n and cells.where("kind = 'sheet'").count() == 2
+    assert cells.agg(F.sum(F.when((F.col("col") == 1) & (F.col("row") > 1) & (F.col("sheet") == "A"), F.col("value").cast("long")))).first()[0] == 20_000 * 19_999 // 2
