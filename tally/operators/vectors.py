@@ -255,7 +255,9 @@ def cosine_top_k(
     base = vectors.select(*sel)
 
     asked = queries.select(F.col(query_id_col).alias("__qid"), F.col(query_vec_col).alias("__qvec"))
-    if n_queries > max_queries_per_block:
+    if not n_queries:  # no query: no hit
+        cands = spark.createDataFrame([], cand_schema)
+    elif n_queries > max_queries_per_block:
         cands = _grid(base, asked, n_queries, max_queries_per_block, cand_schema, k, id_col, vec_col, partition_col)
     else:
         block_data = _ship(spark, _unit_block(asked.orderBy("__qid").collect()))  # at most max_queries_per_block rows
