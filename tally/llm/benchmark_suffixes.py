@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from ..session import ship_package
 from .memory import give_back
+from .tokens import forget
 
 WINDOW = 10
 #: Characters of benchmark text in one broadcast block.
@@ -162,6 +163,7 @@ def _finder(spark, block: Block | None):
 
     @F.pandas_udf(_FOUND)
     def find(texts: pd.Series) -> pd.DataFrame:
+        forget()
         block, rows, held, size = shared.value, [], [], 0
 
         def flush():

@@ -31,7 +31,7 @@ OPEN_BINS = 8192
 #: Pieces for one packer.
 PIECES_PER_PACKER = 250_000
 #: Texts, and characters of them, encoded at a time.
-BATCH_TEXTS, BATCH_CHARS = 4096, 8_000_000
+BATCH_TEXTS, BATCH_CHARS = 4096, 4_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
 from .memory import give_back
+from .tokens import forget
 
 SEED = 42
 MAX_BUCKET = 4096
@@ -56,6 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int, *more: Column) -> DataFrame:
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
+        forget()
         out = pd.Series([fingerprint(t, shingle) for t in texts.tolist()], dtype="int64")
         give_back()
         return out

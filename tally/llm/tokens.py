@@ -22,7 +22,7 @@ import os
 import numpy as np
 
 #: Bytes that a generation of remembered pieces may hold, by the sizes of Python objects.
-REMEMBERED = 64 << 20
+REMEMBERED = 32 << 20
 _PUNCTUATION = frozenset(".,;:!?")
 #: A dict entry, a string and a bytes object without their characters.
 _ENTRY = 190
@@ -173,5 +173,5 @@ def encoder(path: str, keeps_spaces: bool) -> Encoder:
 
 
 def forget() -> None:
-    """Drop the worker's encoder."""
+    """Drop the worker's encoder: other operators call this where their tasks begin, since Spark hands workers on."""
     _ENCODERS.clear()
