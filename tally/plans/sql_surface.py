@@ -753,7 +753,8 @@ def q13_chain_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q13 beyond SQL's limit of levels: each order's parent is the order before it, one chain through the whole table."""
     o = Tables(spark, sf_dir).orders.select("o_orderkey")
     numbered = row_index(o, ["o_orderkey"], name="n")
-    parents = numbered.join(numbered.select((F.col("n") + 1).alias("n"), F.col("o_orderkey").alias("parent")), "n", "left")
+    former = numbered.select((F.col("n") + 1).alias("n"), F.col("o_orderkey").alias("parent"))
+    parents = numbered.hint("merge").join(former.hint("merge"), "n", "left")  # never broadcast, however small its rows pack
     return roots(parents, "o_orderkey", "parent")
 
 

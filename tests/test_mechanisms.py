@@ -239,6 +239,15 @@ def test_roots_and_depths(spark):
     assert roots(spark.createDataFrame([], "n long, p long"), "n", "p").collect() == []
 
 
+def test_rounds_of_roots_keep_the_planners_estimate_small(spark):
+    from tally.operators.hierarchy import roots
+
+    got = roots(spark.createDataFrame([(k, k - 1) for k in range(1, 3000)], "n long, p long"), "n", "p")
+    assert got.agg(F.max("depth")).first()[0] == 2998
+    # Squared in each of twelve rounds, it would have thousands of digits.
+    assert len(str(got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 20
+
+
 def test_workbooks_are_parsed_row_by_row(spark, tmp_path, monkeypatch):
     import tracemalloc
 
