@@ -150,38 +150,48 @@ def _nullable(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.assign(score=frame["score"].astype(object).where(frame["score"].notna(), None))
 
 
-def _score_task(it, get_block, k, id_col, vec_col, partition_col):
-    """Score one task's vectors against the query block; emit candidates only."""
-    q_ids, q_unit = get_block()
+def _matrix(pdf: pd.DataFrame, vec_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and their lengths."""
+    mat = np.stack(pdf[vec_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
+    return mat, np.linalg.norm(mat, axis=1)
+
+
+def _score_rows(mat, norms, ids, parts, block, floors, k, id_col, partition_col) -> list[pd.DataFrame]:
+    """Candidates of some vectors for the query block; ``floors`` are raised in place."""
+    q_ids, q_unit = block
     q = q_unit.shape[0]
     step = max(1, SCORE_CELLS // max(q, 1))
+    found: list[pd.DataFrame] = []
+    for lo in range(0, len(ids), step):
+        hi = min(lo + step, len(ids))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s = (mat[lo:hi] @ q_unit.T) / norms[lo:hi, None]
+        groups = [(None, np.arange(hi - lo))] if parts is None else [
+            (g, np.flatnonzero(parts[lo:hi] == g)) for g in pd.unique(parts[lo:hi])
+        ]
+        for g, sel in groups:
+            floor = floors.setdefault(g, np.full(q, -np.inf))
+            r, c = _candidates(s[sel], k, floor)
+            rows = sel[r] + lo
+            out = {"query_id": [q_ids[j] for j in c]}
+            if partition_col:
+                out[partition_col] = parts[rows]
+            out[id_col] = ids[rows]
+            found.append(pd.DataFrame(out).assign(score=s[sel[r], c]))
+    return found
+
+
+def _score_task(it, get_block, k, id_col, vec_col, partition_col):
+    """Score one task's vectors against the query block; emit candidates only."""
+    block = get_block()
     floors: dict = {}
     by = ["query_id"] + ([partition_col] if partition_col else [])
     held: list[pd.DataFrame] = []
     for pdf in it:
         if pdf.empty:
             continue
-        mat = np.stack(pdf[vec_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-        norms = np.linalg.norm(mat, axis=1)
-        ids = pdf[id_col].to_numpy()
         parts = pdf[partition_col].to_numpy() if partition_col else None
-        for lo in range(0, len(pdf), step):
-            hi = min(lo + step, len(pdf))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                s = (mat[lo:hi] @ q_unit.T) / norms[lo:hi, None]
-            groups = [(None, np.arange(hi - lo))] if parts is None else [
-                (g, np.flatnonzero(parts[lo:hi] == g)) for g in pd.unique(parts[lo:hi])
-            ]
-            for g, sel in groups:
-                floor = floors.setdefault(g, np.full(q, -np.inf))
-                r, c = _candidates(s[sel], k, floor)
-                rows = sel[r] + lo
-                out = {"query_id": [q_ids[j] for j in c]}
-                if partition_col:
-                    out[partition_col] = parts[rows]
-                out[id_col] = ids[rows]
-                sc = s[sel[r], c]
-                held.append(pd.DataFrame(out).assign(score=sc))
+        held += _score_rows(*_matrix(pdf, vec_col), pdf[id_col].to_numpy(), parts, block, floors, k, id_col, partition_col)
         held = [_best(held, by, id_col, k)]
         if len(held[0]) > HELD_ROWS:  # many groups: what is known so far goes out
             yield _nullable(held.pop())
@@ -197,27 +207,54 @@ def _unit_block(rows) -> tuple[list, np.ndarray]:
         return [r[0] for r in rows], matrix / np.linalg.norm(matrix, axis=1)[:, None]
 
 
-#: Vectors of one cell of the grid.
-SLICE_ROWS = 65_536
+#: Bytes of one side of a grid's cell, its vectors as doubles (65,536 vectors of 64).
+SIDE_BYTES = 32 << 20
+#: Pairs that are worth a cell of their own.
+CELL_PAIRS = 1 << 20
+
+
+def grid_sides(n_rows: int, n_queries: int, dims: int, tasks: int) -> tuple[int, int]:
+    """Slices of the vectors and blocks of the queries.
+
+    A vector is shuffled once for each block and a query once for each slice, so
+    there are as few of both as memory and ``tasks`` cells allow, parted so that
+    the copies are fewest.
+    """
+    most = max(1, SIDE_BYTES // (8 * max(dims, 1)))
+    cells = max(1, min(tasks, -(-n_rows * n_queries // CELL_PAIRS)))
+    blocks = max(1, -(-n_queries // most), min(cells, round((cells * n_queries / max(n_rows, 1)) ** 0.5)))
+    return max(1, -(-n_rows // most), -(-cells // blocks)), blocks
+
+
+def rows_and_width(vectors: DataFrame, vec_col: str) -> tuple[int, int]:
+    n, dims = vectors.agg(F.count(F.lit(1)), F.max(F.size(vec_col))).first()
+    return n, max(dims or 0, 1)
 
 
 def _grid(base, asked, n_queries, max_queries, schema, k, id_col, vec_col, partition_col) -> DataFrame:
     """Candidates of many queries: slices of the vectors meet blocks of the queries, each pair of them once.
 
-    Both are dealt by a hash, so a cell holds a slice and a block and no more; vectors are read once, and no query passes the driver.
+    Both are dealt by a hash, so a cell holds a slice and a block and no more; ``max_queries`` of the block are scored at a time, and no query passes the driver.
     """
-    blocks = -(-n_queries // max_queries)
-    slices = max(1, -(-base.count() // SLICE_ROWS), min(shuffle_partitions(base.sparkSession), 4 * blocks))
+    n_rows, dims = rows_and_width(base, vec_col)
+    slices, blocks = grid_sides(n_rows, n_queries, dims, shuffle_partitions(base.sparkSession))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = base.withColumn("__cell", F.pmod(F.xxhash64(id_col), F.lit(slices)).cast("int")).withColumn("__block", each(blocks))
     right = asked.withColumn("__block", F.pmod(F.xxhash64("__qid"), F.lit(blocks)).cast("int")).withColumn("__cell", each(slices))
     names = schema.fieldNames()
+    by = ["query_id"] + ([partition_col] if partition_col else [])
 
     def run(key, pdf, queries):
         if pdf.empty or queries.empty:
             return pd.DataFrame({n: [] for n in names})
-        block = _unit_block(zip(queries["__qid"].tolist(), queries["__qvec"].tolist()))
-        return pd.concat(list(_score_task(iter([pdf]), lambda: block, k, id_col, vec_col, partition_col)), ignore_index=True)[names]
+        mat, norms = _matrix(pdf, vec_col)
+        ids, parts = pdf[id_col].to_numpy(), pdf[partition_col].to_numpy() if partition_col else None
+        out = []
+        for lo in range(0, len(queries), max_queries):
+            part = queries.iloc[lo : lo + max_queries]
+            block = _unit_block(zip(part["__qid"].tolist(), part["__qvec"].tolist()))
+            out.append(_nullable(_best(_score_rows(mat, norms, ids, parts, block, {}, k, id_col, partition_col), by, id_col, k)))
+        return pd.concat(out, ignore_index=True)[names]
 
     return left.groupBy("__cell", "__block").cogroup(right.groupBy("__cell", "__block")).applyInPandas(run, schema)
 

@@ -188,6 +188,21 @@ def test_approximate_search(spark):
     assert approx.approximate_top_k(emb.limit(0), q, 4).count() == 0
 
 
+def test_a_grid_shuffles_few_copies(spark, monkeypatch):
+    from tally.operators import vectors as vx
+
+    for n, tasks in ((40_000, 100), (240_000, 100), (240_000, 200)):
+        slices, blocks = vx.grid_sides(n, n, 64, tasks)
+        assert slices + blocks <= 31 and n / slices <= 65_536 and n / blocks <= 65_536 and slices * blocks >= tasks
+    assert vx.grid_sides(100, 100, 64, 200) == (1, 1) and vx.grid_sides(0, 5, 1, 8) == (1, 1)
+    rng = random.Random(8)
+    emb = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(300)], "id long, embedding array<double>")
+    q = emb.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    monkeypatch.setattr(vx, "SIDE_BYTES", 32 * 100)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in df.collect())
+    assert rows(vx.cosine_top_k(emb, q, k=3, max_queries_per_block=7)) == rows(vx.cosine_top_k(emb, q, k=3))
+
+
 def _murmur3(data: bytes, seed: int = 42) -> int:
     """The 32-bit hash of the public MurmurHash3 description, signed."""
     m = 0xFFFFFFFF
