@@ -203,6 +203,32 @@ def test_a_grid_shuffles_few_copies(spark, monkeypatch):
     assert rows(vx.cosine_top_k(emb, q, k=3, max_queries_per_block=7)) == rows(vx.cosine_top_k(emb, q, k=3))
 
 
+def test_approximate_search_makes_no_rows_of_pairs(spark, monkeypatch):
+    from tally.operators import approx
+    from tally.operators import vectors as vx
+
+    rng = random.Random(9)
+    vector = lambda: [rng.gauss(0, 1) for _ in range(6)]
+    rows = [(k, vector()) for k in range(200)] + [(2**60 + k, vector()) for k in range(1, 40)] + [(None, vector()), (7, vector()), (300, [1.0, None] + [0.5] * 4), (301, [2.0] * 4)]
+    emb = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = emb.where("id % 3 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    whole = approx.approximate_top_k(emb, q, 5, bits=3, probes=8)  # all codes: every id is met
+    assert "Join" not in whole._jdf.queryExecution().executedPlan().toString()
+    first = sorted(map(tuple, whole.select("query_id", "rank", "id", "score", "candidates").collect()))
+    monkeypatch.setattr(vx, "SIDE_BYTES", 48 * 40)
+    assert sorted(map(tuple, approx.approximate_top_k(emb, q, 5, bits=3, probes=8).select("query_id", "rank", "id", "score", "candidates").collect())) == first
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+
+    of = {k: v for k, v in rows if k in (0, 2**60 + 2)}
+    for k, v in of.items():
+        if k % 3 == 0:
+            want = sorted((-cosine(v, w), i) for i, w in rows if i is not None and len(w) == 6 and None not in w)[:5]
+            assert [(r[2], round(r[3], 9)) for r in first if r[0] == k] == [(i, round(-s, 9)) for s, i in want]
+    assert all(r[4] >= 242 for r in first if r[0] < 200 or r[0] > 2**60)
+
+
 def _murmur3(data: bytes, seed: int = 42) -> int:
     """The 32-bit hash of the public MurmurHash3 description, signed."""
     m = 0xFFFFFFFF
