@@ -12,7 +12,8 @@ Pieces not met before are encoded many at a time: words of letters alone in
 one string, whose ids are parted by the tokens that begin or end a word, and a
 word with one punctuation mark behind it from the ids of both.  What is
 remembered is bounded in bytes: of two generations the older one goes when the
-younger is full, so frequent pieces stay.
+younger is full, so frequent pieces stay.  A piece met once in a batch of texts
+is not remembered: such pieces are most of all, and would drive others out.
 """
 
 from __future__ import annotations
@@ -94,27 +95,30 @@ class Encoder:
             out += [raw[i:j] for i, j in zip(cuts, cuts[1:])]
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode and remember pieces."""
-        again = [p for p in pieces if p in self.old]
-        for p in again:
-            self._remember(p, self.old[p])
-        pieces = [p for p in pieces if p not in self.young] if again else pieces
+    def _learn(self, pieces: list[str], often: list[bool]) -> list[bytes]:
+        """Ids of pieces that the younger generation lacks; those of the older one and those met ``often`` are remembered in it."""
+        found = list(map(self.old.get, pieces))
+        new = [p for p, x in zip(pieces, found) if x is None]
         # A mark stands apart from a letter before it, if the letter's lower case ends with a letter.
-        marked = [p for p in pieces if len(p) > 1 and p[-1] in _PUNCTUATION and p[-2].lower()[-1].isalpha()]
-        need = set(pieces).difference(marked)
+        marked = [p for p in new if len(p) > 1 and p[-1] in _PUNCTUATION and p[-2].lower()[-1].isalpha()]
+        need = set(new).difference(marked)
         need.update([p[:-1] for p in marked])
         need.update({p[-1] for p in marked})
-        need.difference_update(self.young)
-        need.discard("")
-        first = 1 if self.keeps_spaces else 0
-        letters = [w for w in need if w[first:].isalpha() and (not first or w[0] == " ")] if self.edge.any() else []
-        other = list(need.difference(letters))
-        for words, ids in ((letters, self._letters(letters)), (other, self._any(other))):
-            for w, x in zip(words, ids):
-                self._remember(w, x)
+        fresh = {w: x for w in need if (x := self.young.get(w)) is not None} if marked else {}
+        need.difference_update(fresh)
+        first, edges = 1 if self.keeps_spaces else 0, bool(self.edge.any())
+        letters, other = [], []
+        for w in need:
+            (letters if edges and w[first:].isalpha() and (not first or w[0] == " ") else other).append(w)
+        fresh.update(zip(letters, self._letters(letters)))
+        fresh.update(zip(other, self._any(other)))
         for p in marked:
-            self._remember(p, self.young[p[:-1]] + self.young[p[-1]])
+            fresh[p] = fresh[p[:-1]] + fresh[p[-1]]
+        out = [fresh[p] if x is None else x for p, x in zip(pieces, found)]
+        for p, ids, x, keep in zip(pieces, out, found, often):
+            if keep or x is not None:
+                self._remember(p, ids)
+        return out
 
     def _pieces(self, texts: list[str]):
         """Pieces of plain texts in one Arrow array, and where each text's begin."""
@@ -142,20 +146,22 @@ class Encoder:
             out[k] = ids
         if not plain:
             return out
+        import pyarrow as pa
+
         words, bounds = self._pieces([t for _, t in plain])
         coded = words.dictionary_encode()
         pieces, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         known = list(map(self.young.get, pieces))
         gaps = [k for k, x in enumerate(known) if x is None]
-        self._learn([pieces[k] for k in gaps if pieces[k]])
+        again = np.bincount(at, minlength=len(pieces)) > 1
+        asked = [k for k in gaps if pieces[k]]
         for k in gaps:
-            known[k] = self.young[pieces[k]] if pieces[k] else b""
-        size = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
-        flat = np.frombuffer(b"".join(known), dtype="<u4")
-        n = size[at]
-        ends = np.cumsum(n)
-        raw = flat[np.arange(ends[-1]) + np.repeat((np.cumsum(size) - size)[at] - (ends - n), n)].tobytes()
-        cuts = (4 * np.concatenate([[0], ends])[bounds]).tolist()
+            known[k] = b""
+        for k, x in zip(asked, self._learn([pieces[k] for k in asked], again[asked].tolist())):
+            known[k] = x
+        coded = pa.array(known, type=pa.large_binary()).take(coded.indices)
+        raw = coded.buffers()[2].to_pybytes() if len(coded) else b""
+        cuts = np.frombuffer(coded.buffers()[1], dtype=np.int64)[bounds].tolist()
         for (k, _), i, j in zip(plain, cuts, cuts[1:]):
             out[k] = raw[i:j]
         return out
