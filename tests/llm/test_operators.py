@@ -135,7 +135,7 @@ def test_shards_are_even_and_gapless(spark, edges, empty):
 @pytest.mark.parametrize(("name", "spaces"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_pieces_met_once_are_not_remembered(name, spaces):
     enc = Encoder(best_fit.tokenizer_file(name), spaces)
-    texts = ["often some rareword, often qqzzy", "some often, qqwwx often,"]
+    texts = ["often some rareword, often often qqzzy", "some often, qqwwx often,"]
     want = [np.array(e.ids, dtype="<u4").tobytes() for e in enc.model.encode_batch(texts, add_special_tokens=False)]
     assert enc.ids(texts) == want and enc.ids(texts) == want
     kept = {p.strip() for p in enc.young}
