@@ -1,6 +1,6 @@
 """Word grams as numpy columns, and their sums over a corpus.
 
-Words are numbered where they are met (``Names``), a gram is a row of word
+Words are numbered where they are met (``Names``, ``Coded``), a gram is a row of word
 numbers, and a blob holds some grams with the words they use, so that no
 numbering has to be agreed on between tasks: whoever reads blobs numbers
 their words anew.  Which part of the corpus-wide table a gram belongs to is
@@ -16,7 +16,7 @@ import numpy as np
 
 #: The number of the end mark; number 1 is the empty string between two blanks, which is no word.
 END, BLANK = 0, 1
-#: Bytes of text split at a time.
+#: Bytes of text split or coded at a time.
 CHUNK = 1 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
@@ -50,6 +50,62 @@ def number(text: bytes, names: Names) -> list[np.ndarray]:
     return out
 
 
+class Coded:
+    """Texts as numbers of their words in the order they are met, a chunk of text at a time by Arrow; the end mark is ``END``."""
+
+    def __init__(self):
+        self.texts, self.size, self.ids, self.words = [], 0, [], []
+
+    def add(self, text: bytes) -> None:
+        """Text that ends in an end mark, where only blanks part words and line feeds are end marks."""
+        self.texts.append(text)
+        self.size += len(text)
+        if self.size >= CHUNK:
+            self._code()
+
+    def _code(self) -> None:
+        text, at = b"".join(self.texts), 0
+        self.texts, self.size = [], 0
+        while at < len(text):
+            to = len(text)
+            if to - at > CHUNK:
+                cut = max(text.rfind(b" ", at, at + CHUNK), text.rfind(b"\n", at, at + CHUNK))
+                if cut < 0:  # a word longer than a chunk
+                    cut = min(x for x in (text.find(b" ", at), text.find(b"\n", at)) if x >= 0)
+                to = cut + 1
+            self._chunk(np.frombuffer(text, dtype=np.uint8, count=to - at, offset=at))
+            at = to
+
+    def _chunk(self, text: np.ndarray) -> None:
+        import pyarrow as pa
+
+        mark = (text == 0x20) | (text == 0x0A)
+        at = np.flatnonzero(mark)
+        # Before each mark a word, unless it has no bytes; a line feed is a token itself.
+        size = np.diff(at, prepend=-1) - 1
+        word, end = size > 0, text[at] == 0x0A
+        offsets = np.concatenate([[0], np.cumsum(size[word])]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(text[~mark])]).dictionary_encode()
+        place = np.cumsum(word.astype(np.int64) + end) - 1 - end
+        ids = np.full(int(word.sum() + end.sum()), END, dtype=np.int32)
+        ids[place[word]] = words.indices.to_numpy() + 1
+        self.ids.append(ids)
+        self.words.append(words.dictionary)
+
+    def done(self) -> tuple[np.ndarray, list[bytes]]:
+        """Numbers of all tokens, and the words by number; the end mark is empty."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        self._code()
+        met = pa.concat_arrays([pa.array([b""], pa.binary()), *self.words]).dictionary_encode()
+        of = met.indices.to_numpy()
+        starts = np.cumsum([1] + [len(w) for w in self.words])
+        ids = [np.concatenate([of[:1], of[i:j]])[x] for x, i, j in zip(self.ids, starts, starts[1:])]
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(met.dictionary)], met.dictionary), b"\n")[0].as_py()
+        return np.concatenate([np.zeros(0, dtype=np.int32), *ids]), text.split(b"\n")
+
+
 def pack(words: list[bytes], *columns: np.ndarray) -> bytes:
     """Words (without line feeds) and whole-number columns of any lengths, pressed."""
     import zstandard
@@ -85,18 +141,35 @@ def unpack(blob: bytes) -> tuple[list[bytes], list[np.ndarray]]:
     return words, columns
 
 
+def ascending(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
+    """The order of the rows of some columns, first column first, and the rows as single numbers in that order; nothing if they don't fit."""
+    n = len(columns[0])
+    widths = [int(c.max()).bit_length() if n else 0 for c in columns]
+    if sum(widths) > 63:
+        return None
+    key = columns[0].astype(np.int64)
+    for c, width in zip(columns[1:], widths[1:]):
+        key <<= width
+        key |= c
+    places = n.bit_length()
+    if sum(widths) + places > 63:
+        order = np.argsort(key)
+        return order, key[order]
+    # Sorted with their places in the low bits: numpy sorts numbers several times as fast as it sorts places by number.
+    key <<= places
+    key |= np.arange(n)
+    key.sort()
+    return key & ((1 << places) - 1), key >> places
+
+
 class Distinct:
     """The distinct rows of some columns, in ascending order."""
 
     def __init__(self, columns: list[np.ndarray]):
         n = len(columns[0])
-        width = max([1] + [int(c.max()).bit_length() for c in columns if n])
-        if width * len(columns) <= 63:
-            key = columns[0].astype(np.int64)
-            for c in columns[1:]:
-                key = (key << width) | c
-            self.order = np.argsort(key)
-            key = key[self.order]
+        found = ascending(columns)
+        if found is not None:
+            self.order, key = found
             new = key[1:] != key[:-1]
         else:
             self.order = np.lexsort(columns[::-1])
@@ -145,7 +218,8 @@ class Dealt:
             h ^= h >> np.uint64(32)
         part = (h % np.uint64(parts)).astype(np.int64)
         # Grams come in ascending order of numbers within the task; corpus-wide numbers are put in order here, to press well.
-        self.order = np.argsort(part, kind="stable") if word_hashes is not None else np.lexsort((columns[0], part))
+        found = ascending([part, columns[0]]) if word_hashes is None else None
+        self.order = found[0] if found else np.argsort(part, kind="stable") if word_hashes is not None else np.lexsort((columns[0], part))
         self.columns = columns
         self.bounds = np.searchsorted(part[self.order], np.arange(parts + 1))
 

@@ -7,16 +7,18 @@ import gc
 import time
 
 
-def give_back() -> None:
+def give_back(cycles: bool = True) -> None:
     """Return freed memory to the system.
 
     Spark keeps Python workers for later tasks, and freed blocks stay with the
     allocators: an idle worker would hold its largest batch for as long as the
-    application runs.
+    application runs.  Without ``cycles`` no objects that hold each other are
+    looked for, which takes long beside a small group.
     """
     import pyarrow
 
-    gc.collect()
+    if cycles:
+        gc.collect()
     pyarrow.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

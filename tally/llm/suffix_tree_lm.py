@@ -13,7 +13,9 @@ add up to 1 with one place for words never seen.  A token is scored in the
 state of the longest suffix of the words before it in its text.
 
 How it runs: texts are numbered once in windows of some million tokens (a
-checkpoint), each with a numbering of its own.  What a window needs from the
+checkpoint), each with a numbering of its own, by Arrow.  A gram is the gram
+before it and a word more, and a context is a gram of the token before, so that
+a window sorts its tokens once for each length of gram.  What a window needs from the
 corpus are sums by word or gram: training counts, and the divergence of
 contexts, whose terms each window adds up over its own tokens.  A window sends
 its distinct words or grams with its share of each sum to the parts of a hash
@@ -31,6 +33,8 @@ that of the empty model (0); other columns are not read; no rows, no rows.
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
@@ -38,11 +42,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, shuffle_partitions, ship_package
-from .grams import BLANK, END, Dealt, Distinct, Names, hashes, number, pack, spelled, unpack
+from .grams import END, Coded, Dealt, Distinct, hashes, pack, unpack
 from .memory import give_back, release_shuffles
 
-#: Tokens of a window.
-WINDOW = 2_200_000
+#: Tokens of a window, and bytes of text for each.
+WINDOW, WINDOW_BYTES = 2_200_000, 16
 PART_BYTES = 16 << 20
 #: Words of the longest context, and the least training tokens behind a state.
 DEPTH, LEAST = 2, 8
@@ -53,7 +57,7 @@ _STEPS = 1 << 20
 #: Kinds of sums: words 1, grams of k words k, divergences of contexts of d words this and d.
 _GAIN = 100
 
-_WINDOWS = "window long, words binary, tokens binary"
+_WINDOWS = "window long, words array<binary>, tokens binary"
 _SHARES = "part long, window long, kind int, blob binary"
 _SUMS = "window long, kind int, part long, blob binary, tokens long, words long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_in_context long"
@@ -70,55 +74,43 @@ def tokens(text: str | None) -> bytes:
 
 
 def _windows(parts: int):
-    """Texts to windows: their words with training counts, and their tokens with the part of each word."""
+    """Texts to windows: their words with training counts by the part that counts them, and their tokens with the part of each word."""
 
-    def flush(window, docs, arrays, names):
-        lengths, doc_ids, null, held = (np.array(c, dtype=np.int64) for c in zip(*docs))
-        ids, words = np.concatenate(arrays), spelled(names)
+    def flush(window, docs, texts):
+        doc_ids, null, held = (np.array(c, dtype=np.int64) for c in zip(*docs))
+        ids, words = texts.done()
+        lengths = np.diff(np.flatnonzero(ids == END), prepend=-1)
         part = (hashes(words) % np.uint64(parts)).astype(np.int64)
         counts = np.bincount(ids[np.repeat(held == 0, lengths)], minlength=len(words))
-        return pd.DataFrame({"window": [window], "words": [pack(words, counts)], "tokens": [pack([], ids, lengths, doc_ids, null, held, part)]})
+        sent = _sent(part)
+        bounds = np.searchsorted(part[sent], np.arange(parts + 1))
+        of = [sent[i:j] for i, j in zip(bounds, bounds[1:])]
+        asked = [pack([words[k] for k in some.tolist()], counts[some]) if len(some) else None for some in of]
+        return pd.DataFrame({"window": [window], "words": [asked], "tokens": [pack([], ids, lengths, doc_ids, null, held, part)]})
 
     def run(batches):
         first = TaskContext.get().partitionId() << 32
-        made, docs, arrays, names, size = 0, [], [], Names(), 0
+        made, docs, texts, size = 0, [], Coded(), 0
         for pdf in batches:
             for doc_id, held, text in zip(pdf["doc_id"].tolist(), pdf["held"].tolist(), pdf["text"].tolist()):
-                new = number(tokens(text), names)
-                n = sum(map(len, new))
-                arrays += new
-                docs.append((n, 0 if doc_id is None else int(doc_id), doc_id is None, bool(held)))
-                size += n
+                text = tokens(text)
+                texts.add(text)
+                docs.append((0 if doc_id is None else int(doc_id), doc_id is None, bool(held)))
+                # Tokens at most; long words take memory as well.
+                size += max(text.count(b" ") + 2, len(text) // WINDOW_BYTES)
                 if size >= WINDOW:
-                    yield flush(first + made, docs, arrays, names)
-                    made, docs, arrays, names, size = made + 1, [], [], Names(), 0
+                    yield flush(first + made, docs, texts)
+                    made, docs, texts, size = made + 1, [], Coded(), 0
         if docs:
-            yield flush(first + made, docs, arrays, names)
+            yield flush(first + made, docs, texts)
         give_back()
 
     return run
 
 
 def _sent(part: np.ndarray) -> np.ndarray:
-    """A window's words by the part that counts them; the blank is no word."""
-    order = np.argsort(part, kind="stable")
-    return order[order != BLANK]
-
-
-def _words_asked(parts: int):
-    def run(batches):
-        for pdf in batches:
-            for window, blob in zip(pdf["window"].tolist(), pdf["words"].tolist()):
-                words, (counts,) = unpack(blob)
-                part = (hashes(words) % np.uint64(parts)).astype(np.int64)
-                sent = _sent(part)
-                bounds = np.searchsorted(part[sent], np.arange(parts + 1))
-                of = [sent[i:j] for i, j in zip(bounds, bounds[1:])]
-                rows = [(p, window, 1, pack([words[k] for k in ids.tolist()], counts[ids])) for p, ids in enumerate(of) if len(ids)]
-                yield pd.DataFrame(rows, columns=["part", "window", "kind", "blob"])
-        give_back()
-
-    return run
+    """A window's words by the part that counts them."""
+    return np.argsort(part, kind="stable")
 
 
 class Model:
@@ -142,64 +134,70 @@ class Window:
         #: The corpus-wide number and count of each of the window's words.
         for k, column in enumerate((self.named, self.count)):
             column[sent] = np.concatenate([x[k] for x in sums[1]])
-        #: The tokens, and at k the tokens k places before within the same text (END: none).
-        self.before = [self.ids]
-        for k in range(model.depth):
-            last = np.concatenate([np.array([END], dtype=np.int32), self.before[-1][:-1]])
-            self.before.append(last if k == 0 else np.where(self.before[-1] == END, np.int32(END), last))
-
-    def _distinct(self, columns: list[np.ndarray], at: np.ndarray) -> tuple[Distinct, Dealt]:
-        found = Distinct([c[at] for c in columns])
-        return found, Dealt([self.named[c] for c in found.columns], None, self.model.parts)
+        #: At k, the distinct grams of k words as columns of corpus-wide numbers, and for every token the row of the gram that ends there (-1: not asked for).
+        self.columns, self.row = {1: [self.named]}, {1: self.ids}
 
     def _answers(self, kind: int) -> list[np.ndarray]:
         return [x[0] for x in self.sums[kind]]
 
-    def grams(self, k: int, at: np.ndarray):
-        """Distinct grams of ``k`` words that end at some tokens."""
-        return self._distinct([self.before[j] for j in range(k - 1, -1, -1)], at)
+    def grams(self, k: int, at: np.ndarray) -> tuple[Distinct, Dealt]:
+        """Distinct grams of ``k`` > 1 words that end at some tokens, the words before them a gram asked for."""
+        found = Distinct([self.row[k - 1][at - 1], self.ids[at]])
+        context, last = found.columns
+        self.columns[k] = [c[context] for c in self.columns[k - 1]] + [self.named[last]]
+        return found, Dealt(self.columns[k], None, self.model.parts)
 
-    def contexts(self, d: int, at: np.ndarray):
-        """Distinct contexts of ``d`` words before some tokens."""
-        return self._distinct([self.before[j] for j in range(d, 0, -1)], at)
+    def contexts(self, d: int, at: np.ndarray) -> tuple[np.ndarray, Dealt]:
+        """The distinct contexts of ``d`` words before some tokens, which are grams asked for, and for each token the place of its own."""
+        row = self.row[d][at - 1]
+        used = np.zeros(len(self.columns[d][0]), dtype=bool)
+        used[row] = True
+        return (np.cumsum(used) - 1)[row], Dealt([c[used] for c in self.columns[d]], None, self.model.parts)
 
     def counts(self, k: int, at: np.ndarray) -> np.ndarray:
         """For every token the training count of the ``k`` words that end there (0 where not asked for)."""
         found, dealt = self.grams(k, at)
+        inverse = found.inverse()
+        self.row[k] = np.full(len(self.ids), -1, dtype=np.int32)
+        self.row[k][at] = inverse
         out = np.zeros(len(self.ids), dtype=np.int64)
-        out[at] = dealt.placed(self._answers(k))[found.inverse()]
+        out[at] = dealt.placed(self._answers(k))[inverse]
         return out
 
     def levels(self):
-        """For each depth whose counts are known: tokens with a context that stands often, its count, the gram's count, the probability."""
+        """For each depth whose counts are known: tokens with a context that stands often, its count there, every token's gram count, its probability."""
         m = self.model
         count = self.count[self.ids]
-        p = (count + 0.1) / (m.tokens + 0.1 * (m.words + 1))
+        p = ((self.count + 0.1) / (m.tokens + 0.1 * (m.words + 1)))[self.ids]
         yield None, None, count, p
+        # Tokens with d words before them in their text.
+        there = first = np.concatenate([np.zeros(1, dtype=bool), self.ids[:-1] != END])
         for d in range(1, m.depth + 1):
-            there = self.before[d] != END
-            context = np.where(there, np.concatenate([np.zeros(1, dtype=np.int64), count[:-1]]), 0)
-            often = np.flatnonzero(there & (context >= m.least))
+            if d > 1:
+                there = first & np.concatenate([np.zeros(1, dtype=bool), there[:-1]])
+            often = np.flatnonzero(there)
+            context = count[often - 1]
+            often, context = often[context >= m.least], context[context >= m.least]
             if d + 1 not in self.sums:
                 yield often, context, None, None
                 return
             count = self.counts(d + 1, often)
             longer = p.copy()
-            longer[often] = (count[often] + m.weight * p[often]) / (context[often] + m.weight)
+            longer[often] = (count[often] + m.weight * p[often]) / (context + m.weight)
             p = longer
             yield often, context, count, p
 
-    def gains(self, d: int, levels: list) -> tuple[Distinct, Dealt, np.ndarray]:
+    def gains(self, d: int, levels: list) -> tuple[Dealt, np.ndarray]:
         """This window's share of the divergence of each context of ``d`` words."""
         often, context, count, _ = levels[d]
-        shorter = levels[d - 1][3]
-        found, dealt = self.contexts(d, often)
+        place, dealt = self.contexts(d, often)
         use = self.train[often]
-        at, share = often[use], np.zeros(len(often), dtype=np.int64)
-        w = self.model.weight
-        left_out = (count[at] - 1 + w * shorter[at]) / (context[at] - 1 + w)
-        share[use] = np.rint(_STEPS * np.log(left_out / shorter[at])).astype(np.int64)
-        return found, dealt, found.sums(share)
+        at, context = often[use], context[use]
+        shorter, w = levels[d - 1][3][at], self.model.weight
+        left_out = (count[at] - 1 + w * shorter) / (context - 1 + w)
+        sums = np.zeros(len(dealt.order), dtype=np.int64)
+        np.add.at(sums, place[use], np.rint(_STEPS * np.log(left_out / shorter)).astype(np.int64))
+        return dealt, sums
 
     def shares(self, step: int):
         """(kind, part, blob) of what this window asks for in a step."""
@@ -210,7 +208,7 @@ class Window:
             for p, blob in dealt.blobs(None, found.sums(self.train[often].astype(np.int64))):
                 yield step + 1, p, blob
         if step > 1:
-            _, dealt, gains = self.gains(step - 1, levels)
+            dealt, gains = self.gains(step - 1, levels)
             for p, blob in dealt.blobs(None, gains):
                 yield _GAIN + step - 1, p, blob
 
@@ -220,13 +218,13 @@ class Window:
         p, state = base.copy(), np.ones(len(self.ids), dtype=bool)
         for d in range(1, self.model.depth + 1):
             often = levels[d][0]
-            found, dealt = self.contexts(d, often)
-            gain = dealt.placed(self._answers(_GAIN + d))[found.inverse()]
-            kept = np.zeros(len(self.ids), dtype=bool)
-            kept[often] = gain >= self.model.divergence * _STEPS
-            state &= kept
-            p[state] = levels[d][3][state]
-            deep = state.copy() if d == 1 else deep
+            place, dealt = self.contexts(d, often)
+            kept = (dealt.placed(self._answers(_GAIN + d)) >= self.model.divergence * _STEPS)[place]
+            at = often[kept & state[often]]
+            state = np.zeros(len(self.ids), dtype=bool)
+            state[at] = True
+            p[at] = levels[d][3][at]
+            deep = state if d == 1 else deep
         starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         per = lambda x: np.add.reduceat(x, starts)
         return pd.DataFrame({
@@ -236,7 +234,7 @@ class Window:
 
 
 def _back(rows: list[tuple]) -> pd.DataFrame:
-    give_back()
+    give_back(cycles=False)
     return pd.DataFrame(rows, columns=["window", "kind", "part", "blob", "tokens", "words"], dtype=object).astype(
         {"window": "Int64", "kind": "int32", "part": "int64", "tokens": "Int64", "words": "Int64"})
 
@@ -245,10 +243,11 @@ def _words_met(parts: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """One part's words: counts, and numbers by falling count, sent back to the windows that asked."""
         pdf = pdf.sort_values("window")
-        part, names, asked, counts = int(pdf["part"].iloc[0]), {}, [], []
+        part, names, asked, counts = int(pdf["part"].iloc[0]), defaultdict(), [], []
+        names.default_factory = names.__len__
         for blob in pdf["blob"]:
             words, (n,) = unpack(blob)
-            asked.append(np.fromiter((names.setdefault(w, len(names)) for w in words), dtype=np.int64, count=len(words)))
+            asked.append(np.fromiter(map(names.__getitem__, words), dtype=np.int64, count=len(words)))
             counts.append(n)
         total = np.zeros(len(names), dtype=np.int64)
         for ids, n in zip(asked, counts):
@@ -290,7 +289,7 @@ def _ask(step: int, model: Model):
         for blob in texts["tokens"].tolist():
             window = Window(blob, model, _sums(sums, _kinds(step, model.depth)))
             out += [(p, int(key[0]), kind, b) for kind, p, b in window.shares(step)]
-        give_back()
+        give_back(cycles=False)
         return pd.DataFrame(out, columns=["part", "window", "kind", "blob"])
 
     return run
@@ -300,7 +299,7 @@ def _score(model: Model):
     def run(key, texts: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
         known = _sums(sums, _kinds(model.depth + 2, model.depth))
         out = [Window(blob, model, known).scores() for blob in texts["tokens"].tolist()]
-        give_back()
+        give_back(cycles=False)
         return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in SCORES.split(", ")})
 
     return run
@@ -315,7 +314,9 @@ def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, weight: float
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(shuffle_partitions(spark), size // PART_BYTES)
     texts = rows.mapInPandas(_windows(parts), _WINDOWS).checkpoint()
-    met = texts.select("window", "words").mapInPandas(_words_asked(parts), _SHARES).groupBy("part").applyInPandas(_words_met(parts), _SUMS).checkpoint()
+    asked = texts.select("window", F.posexplode("words").alias("part", "blob")).where("blob is not null")
+    asked = asked.select(F.col("part").cast("long").alias("part"), "window", F.lit(1).alias("kind"), "blob")
+    met = asked.groupBy("part").applyInPandas(_words_met(parts), _SUMS).checkpoint()
     release_shuffles(spark)
     # One row for each part.
     total = met.where("window is null").agg(F.sum("tokens"), F.sum("words")).first()

@@ -6,9 +6,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from tally.llm import suffix_tree_lm
+from tally.llm import grams, suffix_tree_lm
 from tally.llm.checks import QUERIES
 
 from ..conftest import SF_SMALL
@@ -93,3 +94,63 @@ def test_query_scores_every_document(spark):
     got = got.collect()
     same(got, brute(rows, suffix_tree_lm.DEPTH, suffix_tree_lm.LEAST, suffix_tree_lm.WEIGHT, suffix_tree_lm.DIVERGENCE))
     assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
+
+
+def steps(model, texts, sorted_):
+    """Runs the steps of ``score`` without Spark; the scores. What was sorted before the last step is forgotten."""
+    shares = [(part, window, 1, blob) for window, words in zip(texts["window"], texts["words"]) for part, blob in enumerate(words) if blob is not None]
+    met = pd.concat([suffix_tree_lm._words_met(model.parts)(g) for _, g in pd.DataFrame(shares, columns=["part", "window", "kind", "blob"]).groupby("part")])
+    total, known = met[met["window"].isna()], met[met["window"].notna()]
+    model.tokens, model.words = int(total["tokens"].sum()), int(total["words"].sum())
+    each = lambda run: pd.concat([run((w,), texts[texts["window"] == w], known[known["window"] == w]) for w in texts["window"]])
+    for step in range(1, model.depth + 2):
+        asked = each(suffix_tree_lm._ask(step, model))
+        known = pd.concat([known, *(suffix_tree_lm._met(g) for _, g in asked.groupby("part"))])
+    sorted_.clear()
+    return each(suffix_tree_lm._score(model))
+
+
+def test_a_window_sorts_its_tokens_once_for_each_length_of_gram(monkeypatch):
+    """op13's time: contexts were sorted like grams of their own, and every group looked for cycles."""
+    sorted_, collected = [], []
+
+    class Counted(grams.Distinct):
+        def __init__(self, columns):
+            sorted_.append(len(columns))
+            super().__init__(columns)
+
+    monkeypatch.setattr(suffix_tree_lm, "Distinct", Counted)
+    monkeypatch.setattr(suffix_tree_lm.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})()))
+    held = [zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0 for d, *_ in ROWS]
+    pdf = pd.DataFrame({"doc_id": [None if d is None else str(d) for d, *_ in ROWS], "held": held, "text": [t for _, t, *_ in ROWS]}, dtype=object)
+    texts = pd.concat(list(suffix_tree_lm._windows(3)(iter([pdf]))))
+    monkeypatch.setattr("gc.collect", lambda *a: collected.append(a))
+    got = steps(suffix_tree_lm.Model(3, 2, 8, 4.0, 3.0), texts, sorted_)
+    assert len(texts) == 1 and len(sorted_) == 2 and collected == []
+    same([tuple(None if pd.isna(x) else x for x in r) for r in got.itertuples(index=False)], brute(ROWS, 2, 8, 4.0, 3.0))
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 64, 1 << 20])
+def test_coded_texts_are_numbered_as_word_by_word(monkeypatch, chunk):
+    texts = [suffix_tree_lm.tokens(t) for _, t, *_ in ROWS[-12:]] + [b"\n", b"   \n", " é  é ß\n".encode()]
+    for some in (texts, texts[-3:-1], []):
+        names = grams.Names()
+        plain = [ids for t in some for ids in grams.number(t, names)]
+        expected = [grams.spelled(names)[k] for k in np.concatenate(plain).tolist()] if plain else []
+        monkeypatch.setattr(grams, "CHUNK", chunk)
+        coded = grams.Coded()
+        for t in some:
+            coded.add(t)
+        ids, words = coded.done()
+        monkeypatch.undo()
+        assert [words[k] for k in ids.tolist()] == expected and words[grams.END] == b"" and len(set(words)) == len(words)
+
+
+def test_rows_in_order_fit_or_not():
+    rng = np.random.default_rng(5)
+    for tops in ((1, 1), (1 << 10, 9), (1 << 30, 1 << 30), (1 << 40, 1 << 40)):  # with their places, without, as rows
+        columns = [rng.choice(rng.integers(0, top, 20), 500) for top in tops]
+        found, order = grams.Distinct(columns), np.lexsort(columns[::-1])
+        assert [tuple(r) for r in zip(*found.columns)] == sorted(set(zip(*(c.tolist() for c in columns))))
+        assert (np.concatenate([c[found.order] for c in columns]) == np.concatenate([c[order] for c in columns])).all()
+        assert found.sums(np.ones(500, dtype=np.int64))[found.inverse()].min() >= 1
