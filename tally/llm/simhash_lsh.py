@@ -13,6 +13,9 @@ the links of a spanning forest, never all its pairs.  A bucket above
 ``MAX_BUCKET`` is split by blocks of the bits (of radius + 1 blocks one is
 equal in every linked pair) and what is still too large is compared tile by
 tile.  Components come from alternating star contractions, on disk each round.
+Joins are merges: the planner takes a row's masked copies together for one row,
+and rows for as small as the table's files, so it would broadcast millions of
+them through the driver.
 
 Defined results: a null or blank text has fingerprint zero and links like any
 other; fewer words than a shingle are one shingle; null doc_ids never become a
@@ -106,6 +109,11 @@ def _grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
 
 
+def _merged(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """A join that is never broadcast, however small the planner takes either side for."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def links(distinct: DataFrame, radius: int, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Links (u, v) whose components are those of all pairs within the radius; ``distinct``: one column ``fp``."""
     ship_package(distinct.sparkSession)
@@ -113,7 +121,7 @@ def links(distinct: DataFrame, radius: int, max_bucket: int = MAX_BUCKET) -> Dat
     keyed = distinct.select("fp", F.explode(F.transform(table, lambda m, t: F.struct(t.alias("t"), F.col("fp").bitwiseAND(m).alias("k")))).alias("b")).select("b.t", "b.k", "fp")
     # Most buckets hold one fingerprint: counts, combined before the shuffle, leave the others.
     sizes = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = keyed.join(sizes, ["t", "k"]).checkpoint()
+    rows = _merged(keyed, sizes, ["t", "k"]).checkpoint()
     small = _forests(_grouped(rows.where(F.col("n") <= max_bucket), ["t", "k"]), radius)
     large = rows.where(F.col("n") > max_bucket)
     if large.isEmpty():
@@ -122,7 +130,7 @@ def links(distinct: DataFrame, radius: int, max_bucket: int = MAX_BUCKET) -> Dat
     cut = F.array(*[F.lit(int(np.array([sum(1 << int(i) for i in b)], dtype=np.uint64).view(np.int64)[0])) for b in blocks])
     # The blocks alone cover the radius, so the table no longer matters.
     parts = large.select("fp").distinct().select("fp", F.explode(F.transform(cut, lambda m, j: F.struct(j.alias("j"), F.col("fp").bitwiseAND(m).alias("x")))).alias("b")).select("b.j", "b.x", "fp")
-    parts = parts.join(parts.groupBy("j", "x").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["j", "x"])
+    parts = _merged(parts, parts.groupBy("j", "x").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["j", "x"])
     middle = _forests(_grouped(parts.where(F.col("n") <= max_bucket), ["j", "x"]), radius)
     # Tiles of what is left: tile r meets every tile s >= r.
     tiles = F.ceil(F.col("n") / (max_bucket // 2)).cast("int")
@@ -141,14 +149,14 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _merged(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct().checkpoint()
+        small = _merged(down, least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct().checkpoint()
         # A forest of stars: every node has one link and no root is a member.
         n, members = small.agg(F.count(F.lit(1)), F.countDistinct("u")).first()
         edges = small
-        if n == members and small.select(F.col("v").alias("u")).distinct().join(small.select("u"), "u", "left_semi").isEmpty():
+        if n == members and _merged(small.select(F.col("v").alias("u")).distinct(), small.select("u"), "u", "left_semi").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -159,13 +167,13 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = _rooted(nodes, radius)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(ids, "root").select("fp", "component_id"), "fp")
+    return _merged(rows, _merged(rooted, ids, "root").select("fp", "component_id"), "fp")
 
 
 def _rooted(nodes: DataFrame, radius: int) -> DataFrame:
     """``nodes``, one row for each ``fp``, with their component's ``root``."""
     named = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    return nodes.join(named, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return _merged(nodes, named, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def keep_one(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
@@ -177,7 +185,7 @@ def keep_one(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
     # Rows of one text are of one component, so doc_id and digest name no row of another.
     keep = _rooted(nodes, radius).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
     keyed = docs.withColumn("__text_digest", digest)
-    kept = keyed.join(keep, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text_digest") == F.col("__digest")), "left_semi")
+    kept = _merged(keyed, keep, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text_digest") == F.col("__digest")), "left_semi")
     return kept.dropDuplicates(["doc_id", "__text_digest"]).drop("__text_digest")
 
 

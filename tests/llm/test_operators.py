@@ -323,6 +323,21 @@ def test_components_of_a_long_chain(spark):
     assert {k for k in got if got[k] == 0} >= set(range(1, 41)) and got[101] == 100
 
 
+def test_simhash_broadcasts_no_rows(spark, edges):
+    rng = np.random.default_rng(5)
+    fps = sorted({sum(1 << int(k) for k in rng.choice(63, int(rng.integers(0, 4)), replace=False)) for _ in range(60)})
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")  # any broadcast fails
+    try:
+        for m in (4096, 8):  # whole buckets, and split ones
+            got = simhash_lsh.components(simhash_lsh.links(df, 4, m)).collect()
+            assert sorted((r.node, r.root) for r in got) == [(f, 0) for f in fps if f]
+        rows = simhash_lsh.near_duplicates(edges, 4, 4).count(), simhash_lsh.keep_one(edges, 4, 4).count()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert rows == (edges.count(), simhash_lsh.keep_one(edges, 4, 4).count())
+
+
 def test_best_fit_rules():
     where, offset = best_fit.best_fit([6, 5, 4, 5, 10, 3], size=10, open_bins=2)
     assert where == [0, 1, 0, 1, 2, 3] and offset == [0, 0, 6, 5, 0, 0]
